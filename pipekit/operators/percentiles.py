@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MARGIN = 5 / ACCURACY
+# Up to this many values a rank is a large part of the margin, and the whole group is small enough to rank.
+RANK_WHOLE = 10_000
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentiles: Mapping[str, float]) -> DataFrame:
@@ -29,8 +31,10 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentile
     )
 
     def bracket(i: int, name: str) -> Column:
-        low = F.col("_marks")[2 * i] if marks[2 * i] > 0.0 else F.lit(float("-inf"))
-        high = F.col("_marks")[2 * i + 1] if marks[2 * i + 1] < 1.0 else F.lit(float("inf"))
+        large = F.col("_n") > RANK_WHOLE
+        below = F.when(large & F.lit(marks[2 * i] > 0.0), F.col("_marks")[2 * i])
+        above = F.when(large & F.lit(marks[2 * i + 1] < 1.0), F.col("_marks")[2 * i + 1])
+        low, high = F.coalesce(below, F.lit(float("-inf"))), F.coalesce(above, F.lit(float("inf")))
         position = F.lit(percentiles[name]) * (F.col("_n") - 1)
         return F.struct(
             F.lit(i).alias("_i"), low.alias("_low"), high.alias("_high"), position.alias("_pos"), F.col("_n").alias("_n")

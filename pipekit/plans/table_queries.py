@@ -16,24 +16,24 @@ from pipekit.session import scratch_path
 # keys get a later date and odd ones an earlier date, every ninth also has an older change, and every
 # 21st change has lost its key.
 MERGE_CTES = """
-    target as (select o_orderkey as k, o_custkey, o_totalprice as price, o_orderdate as at
+    target as (select o_orderkey as k, o_custkey, o_totalprice as price, o_orderdate as changed_at
                from orders where o_orderkey % 10 < 7),
     feed as (select case when o_orderkey % 21 = 0 then null else o_orderkey end as k, o_custkey,
                     o_totalprice + 10 as price,
-                    o_orderdate + case when o_orderkey % 2 = 0 then interval 1 day else interval (-1) day end as at
+                    o_orderdate + case when o_orderkey % 2 = 0 then interval 1 day else interval (-1) day end as changed_at
              from orders where o_orderkey % 3 = 0
              union all
              select o_orderkey, o_custkey, 0.0::double, o_orderdate - interval 30 day from orders
              where o_orderkey % 9 = 0 and o_orderkey % 21 <> 0),
     source as (select * from feed where k is null
                union all (select * from feed where k is not null
-                          qualify row_number() over (partition by k order by at desc) = 1)),
+                          qualify row_number() over (partition by k order by changed_at desc) = 1)),
 """
 
 
 def _target(t: Tables):
     return t.orders.filter(F.col("o_orderkey") % 10 < 7).select(
-        F.col("o_orderkey").alias("k"), "o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("at")
+        F.col("o_orderkey").alias("k"), "o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("changed_at")
     )
 
 
@@ -44,15 +44,15 @@ def _feed(t: Tables):
         F.when(key % 21 != 0, key).alias("k"),
         "o_custkey",
         (F.col("o_totalprice") + 10).alias("price"),
-        F.when(key % 2 == 0, F.col("o_orderdate") + day).otherwise(F.col("o_orderdate") - day).alias("at"),
+        F.when(key % 2 == 0, F.col("o_orderdate") + day).otherwise(F.col("o_orderdate") - day).alias("changed_at"),
     )
     older = t.orders.filter((key % 9 == 0) & (key % 21 != 0)).select(
-        key.alias("k"), "o_custkey", F.lit(0.0).alias("price"), (F.col("o_orderdate") - 30 * day).alias("at")
+        key.alias("k"), "o_custkey", F.lit(0.0).alias("price"), (F.col("o_orderdate") - 30 * day).alias("changed_at")
     )
     return newest.unionByName(older)
 
 
-NEWER_RULE = MergeRule(["k"], "source.at > target.at", order_by=["at"])
+NEWER_RULE = MergeRule(["k"], "source.changed_at > target.changed_at", order_by=["changed_at"])
 
 
 @register(
@@ -60,12 +60,12 @@ NEWER_RULE = MergeRule(["k"], "source.at > target.at", order_by=["at"])
     f"""
     with {MERGE_CTES}
     merged as (
-        select coalesce(t.k, s.k) as k, t.k is not null as old, s.k is not null as new, s.at > t.at as newer,
-               t.o_custkey as tc, s.o_custkey as sc, t.price as tp, s.price as sp, t.at as ta, s.at as sa
+        select coalesce(t.k, s.k) as k, t.k is not null as old, s.k is not null as new, s.changed_at > t.changed_at as newer,
+               t.o_custkey as tc, s.o_custkey as sc, t.price as tp, s.price as sp, t.changed_at as ta, s.changed_at as sa
         from target t full join source s on t.k = s.k)
     select k, case when old and newer is not true then tc else sc end as o_custkey,
            case when old and newer is not true then tp else sp end as price,
-           case when old and newer is not true then ta else sa end as at from merged
+           case when old and newer is not true then ta else sa end as changed_at from merged
     """,
 )
 def _upsert_newer(t: Tables):
@@ -81,14 +81,14 @@ def _upsert_newer(t: Tables):
     """,
 )
 def _upsert_always(t: Tables):
-    return upsert(_target(t), _feed(t), MergeRule(["k"], ALWAYS, order_by=["at"]))
+    return upsert(_target(t), _feed(t), MergeRule(["k"], ALWAYS, order_by=["changed_at"]))
 
 
 @register(
     "upsert_stats",
     f"""
     with {MERGE_CTES}
-    pairs as (select t.k is not null as old, s.o_custkey is not null as new, s.at > t.at as newer
+    pairs as (select t.k is not null as old, s.o_custkey is not null as new, s.changed_at > t.changed_at as newer
               from target t full join source s on t.k = s.k)
     select count(*) filter (where old and new and newer) as rows_updated,
            count(*) filter (where not old) as rows_inserted, 0::bigint as rows_deleted,
@@ -112,7 +112,7 @@ def _upsert_stats(t: Tables):
 def _upsert_delete(t: Tables):
     """Cheap orders are deletions: a matched row goes, an unmatched one never comes."""
     rule = MergeRule(
-        ["k"], ALWAYS, order_by=["at"], delete_condition="source.price < 100000", insert_condition="NOT price < 100000"
+        ["k"], ALWAYS, order_by=["changed_at"], delete_condition="source.price < 100000", insert_condition="NOT price < 100000"
     )
     return upsert(_target(t), _feed(t), rule)
 
