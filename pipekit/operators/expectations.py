@@ -1,10 +1,11 @@
-"""Expectations: named measures with limits.  A suite measures all of them in one shared scan."""
+"""Expectations: named measures with limits, measured together by a suite in one job."""
 
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,12 +14,16 @@ from pyspark.sql import functions as F
 from pipekit.functions import rate
 
 TOTAL = "total_rows"
+# In the frame that a uniqueness expectation measures: how many rows share the combination.
+COPIES = "_copies"
 
 
 class Expectation(ABC):
     """Subclass this: ``measures`` are aggregate columns, ``limits`` the highest value a measure may have.
 
-    Measures are shared by a suite, so an expectation never runs a job of its own.
+    A suite evaluates the measures of all its expectations, so an expectation never runs a job of its own.
+    With ``distinct_columns`` the measures are taken over one row per combination of those columns, with
+    the number of rows that share it in ``_copies``.
     """
 
     def __init__(self, name: str, severity: str = "error") -> None:
@@ -36,7 +41,7 @@ class Expectation(ABC):
         """Metric name to the highest allowed value."""
 
     def distinct_columns(self) -> Sequence[str] | None:
-        """Columns whose distinct combinations the expectation counts, if it does."""
+        """Columns whose distinct combinations the expectation measures, if it does."""
         return None
 
     def message(self, metric: str, metrics: dict[str, float]) -> str:
@@ -81,9 +86,7 @@ class ExpectUnique(Expectation):
         return self.columns
 
     def measures(self) -> dict[str, Column]:
-        total = F.count(F.lit(1))
-        # A struct is never NULL itself, so rows with NULL parts are counted.
-        distinct = F.count_distinct(F.struct(*self.columns))
+        total, distinct = F.coalesce(F.sum(COPIES), F.lit(0)), F.count(F.lit(1))
         return {TOTAL: total, "unique_rows": distinct, "duplicate_count": total - distinct}
 
     def limits(self) -> dict[str, float]:
@@ -117,19 +120,25 @@ class ExpectationSuite:
         self.expectations = list(expectations)
 
     def _passes(self) -> list[list[Expectation]]:
-        """Expectations grouped by scan.  All measures share one scan while at most one distinct count is
-        among them; with several, Spark would expand every row once per distinct set, so each uniqueness
-        check gets its own column-pruned scan and the plain counters share another."""
-        keyed = [e for e in self.expectations if e.distinct_columns()]
-        sets = {tuple(e.distinct_columns()) for e in keyed}
-        if len(sets) <= 1:
-            return [self.expectations] if self.expectations else []
+        """Expectations grouped by what they can share.
+
+        All plain counters share one scan and send one row per task over the network.  Each set of distinct
+        columns gets a scan of just those columns and a grouping with partial counts: the shuffle carries
+        the keys and nothing else.  Putting the counters into the distinct aggregation would save the narrow
+        scan but drag every counter along with every key, and several distinct sets in one aggregation
+        would first copy every row once per set.
+        """
         plain = [e for e in self.expectations if not e.distinct_columns()]
-        by_set = [[e for e in keyed if tuple(e.distinct_columns()) == s] for s in sorted(sets)]
+        keyed = [e for e in self.expectations if e.distinct_columns()]
+        sets = sorted({tuple(e.distinct_columns()) for e in keyed})
+        by_set = [[e for e in keyed if tuple(e.distinct_columns()) == s] for s in sets]
         return [plain, *by_set] if plain else by_set
 
     @staticmethod
     def _measure(df: DataFrame, group: Sequence[Expectation]) -> DataFrame:
+        columns = group[0].distinct_columns()
+        if columns:
+            df = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(COPIES))
         aggregates, rows = [], []
         for e, expectation in enumerate(group):
             limits = expectation.limits()
@@ -150,22 +159,17 @@ class ExpectationSuite:
         return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
     def report(self, df: DataFrame) -> DataFrame:
-        """A row per expectation and metric, lazily: value, limit (if any) and verdict."""
-        parts = [self._measure(df, group) for group in self._passes()]
-        if not parts:
+        """A row per expectation and metric, lazily and in one job: value, limit (if any) and verdict."""
+        if not self.expectations:
             raise ValueError("the suite has no expectations")
-        report = parts[0]
-        for part in parts[1:]:
-            report = report.unionByName(part)
-        return report
+        return self._union(df, self._passes())
 
     def validate(self, df: DataFrame) -> ValidationResult:
         """Measures now.  An expectation that cannot be planned or that raises becomes an error message and
         does not disturb the others."""
         measured: dict[str, dict[str, float]] = {}
         problems: dict[str, str] = {}
-        for group in self._passes():
-            self._collect(df, group, measured, problems)
+        self._collect(df, self._passes(), measured, problems)
         errors, warnings = [], []
         for expectation in self.expectations:
             if expectation.name in problems:
@@ -180,23 +184,34 @@ class ExpectationSuite:
     def _collect(
         self,
         df: DataFrame,
-        group: Sequence[Expectation],
+        passes: list[list[Expectation]],
         measured: dict[str, dict[str, float]],
         problems: dict[str, str],
     ) -> None:
+        """Runs all passes as one job.  If that raises, the expectations are halved until the raising ones are
+        alone, so that the others still share scans."""
+        if not passes:
+            return
         try:
-            rows = self._measure(df, group).collect()  # a row per metric
+            rows = self._union(df, passes).collect()  # a row per metric
         except Exception as error:  # noqa: BLE001 - reported per expectation
-            if len(group) == 1:
-                problems[group[0].name] = str(error).splitlines()[0]
+            if len(passes) > 1:
+                halves = passes[: len(passes) // 2], passes[len(passes) // 2 :]
+            elif len(passes[0]) > 1:
+                halves = [passes[0][: len(passes[0]) // 2]], [passes[0][len(passes[0]) // 2 :]]
+            else:
+                problems[passes[0][0].name] = str(error).splitlines()[0]
                 return
-            middle = len(group) // 2
-            self._collect(df, group[:middle], measured, problems)
-            self._collect(df, group[middle:], measured, problems)
+            for half in halves:
+                self._collect(df, half, measured, problems)
             return
         for row in rows:
             measured.setdefault(row["expectation"], {})[row["metric"]] = row["value"]
 
+    def _union(self, df: DataFrame, passes: list[list[Expectation]]) -> DataFrame:
+        parts = [self._measure(df, group) for group in passes]
+        return reduce(lambda left, right: left.unionByName(right), parts)
+
 
 class SchemaExpectation:
     """The frame has exactly the expected schema: names, order, types and, unless told otherwise,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -45,9 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="pipekit-")
-    spark.conf.set(CHECKPOINT_DIR, own)
-    return own
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pipekit-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -57,8 +55,7 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor, and later plans start from its files."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(os.path.join(shared_dir(spark), "pipekit", "checkpoints"))
+    folder = shared_dir(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -35,7 +35,11 @@ class ChangeApplier:
 
     def apply(self, changes: DataFrame, batch_id: int) -> None:
         before = changes.sparkSession.read.schema(self.schema).parquet(self.version(batch_id - 1))
-        upsert(before, changes, self.rule).write.mode("overwrite").parquet(self.version(batch_id))
+        changes.persist()  # the merge reads its changes more than once
+        try:
+            upsert(before, changes, self.rule).write.mode("overwrite").parquet(self.version(batch_id))
+        finally:
+            changes.unpersist()
 
     def run(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
