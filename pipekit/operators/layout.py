@@ -22,6 +22,11 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return files.load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
 
 
+def file_count(spark: SparkSession, path: str, target_bytes: int = 512 * MIB) -> int:
+    """How many files of about the target size the parquet files under a path would make."""
+    return max(1, -(-stored_bytes(spark, path) // target_bytes))
+
+
 def compact(
     spark: SparkSession, path: str, out: str, target_bytes: int = 512 * MIB, partition_by: Sequence[str] = ()
 ) -> None:
@@ -120,7 +125,19 @@ def archive_split(df: DataFrame, cold: str | Column) -> DataFrame:
     return df.withColumn("_tier", F.when(holds(cold), F.lit("archive")).otherwise(F.lit("hot")))
 
 
+def write_branches(df: DataFrame, column: str, path: str, names: Sequence[str]) -> dict[str, str]:
+    """Writes the rows of every branch (a tier, a route, valid or quarantined) to a folder of its own, in one
+    pass over the input and without a shuffle; returns branch name to path.  Each named branch can be read
+    afterwards, also one that got no rows."""
+    df.write.partitionBy(column).parquet(path)
+    folders = {name: f"{path}/{column}={name}" for name in names}
+    body = df.drop(column)
+    for folder in folders.values():
+        body.limit(0).write.mode("append").parquet(folder)  # an empty branch still has a folder and a schema
+    return folders
+
+
 def write_tiers(df: DataFrame, cold: str | Column, path: str) -> tuple[str, str]:
     """Writes both tiers in one pass over the input; returns the hot and the archive path."""
-    archive_split(df, cold).write.partitionBy("_tier").parquet(path)
-    return f"{path}/_tier=hot", f"{path}/_tier=archive"
+    folders = write_branches(archive_split(df, cold), "_tier", path, ["hot", "archive"])
+    return folders["hot"], folders["archive"]

@@ -23,6 +23,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentile
     only the inside of a bracket, about a thousandth of the group, is ranked together.  If a bracket ever
     missed its rank the job would stop rather than return a neighbour.
     """
+    if not keys:
+        raise ValueError("give at least one key; a constant column makes the whole frame one group")
     names = list(percentiles)
     marks = [min(max(percentiles[name] + side * MARGIN, 0.0), 1.0) for name in names for side in (-1, 1)]
     numbers = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())

@@ -256,6 +256,13 @@ def split_quarantine(df: DataFrame, rules: Sequence[QualityRule]) -> tuple[DataF
     return expect_or_drop(df, rules), tag_failures(failing_rows(df, rules), rules)
 
 
+def mark_outcome(df: DataFrame, rules: Sequence[QualityRule]) -> DataFrame:
+    """Adds ``_failed_rules`` and ``_outcome`` (``valid`` or ``quarantined``): write it by
+    ``layout.write_branches`` to evaluate the input once for both."""
+    outcome = F.when(F.size("_failed_rules") == 0, F.lit("valid")).otherwise(F.lit("quarantined"))
+    return tag_failures(df, rules).withColumn("_outcome", outcome)
+
+
 ALERT_LEVELS: Mapping[str, str] = {"error": "critical", "warning": "warning", "info": "notice"}
 
 

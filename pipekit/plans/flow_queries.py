@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -12,7 +11,7 @@ from pipekit.operators.expectations import ExpectationSuite, ExpectNonNull
 from pipekit.operators.merge import MergeRule
 from pipekit.operators.rules import QualityRule
 from pipekit.plans.flow import IncrementalFlow, standard_flow
-from pipekit.plans.registry import Tables, register
+from pipekit.plans.registry import Tables, fresh_name, register
 from pipekit.session import scratch_path
 from pipekit.sinks import TableStore
 from pipekit.sources import TableSource
@@ -95,10 +94,6 @@ def _cdc_apply(t: Tables):
     return applier.current(t.spark, f"{root}/progress")
 
 
-def _fresh_name(tag: str) -> str:
-    return f"pipekit_{tag}_{uuid.uuid4().hex}"
-
-
 @register(
     "batch_publish",
     """
@@ -121,7 +116,7 @@ def _batch_publish(t: Tables):
     customers = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
         F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"), F.col("n_name").alias("region")
     )
-    view, table = _fresh_name("sales"), _fresh_name("published")
+    view, table = fresh_name("sales"), fresh_name("published")
     sales.createOrReplaceTempView(view)
     store = TableStore(t.spark, scratch_path(t.spark, "tables"))
     result = standard_flow(TableSource(t.spark), store, lookup=customers, on_invalid="raise").execute(view, table)
@@ -143,7 +138,7 @@ def _batch_publish(t: Tables):
 def _incremental_publish(t: Tables):
     """A table that holds the orders before 1999 takes in what the source has since 1998."""
     columns = ["o_orderkey", "o_totalprice", "o_orderdate"]
-    view, table = _fresh_name("changed"), _fresh_name("merged")
+    view, table = fresh_name("changed"), fresh_name("merged")
     raised = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     t.orders.select("o_orderkey", raised.alias("o_totalprice"), "o_orderdate").createOrReplaceTempView(view)
     store = TableStore(t.spark, scratch_path(t.spark, "tables"))

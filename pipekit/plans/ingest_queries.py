@@ -8,7 +8,8 @@ from pipekit.operators.clean import Cleaner, DropNulls, StandardizeText, chain
 from pipekit.operators.enrich import Enricher, Lookup, lookup_join
 from pipekit.operators.gold import customer_360, daily_revenue, user_features
 from pipekit.plans.registry import Tables, register
-from pipekit.sources import apply_types, parameterized, since
+from pipekit.session import scratch_path
+from pipekit.sources import apply_types, first_row, parameterized, read_pages, since
 
 
 @register(
@@ -78,6 +79,22 @@ def _parameterized_query(t: Tables):
     )
 
 
+@register("first_row", "select * from orders where o_orderkey = 42")
+def _first_row(t: Tables):
+    return first_row(t.orders.filter(F.col("o_orderkey") == 42))
+
+
+@register("paged_entities", "select c_custkey, c_name, c_nationkey, c_acctbal from customer")
+def _paged_entities(t: Tables):
+    """Customers exported in pages of a hundred, as an entity service would, and read back."""
+    entity = F.struct("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    pages = t.customer.groupBy(F.expr("c_custkey div 100").alias("page")).agg(F.collect_list(entity).alias("value"))
+    landed = scratch_path(t.spark, "pages")
+    pages.select("value").write.json(landed)
+    schema = "c_custkey: bigint, c_name: string, c_nationkey: int, c_acctbal: double"
+    return read_pages(t.spark, landed, schema, multi_line=False)
+
+
 @register(
     "type_mapping",
     """

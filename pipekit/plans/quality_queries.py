@@ -17,6 +17,7 @@ from pipekit.operators.expectations import ExpectationSuite, ExpectNonNull, Expe
 from pipekit.operators.rules import (
     QualityRule,
     expect_or_drop,
+    expect_or_fail,
     failing_rows,
     quality_alerts,
     quality_gate,
@@ -258,6 +259,17 @@ def _quarantine_summary(t: Tables):
     return tag_failures(_shipped(t), SHIP_RULES).groupBy(outcome).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@register(
+    "expect_or_fail",
+    "select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice > 1000 and o_orderkey >= 0",
+)
+def _expect_or_fail(t: Tables):
+    """Every row passes; a single failing one would stop the job."""
+    rules = [QualityRule("price", "o_totalprice > 1000"), QualityRule("key", "o_orderkey >= 0")]
+    large = t.orders.filter("o_totalprice > 1000").select("o_orderkey", "o_custkey", "o_totalprice")
+    return expect_or_fail(large, rules)
+
+
 @register("failing_rows", "select * from customer where not (c_acctbal >= 0) or not (c_mktsegment <> 'BUILDING')")
 def _failing_rows(t: Tables):
     rules = [QualityRule("balance", "c_acctbal >= 0"), QualityRule("segment", "c_mktsegment <> 'BUILDING'")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,11 @@ class Tables:
         return read_table(self.spark, self.directory, name)
 
 
+def fresh_name(tag: str) -> str:
+    """A catalog name that no other run uses."""
+    return f"pipekit_{tag}_{uuid.uuid4().hex}"
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], QueryFunction]:
     """Registers ``build(tables)`` as the query of that name, with its SQL."""
 

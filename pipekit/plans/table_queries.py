@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
+from pipekit.operators.access import route_rows
 from pipekit.operators.latest import as_of, latest_per_key
-from pipekit.operators.layout import compact, file_row, write_layout, write_tiers, zorder_cluster
+from pipekit.operators.layout import compact, file_count, file_row, write_branches, write_layout, write_tiers, zorder_cluster
 from pipekit.operators.lineage import downstream, lineage_edges
 from pipekit.operators.merge import ALWAYS, MergeRule, append_evolving, merge_plan, merge_stats, upsert
 from pipekit.operators.runlog import cost_per_unit, recovery_time, run_durations, run_reliability
-from pipekit.plans.registry import Tables, register
+from pipekit.plans.registry import Tables, fresh_name, register
 from pipekit.session import scratch_path
+from pipekit.sinks import PathWriter, TableStore, TableWriter, create_from_query, create_if_absent
 
 # The target holds seven orders of ten.  Changes touch every third order, some of which are new; even
 # keys get a later date and odd ones an earlier date, every ninth also has an older change, and every
@@ -173,7 +177,8 @@ def _compact_partitioned(t: Tables):
 @register("zorder_cluster", "select * from lineitem")
 def _zorder_cluster(t: Tables):
     out = scratch_path(t.spark, "zorder")
-    clustered = zorder_cluster(t.lineitem, ["l_partkey", "l_shipdate"], files=8, tie_breakers=[file_row()])
+    files = file_count(t.spark, f"{t.directory}/lineitem.parquet")
+    clustered = zorder_cluster(t.lineitem, ["l_partkey", "l_shipdate"], files, tie_breakers=[file_row()])
     clustered.write.parquet(out)
     return t.spark.read.parquet(out)
 
@@ -203,6 +208,109 @@ def _archive_split(t: Tables):
     return parts[0].unionByName(parts[1]).select("o_orderkey", "o_orderdate", "tier")
 
 
+ROUTED = """
+    select event_id, user_id, value, case when event_type = 'error' then 'incident' when value > 25 then 'large'
+           else 'default' end as branch from events
+"""
+
+
+@register("write_branches", ROUTED)
+def _write_branches(t: Tables):
+    routed = route_rows(t.events, {"incident": "event_type = 'error'", "large": "value > 25"})
+    folders = write_branches(routed, "_route", scratch_path(t.spark, "branches"), ["incident", "large", "default"])
+    parts = [t.spark.read.parquet(path).withColumn("branch", F.lit(name)) for name, path in folders.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("event_id", "user_id", "value", "branch")
+
+
+@register("path_writer", "select * from supplier")
+def _path_writer(t: Tables):
+    base = scratch_path(t.spark, "paths")
+    PathWriter(base, options={"compression": "zstd"}).write(t.supplier, "suppliers")
+    return t.spark.read.parquet(f"{base}/suppliers")
+
+
+@register("table_writer", "select * from orders union all select * from orders where o_orderkey % 10 = 0")
+def _table_writer(t: Tables):
+    name = fresh_name("written")
+    writer = TableWriter(["o_orderpriority"], {"path": scratch_path(t.spark, "tables")})
+    writer.write(t.orders, name)
+    writer.write(t.orders.filter(F.col("o_orderkey") % 10 == 0), name, mode="append")
+    return t.spark.table(name).select(*t.orders.columns)
+
+
+@register("create_if_absent", "select * from part")
+def _create_if_absent(t: Tables):
+    """The second call finds the table and leaves it alone."""
+    name = fresh_name("created")
+    create_if_absent(t.part, name, ["p_brand"], path=scratch_path(t.spark, "tables"))
+    create_if_absent(t.part.filter("p_size > 10"), name, path=scratch_path(t.spark, "tables"))
+    return t.spark.table(name).select(*t.part.columns)
+
+
+@register(
+    "create_from_query",
+    "select c_nationkey, count(*) as customers, max(c_acctbal) as richest from customer group by c_nationkey",
+)
+def _create_from_query(t: Tables):
+    view, name = fresh_name("customers"), fresh_name("by_nation")
+    t.customer.createOrReplaceTempView(view)
+    query = f"SELECT c_nationkey, count(*) AS customers, max(c_acctbal) AS richest FROM {view} GROUP BY c_nationkey"
+    create_from_query(t.spark, query, name, path=scratch_path(t.spark, "tables"))
+    return t.spark.table(name)
+
+
+@register(
+    "table_evolve_append",
+    """
+    select o_orderkey, o_totalprice, null::varchar as o_orderstatus from orders where o_orderkey % 3 <> 0
+    union all select o_orderkey, null, o_orderstatus from orders where o_orderkey % 3 = 0
+    """,
+)
+def _table_evolve_append(t: Tables):
+    """The table gains a column; the files it had before are not rewritten."""
+    store, name = TableStore(t.spark, scratch_path(t.spark, "tables")), fresh_name("evolving")
+    third = F.col("o_orderkey") % 3 == 0
+    store.replace(t.orders.filter(~third).select("o_orderkey", "o_totalprice"), name)
+    store.append_evolving(t.orders.filter(third).select("o_orderstatus", "o_orderkey"), name)
+    return t.spark.table(name)
+
+
+@register(
+    "upsert_partitions",
+    """
+    select o_orderstatus, o_orderkey, case when o_orderstatus = 'F' and o_orderkey % 3 = 0 then 0.0::double
+           else o_totalprice end as o_totalprice
+    from orders where o_orderkey % 10 < 7 or (o_orderstatus = 'F' and o_orderkey % 3 = 0)
+    """,
+)
+def _upsert_partitions(t: Tables):
+    """Changes to orders of one status rewrite that partition only."""
+    store, name = TableStore(t.spark, scratch_path(t.spark, "tables")), fresh_name("by_status")
+    columns = ["o_orderstatus", "o_orderkey", "o_totalprice"]
+    store.replace(t.orders.filter(F.col("o_orderkey") % 10 < 7).select(*columns), name, ["o_orderstatus"])
+    changed = (F.col("o_orderkey") % 3 == 0) & (F.col("o_orderstatus") == "F")
+    changes = t.orders.filter(changed).withColumn("o_totalprice", F.lit(0.0)).select(*columns)
+    store.upsert_partitions(name, changes, MergeRule(["o_orderstatus", "o_orderkey"], ALWAYS), ["o_orderstatus"])
+    return t.spark.table(name).select(*columns)
+
+
+@register(
+    "upsert_table_stats",
+    """
+    select count(*) filter (where k % 10 < 7) as rows_updated, count(*) filter (where not k % 10 < 7) as rows_inserted,
+           0::bigint as rows_deleted,
+           (select count(*) from orders where o_orderkey % 10 < 7 and o_orderkey % 3 <> 0) as rows_unchanged
+    from (select o_orderkey as k from orders where o_orderkey % 3 = 0)
+    """,
+)
+def _upsert_table_stats(t: Tables):
+    """Statistics of a published merge, as read from the files it wrote."""
+    store, name = TableStore(t.spark, scratch_path(t.spark, "tables")), fresh_name("merged")
+    store.replace(t.orders.filter(F.col("o_orderkey") % 10 < 7), name)
+    stats = store.upsert(name, t.orders.filter(F.col("o_orderkey") % 3 == 0), MergeRule(["o_orderkey"], ALWAYS))
+    return t.spark.createDataFrame([tuple(asdict(stats).values())], ", ".join(f"{c} bigint" for c in asdict(stats)))
+
+
 @register(
     "lineage_edges",
     """

@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,19 +56,18 @@ class TableStore:
     def publish(self, name: str, path: str, schema: T.StructType, partition_by: Sequence[str] = ()) -> None:
         """Makes a finished version the table.  Only metadata changes."""
         spark = self.spark
-        same = spark.catalog.tableExists(name) and _same_columns(spark.table(name).schema, schema)
-        if same:
+        known = spark.catalog.tableExists(name)
+        if known and not partition_by and _same_columns(spark.table(name).schema, schema):
             spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
         else:
-            # A changed column list needs a new entry; the data of external tables stays when one is dropped.
+            # A changed column list or partitions of another version need a new entry.  The table is external:
+            # dropping its entry leaves the files of every version alone.
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
             layout = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
             spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {layout} LOCATION '{path}'")
-        if partition_by:
-            for row in spark.sql(f"SHOW PARTITIONS {name}").collect() if same else []:
-                spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({_spec(row[0])})")
-            spark.sql(f"MSCK REPAIR TABLE {name}")
+            if partition_by:
+                spark.sql(f"MSCK REPAIR TABLE {name}")
         spark.catalog.refreshTable(name)
 
     def replace(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
@@ -117,7 +117,8 @@ class TableStore:
         if outside:
             raise ValueError(f"partition columns {outside} are not merge keys: a row could change partition")
         target = self.spark.table(name)
-        touched = source.select(*partition_by).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
+        as_text = [F.col(column).cast("string").alias(f"_{column}") for column in partition_by]
+        touched = source.select(*partition_by, *as_text).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
         if len(touched) > MAX_TOUCHED_PARTITIONS or any(value is None for row in touched for value in row):
             # The bound (or a NULL partition value) only decides how much is rewritten, never which rows count.
             plan = merge_plan(target, source, rule)
@@ -127,26 +128,39 @@ class TableStore:
             return stats
         if not touched:
             return MergeStats(0, 0, 0, 0)
-        chosen = None
+        # IN filters prune partitions; with several columns the semi join then keeps exact combinations.
+        slim = target
         for column in partition_by:
-            condition = F.col(column).isin(sorted({row[column] for row in touched}))
-            chosen = condition if chosen is None else chosen & condition
-        # IN filters prune partitions; the semi join then keeps exact combinations.
-        slim = target.filter(chosen)
+            slim = slim.filter(F.col(column).isin(sorted({row[column] for row in touched})))
         if len(partition_by) > 1:
-            keys = self.spark.createDataFrame(touched, target.select(*partition_by).schema)
+            combinations = [tuple(row[column] for column in partition_by) for row in touched]
+            keys = self.spark.createDataFrame(combinations, target.select(*partition_by).schema)
             slim = slim.join(F.broadcast(keys), on=list(partition_by), how="left_semi").select(*target.columns)
         plan = merge_plan(slim, source, rule)
         path = self.stage(plan.filter(F.col("_action") != "deleted"), name, partition_by)
         stats = self._stats(path, plan if rule.delete_condition else None)
+        written = self._partition_folders(path)
+        for values, folder in written.items():
+            spec = _spec(partition_by, values)
+            self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{path}/{folder}'")
+            self.spark.sql(f"ALTER TABLE {name} PARTITION ({spec}) SET LOCATION '{path}/{folder}'")
         for row in touched:
-            folder = "/".join(f"{column}={row[column]}" for column in partition_by)
-            spec, place = _spec(folder), f"{path}/{folder}"
-            self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{place}'")
-            self.spark.sql(f"ALTER TABLE {name} PARTITION ({spec}) SET LOCATION '{place}'")
+            values = tuple(row[f"_{column}"] for column in partition_by)
+            if values not in written:  # every row of the partition was deleted
+                self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({_spec(partition_by, values)})")
         self.spark.catalog.refreshTable(name)
         return stats
 
+    def _partition_folders(self, path: str) -> dict[tuple[str, ...], str]:
+        """Partition values of a staged version, and the folder of each, from the file listing alone."""
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+        listed = files.option("recursiveFileLookup", True).load(path).select("path")
+        start = F.instr("path", path.removeprefix("file:")) + len(path.removeprefix("file:")) + 1
+        inside = F.substr("path", start)
+        folder = F.regexp_replace(inside, "/[^/]*$", "").alias("folder")
+        found = [row.folder for row in listed.select(folder).distinct().collect()]
+        return {tuple(unquote(part.split("=", 1)[1]) for part in f.split("/")): f for f in found}
+
     def _stats(self, path: str, plan: DataFrame | None) -> MergeStats:
         written = self.spark.read.parquet(path).select("_action")
         row = merge_stats(written).head().asDict()
@@ -159,7 +173,7 @@ def _same_columns(left: T.StructType, right: T.StructType) -> bool:
     return [(f.name, f.dataType) for f in left.fields] == [(f.name, f.dataType) for f in right.fields]
 
 
-def _spec(path: str) -> str:
-    """``a=1/b=x`` as the text of a PARTITION clause."""
-    parts = [part.split("=", 1) for part in path.split("/")]
-    return ", ".join(f"`{column}` = '" + value.replace("'", "\\'") + "'" for column, value in parts)
+def _spec(columns: Sequence[str], values: Sequence[str]) -> str:
+    """Text of a PARTITION clause."""
+    quoted = [value.replace("\\", "\\\\").replace("'", "\\'") for value in values]
+    return ", ".join(f"`{column}` = '{value}'" for column, value in zip(columns, quoted))

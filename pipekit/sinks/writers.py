@@ -41,15 +41,17 @@ class PathWriter:
         _writer(df, mode, self.partition_by, self.options).save(f"{self.base}/{destination}")
 
 
-def create_if_absent(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> bool:
+def create_if_absent(df: DataFrame, name: str, partition_by: Sequence[str] = (), **options: str) -> bool:
     """Creates the table from the frame unless it exists; tells whether it did.  An existing table is never
     overwritten, also not when another job creates it in between."""
     if df.sparkSession.catalog.tableExists(name):
         return False
-    TableWriter(partition_by).write(df, name, mode="errorifexists")
+    TableWriter(partition_by, options).write(df, name, mode="errorifexists")
     return True
 
 
-def create_from_query(spark: SparkSession, query: str, name: str, partition_by: Sequence[str] = ()) -> None:
+def create_from_query(
+    spark: SparkSession, query: str, name: str, partition_by: Sequence[str] = (), **options: str
+) -> None:
     """Creates a table from the result of a query."""
-    TableWriter(partition_by).write(spark.sql(query), name, mode="errorifexists")
+    TableWriter(partition_by, options).write(spark.sql(query), name, mode="errorifexists")

@@ -19,10 +19,13 @@ def explode_pages(pages: DataFrame, value_column: str = "value") -> DataFrame:
     return pages.select(F.explode(value_column).alias("entity")).select("entity.*")
 
 
-def read_pages(spark: SparkSession, path: str, entity_schema: T.StructType | str) -> DataFrame:
-    """Landed page files; the schema is given, so no pass over the files is spent on inferring it."""
+def read_pages(
+    spark: SparkSession, path: str, entity_schema: T.StructType | str, multi_line: bool = True
+) -> DataFrame:
+    """Landed pages, one per file or (``multi_line=False``) one per line; the schema is given, so no pass over
+    the files is spent on inferring it."""
     entity = entity_schema.simpleString() if isinstance(entity_schema, T.StructType) else f"struct<{entity_schema}>"
-    pages = spark.read.schema(f"value array<{entity}>").option("multiLine", True).json(path)
+    pages = spark.read.schema(f"value array<{entity}>").option("multiLine", multi_line).json(path)
     return explode_pages(pages)
 
 

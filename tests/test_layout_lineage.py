@@ -8,12 +8,15 @@ from pipekit.operators.layout import (
     archive_split,
     bloom_options,
     compact,
+    file_count,
     file_row,
     stored_bytes,
+    write_branches,
     write_layout,
     write_tiers,
     zorder_cluster,
 )
+from pipekit.operators.rules import QualityRule, mark_outcome
 from pipekit.operators.lineage import downstream, lineage_edges
 
 
@@ -102,6 +105,15 @@ def test_tiers_hold_every_row_once(spark, tmp_path):
     assert archive_split(df, "age > 10").filter("_tier = 'hot'").count() == 2
 
 
+def test_branches_are_written_in_one_pass(spark, tmp_path):
+    marked = mark_outcome(spark.range(10), [QualityRule("small", "id < 3")])
+    folders = write_branches(marked, "_outcome", str(tmp_path / "b"), ["valid", "quarantined", "never"])
+    assert rows(spark.read.parquet(folders["valid"]).select("id")) == [(0,), (1,), (2,)]
+    assert spark.read.parquet(folders["quarantined"]).filter("_failed_rules[0] = 'small'").count() == 7
+    assert spark.read.parquet(folders["never"]).count() == 0
+    assert file_count(spark, str(tmp_path / "b"), 1) == stored_bytes(spark, str(tmp_path / "b"))
+
+
 def test_edges_from_runs(spark):
     runs = spark.createDataFrame([("t", ["a", "b"], 1), ("t", ["a"], 5), ("u", [], 7)], "target string, sources array<string>, at int")
     assert rows(lineage_edges(runs, "target", "sources", "at")) == [("a", "t", 5, 2), ("b", "t", 1, 1)]

@@ -118,6 +118,18 @@ def test_partition_upsert_with_several_partition_columns_and_nulls(spark, store,
     assert got == [(None, 2, 1, 9), ("a", 1, 1, 5), ("a", 2, 1, 0), ("b", 1, 1, 0), ("b", 2, 1, 6)]
 
 
+def test_partition_values_that_folders_escape(spark, store, name):
+    schema = "p string, k int, v int"
+    odd = ["a:b", "x/y", "50%", "it's", "e=f", "back\\slash", "plain"]
+    store.replace(spark.createDataFrame([(p, 1, 0) for p in odd], schema), name, ["p"])
+    rule = MergeRule(["p", "k"], "true", delete_condition="source.v < 0")
+    changes = spark.createDataFrame([(p, 1, 5) for p in odd[:4]] + [("e=f", 1, -1)], schema)
+    stats = store.upsert_partitions(name, changes, rule, ["p"])
+    assert (stats.rows_updated, stats.rows_deleted) == (4, 1)
+    got = dict(spark.table(name).select("p", "v").collect())
+    assert got == {"a:b": 5, "x/y": 5, "50%": 5, "it's": 5, "back\\slash": 0, "plain": 0}  # the emptied one is gone
+
+
 SUITE = ExpectationSuite([ExpectNonNull(["id"]), ExpectUnique(["id"])])
 
 
