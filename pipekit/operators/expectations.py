@@ -69,10 +69,8 @@ class ExpectNonNull(Expectation):
 
     def message(self, metric: str, metrics: dict[str, float]) -> str:
         column = metric.removesuffix("_null_rate")
-        return (
-            f"Column {column} has {metrics[f'{column}_null_count']:.0f} null values "
-            f"({metrics[metric]:.2%}), limit {self.max_null_rate:.2%}"
-        )
+        nulls = metrics[f"{column}_null_count"]
+        return f"{column}: {nulls:.0f} NULLs are {metrics[metric]:.2%} of the rows, allowed {self.max_null_rate:.2%}"
 
 
 class ExpectUnique(Expectation):
@@ -93,7 +91,7 @@ class ExpectUnique(Expectation):
         return {"duplicate_count": 0.0}
 
     def message(self, metric: str, metrics: dict[str, float]) -> str:
-        return f"Found {metrics[metric]:.0f} duplicate rows by columns {self.columns}"
+        return f"{', '.join(self.columns)}: {metrics[metric]:.0f} rows are duplicates"
 
 
 @dataclass(frozen=True)

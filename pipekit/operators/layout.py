@@ -40,7 +40,10 @@ def compact(
         rows = spark.read.parquet(path).hint("rebalance", *partition_by)
         rows.write.partitionBy(*partition_by).parquet(out)
         return
-    packing = spark.newSession()  # same catalog and executors, own settings
+    packing = spark.newSession()  # same executors, own settings: the caller's, but for the packing of splits
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            packing.conf.set(key, value)
     packing.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
     packing.conf.set("spark.sql.files.minPartitionNum", "1")
     packing.conf.set("spark.sql.files.openCostInBytes", "0")

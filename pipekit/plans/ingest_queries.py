@@ -32,13 +32,13 @@ def _customer_360(t: Tables):
 @register(
     "gold_daily_revenue",
     """
-    select o_orderdate::date as order_date, count(distinct o_orderkey) as n_orders, count(*) as n_lines,
+    select o_orderdate::date::varchar as order_date, count(distinct o_orderkey) as n_orders, count(*) as n_lines,
            sum((l_extendedprice * (1 - l_discount))::decimal(18,4))::double as revenue
     from orders join lineitem on o_orderkey = l_orderkey group by 1
     """,
 )
 def _daily_revenue(t: Tables):
-    return daily_revenue(t.orders, t.lineitem)
+    return daily_revenue(t.orders, t.lineitem).withColumn("order_date", F.col("order_date").cast("string"))
 
 
 @register(

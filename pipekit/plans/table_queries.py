@@ -384,7 +384,7 @@ def _run_mttr(t: Tables):
 @register(
     "cost_per_unit",
     """
-    select ts::date as day, sum(value::decimal(18,4))::double as total_cost,
+    select ts::date::varchar as day, sum(value::decimal(18,4))::double as total_cost,
            sum(regexp_extract(props, '[0-9]+')::bigint)::bigint as total_units,
            round(sum(value::decimal(18,4))::double / nullif(sum(regexp_extract(props, '[0-9]+')::bigint), 0)::double, 6)
            as cost_per_unit
@@ -393,7 +393,7 @@ def _run_mttr(t: Tables):
 )
 def _cost_per_unit(t: Tables):
     units = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
-    costs = cost_per_unit(t.events, [F.to_date("ts").alias("day")], "value", units)
+    costs = cost_per_unit(t.events, [F.to_date("ts").cast("string").alias("day")], "value", units)
     return costs.withColumn("cost_per_unit", F.round("cost_per_unit", 6))
 
 

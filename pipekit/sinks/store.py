@@ -118,7 +118,7 @@ class TableStore:
             raise ValueError(f"partition columns {outside} are not merge keys: a row could change partition")
         target = self.spark.table(name)
         as_text = [F.col(column).cast("string").alias(f"_{column}") for column in partition_by]
-        touched = source.select(*partition_by, *as_text).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
+        touched = source.select(*as_text).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
         if len(touched) > MAX_TOUCHED_PARTITIONS or any(value is None for row in touched for value in row):
             # The bound (or a NULL partition value) only decides how much is rewritten, never which rows count.
             plan = merge_plan(target, source, rule)
@@ -129,12 +129,15 @@ class TableStore:
         if not touched:
             return MergeStats(0, 0, 0, 0)
         # IN filters prune partitions; with several columns the semi join then keeps exact combinations.
+        types = {f.name: f.dataType for f in target.schema.fields}
         slim = target
         for column in partition_by:
-            slim = slim.filter(F.col(column).isin(sorted({row[column] for row in touched})))
+            values = sorted({row[f"_{column}"] for row in touched})
+            slim = slim.filter(F.col(column).isin([F.lit(value).cast(types[column]) for value in values]))
         if len(partition_by) > 1:
-            combinations = [tuple(row[column] for column in partition_by) for row in touched]
-            keys = self.spark.createDataFrame(combinations, target.select(*partition_by).schema)
+            texts = [tuple(row[f"_{column}"] for column in partition_by) for row in touched]
+            keys = self.spark.createDataFrame(texts, ", ".join(f"`{column}` string" for column in partition_by))
+            keys = keys.select(*[F.col(column).cast(types[column]) for column in partition_by])
             slim = slim.join(F.broadcast(keys), on=list(partition_by), how="left_semi").select(*target.columns)
         plan = merge_plan(slim, source, rule)
         path = self.stage(plan.filter(F.col("_action") != "deleted"), name, partition_by)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -24,8 +26,10 @@ def since(df: DataFrame, watermark_column: str, last_value: Any, inclusive: bool
     """
     if last_value is None:
         return df
-    mark = last_value if isinstance(last_value, Column) else F.lit(last_value)
-    mark = mark.cast(df.schema[watermark_column].dataType)
+    kind = df.schema[watermark_column].dataType
+    if isinstance(last_value, datetime) and isinstance(kind, T.TimestampNTZType):
+        last_value = str(last_value)  # a time without zone must not pass through the zone of this machine
+    mark = (last_value if isinstance(last_value, Column) else F.lit(last_value)).cast(kind)
     column = F.col(watermark_column)
     return df.filter(column >= mark if inclusive else column > mark)
 

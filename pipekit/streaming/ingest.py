@@ -11,12 +11,20 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 
 def file_stream(
-    spark: SparkSession, path: str, schema: T.StructType, file_format: str = "parquet", max_files: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    file_format: str = "parquet",
+    max_files: int | None = None,
+    max_bytes: str | None = None,
 ) -> DataFrame:
-    """New files under a directory or glob.  ``max_files`` bounds a micro-batch, not the stream."""
+    """New files under a directory or glob.  ``max_files`` or ``max_bytes`` (such as ``"500g"``) bounds a
+    micro-batch, not the stream."""
     reader = spark.readStream.format(file_format).schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     return reader.load(path)
 
 

@@ -18,7 +18,7 @@ def test_null_counts_ignore_nan(nulls_nan):
     result = ExpectationSuite([ExpectNonNull(["b", "x"], 0.25)]).validate(nulls_nan)
     metrics = result.metrics["non_null_b,x"]
     assert metrics == {"b_null_count": 2, "b_null_rate": 0.5, "x_null_count": 1, "x_null_rate": 0.25}
-    assert result.error_count == 1 and "Column b has 2 null values (50.00%)" in result.errors[0]
+    assert result.error_count == 1 and "b: 2 NULLs are 50.00% of the rows" in result.errors[0]
 
 
 def test_unique_counts_null_rows(nulls_nan):

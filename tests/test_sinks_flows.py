@@ -149,7 +149,7 @@ def test_failed_audit_leaves_the_old_table(spark, store, name):
     assert not result and result.status == "rejected" and result.validation.error_count == 1
     assert spark.table(name).count() == 5
     flow.on_invalid = "raise"
-    with pytest.raises(ValueError, match="duplicate"):
+    with pytest.raises(ValueError, match="duplicates"):
         flow.execute("doubled", name)
 
 
