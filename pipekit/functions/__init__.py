@@ -1,7 +1,7 @@
 """Column helpers; every one is a composition of built-in functions and stays inside codegen."""
 
 from pipekit.functions.exact import exact_sum, rate
-from pipekit.functions.predicates import any_fails, failed_names, fails, holds
+from pipekit.functions.predicates import any_fails, failed_names, fails, holds, named
 from pipekit.functions.zorder import bucket_of, interleave_bits
 
-__all__ = ["any_fails", "bucket_of", "exact_sum", "failed_names", "fails", "holds", "interleave_bits", "rate"]
+__all__ = ["any_fails", "bucket_of", "exact_sum", "failed_names", "fails", "holds", "interleave_bits", "named", "rate"]

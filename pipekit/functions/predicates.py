@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def named(column: str) -> Column:
+    """The column of exactly that name, also when it contains dots."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def _condition(condition: str | Column) -> Column:
     return F.expr(condition) if isinstance(condition, str) else condition
 

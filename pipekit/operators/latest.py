@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pipekit.functions import named
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
     """The newest row of each key; ``order_by`` columns descend, later ones break ties.
@@ -34,9 +36,8 @@ def unique_or_fail(df: DataFrame, keys: Sequence[str], message: str) -> DataFram
     column the optimizer would drop it.
     """
     rest = [column for column in df.columns if column not in keys]
-    packed = F.any_value(F.struct(*rest)).alias("_row") if rest else F.lit(None).alias("_row")
-    grouped = df.groupBy(*keys).agg(packed, F.count(F.lit(1)).alias("_copies"))
+    packed = F.any_value(F.struct(*map(named, rest))).alias("_row") if rest else F.lit(None).alias("_row")
+    grouped = df.groupBy(*map(named, keys)).agg(packed, F.count(F.lit(1)).alias("_copies"))
     single = F.when(F.col("_copies") > 1, F.raise_error(F.lit(message))).otherwise(F.lit(True))
-    unpacked = {column: F.col(f"_row.{column}") for column in rest}
     kept = grouped.filter(single.cast("boolean"))
-    return kept.select(*[unpacked[c].alias(c) if c in unpacked else F.col(c) for c in df.columns])
+    return kept.select(*[F.col("_row")[c].alias(c) if c in rest else named(c) for c in df.columns])

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipekit.functions import holds
+from pipekit.functions import holds, named
 from pipekit.operators.latest import latest_per_key, unique_or_fail
 
 NEWER = "source._timestamp > target._timestamp"
@@ -44,7 +44,11 @@ class MergeRule:
 
 
 def _all_keys_present(keys: Sequence[str]) -> Column:
-    return reduce(lambda left, right: left & right, [F.col(key).isNotNull() for key in keys])
+    return reduce(lambda left, right: left & right, [named(key).isNotNull() for key in keys])
+
+
+def _of(side: str, column: str) -> Column:
+    return F.col(f"{side}.`{column.replace('`', '``')}`")
 
 
 def _check_columns(target: DataFrame, source: DataFrame, rule: MergeRule) -> list[str]:
@@ -58,8 +62,8 @@ def _check_columns(target: DataFrame, source: DataFrame, rule: MergeRule) -> lis
     return extra
 
 
-def one_change_per_key(source: DataFrame, rule: MergeRule) -> DataFrame:
-    keyed = source.filter(_all_keys_present(rule.keys))
+def one_change_per_key(keyed: DataFrame, rule: MergeRule) -> DataFrame:
+    """The change that counts for each key; every key column has a value here."""
     if rule.order_by:
         return latest_per_key(keyed, rule.keys, rule.order_by)
     return unique_or_fail(keyed, rule.keys, f"several changes for one key {list(rule.keys)}; give order_by")
@@ -71,14 +75,13 @@ def merge_plan(target: DataFrame, source: DataFrame, rule: MergeRule) -> DataFra
     target_types = {f.name: f.dataType for f in target.schema.fields}
     source_types = {f.name: f.dataType for f in source.schema.fields}
     columns = [*target.columns, *extra]
-    changes = one_change_per_key(source, rule)
+    keys = list(rule.keys)
+    keyed = source.filter(_all_keys_present(keys))
 
-    marked = changes.withColumn("_change", F.lit(True)).alias("source")
-    same_key = reduce(
-        lambda left, right: left & right, [F.col(f"target.{k}") == F.col(f"source.{k}") for k in rule.keys]
-    )
+    marked = one_change_per_key(keyed, rule).withColumn("_change", F.lit(True)).alias("source")
+    same_key = reduce(lambda left, right: left & right, [_of("target", k) == _of("source", k) for k in keys])
     paired = target.alias("target").join(marked, same_key, "left")
-    matched = F.col("source._change").isNotNull()
+    matched = _of("source", "_change").isNotNull()
     action = F.when(matched & holds(rule.update_condition), F.lit("updated")).otherwise(F.lit("unchanged"))
     if rule.delete_condition:
         action = F.when(matched & holds(rule.delete_condition), F.lit("deleted")).otherwise(action)
@@ -87,28 +90,29 @@ def merge_plan(target: DataFrame, source: DataFrame, rule: MergeRule) -> DataFra
 
     def kept(column: str) -> Column:
         if column in extra:
-            return F.when(take, F.col(f"source.{column}")).alias(column)
+            return F.when(take, _of("source", column)).alias(column)
         if column not in source_types:
-            return F.col(f"target.{column}").alias(column)
-        new = F.col(f"source.{column}").cast(target_types[column])
-        return F.when(take, new).otherwise(F.col(f"target.{column}")).alias(column)
+            return _of("target", column).alias(column)
+        new = _of("source", column).cast(target_types[column])
+        return F.when(take, new).otherwise(_of("target", column)).alias(column)
 
     merged = paired.select(*[kept(column) for column in columns], "_action")
 
-    # Keys of the target that a change refers to: combined per task, so a hot key is one row each.
-    keys = list(rule.keys)
-    present = target.select(*keys).join(changes.select(*keys), on=keys, how="left_semi").distinct()
-    new_rows = changes.join(present, on=keys, how="left_anti").select(*source.columns)
-    new_rows = new_rows.unionByName(source.filter(~_all_keys_present(rule.keys)))
+    # Keys of the target that a change refers to.  Both key lists are made distinct with partial results per
+    # task, so a hot key is one row each, and only keys are read.  Newest-per-key runs on what is left.
+    wanted = keyed.select(*keys).distinct()
+    present = target.select(*keys).join(wanted, on=keys, how="left_semi").distinct()
+    unmatched = keyed.join(present, on=keys, how="left_anti").select(*map(named, source.columns))
+    new_rows = one_change_per_key(unmatched, rule).unionByName(source.filter(~_all_keys_present(keys)))
     if rule.insert_condition:
         new_rows = new_rows.filter(holds(rule.insert_condition))
 
     def inserted(column: str) -> Column:
         if column in extra:
-            return F.col(column)
+            return named(column)
         if column not in source_types:
             return F.lit(None).cast(target_types[column]).alias(column)
-        return F.col(column).cast(target_types[column]).alias(column)
+        return named(column).cast(target_types[column]).alias(column)
 
     added = new_rows.select(*[inserted(column) for column in columns], F.lit("inserted").alias("_action"))
     return merged.unionByName(added)

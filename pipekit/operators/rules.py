@@ -117,6 +117,8 @@ def quality_report(df: DataFrame, rules: Sequence[QualityRule]) -> DataFrame:
     Nothing but counters crosses the network.  A rule that cannot be planned gets a row with status
     ``error``; one that fails while running (a bad cast) stops this job - see :func:`validate_dataframe`.
     """
+    if not rules:
+        raise ValueError("give at least one rule")
     sound, broken = _split_by_analysis(df, rules)
     counted = df.agg(*_counters(sound))
     place = {rule.name: i for i, rule in enumerate(sound)}

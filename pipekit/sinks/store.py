@@ -57,6 +57,8 @@ class TableStore:
         """Makes a finished version the table.  Only metadata changes."""
         spark = self.spark
         known = spark.catalog.tableExists(name)
+        if known and spark.catalog.getTable(name).tableType != "EXTERNAL":
+            raise ValueError(f"{name} is not an external table; publishing would drop its files")
         if known and not partition_by and _same_columns(spark.table(name).schema, schema):
             spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
         else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from urllib.request import urlopen
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +42,7 @@ class _PageReader(DataSourceReader):
         self.per_task = int(options.get("pagespertask", "16"))
         self.first_page = int(options.get("firstpage", "0"))
         self.timeout = float(options.get("timeout", "60"))
+        self.authorization = options.get("authorization")
 
     def partitions(self) -> list[InputPartition]:
         end = self.first_page + self.pages
@@ -49,7 +50,10 @@ class _PageReader(DataSourceReader):
 
     def read(self, partition: _PageRange) -> Iterator[tuple[int, str]]:
         for page in range(partition.first, partition.last):
-            with urlopen(self.template.format(page=page), timeout=self.timeout) as reply:
+            request = Request(self.template.format(page=page))
+            if self.authorization:
+                request.add_header("Authorization", self.authorization)
+            with urlopen(request, timeout=self.timeout) as reply:
                 document = json.load(reply)
             for entity in document["value"]:
                 yield page, json.dumps(entity)
@@ -59,7 +63,7 @@ class PagedEntitySource(DataSource):
     """Live paging, many pages at a time: each task fetches its own range of pages.
 
     Options: ``url`` (template with ``{page}``), ``pages`` (how many), ``firstPage``, ``pagesPerTask``,
-    ``timeout``.  Rows carry the page number and the entity as JSON text for ``from_json``.
+    ``timeout``, ``authorization`` (header value).  Rows carry the page number and the entity as JSON text for ``from_json``.
     """
 
     @classmethod

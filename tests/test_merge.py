@@ -144,3 +144,20 @@ def test_append_evolving(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, s string"), spark.createDataFrame([(2, 0.5)], "k int, f double")
     both = append_evolving(a, b)
     assert both.columns == ["k", "s", "f"] and both.count() == 2
+
+
+def test_column_names_with_dots(spark):
+    old = spark.createDataFrame([(1, 1)], "k int, `v.x` int")
+    new = spark.createDataFrame([(1, 2), (2, 3)], "k int, `v.x` int")
+    merged = upsert(old, new, MergeRule(["k"], ALWAYS))
+    assert rows(merged) == [(1, 2), (2, 3)]
+
+
+def test_hot_change_key(spark):
+    """A third of the changes concern one key, matched or not."""
+    old = spark.range(100).selectExpr("id AS k", "0L AS v")
+    new = spark.range(3000).selectExpr("if(id % 3 = 0, 5, if(id % 3 = 1, 500, id + 1000)) AS k", "id + 1 AS v")
+    merged = upsert(old, new, MergeRule(["k"], ALWAYS, order_by=["v"]))
+    assert merged.count() == 100 + 1 + 1000
+    got = dict(merged.filter("k IN (5, 500)").collect())
+    assert got == {5: 2998, 500: 2999}

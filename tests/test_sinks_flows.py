@@ -59,6 +59,13 @@ def test_publish_moves_the_table(spark, store, name):
     assert spark.table(name).columns == ["id", "s"]
 
 
+def test_managed_tables_are_not_touched(spark, store, name):
+    spark.range(3).write.saveAsTable(name)
+    with pytest.raises(ValueError, match="external"):
+        store.replace(spark.range(1), name)
+    assert spark.table(name).count() == 3
+
+
 def test_publish_partitioned(spark, store, name):
     store.replace(spark.range(9).selectExpr("id", "id % 3 AS p"), name, ["p"])
     assert spark.table(name).filter("p = 1").count() == 3
