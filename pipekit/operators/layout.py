@@ -64,10 +64,16 @@ def quantile_cuts(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[s
     return cuts
 
 
-def zorder_key(df: DataFrame, columns: Sequence[str], bits: int = 4) -> Column:
-    """Interleaved bucket numbers of the columns.  Runs one job for the cut points."""
+def with_zorder_key(df: DataFrame, columns: Sequence[str], bits: int = 4, name: str = "_z") -> DataFrame:
+    """Adds the interleaved bucket numbers of the columns.  Runs one job for the cut points.
+
+    The bucket numbers get a projection of their own, so each is worked out once per row and not once per
+    bit.
+    """
     cuts = quantile_cuts(df, columns, 1 << bits)
-    return interleave_bits([bucket_of(F.col(c), cuts[c]) for c in columns], bits)
+    numbers = {f"_b{i}": bucket_of(F.col(column), cuts[column]) for i, column in enumerate(columns)}
+    code = interleave_bits([F.col(number) for number in numbers], bits)
+    return df.withColumns(numbers).withColumn(name, code).drop(*numbers)
 
 
 def zorder_cluster(
@@ -81,7 +87,8 @@ def zorder_cluster(
     copies apart.
     """
     ties = [F.col(t) if isinstance(t, str) else t for t in tie_breakers]
-    keyed = df.withColumn("_z", zorder_key(df, columns, bits)).withColumns({f"_t{i}": t for i, t in enumerate(ties)})
+    tied = df.withColumns({f"_t{i}": t for i, t in enumerate(ties)}) if ties else df
+    keyed = with_zorder_key(tied, columns, bits)
     order = ["_z", *columns, *[f"_t{i}" for i in range(len(ties))]]
     ranged = keyed.repartitionByRange(files, *order).sortWithinPartitions("_z", *columns)
     return ranged.drop("_z", *[f"_t{i}" for i in range(len(ties))])

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pipekit.sources.tables import since
 
 
+# The URL forms that the two drivers expect.
+
+
 def oracle_url(host: str, port: int, service_name: str) -> str:
     return f"jdbc:oracle:thin:@{host}:{port}:{service_name}"
 
