@@ -13,6 +13,7 @@ ACCURACY = 10_000
 MARGIN = 5 / ACCURACY
 # Up to this many values a rank is a large part of the margin, and the whole group is small enough to rank.
 RANK_WHOLE = 10_000
+WHOLE = -1
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentiles: Mapping[str, float]) -> DataFrame:
@@ -32,39 +33,47 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentile
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")
     )
 
-    def bracket(i: int, name: str) -> Column:
-        large = F.col("_n") > RANK_WHOLE
-        below = F.when(large & F.lit(marks[2 * i] > 0.0), F.col("_marks")[2 * i])
-        above = F.when(large & F.lit(marks[2 * i + 1] < 1.0), F.col("_marks")[2 * i + 1])
-        low, high = F.coalesce(below, F.lit(float("-inf"))), F.coalesce(above, F.lit(float("inf")))
-        position = F.lit(percentiles[name]) * (F.col("_n") - 1)
-        return F.struct(
-            F.lit(i).alias("_i"), low.alias("_low"), high.alias("_high"), position.alias("_pos"), F.col("_n").alias("_n")
-        )
+    no_low, no_high = F.lit(float("-inf")), F.lit(float("inf"))
 
-    brackets = F.array(*[bracket(i, name) for i, name in enumerate(names)])
+    def bracket(i: int, low: Column, high: Column) -> Column:
+        return F.struct(F.lit(i).alias("_i"), low.alias("_low"), high.alias("_high"), F.col("_n").alias("_n"))
+
+    # A large group is looked at once per percentile, a small one once and whole.
+    each = [
+        bracket(
+            i,
+            F.col("_marks")[2 * i] if marks[2 * i] > 0.0 else no_low,
+            F.col("_marks")[2 * i + 1] if marks[2 * i + 1] < 1.0 else no_high,
+        )
+        for i in range(len(names))
+    ]
+    whole = F.array(bracket(WHOLE, no_low, no_high))
+    brackets = F.when(F.col("_n") > RANK_WHOLE, F.array(*each)).otherwise(whole)
     wanted = sketch.select(*[F.col(key).alias(f"_k_{key}") for key in keys], brackets.alias("_brackets"))
     same_group = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys])
     joined = numbers.join(wanted, same_group).select(*keys, "_v", F.inline("_brackets"))
     folded = F.when(F.col("_v") >= F.col("_low"), F.col("_v"))  # NULL: somewhere below the bracket
     counted = (
         joined.filter(F.col("_v") <= F.col("_high"))
-        .groupBy(*keys, "_i", "_pos", "_n", folded.alias("_v"))
+        .groupBy(*keys, "_i", "_n", folded.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     up_to = W.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
     ranked = counted.withColumn("_end", F.sum("_c").over(up_to.rowsBetween(W.unboundedPreceding, 0)))
     starts = F.col("_end") - F.col("_c")
 
-    def at(i: int, rank: Column) -> Column:
-        return F.max(F.when((F.col("_i") == i) & (starts <= rank) & (rank < F.col("_end")), F.col("_v")))
-
     aggregates = [F.max("_n").alias("n")]
     for i, name in enumerate(names):
+        position = F.lit(percentiles[name]) * (F.col("_n") - 1)
+        mine = F.col("_i").isin(i, WHOLE)
+
+        def at(rank: Column) -> Column:
+            return F.max(F.when(mine & (starts <= rank) & (rank < F.col("_end")), F.col("_v")))
+
         aggregates += [
-            at(i, F.floor("_pos")).alias(f"_lo_{i}"),
-            at(i, F.ceil("_pos")).alias(f"_hi_{i}"),
-            F.max(F.when(F.col("_i") == i, F.col("_pos") - F.floor("_pos"))).alias(f"_part_{i}"),
+            at(F.floor(position)).alias(f"_lo_{i}"),
+            at(F.ceil(position)).alias(f"_hi_{i}"),
+            F.max(position - F.floor(position)).alias(f"_part_{i}"),
         ]
     missed = F.raise_error(F.lit("a percentile bracket missed its rank")).cast("double")
     results = []
