@@ -60,25 +60,32 @@ def _stream_dedup(t: Tables):
 @register(
     "cdc_apply",
     """
-    with target as (select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey % 10 < 7),
-    feed as (select o_orderkey, o_custkey, o_totalprice + 5 as o_totalprice, o_orderkey % 5 = 0 as gone
-             from orders where o_orderkey % 3 = 0)
-    select * from target where o_orderkey % 3 <> 0
-    union all select o_orderkey, o_custkey, o_totalprice from feed where not gone
+    select o_orderkey, o_custkey, o_totalprice from orders
+    where o_orderstatus = 'P' and o_orderdate < timestamp '2000-01-01 00:00:00'
+    union all select o_orderkey, o_custkey, o_totalprice + 5 from orders where o_orderstatus = 'O'
     """,
 )
 def _cdc_apply(t: Tables):
-    key = F.col("o_orderkey")
-    target = t.orders.filter(key % 10 < 7).select("o_orderkey", "o_custkey", "o_totalprice")
-    changed = _stream(t, "orders").filter(key % 3 == 0)
+    """The target holds the orders placed before 2000.  The feed deletes finished orders, revises open ones twice
+    and says nothing about the others."""
+    status = F.col("o_orderstatus")
+    old = t.orders.filter(F.col("o_orderdate") < F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
+    target = old.select("o_orderkey", "o_custkey", "o_totalprice")
+    changed = _stream(t, "orders").filter(status != "P")
     feed = changed.select(
         "o_orderkey",
         "o_custkey",
         (F.col("o_totalprice") + 5).alias("o_totalprice"),
-        F.when(key % 5 == 0, F.lit("delete")).otherwise(F.lit("upsert")).alias("op"),
+        F.when(status == "F", F.lit("delete")).otherwise(F.lit("upsert")).alias("op"),
         F.lit(2).alias("seq"),
     )
-    stale = changed.select("o_orderkey", "o_custkey", F.lit(0.0).alias("o_totalprice"), F.lit("upsert").alias("op"), F.lit(1).alias("seq"))
+    stale = changed.select(
+        "o_orderkey",
+        "o_custkey",
+        F.lit(0.0).alias("o_totalprice"),
+        F.lit("upsert").alias("op"),
+        F.lit(1).alias("seq"),
+    )
     rule = MergeRule(
         ["o_orderkey"],
         "true",
@@ -100,14 +107,13 @@ def _cdc_apply(t: Tables):
     select o_orderkey as id, o_orderdate as created_date, trim('  ' || o_orderpriority || ' ') as name,
            o_orderstatus as description, o_custkey as customer_id, c_name as customer_name, n_name as region
     from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey
-    where o_orderkey % 50 <> 0
+    where o_totalprice >= 5000
     """,
 )
 def _batch_publish(t: Tables):
     """The ready-made flow, from orders with missing ids and padded text to a published table."""
-    key = F.col("o_orderkey")
     sales = t.orders.select(
-        F.when(key % 50 != 0, key).alias("id"),
+        F.when(F.col("o_totalprice") >= 5000, F.col("o_orderkey")).alias("id"),
         F.col("o_orderdate").alias("created_date"),
         F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")).alias("name"),
         F.concat(F.lit(" "), "o_orderstatus", F.lit("  ")).alias("description"),
@@ -130,7 +136,7 @@ def _batch_publish(t: Tables):
     "incremental_publish",
     """
     with present as (select o_orderkey, o_totalprice, o_orderdate from orders where o_orderdate < timestamp '1999-01-01'),
-    late as (select o_orderkey, o_totalprice + case when o_orderkey % 4 = 0 then 1 else 0 end as o_totalprice, o_orderdate
+    late as (select o_orderkey, o_totalprice + case when o_orderstatus = 'F' then 1 else 0 end as o_totalprice, o_orderdate
              from orders where o_orderdate >= timestamp '1998-01-01')
     select * from present where o_orderkey not in (select o_orderkey from late) union all select * from late
     """,
@@ -139,7 +145,7 @@ def _incremental_publish(t: Tables):
     """A table that holds the orders before 1999 takes in what the source has since 1998."""
     columns = ["o_orderkey", "o_totalprice", "o_orderdate"]
     view, table = fresh_name("changed"), fresh_name("merged")
-    raised = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    raised = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     t.orders.select("o_orderkey", raised.alias("o_totalprice"), "o_orderdate").createOrReplaceTempView(view)
     store = TableStore(t.spark, scratch_path(t.spark, "tables"))
     store.replace(t.orders.filter(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")).select(*columns), table)

@@ -99,9 +99,9 @@ def _paged_entities(t: Tables):
     "type_mapping",
     """
     select p_partkey::varchar as p_partkey, try_cast(substr(p_brand, 7) as integer) as brand_no,
-           try_cast(case when p_size % 7 = 0 then 'n/a' else p_size::varchar end as integer) as size_text,
+           try_cast(case when p_size > 40 then 'n/a' else p_size::varchar end as integer) as size_text,
            round(p_retailprice)::bigint as p_retailprice,
-           case when p_size % 7 = 0 then 'size_text' else '' end as bad_types
+           case when p_size > 40 then 'size_text' else '' end as bad_types
     from part
     """,
 )
@@ -109,7 +109,7 @@ def _type_mapping(t: Tables):
     raw = t.part.select(
         "p_partkey",
         F.substr("p_brand", F.lit(7)).alias("brand_no"),
-        F.when(F.col("p_size") % 7 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("size_text"),
+        F.when(F.col("p_size") > 40, "n/a").otherwise(F.col("p_size").cast("string")).alias("size_text"),
         # A cast to bigint truncates in Spark and rounds in the oracle; whole numbers suit both.
         F.round("p_retailprice").alias("p_retailprice"),
     )
@@ -172,15 +172,15 @@ def _clean_chain(t: Tables):
 
 
 def _customer_lookup(t: Tables):
-    """Every seventh customer is missing from the lookup, so some orders stay unmatched."""
-    return t.customer.filter(F.col("c_custkey") % 7 != 0).withColumnRenamed("c_custkey", "o_custkey")
+    """Customers in debt are missing from the lookup, so some orders stay unmatched."""
+    return t.customer.filter(F.col("c_acctbal") >= 0).withColumnRenamed("c_custkey", "o_custkey")
 
 
 @register(
     "enrich_lookup",
     """
     select orders.*, c_name, c_nationkey
-    from orders left join (select * from customer where c_custkey % 7 <> 0) on o_custkey = c_custkey
+    from orders left join (select * from customer where c_acctbal >= 0) on o_custkey = c_custkey
     """,
 )
 def _enrich_lookup(t: Tables):
@@ -192,7 +192,7 @@ def _enrich_lookup(t: Tables):
     """
     select orders.*, c_name, c_nationkey, n_name, n_regionkey
     from orders
-    left join (select * from customer where c_custkey % 7 <> 0) on o_custkey = c_custkey
+    left join (select * from customer where c_acctbal >= 0) on o_custkey = c_custkey
     left join nation on c_nationkey = n_nationkey
     """,
 )
@@ -209,14 +209,14 @@ def _enrich_chain(t: Tables):
     "enrich_hot_keys",
     """
     select l_orderkey, l_linenumber, l_quantity, part_key, p_name, p_brand
-    from (select *, case when l_partkey % 3 = 0 then 3 when l_partkey % 10 = 1 then null else l_partkey end
+    from (select *, case when l_returnflag = 'R' then 3 when l_quantity < 5 then null else l_partkey end
                     as part_key from lineitem)
-    left join (select * from part where p_partkey % 5 <> 0) on part_key = p_partkey
+    left join (select * from part where p_size > 10) on part_key = p_partkey
     """,
 )
 def _enrich_hot_keys(t: Tables):
-    """A third of the lines refer to one part and some to none: the hot part never shuffles."""
-    key = F.when(F.col("l_partkey") % 3 == 0, F.lit(3)).when(F.col("l_partkey") % 10 == 1, F.lit(None))
+    """Returned lines, a third of all, refer to one part, and small ones to none: the hot part never shuffles."""
+    key = F.when(F.col("l_returnflag") == "R", F.lit(3)).when(F.col("l_quantity") < 5, F.lit(None))
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", key.otherwise(F.col("l_partkey")).alias("part_key"))
-    parts = t.part.filter(F.col("p_partkey") % 5 != 0).withColumnRenamed("p_partkey", "part_key")
+    parts = t.part.filter(F.col("p_size") > 10).withColumnRenamed("p_partkey", "part_key")
     return lookup_join(lines, parts, "part_key", ["p_name", "p_brand"], on_duplicate="first", split_hot_keys=True)

@@ -16,42 +16,54 @@ from pipekit.plans.registry import Tables, fresh_name, register
 from pipekit.session import scratch_path
 from pipekit.sinks import PathWriter, TableStore, TableWriter, create_from_query, create_if_absent
 
-# The target holds seven orders of ten.  Changes touch every third order, some of which are new; even
-# keys get a later date and odd ones an earlier date, every ninth also has an older change, and every
-# 21st change has lost its key.
+# The target holds the orders placed before 2000; the feed has a revision of every order, dated a day later
+# for finished orders and a day earlier for others, and an older one before that.  Urgent orders have lost
+# their key on the way.
 MERGE_CTES = """
     target as (select o_orderkey as k, o_custkey, o_totalprice as price, o_orderdate as changed_at
-               from orders where o_orderkey % 10 < 7),
-    feed as (select case when o_orderkey % 21 = 0 then null else o_orderkey end as k, o_custkey,
+               from orders where o_orderdate < timestamp '2000-01-01 00:00:00'),
+    feed as (select case when o_orderpriority <> '1-URGENT' then o_orderkey end as k, o_custkey,
                     o_totalprice + 10 as price,
-                    o_orderdate + case when o_orderkey % 2 = 0 then interval 1 day else interval (-1) day end as changed_at
-             from orders where o_orderkey % 3 = 0
+                    o_orderdate + case when o_orderstatus = 'F' then interval 1 day else interval (-1) day end
+                    as changed_at
+             from orders
              union all
              select o_orderkey, o_custkey, 0.0::double, o_orderdate - interval 30 day from orders
-             where o_orderkey % 9 = 0 and o_orderkey % 21 <> 0),
+             where o_orderpriority <> '1-URGENT'),
     source as (select * from feed where k is null
                union all (select * from feed where k is not null
                           qualify row_number() over (partition by k order by changed_at desc) = 1)),
 """
 
 
+def _before_2000(t: Tables):
+    return t.orders.filter(F.col("o_orderdate") < F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def _target(t: Tables):
-    return t.orders.filter(F.col("o_orderkey") % 10 < 7).select(
-        F.col("o_orderkey").alias("k"), "o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("changed_at")
+    return _before_2000(t).select(
+        F.col("o_orderkey").alias("k"),
+        "o_custkey",
+        F.col("o_totalprice").alias("price"),
+        F.col("o_orderdate").alias("changed_at"),
     )
 
 
 def _feed(t: Tables):
-    key = F.col("o_orderkey")
     day = F.expr("INTERVAL '1' DAY")
-    newest = t.orders.filter(key % 3 == 0).select(
-        F.when(key % 21 != 0, key).alias("k"),
+    has_key = F.col("o_orderpriority") != "1-URGENT"
+    finished = F.col("o_orderstatus") == "F"
+    newest = t.orders.select(
+        F.when(has_key, F.col("o_orderkey")).alias("k"),
         "o_custkey",
         (F.col("o_totalprice") + 10).alias("price"),
-        F.when(key % 2 == 0, F.col("o_orderdate") + day).otherwise(F.col("o_orderdate") - day).alias("changed_at"),
+        F.when(finished, F.col("o_orderdate") + day).otherwise(F.col("o_orderdate") - day).alias("changed_at"),
     )
-    older = t.orders.filter((key % 9 == 0) & (key % 21 != 0)).select(
-        key.alias("k"), "o_custkey", F.lit(0.0).alias("price"), (F.col("o_orderdate") - 30 * day).alias("changed_at")
+    older = t.orders.filter(has_key).select(
+        F.col("o_orderkey").alias("k"),
+        "o_custkey",
+        F.lit(0.0).alias("price"),
+        (F.col("o_orderdate") - 30 * day).alias("changed_at"),
     )
     return newest.unionByName(older)
 
@@ -121,17 +133,27 @@ def _upsert_delete(t: Tables):
     return upsert(_target(t), _feed(t), rule)
 
 
-@register(
-    "schema_evolve_append",
-    """
-    select o_orderkey, o_totalprice, null::varchar as o_orderstatus from orders where o_orderkey % 2 = 0
-    union all select o_orderkey, null, o_orderstatus from orders where o_orderkey % 2 = 1
-    """,
-)
+PARTIES = """
+    select s_suppkey as id, s_name as name, s_acctbal as balance, null::varchar as segment from supplier
+    union all select c_custkey, c_name, null, c_mktsegment from customer
+"""
+
+
+def _suppliers(t: Tables):
+    return t.supplier.select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")
+    )
+
+
+def _customers(t: Tables):
+    return t.customer.select(
+        F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name")
+    )
+
+
+@register("schema_evolve_append", PARTIES)
 def _schema_evolve_append(t: Tables):
-    even = t.orders.filter(F.col("o_orderkey") % 2 == 0).select("o_orderkey", "o_totalprice")
-    odd = t.orders.filter(F.col("o_orderkey") % 2 == 1).select("o_orderkey", "o_orderstatus")
-    return append_evolving(even, odd)
+    return append_evolving(_suppliers(t), _customers(t))
 
 
 @register(
@@ -183,13 +205,13 @@ def _zorder_cluster(t: Tables):
     return t.spark.read.parquet(out)
 
 
-@register("write_layout", "select * from orders where o_orderkey % 5 = 0")
+@register("write_layout", "select * from orders")
 def _write_layout(t: Tables):
     out = scratch_path(t.spark, "layout")
     write_layout(
         t.orders, out, ["o_orderpriority"], sort_by=["o_orderkey"], bloom_columns=["o_custkey"], compression="zstd"
     )
-    return t.spark.read.parquet(out).filter(F.col("o_orderkey") % 5 == 0).select(*t.orders.columns)
+    return t.spark.read.parquet(out).select(*t.orders.columns)
 
 
 @register(
@@ -229,12 +251,12 @@ def _path_writer(t: Tables):
     return t.spark.read.parquet(f"{base}/suppliers")
 
 
-@register("table_writer", "select * from orders union all select * from orders where o_orderkey % 10 = 0")
+@register("table_writer", "select * from orders union all select * from orders where o_orderstatus = 'F'")
 def _table_writer(t: Tables):
     name = fresh_name("written")
     writer = TableWriter(["o_orderpriority"], {"path": scratch_path(t.spark, "tables")})
     writer.write(t.orders, name)
-    writer.write(t.orders.filter(F.col("o_orderkey") % 10 == 0), name, mode="append")
+    writer.write(t.orders.filter(F.col("o_orderstatus") == "F"), name, mode="append")
     return t.spark.table(name).select(*t.orders.columns)
 
 
@@ -259,37 +281,29 @@ def _create_from_query(t: Tables):
     return t.spark.table(name)
 
 
-@register(
-    "table_evolve_append",
-    """
-    select o_orderkey, o_totalprice, null::varchar as o_orderstatus from orders where o_orderkey % 3 <> 0
-    union all select o_orderkey, null, o_orderstatus from orders where o_orderkey % 3 = 0
-    """,
-)
+@register("table_evolve_append", PARTIES)
 def _table_evolve_append(t: Tables):
     """The table gains a column; the files it had before are not rewritten."""
     store, name = TableStore(t.spark, scratch_path(t.spark, "tables")), fresh_name("evolving")
-    third = F.col("o_orderkey") % 3 == 0
-    store.replace(t.orders.filter(~third).select("o_orderkey", "o_totalprice"), name)
-    store.append_evolving(t.orders.filter(third).select("o_orderstatus", "o_orderkey"), name)
+    store.replace(_suppliers(t), name)
+    store.append_evolving(_customers(t), name)
     return t.spark.table(name)
 
 
 @register(
     "upsert_partitions",
     """
-    select o_orderstatus, o_orderkey, case when o_orderstatus = 'F' and o_orderkey % 3 = 0 then 0.0::double
-           else o_totalprice end as o_totalprice
-    from orders where o_orderkey % 10 < 7 or (o_orderstatus = 'F' and o_orderkey % 3 = 0)
+    select o_orderstatus, o_orderkey, case when o_orderstatus = 'F' then 0.0::double else o_totalprice end as o_totalprice
+    from orders where o_orderdate < timestamp '2000-01-01 00:00:00' or o_orderstatus = 'F'
     """,
 )
 def _upsert_partitions(t: Tables):
-    """Changes to orders of one status rewrite that partition only."""
+    """Changes to all orders of one status rewrite that partition only."""
     store, name = TableStore(t.spark, scratch_path(t.spark, "tables")), fresh_name("by_status")
     columns = ["o_orderstatus", "o_orderkey", "o_totalprice"]
-    store.replace(t.orders.filter(F.col("o_orderkey") % 10 < 7).select(*columns), name, ["o_orderstatus"])
-    changed = (F.col("o_orderkey") % 3 == 0) & (F.col("o_orderstatus") == "F")
-    changes = t.orders.filter(changed).withColumn("o_totalprice", F.lit(0.0)).select(*columns)
+    store.replace(_before_2000(t).select(*columns), name, ["o_orderstatus"])
+    finished = t.orders.filter(F.col("o_orderstatus") == "F")
+    changes = finished.withColumn("o_totalprice", F.lit(0.0)).select(*columns)
     store.upsert_partitions(name, changes, MergeRule(["o_orderstatus", "o_orderkey"], ALWAYS), ["o_orderstatus"])
     return t.spark.table(name).select(*columns)
 
@@ -297,17 +311,19 @@ def _upsert_partitions(t: Tables):
 @register(
     "upsert_table_stats",
     """
-    select count(*) filter (where k % 10 < 7) as rows_updated, count(*) filter (where not k % 10 < 7) as rows_inserted,
+    select count(*) filter (where old) as rows_updated, count(*) filter (where not old) as rows_inserted,
            0::bigint as rows_deleted,
-           (select count(*) from orders where o_orderkey % 10 < 7 and o_orderkey % 3 <> 0) as rows_unchanged
-    from (select o_orderkey as k from orders where o_orderkey % 3 = 0)
+           (select count(*) from orders where o_orderdate < timestamp '2000-01-01 00:00:00' and o_orderstatus <> 'F')
+           as rows_unchanged
+    from (select o_orderdate < timestamp '2000-01-01 00:00:00' as old from orders where o_orderstatus = 'F')
     """,
 )
 def _upsert_table_stats(t: Tables):
     """Statistics of a published merge, as read from the files it wrote."""
     store, name = TableStore(t.spark, scratch_path(t.spark, "tables")), fresh_name("merged")
-    store.replace(t.orders.filter(F.col("o_orderkey") % 10 < 7), name)
-    stats = store.upsert(name, t.orders.filter(F.col("o_orderkey") % 3 == 0), MergeRule(["o_orderkey"], ALWAYS))
+    store.replace(_before_2000(t), name)
+    finished = t.orders.filter(F.col("o_orderstatus") == "F")
+    stats = store.upsert(name, finished, MergeRule(["o_orderkey"], ALWAYS))
     return t.spark.createDataFrame([tuple(asdict(stats).values())], ", ".join(f"{c} bigint" for c in asdict(stats)))
 
 
@@ -334,7 +350,7 @@ def _lineage_edges(t: Tables):
     """
     with recursive edges as (
         select 'part_' || (p_partkey // 2) as source_table, 'part_' || p_partkey as target_table from part
-        union all select 'part_' || p_partkey, 'part_3' from part where p_partkey % 100 = 99),
+        union all select 'part_' || p_partkey, 'part_3' from part where p_size = 1),
     reached(table_name) as (
         select target_table from edges where source_table = 'part_3'
         union select target_table from edges join reached on source_table = table_name)
@@ -345,7 +361,7 @@ def _lineage_downstream(t: Tables):
     """Parts form a binary tree by number, with some edges back to part 3: a graph with cycles."""
     name = F.concat(F.lit("part_"), "p_partkey")
     tree = t.part.select(F.expr("concat('part_', p_partkey div 2)").alias("source_table"), name.alias("target_table"))
-    back = t.part.filter(F.col("p_partkey") % 100 == 99).select(name, F.lit("part_3"))
+    back = t.part.filter(F.col("p_size") == 1).select(name, F.lit("part_3"))
     return downstream(tree.union(back), "part_3")
 
 
