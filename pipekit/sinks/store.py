@@ -105,7 +105,7 @@ class TableStore:
         plan = merge_plan(target, source, rule)
         path = self.stage(plan.filter(F.col("_action") != "deleted"), name)
         columns = T.StructType([f for f in plan.schema.fields if f.name != "_action"])
-        stats = self._stats(path, plan if rule.delete_condition else None)
+        stats = self._stats(path, target if rule.delete_condition else None)
         self.publish(name, path, columns)
         return stats
 
@@ -125,7 +125,7 @@ class TableStore:
             # The bound (or a NULL partition value) only decides how much is rewritten, never which rows count.
             plan = merge_plan(target, source, rule)
             path = self.stage(plan.filter(F.col("_action") != "deleted"), name, partition_by)
-            stats = self._stats(path, plan if rule.delete_condition else None)
+            stats = self._stats(path, target if rule.delete_condition else None)
             self.publish(name, path, target.schema, partition_by)
             return stats
         if not touched:
@@ -143,7 +143,7 @@ class TableStore:
             slim = slim.join(F.broadcast(keys), on=list(partition_by), how="left_semi").select(*target.columns)
         plan = merge_plan(slim, source, rule)
         path = self.stage(plan.filter(F.col("_action") != "deleted"), name, partition_by)
-        stats = self._stats(path, plan if rule.delete_condition else None)
+        stats = self._stats(path, slim if rule.delete_condition else None)
         written = self._partition_folders(path)
         for values, folder in written.items():
             spec = _spec(partition_by, values)
@@ -166,11 +166,13 @@ class TableStore:
         found = [row.folder for row in listed.select(folder).distinct().collect()]
         return {tuple(unquote(part.split("=", 1)[1]) for part in f.split("/")): f for f in found}
 
-    def _stats(self, path: str, plan: DataFrame | None) -> MergeStats:
-        written = self.spark.read.parquet(path).select("_action")
+    def _stats(self, path: str, target: DataFrame | None) -> MergeStats:
+        """Actions counted in the files written.  Deleted rows are not among them: they are the rows of the
+        target that neither stayed nor were updated, and counting those takes no more than file footers."""
+        written = self.spark.read.schema("_action string").parquet(path)  # may hold no file at all
         row = merge_stats(written).head().asDict()
-        if plan is not None:
-            row["rows_deleted"] = plan.filter(F.col("_action") == "deleted").count()
+        if target is not None:
+            row["rows_deleted"] = target.count() - row["rows_updated"] - row["rows_unchanged"]
         return MergeStats(**row)
 
 

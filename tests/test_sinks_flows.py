@@ -137,6 +137,20 @@ def test_partition_values_that_folders_escape(spark, store, name):
     assert got == {"a:b": 5, "x/y": 5, "50%": 5, "it's": 5, "back\\slash": 0, "plain": 0}  # the emptied one is gone
 
 
+def test_everything_deleted(spark, store, name):
+    schema = "p int, k int, v int"
+    rule = MergeRule(["p", "k"], ALWAYS, delete_condition="source.v < 0")
+    store.replace(spark.createDataFrame([(1, 1, 0), (2, 2, 0)], schema), name, ["p"])
+    gone = spark.createDataFrame([(1, 1, -1), (2, 2, -1)], schema)
+    assert store.upsert_partitions(name, gone, rule, ["p"]).rows_deleted == 2
+    assert spark.table(name).count() == 0
+    flat = name + "_flat"
+    store.replace(spark.createDataFrame([(1, 1, 0), (2, 2, 0)], schema), flat)
+    assert store.upsert(flat, gone, rule).rows_deleted == 2
+    assert spark.table(flat).count() == 0
+    assert store.upsert(flat, gone.limit(0), rule).rows_deleted == 0
+
+
 SUITE = ExpectationSuite([ExpectNonNull(["id"]), ExpectUnique(["id"])])
 
 
