@@ -54,7 +54,8 @@ class TableStore:
         return self.spark.read.schema(schema).parquet(path)
 
     def publish(self, name: str, path: str, schema: T.StructType, partition_by: Sequence[str] = ()) -> None:
-        """Makes a finished version the table.  Only metadata changes."""
+        """Makes a finished version the table.  Only metadata changes.  An unpartitioned table of the same
+        columns moves in one step; otherwise its entry is made anew, and it is absent for a moment."""
         spark = self.spark
         known = spark.catalog.tableExists(name)
         if known and spark.catalog.getTable(name).tableType != "EXTERNAL":

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -41,10 +42,21 @@ def run_available(writer: DataStreamWriter) -> StreamingQuery:
     return query
 
 
-def drop_late_duplicates(stream: DataFrame, keys: Sequence[str], time_column: str, delay: str) -> DataFrame:
+def drop_late_duplicates(
+    stream: DataFrame, keys: Sequence[str], time_column: str, delay: str, salts: int = 1
+) -> DataFrame:
     """First arrival per key; repeats that come at most ``delay`` later are dropped.  State is spread by
-    key hash and forgotten once the watermark has passed, so it does not grow with the stream."""
+    key hash and forgotten once the watermark has passed, so it does not grow with the stream.
+
+    A key with very many copies would still meet in one task.  With ``salts`` its copies are first thinned
+    out in that many groups, by the input partition they came from, at the price of a second stateful
+    step.
+    """
     kind = stream.schema[time_column].dataType
     if not isinstance(kind, T.TimestampType):  # watermarks need a time with zone
         stream = stream.withColumn(time_column, stream[time_column].cast("timestamp"))
-    return stream.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(list(keys))
+    timed = stream.withWatermark(time_column, delay)
+    if salts > 1:
+        salted = timed.withColumn("_salt", F.spark_partition_id() % salts)
+        timed = salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
+    return timed.dropDuplicatesWithinWatermark(list(keys))

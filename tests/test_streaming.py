@@ -68,6 +68,19 @@ def test_late_duplicates(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1,), (2,)]
 
 
+def test_salted_duplicates(spark, tmp_path):
+    """One key with a third of the rows, copies in every file."""
+    copies = spark.range(0, 3000, 1, 6).selectExpr(
+        "if(id % 3 = 0, -1, id) AS id", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 60) AS at"
+    )
+    copies.write.parquet(str(tmp_path / "in"))
+    stream = file_stream(spark, str(tmp_path / "in"), copies.schema, max_files=3)
+    single = drop_late_duplicates(stream, ["id"], "at", "10 minutes", salts=3)
+    run_available(write_stream(single.select("id"), str(tmp_path / "out"), str(tmp_path / "progress")))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == got.distinct().count() == 2001
+
+
 def test_changes_over_batches_and_restart(spark, tmp_path):
     target = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "k int, v int")
     feed_schema = T.StructType.fromDDL("k int, v int, op string, seq int")
