@@ -24,9 +24,10 @@ def recovery_time(
 ) -> DataFrame:
     """Per pipeline: failures, how many were followed by a success, and the mean seconds until then.
 
-    The log is cut into ranges of (pipeline, time), so one busy pipeline spreads over many tasks.  Within
-    a slice a running minimum finds the next success; a failure without one in its slice takes the first
-    success of a later slice, for which a few numbers per pipeline and slice are enough.
+    Copies of a run are first counted, with partial counts per task.  Then the log is cut into ranges of
+    (pipeline, time), so one busy pipeline spreads over many tasks.  Within a slice a running minimum finds
+    the next success; a failure without one in its slice takes the first success of a later slice, for
+    which a few numbers per pipeline and slice are enough.
     """
     spark = runs.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -36,18 +37,27 @@ def recovery_time(
         F.coalesce(ok, F.lit(False)).alias("_ok"),
         F.col(tie_breaker).alias("_tie"),
     )
-    sliced = log.repartitionByRange(slices, pipeline, "_us", "_tie").withColumn("_slice", F.spark_partition_id())
+    counted = log.groupBy(pipeline, "_us", "_tie", "_ok").agg(F.count(F.lit(1)).alias("_copies"))
+    sliced = counted.repartitionByRange(slices, pipeline, "_us", "_tie").withColumn("_slice", F.spark_partition_id())
     # Newest first, so the frame of later runs grows row by row instead of being recomputed.
     newest_first = W.partitionBy("_slice", pipeline).orderBy(F.col("_us").desc(), F.col("_tie").desc())
     later = newest_first.rowsBetween(W.unboundedPreceding, -1)
     marked = sliced.withColumn("_next", F.min(F.when(F.col("_ok"), F.col("_us"))).over(later))
-    failed, open_ended = ~F.col("_ok"), ~F.col("_ok") & F.col("_next").isNull()
+    failed, closed = ~F.col("_ok"), F.col("_next").isNotNull()
+
+    def copies(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("_copies")).otherwise(0))
+
+    def micros(condition: Column, value: Column) -> Column:
+        weighted = value.cast("decimal(20,0)") * F.col("_copies").cast("decimal(12,0)")
+        return F.coalesce(F.sum(F.when(condition, weighted)), F.lit(0))
+
     per_slice = marked.groupBy(pipeline, "_slice").agg(
-        F.count_if(failed).alias("failures"),
-        F.count_if(failed & F.col("_next").isNotNull()).alias("_closed"),
-        F.sum(F.when(failed, F.col("_next") - F.col("_us")).cast("decimal(20,0)")).alias("_closed_us"),
-        F.count_if(open_ended).alias("_open"),
-        F.sum(F.when(open_ended, F.col("_us")).cast("decimal(20,0)")).alias("_open_us"),
+        copies(failed).alias("failures"),
+        copies(failed & closed).alias("_closed"),
+        micros(failed & closed, F.col("_next") - F.col("_us")).alias("_closed_us"),
+        copies(failed & ~closed).alias("_open"),
+        micros(failed & ~closed, F.col("_us")).alias("_open_us"),
         F.min(F.when(F.col("_ok"), F.col("_us"))).alias("_first_ok"),
     )
     later_slices = W.partitionBy(pipeline).orderBy(F.col("_slice").desc()).rowsBetween(W.unboundedPreceding, -1)
@@ -57,7 +67,7 @@ def recovery_time(
     summed = carried.groupBy(pipeline).agg(
         F.sum("failures").alias("failures"),
         (F.sum("_closed") + F.sum(F.when(can_close, F.col("_open")).otherwise(0))).alias("recovered"),
-        F.sum(F.coalesce("_closed_us", F.lit(0)) + F.coalesce(F.when(can_close, waited), F.lit(0))).alias("_us"),
+        F.sum(F.col("_closed_us") + F.when(can_close, waited).otherwise(0)).alias("_us"),
     )
     mean = F.try_divide(F.col("_us").cast("double"), F.col("recovered").cast("double")) / 1e6
     return summed.select(pipeline, "failures", "recovered", mean.alias("mttr_seconds"))

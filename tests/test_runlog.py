@@ -51,6 +51,16 @@ def test_recovery_time_over_slices(log, slices):
         assert got[pipeline].mttr_seconds == (pytest.approx(mean) if mean is not None else None)
 
 
+def test_copies_of_a_run_count_each(log):
+    entries, df = log
+    doubled = df.unionAll(df.filter("pipeline = 0"))
+    got = {r.pipeline: r for r in recovery_time(doubled, "pipeline", "at", F.col("ok"), "id", 4).collect()}
+    expected = brute_recovery(entries)
+    assert got[0].failures == 2 * expected[0][0] and got[0].recovered == 2 * expected[0][1]
+    assert got[0].mttr_seconds == pytest.approx(expected[0][2])
+    assert got[3].failures == expected[3][0]
+
+
 def test_recovery_never(spark):
     df = spark.sql("SELECT 1 AS p, timestamp'2024-01-01' AS at, false AS ok, 1 AS id")
     row = recovery_time(df, "p", "at", F.col("ok"), "id").head()
