@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary, cut from a bounded sample of labelled texts.  A text is
-compressed in segments with every dictionary; the language with the fewest bytes wins.  Segments keep a long text
+Each language has a raw-content zstandard dictionary, cut from a bounded sample of labelled texts.  A lower-cased
+text is compressed in segments with every dictionary; the language with the fewest bytes wins.  Segments keep a long text
 from becoming its own dictionary, so the whole text takes part with equal weight.
 
 ``fit`` takes at most ``texts_per_language`` texts of a language, those with the smallest content hashes, and
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TEXTS_PER_LANGUAGE = 400
-DICTIONARY_BYTES = 96 * 1024
+DICTIONARY_BYTES = 128 * 1024
 SEGMENT_BYTES = 4096
 MIN_MARGIN = 0.004
-LEVEL = 1
+LEVEL = 5
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -54,7 +54,7 @@ def fit(
     )
     pieces: dict[str, list[bytes]] = {}
     for row in sample.toLocalIterator():
-        pieces.setdefault(row.lang, []).append(row.piece.encode())
+        pieces.setdefault(row.lang, []).append(row.piece.lower().encode())
     out = {}
     for language, texts in pieces.items():
         each = max(share, dictionary_bytes // len(texts))
@@ -82,7 +82,7 @@ def _compressors(model: tuple[tuple[str, bytes], ...]):
 
 
 def sizes_of(text: str, model: tuple[tuple[str, bytes], ...]) -> dict[str, int]:
-    data = text.encode()
+    data = text.lower().encode()
     n = max(1, -(-len(data) // SEGMENT_BYTES))
     each = -(-len(data) // n)
     parts = [data[i * each : (i + 1) * each] for i in range(n)]
