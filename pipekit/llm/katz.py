@@ -31,7 +31,6 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -42,7 +41,7 @@ from pipekit.llm.common import crc32_remainder, hash_words, mix64, stage_table,
 K = 5
 TAIL = 0.01
 END, START = np.uint64(1), np.uint64(2)
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 3_000_000
 
 _CLASSES = [f"seen{r}" for r in range(1, K + 1)]
 _UNSEEN = [f"word{r}" for r in range(1, K + 1)]
@@ -170,42 +169,57 @@ def _sum(groups: np.ndarray, n: int, values=None) -> np.ndarray:
     return np.bincount(groups, weights=values, minlength=n)
 
 
-def _frame(kind: str, key: np.ndarray, **columns) -> pd.DataFrame:
-    out = {"kind": np.full(len(key), kind), "key": key.astype("i8"), "other": columns.pop("other", np.zeros(len(key), "i8"))}
-    for c in _INTS:
-        out[c] = columns[c].astype("i8") if c in columns else np.zeros(len(key), "i8")
-    for c in _FLOATS:
-        out[c] = columns[c].astype("f8") if c in columns else np.zeros(len(key))
-    return pd.DataFrame(out)
-
-
-def _count_bucket(pairs_too: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames, words, histories, counts, holders, docs, times, trained_docs = [], [], [], [], [], [], [], []
-        for base, meta, train, data in zip(pdf["base"], pdf["meta"], pdf["train"], pdf["data"]):
-            flags = np.frombuffer(train, dtype="u1").astype(bool)
-            if meta:
-                n = len(flags)
-                ids = np.frombuffer(data, dtype="<i8", count=n)
-                null = np.frombuffer(data, dtype="u1", offset=8 * n)
-                frames.append(_frame("m", base + np.arange(n), other=ids, n_known=null, n_tokens=~flags))
-                continue
-            w, per_word, names, where, count, holding, d, t = _unblob(data, _KINDS)
-            words.append(np.repeat(w, per_word))
-            histories.append(names[where])
-            counts.append(count)
-            holders.append(holding)
-            docs.append(d.astype(np.int64) + base)
-            trained_docs.append(flags[d])
-            times.append(t)
-        if words:
-            frames += _merge(*map(np.concatenate, (words, histories, counts, holders, docs, times, trained_docs)), pairs_too)
-        return pd.concat(frames, ignore_index=True)
+_TYPES = pa.schema(
+    [("kind", pa.string()), ("key", pa.int64()), ("other", pa.int64())]
+    + [(c, pa.int64()) for c in _INTS]
+    + [(c, pa.float64()) for c in _FLOATS]
+)
+OUT_ROWS = 50_000
+
+
+def _rows(kind: str, key: np.ndarray, **columns):
+    """Record batches of one kind; columns that it does not use are NULL."""
+    for at in range(0, len(key), OUT_ROWS):
+        n = min(OUT_ROWS, len(key) - at)
+        arrays = []
+        for field in _TYPES:
+            if field.name == "kind":
+                arrays.append(pa.array([kind] * n, pa.string()))
+            elif field.name == "key":
+                arrays.append(pa.array(key[at : at + n].astype("i8")))
+            elif field.name in columns:
+                dtype = "f8" if field.type == pa.float64() else "i8"
+                arrays.append(pa.array(columns[field.name][at : at + n].astype(dtype)))
+            else:
+                arrays.append(pa.nulls(n, field.type))
+        yield pa.RecordBatch.from_arrays(arrays, schema=_TYPES)
+
+
+def _count_buckets(pairs_too: bool):
+    """The buckets of a partition together: all pairs of their words are there."""
+
+    def run(batches):
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for batch in batches:
+            for base, meta, train, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                flags = np.frombuffer(train, dtype="u1").astype(bool)
+                if meta:
+                    n = len(flags)
+                    ids = np.frombuffer(data, dtype="<i8", count=n)
+                    null = np.frombuffer(data, dtype="u1", offset=8 * n)
+                    yield from _rows("m", base + np.arange(n), other=ids, n_known=null, n_tokens=~flags)
+                    continue
+                w, per_word, names, where, count, holding, d, t = _unblob(data, _KINDS)
+                found = (np.repeat(w, per_word), names[where], count, holding, d.astype(np.int64) + base, t)
+                for column, values in zip(columns, found, strict=True):
+                    column.append(values)
+        if columns[0]:
+            yield from _merge(*(np.concatenate(c) for c in columns), pairs_too)
 
     return run
 
 
-def _merge(words, histories, counts, holders, docs, times, trained, pairs_too: bool) -> list[pd.DataFrame]:
+def _merge(words, histories, counts, holders, docs, times, pairs_too: bool):
     order = np.lexsort((histories, words))
     w, h, c = words[order], histories[order], counts[order].astype(np.int64)
     starts = _starts(w, h)
@@ -222,7 +236,6 @@ def _merge(words, histories, counts, holders, docs, times, trained, pairs_too: b
     kind = np.repeat(type_of, holders)
     times = times.astype(np.int64)
 
-    frames = []
     seen = pair_count > 0
     known = word_count > 0
     totals = {f"seen{r}": np.array([(pair_count == r).sum()]) for r in range(1, K + 1)}
@@ -230,7 +243,7 @@ def _merge(words, histories, counts, holders, docs, times, trained, pairs_too: b
     totals |= {"n_tail": np.array([(pair_count == K + 1).sum()]), "n_unknown_unseen": np.array([(word_count == K + 1).sum()])}
     totals |= {"n_tokens": np.array([word_count.sum()]), "n_known": np.array([known.sum()])}
     totals |= {"sum_word": np.array([(word_count > K).sum()])}
-    frames.append(_frame("s", np.zeros(1), **totals))
+    yield from _rows("s", np.zeros(1), **totals)
 
     # Histories: counts of counts of the pairs seen after them, and of those pairs' words.
     names, at = np.unique(ph[seen], return_inverse=True)
@@ -240,9 +253,9 @@ def _merge(words, histories, counts, holders, docs, times, trained, pairs_too: b
     columns |= {f"word{r}": _sum(at[swc == r], n) for r in range(1, K + 1)}
     columns |= {"n_tail": _sum(at[sc > K], n), "n_tokens": _sum(at, n, sc), "n_unknown_unseen": _sum(at[swc > K], n)}
     columns |= {"sum_word": _sum(at[swc > K], n, swc[swc > K])}
-    frames.append(_frame("h", names.view(np.int64), **columns))
+    yield from _rows("h", names.view(np.int64), **columns)
     if pairs_too:
-        frames.append(_frame("p", ph[seen].view(np.int64), other=pw[seen].view(np.int64), n_tokens=sc))
+        yield from _rows("p", ph[seen].view(np.int64), other=pw[seen].view(np.int64), n_tokens=sc)
 
     # Documents.
     own, at = np.unique(docs, return_inverse=True)
@@ -263,10 +276,9 @@ def _merge(words, histories, counts, holders, docs, times, trained, pairs_too: b
     columns["seen_log"] = _sum(at[is_seen], n, times[is_seen] * np.log10(ec[is_seen] - np.where(ec[is_seen] > K, TAIL, 0.0)))
     pick = ~is_seen & is_known
     columns["unseen_log"] = _sum(at[pick], n, times[pick] * np.log10(ewc[pick] - np.where(ewc[pick] > K, TAIL, 0.0)))
-    frames.append(_frame("d", own, **columns))
+    yield from _rows("d", own, **columns)
     pick = ~is_seen
-    frames.append(_frame("u", ph[kind[pick]].view(np.int64), other=docs[pick], n_tokens=times[pick]))
-    return frames
+    yield from _rows("u", ph[kind[pick]].view(np.int64), other=docs[pick], n_tokens=times[pick])
 
 
 def discounts(counts_of_counts: list[int]) -> list[float]:
@@ -311,7 +323,7 @@ def katz_scores(
     train = crc32_remainder(doc_id, modulus) != held_out
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), train.alias("train"), text_or_empty(text).alias("text"))
     packed = rows.mapInArrow(_pack(buckets), "bucket int, base long, meta boolean, train binary, data binary")
-    parts = stage_table(packed.groupBy("bucket").applyInPandas(_count_bucket(pairs), _SCHEMA), "katz")
+    parts = stage_table(packed.repartition(buckets, "bucket").mapInArrow(_count_buckets(pairs), _SCHEMA), "katz")
 
     s = parts.filter("kind = 's'").agg(*[F.sum(c).alias(c) for c in [*_INTS, "sum_word"]]).first()
     n_pairs = [s[c] or 0 for c in _CLASSES] + [s["n_tail"] or 0]
@@ -321,7 +333,7 @@ def katz_scores(
     total = max(tokens, 1)
     unknown = (sum((1 - d) * r * n_words[r - 1] for r, d in enumerate(word_d, 1)) + TAIL * tail_words) / total if tokens else 1.0
 
-    summed = parts.filter("kind = 'h'").groupBy("key").agg(*[F.sum(c).alias(c) for c in [*_INTS, "sum_word"]])
+    summed = parts.filter("kind = 'h'").groupBy("key").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_INTS, "sum_word"]])
     left = _weighted(_CLASSES, [(1 - d) * r for r, d in enumerate(pair_d, 1)]) + TAIL * F.col("n_tail")
     lower = _weighted(_UNSEEN, [d * r for r, d in enumerate(word_d, 1)]) + F.col("sum_word") - TAIL * F.col("n_unknown_unseen")
     histories = summed.select(
@@ -337,7 +349,7 @@ def katz_scores(
     )
     # The start counts as a history of every document.
     starts = histories.filter(F.col("history") == int(START)).agg(F.max("count")).first()[0] or 0
-    sums = [F.sum(c).alias(c) for c in [*_INTS, *_FLOATS]]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_INTS, *_FLOATS]]
     documents = parts.filter("kind = 'd'").groupBy(F.col("key").alias("row")).agg(*sums)
     backed = unseen.groupBy("row").agg(F.sum("backed").alias("backed"))
     own = parts.filter("kind = 'm'").select(
