@@ -41,7 +41,9 @@ from pipekit.llm.common import crc32_remainder, hash_words, mix64, stage_table,
 K = 5
 TAIL = 0.01
 END, START = np.uint64(1), np.uint64(2)
-BATCH_TOKENS = 3_000_000
+BATCH_TOKENS = 1_500_000
+#: Unpacked bytes that a task works on at once.
+SLICE_BYTES = 24 << 20
 
 _CLASSES = [f"seen{r}" for r in range(1, K + 1)]
 _UNSEEN = [f"word{r}" for r in range(1, K + 1)]
@@ -123,12 +125,12 @@ def _pack(buckets: int):
 
         base = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, train_flags, texts = (batch.column(i).to_pylist() for i in range(3))
+            ids, train_flags, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             at = 0
             while at < len(texts):
                 parts, lengths, size, first = [], [], 0, at
                 while at < len(texts) and size < BATCH_TOKENS:
-                    h = hash_words(ascii_lower_words(texts[at]))
+                    h = hash_words(ascii_lower_words(texts[at].as_py()))
                     parts.append(h | np.uint64(4))  # 0 to 3 are not words
                     lengths.append(len(h) + 1)
                     size += len(h) + 1
@@ -155,7 +157,7 @@ def _pack(buckets: int):
                         pa.array([b for b, _ in rows] + [meta], pa.int32()),
                         pa.array([base] * (len(rows) + 1), pa.int64()),
                         pa.array([False] * len(rows) + [True], pa.bool_()),
-                        pa.array([train.astype("u1").tobytes()] * (len(rows) + 1), pa.binary()),
+                        pa.array([b""] * len(rows) + [train.astype("u1").tobytes()], pa.binary()),
                         pa.array([x for _, x in rows] + [own.tobytes() + null.tobytes()], pa.binary()),
                     ],
                     names=["bucket", "base", "meta", "train", "data"],
@@ -195,31 +197,77 @@ def _rows(kind: str, key: np.ndarray, **columns):
         yield pa.RecordBatch.from_arrays(arrays, schema=_TYPES)
 
 
+class _Sums:
+    """Sums by key, added slice by slice."""
+
+    def __init__(self) -> None:
+        self.keys = np.empty(0, np.int64)
+        self.ints = np.empty((0, len(_INTS)), np.int32)
+        self.floats = np.empty((0, len(_FLOATS)))
+
+    def add(self, keys: np.ndarray, columns: dict[str, np.ndarray]) -> None:
+        """``keys`` are unique."""
+        old = len(self.keys)
+        self.keys, where = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
+        for names, name in ((_INTS, "ints"), (_FLOATS, "floats")):
+            before = getattr(self, name)
+            after = np.zeros((len(self.keys), len(names)), before.dtype)
+            after[where[:old]] = before
+            for i, column in enumerate(names):
+                if column in columns:
+                    after[where[old:], i] += columns[column].astype(before.dtype)
+            setattr(self, name, after)
+
+    def rows(self, kind: str):
+        columns = {c: self.ints[:, i] for i, c in enumerate(_INTS)} | {c: self.floats[:, i] for i, c in enumerate(_FLOATS)}
+        yield from _rows(kind, self.keys, **{c: v for c, v in columns.items() if v.any()})
+
+
+def _slice(data: bytes, base: int, lowest: int, highest: int) -> list[np.ndarray]:
+    """The pairs of a blob whose words lie in a range of hashes (blobs are in the order of their words)."""
+    w, per_word, names, where, count, holding, d, t = _unblob(data, _KINDS)
+    i, j = np.searchsorted(w, np.uint64(lowest)), np.searchsorted(w, np.uint64(highest), "right")
+    pair_ends, holder_ends = (np.append(0, np.cumsum(x.astype(np.int64))) for x in (per_word, holding))
+    p, q = pair_ends[i], pair_ends[j]
+    a, b = holder_ends[p], holder_ends[q]
+    return [np.repeat(w[i:j], per_word[i:j]), names[where[p:q]], count[p:q], holding[p:q], d[a:b].astype(np.int64) + base, t[a:b]]
+
+
 def _count_buckets(pairs_too: bool):
-    """The buckets of a partition together: all pairs of their words are there."""
+    """The buckets of a partition together: all pairs of their words are there.  They are counted in ranges of word
+    hashes, so that a task's memory does not grow with its share."""
 
     def run(batches):
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        blobs: list[tuple[int, bytes]] = []
+        size = 0
         for batch in batches:
-            for base, meta, train, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                flags = np.frombuffer(train, dtype="u1").astype(bool)
+            for i in range(batch.num_rows):
+                base, meta, data = (batch.column(k)[i].as_py() for k in (1, 2, 4))
                 if meta:
+                    flags = np.frombuffer(batch.column(3)[i].as_py(), dtype="u1").astype(bool)
                     n = len(flags)
                     ids = np.frombuffer(data, dtype="<i8", count=n)
                     null = np.frombuffer(data, dtype="u1", offset=8 * n)
                     yield from _rows("m", base + np.arange(n), other=ids, n_known=null, n_tokens=~flags)
-                    continue
-                w, per_word, names, where, count, holding, d, t = _unblob(data, _KINDS)
-                found = (np.repeat(w, per_word), names[where], count, holding, d.astype(np.int64) + base, t)
-                for column, values in zip(columns, found, strict=True):
-                    column.append(values)
-        if columns[0]:
-            yield from _merge(*(np.concatenate(c) for c in columns), pairs_too)
+                else:
+                    blobs.append((base, data))
+                    size += sum(struct.unpack_from("<8Q", data))
+        documents, histories = _Sums(), _Sums()
+        slices = max(1, -(-size // SLICE_BYTES)) if blobs else 0
+        for k in range(slices):
+            lowest, highest = (k << 64) // slices, ((k + 1 << 64) // slices) - 1
+            found = [_slice(data, base, lowest, highest) for base, data in blobs]
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            del found
+            if len(columns[0]):
+                yield from _merge(*columns, pairs_too, documents, histories)
+        yield from documents.rows("d")
+        yield from histories.rows("h")
 
     return run
 
 
-def _merge(words, histories, counts, holders, docs, times, pairs_too: bool):
+def _merge(words, histories, counts, holders, docs, times, pairs_too: bool, documents: _Sums, history_sums: _Sums):
     order = np.lexsort((histories, words))
     w, h, c = words[order], histories[order], counts[order].astype(np.int64)
     starts = _starts(w, h)
@@ -253,7 +301,7 @@ def _merge(words, histories, counts, holders, docs, times, pairs_too: bool):
     columns |= {f"word{r}": _sum(at[swc == r], n) for r in range(1, K + 1)}
     columns |= {"n_tail": _sum(at[sc > K], n), "n_tokens": _sum(at, n, sc), "n_unknown_unseen": _sum(at[swc > K], n)}
     columns |= {"sum_word": _sum(at[swc > K], n, swc[swc > K])}
-    yield from _rows("h", names.view(np.int64), **columns)
+    history_sums.add(names.view(np.int64), columns)
     if pairs_too:
         yield from _rows("p", ph[seen].view(np.int64), other=pw[seen].view(np.int64), n_tokens=sc)
 
@@ -276,7 +324,7 @@ def _merge(words, histories, counts, holders, docs, times, pairs_too: bool):
     columns["seen_log"] = _sum(at[is_seen], n, times[is_seen] * np.log10(ec[is_seen] - np.where(ec[is_seen] > K, TAIL, 0.0)))
     pick = ~is_seen & is_known
     columns["unseen_log"] = _sum(at[pick], n, times[pick] * np.log10(ewc[pick] - np.where(ewc[pick] > K, TAIL, 0.0)))
-    yield from _rows("d", own, **columns)
+    documents.add(own, columns)
     pick = ~is_seen
     yield from _rows("u", ph[kind[pick]].view(np.int64), other=docs[pick], n_tokens=times[pick])
 
