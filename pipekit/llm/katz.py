@@ -41,9 +41,9 @@ from pipekit.llm.common import crc32_remainder, hash_words, mix64, stage_table,
 K = 5
 TAIL = 0.01
 END, START = np.uint64(1), np.uint64(2)
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
 #: Unpacked bytes that a task works on at once.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 12 << 20
 
 _CLASSES = [f"seen{r}" for r in range(1, K + 1)]
 _UNSEEN = [f"word{r}" for r in range(1, K + 1)]
@@ -176,7 +176,7 @@ _TYPES = pa.schema(
     + [(c, pa.int64()) for c in _INTS]
     + [(c, pa.float64()) for c in _FLOATS]
 )
-OUT_ROWS = 50_000
+OUT_ROWS = 20_000
 
 
 def _rows(kind: str, key: np.ndarray, **columns):

@@ -11,8 +11,8 @@ documents agree in it with a probability equal to their weighted Jaccard likenes
 every component is expected to be hit, and further if one is not.
 
 Links: bands of ``rows`` components make buckets.  In each bucket the members meet one hub, pairs are verified by exact
-multiset overlap, and components are formed.  Buckets whose members are still in several components go on with twice as
-many hubs a round, each against members of other components only, until every such pair has been tested.  So a group of copies costs one
+multiset overlap, and components are formed.  Buckets whose members are still in several components go on with four times
+as many hubs a round, each against members of other components only, until every such pair has been tested.  So a group of copies costs one
 pair a member, and no candidate is left out.  A pair at the limit shares no band with probability
 ``(1 - similarity ** rows) ** bands`` (3e-5); nothing else is lost.
 
@@ -32,6 +32,8 @@ from pipekit.llm.common import SHINGLE_WORDS, SIMILARITY, content_key, hash_word
 
 BANDS = 26
 ROWS = 5
+#: Each round takes this many times the hubs of the last.
+GROWTH = 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,6 +192,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: components of the components that they join."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
+        labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b"
+    )
+    edges = stage_table(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b").distinct(), "links")
+    touched = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    lower = components(touched, edges).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    new = labels.join(lower, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return stage_table(new, "labels")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -239,11 +253,11 @@ def near_duplicates(
         mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         left = stage_table(marked.join(mixed.select("bucket"), "bucket"), "mixed")
         largest = left.agg(F.max("members")).first()[0]
-        if largest is None or share / 2 >= largest:
+        if largest is None or share / GROWTH >= largest:
             break
         # Members draw a place in (0, 1]; this round's hubs are those between last round's share of the bucket and this one's.
         place = (F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
-        before = F.lit(share / 2 if share > 1 else 0.0) / F.col("members")
+        before = F.lit(share / GROWTH if share > 1 else 0.0) / F.col("members")
         hubs = left.filter((place > before) & (place <= F.lit(share) / F.col("members"))).select(
             "bucket", F.col("node").alias("hub_node"), F.col("label").alias("hub_label")
         )
@@ -255,9 +269,8 @@ def near_duplicates(
         )
         found = _linked(pairs, bags, similarity)
         if found.take(1):
-            edges = stage_table(edges.union(found), "links")
-            labels = components(involved, edges)
-        share *= 2
+            labels = _joined(labels, found)
+        share *= GROWTH
 
     # Classes: of multisets, then of rows.
     of_node = nodes.select("m1", "m2", "node").join(labels, "node", "left")

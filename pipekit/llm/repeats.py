@@ -267,12 +267,16 @@ def remove_repeats(
     opened = T.StructType(result.fields + _spark_fields(_OPEN))
     keyed = docs.select(*carry, text_or_empty(text).alias("_text"), *content_key(text))
     digits = stage_table(
-        keyed.select("k1", "k2", F.col("_text")).mapInArrow(
-            _digest_runs(threshold), "k1 long, k2 long, core array<long>, cover array<long>"
-        ),
+        keyed.select("k1", "k2", F.col("_text"))
+        .mapInArrow(_digest_runs(threshold), "k1 long, k2 long, core array<long>, cover array<long>")
+        .withColumn("_row", F.monotonically_increasing_id()),
         "runs",
     )
-    marks = stage_table(_marks(digits, ["k1", "k2"]), "run-marks")
+    # Equal texts have equal marks; the content key brings them back to their texts.
+    of_rows = digits.select("_row", "k1", "k2").join(_marks(digits, ["_row"]), "_row")
+    marks = stage_table(
+        of_rows.groupBy("k1", "k2").agg(F.first("_equal").alias("_equal"), F.first("_mixed").alias("_mixed")), "run-marks"
+    )
     marked = (
         keyed.join(marks, ["k1", "k2"], "left")
         .select(*carry, "_text", "_equal", "_mixed")
