@@ -197,20 +197,21 @@ def _mark_runs(threshold: int, carried: int, with_text: bool):
     return run
 
 
-def _mark_blocks(threshold: int, carried: int):
-    """Columns: carried, data, low, high, first, last, equal blocks, mixed blocks."""
+def _mark_blocks(threshold: int):
+    """Columns: row, data, low, high, first, last, equal blocks, mixed blocks."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            columns = [batch.column(i).to_pylist() for i in range(carried, carried + 7)]
+            lows, highs, starts, cores = [], [], [], []
+            columns = [batch.column(i).to_pylist() for i in range(1, 8)]
             for data, low, high, first, last, equal, mixed in zip(*columns, strict=True):
-                low, high = low + [first[i] for i in equal or ()], high + [last[i] for i in equal or ()]
+                lows.append(low + [first[i] for i in equal or ()])
+                highs.append(high + [last[i] for i in equal or ()])
                 windows = [p for i in sorted(mixed or ()) for p in range(first[i], last[i] + 1)]
-                core = _signed([xxhash.xxh3_64_intdigest(data[p : p + threshold]) for p in windows])
-                cover = _signed([xxhash.xxh3_64_intdigest(data[p : p + threshold], 1) for p in windows])
-                rows.append((len(data), None, None, None, None, data, low, high, windows, windows, core, cover))
-            yield _emit(batch, carried, rows, _OPEN)
+                starts.append(windows)
+                cores.append(_signed([xxhash.xxh3_64_intdigest(data[p : p + threshold]) for p in windows]))
+            arrays = [pa.array(lows, _INTS), pa.array(highs, _INTS), pa.array(starts, _INTS), pa.array(cores, _LONGS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["_row", "_low", "_high", "_first", "core"])
 
     return run
 
@@ -288,14 +289,17 @@ def remove_repeats(
     blocks = open_rows.select("_row", F.col("_core").alias("core"), F.col("_cover").alias("cover"))
     second = stage_table(
         open_rows.join(_marks(blocks, ["_row"]), "_row", "left")
-        .select(*carry, "_data", "_low", "_high", "_first", "_last", "_equal", "_mixed")
-        .mapInArrow(_mark_blocks(threshold, len(carry)), opened)
-        .withColumn("_row", F.monotonically_increasing_id()),
+        .select("_row", "_data", "_low", "_high", "_first", "_last", "_equal", "_mixed")
+        .mapInArrow(_mark_blocks(threshold), "_row long, _low array<int>, _high array<int>, _first array<int>, core array<long>"),
         "windows",
     )
-    windows = second.select("_row", F.col("_core").alias("core"), F.col("_cover").alias("cover"))
+    windows = second.select("_row", F.posexplode("core").alias("place", "core"))
+    repeated = windows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    again = windows.join(repeated, "core").groupBy("_row").agg(F.collect_list("place").alias("_equal"))
     last = (
-        second.join(_marks(windows, ["_row"]), "_row", "left")
+        open_rows.select("_row", *carry, "_data")
+        .join(second.select("_row", "_low", "_high", "_first"), "_row")
+        .join(again, "_row", "left")
         .select(*carry, "_data", "_low", "_high", "_first", "_equal")
         .mapInArrow(_mark_windows(threshold, len(carry), with_text), result)
     )
