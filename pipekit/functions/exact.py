@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def exact_sum(value: Column, scale: int = 4) -> Column:
-    """Sum in fixed point, returned as double.  Floating addition is not associative, so a plain double
-    sum changes in the last digits with the number of partitions; a decimal sum never does."""
-    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
+    """Sum rounded at the end, as double.  Floating addition is not associative, so a plain sum changes in its last
+    digits with the number of partitions; values themselves are neither rounded nor bounded."""
+    return F.round(F.sum(value.cast("double")), scale)
 
 
 def rate(part: Column, whole: Column) -> Column:

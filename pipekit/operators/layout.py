@@ -34,10 +34,11 @@ def compact(
 
     An unpartitioned table needs no shuffle: the scan packs small files into splits of the target size,
     and every split is written as one file.  A partitioned table is rebalanced by its partition columns;
-    AQE then joins small partitions and splits large ones.
+    AQE then joins small partitions and splits large ones.  The files' schemas are merged, so a column that
+    only later files have stays.
     """
     if partition_by:
-        rows = spark.read.parquet(path).hint("rebalance", *partition_by)
+        rows = spark.read.option("mergeSchema", True).parquet(path).hint("rebalance", *partition_by)
         rows.write.partitionBy(*partition_by).parquet(out)
         return
     packing = spark.newSession()  # same executors, own settings: the caller's, but for the packing of splits
@@ -47,7 +48,7 @@ def compact(
     packing.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
     packing.conf.set("spark.sql.files.minPartitionNum", "1")
     packing.conf.set("spark.sql.files.openCostInBytes", "0")
-    packing.read.parquet(path).write.parquet(out)
+    packing.read.option("mergeSchema", True).parquet(path).write.parquet(out)
 
 
 def quantile_cuts(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[Column]]:
@@ -138,9 +139,13 @@ def archive_split(df: DataFrame, cold: str | Column) -> DataFrame:
 def write_branches(df: DataFrame, column: str, path: str, names: Sequence[str]) -> dict[str, str]:
     """Writes the rows of every branch (a tier, a route, valid or quarantined) to a folder of its own, in one
     pass over the input and without a shuffle; returns branch name to path.  Each named branch can be read
-    afterwards, also one that got no rows."""
-    df.write.partitionBy(column).parquet(path)
-    folders = {name: f"{path}/{column}={name}" for name in names}
+    afterwards, also one that got no rows.  A row of no named branch stops the job."""
+    unlisted = F.raise_error(F.concat(F.lit("no branch is named "), F.coalesce(F.col(column).cast("string"), F.lit("NULL"))))
+    number = unlisted.cast("int")  # folders carry numbers: names may hold what a path cannot
+    for i, name in reversed(list(enumerate(names))):
+        number = F.when(F.col(column) == name, F.lit(i)).otherwise(number)
+    df.withColumn("_branch", number).drop(column).write.partitionBy("_branch").parquet(path)
+    folders = {name: f"{path}/_branch={i}" for i, name in enumerate(names)}
     body = df.drop(column)
     for folder in folders.values():
         body.limit(0).write.mode("append").parquet(folder)  # an empty branch still has a folder and a schema

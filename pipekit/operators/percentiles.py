@@ -22,13 +22,13 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentile
     First a mergeable sketch per group brackets every wanted percentile.  Then each task counts the values
     below a bracket as one number and the values inside it one by one, both combined before the shuffle;
     only the inside of a bracket, about a thousandth of the group, is ranked together.  If a bracket ever
-    missed its rank the job would stop rather than return a neighbour.
+    missed its rank the job would stop rather than return a neighbour.  NaN counts as missing.
     """
     if not keys:
         raise ValueError("give at least one key; a constant column makes the whole frame one group")
     names = list(percentiles)
     marks = [min(max(percentiles[name] + side * MARGIN, 0.0), 1.0) for name in names for side in (-1, 1)]
-    numbers = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    numbers = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     sketch = numbers.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")
     )

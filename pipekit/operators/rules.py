@@ -224,10 +224,16 @@ def is_clean(df: DataFrame, rules: Sequence[QualityRule]) -> bool:
 
 
 def quality_gate(df: DataFrame, rules: Sequence[QualityRule]) -> DataFrame:
-    """One row: whether every rule has zero failures, and the first rule in list order that has some."""
-    counted = df.agg(*_counters(rules))
+    """One row: whether every rule has zero failures, and the first rule in list order that has some or
+    cannot be planned."""
+    sound, broken = _split_by_analysis(df, rules)
+    counted = df.agg(*_counters(sound))
+    place = {id(rule): i for i, rule in enumerate(sound)}
     first = F.coalesce(
-        *[F.when(F.col(f"_failed_{i}") > 0, F.lit(rule.name)) for i, rule in enumerate(rules)],
+        *[
+            F.lit(rule.name) if rule.name in broken else F.when(F.col(f"_failed_{place[id(rule)]}") > 0, F.lit(rule.name))
+            for rule in rules
+        ],
         F.lit(None).cast("string"),
     )
     return counted.select(first.isNull().alias("passed"), first.alias("first_failed_rule"))

@@ -27,7 +27,7 @@ def recovery_time(
     Copies of a run are first counted, with partial counts per task.  Then the log is cut into ranges of
     (pipeline, time), so one busy pipeline spreads over many tasks.  Within a slice a running minimum finds
     the next success; a failure without one in its slice takes the first success of a later slice, for
-    which a few numbers per pipeline and slice are enough.
+    which a few numbers per pipeline and slice are enough.  Runs without a time are left out.
     """
     spark = runs.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -36,7 +36,7 @@ def recovery_time(
         F.unix_micros(F.col(time_column).cast("timestamp")).alias("_us"),
         F.coalesce(ok, F.lit(False)).alias("_ok"),
         F.col(tie_breaker).alias("_tie"),
-    )
+    ).filter(F.col("_us").isNotNull())
     counted = log.groupBy(pipeline, "_us", "_tie", "_ok").agg(F.count(F.lit(1)).alias("_copies"))
     sliced = counted.repartitionByRange(slices, pipeline, "_us", "_tie").withColumn("_slice", F.spark_partition_id())
     # Newest first, so the frame of later runs grows row by row instead of being recomputed.

@@ -89,6 +89,7 @@ def run_simple(
     writer.write(processed, destination)
 
 
+# The default names below are those of the ready-made flow.
 def standard_flow(
     source: Source,
     store: TableStore,

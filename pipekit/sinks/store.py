@@ -43,13 +43,24 @@ class TableStore:
         return f"{root}/{name.replace('.', '/')}/v-{uuid.uuid4().hex}"
 
     def stage(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> str:
-        """Writes the frame as an unpublished version; returns its path."""
+        """Writes the frame as an unpublished version; returns its path.  A published table's own partition
+        columns hold; others are refused."""
+        partition_by = self._layout(name, partition_by)
         path = self.version_path(name)
         rows = df.hint("rebalance", *partition_by) if partition_by else df
         writer = rows.write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return path
 
+    def _layout(self, name: str, partition_by: Sequence[str] = ()) -> list[str]:
+        """The partition columns of a version: the table's, if there is one."""
+        if not self.spark.catalog.tableExists(name):
+            return list(partition_by)
+        own = [c.name for c in self.spark.catalog.listColumns(name) if c.isPartition]
+        if partition_by and list(partition_by) != own:
+            raise ValueError(f"{name} is partitioned by {own}, not by {list(partition_by)}")
+        return own
+
     def read_stage(self, path: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(path)
 
@@ -58,6 +69,7 @@ class TableStore:
         columns moves in one step; otherwise its entry is made anew, and it is absent for a moment."""
         spark = self.spark
         known = spark.catalog.tableExists(name)
+        partition_by = self._layout(name, partition_by)
         if known and spark.catalog.getTable(name).tableType != "EXTERNAL":
             raise ValueError(f"{name} is not an external table; publishing would drop its files")
         if known and not partition_by and _same_columns(spark.table(name).schema, schema):
@@ -77,14 +89,27 @@ class TableStore:
         """Stages and publishes in one step, without an audit.  The frame may read the table itself."""
         self.publish(name, self.stage(df, name, partition_by), df.schema, partition_by)
 
-    def append_evolving(self, df: DataFrame, name: str) -> None:
-        """Appends by column name; columns the table lacks are added to it first.  Only the new rows are
-        written: older files simply have no such column and read as NULL."""
-        existing = self.spark.table(name).schema
-        new = [f for f in df.schema.fields if f.name not in existing.names]
+    def optimize(self, name: str) -> int:
+        """Rewrites a named table as few files, checks the number of rows and publishes; returns that number."""
+        table = self.spark.table(name)
+        path = self.stage(table if self._layout(name) else table.hint("rebalance"), name)
+        rows, written = table.count(), self.read_stage(path, table.schema).count()
+        if rows != written:
+            raise RuntimeError(f"{name} has {rows} rows, its compacted version {written}; the old version stays")
+        self.publish(name, path, table.schema)
+        return rows
+
+    def _add_columns(self, name: str, schema: T.StructType) -> None:
+        existing = self.spark.table(name).schema.names
+        new = [f for f in schema.fields if f.name not in existing]
         if new:
             added = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
             self.spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({added})")
+
+    def append_evolving(self, df: DataFrame, name: str) -> None:
+        """Appends by column name; columns the table lacks are added to it first.  Only the new rows are
+        written: older files simply have no such column and read as NULL."""
+        self._add_columns(name, df.schema)
         types = {f.name: f.dataType for f in self.spark.table(name).schema.fields}
         rows = df.select(
             *[
@@ -96,7 +121,7 @@ class TableStore:
         self.spark.catalog.refreshTable(name)
 
     def upsert(self, name: str, source: DataFrame, rule: MergeRule) -> MergeStats:
-        """Merges changes into an unpartitioned table and publishes the result.
+        """Merges changes into a table, rewriting all of it, and publishes the result.
 
         The action of every row is stored beside it in the version's files, outside the table's column
         list, so the statistics are read from one tiny column of what was written, and stay right when
@@ -119,9 +144,15 @@ class TableStore:
         outside = [column for column in partition_by if column not in rule.keys]
         if outside:
             raise ValueError(f"partition columns {outside} are not merge keys: a row could change partition")
+        if list(partition_by) != self._layout(name):
+            raise ValueError(f"{name} is partitioned by {self._layout(name)}, not by {list(partition_by)}")
+        if rule.evolve:
+            self._add_columns(name, source.schema)
         target = self.spark.table(name)
         as_text = [F.col(column).cast("string").alias(f"_{column}") for column in partition_by]
         touched = source.select(*as_text).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
+        if any(value == "" for row in touched for value in row):
+            raise ValueError("a partition value is the empty text, which a folder cannot name")
         if len(touched) > MAX_TOUCHED_PARTITIONS or any(value is None for row in touched for value in row):
             # The bound (or a NULL partition value) only decides how much is rewritten, never which rows count.
             plan = merge_plan(target, source, rule)

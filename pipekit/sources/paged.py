@@ -23,9 +23,9 @@ def read_pages(
     spark: SparkSession, path: str, entity_schema: T.StructType | str, multi_line: bool = True
 ) -> DataFrame:
     """Landed pages, one per file or (``multi_line=False``) one per line; the schema is given, so no pass over
-    the files is spent on inferring it."""
+    the files is spent on inferring it.  A page that is broken or does not fit the schema stops the job."""
     entity = entity_schema.simpleString() if isinstance(entity_schema, T.StructType) else f"struct<{entity_schema}>"
-    pages = spark.read.schema(f"value array<{entity}>").option("multiLine", multi_line).json(path)
+    pages = spark.read.schema(f"value array<{entity}>").option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     return explode_pages(pages)
 
 
@@ -55,6 +55,8 @@ class _PageReader(DataSourceReader):
                 request.add_header("Authorization", self.authorization)
             with urlopen(request, timeout=self.timeout) as reply:
                 document = json.load(reply)
+            if page == self.first_page + self.pages - 1 and document.get("@odata.nextLink"):
+                raise ValueError(f"page {page} is the last one asked for, but the service has more; raise pages")
             for entity in document["value"]:
                 yield page, json.dumps(entity)
 

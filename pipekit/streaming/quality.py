@@ -31,9 +31,14 @@ def expect_stream(stream: DataFrame, rules: Sequence[QualityRule], on_violation:
 
 
 def stream_metrics(query: StreamingQuery) -> dict[str, int]:
-    """Counters summed over the micro-batches that the query still remembers."""
+    """Counters summed over all micro-batches.  The query remembers a limited number of them
+    (``spark.sql.streaming.numRecentProgressUpdates``); if any is gone this raises instead of counting less."""
     totals: dict[str, int] = {}
-    for progress in query.recentProgress:
+    remembered = query.recentProgress
+    ids = {progress.batchId for progress in remembered}
+    if missing := set(range(max(ids, default=-1) + 1)) - ids:
+        raise RuntimeError(f"{len(missing)} micro-batches are no longer remembered, the first is {min(missing)}")
+    for progress in remembered:
         row = progress.observedMetrics.get(METRICS_NAME)
         for name, value in (row.asDict() if row else {}).items():
             totals[name] = totals.get(name, 0) + value

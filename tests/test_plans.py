@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pipekit.operators.merge import ALWAYS, MergeRule, upsert
 from pipekit.operators.runlog import recovery_time
+from pipekit.plans.registry import QUERIES
 
 
 @pytest.fixture
@@ -21,7 +22,7 @@ def no_broadcast(spark):
 WRITES = {"batch_publish", "incremental_publish", "cdc_apply", "lineage_downstream", "paged_entities"}
 LAZY = sorted(
     name
-    for name in entry.queries()
+    for name in QUERIES
     if name not in WRITES
     and not name.startswith(("stream_", "compact", "zorder", "write_", "archive", "table_", "create_", "path_"))
     and name not in {"upsert_partitions", "upsert_table_stats"}

@@ -72,7 +72,7 @@ def _write_pages(folder):
     folder.mkdir()
     for page in range(5):
         entities = [{"id": page * 10 + i, "name": f"n{i}"} for i in range(3)]
-        (folder / f"page-{page}.json").write_text(json.dumps({"value": entities, "@odata.nextLink": f"p{page + 1}"}))
+        (folder / f"page-{page}.json").write_text(json.dumps({"value": entities, "@odata.nextLink": f"p{page + 1}"} if page < 4 else {"value": entities}))
     return folder
 
 
