@@ -11,9 +11,11 @@ documents agree in it with a probability equal to their weighted Jaccard likenes
 every component is expected to be hit, and further if one is not.
 
 Links: bands of ``rows`` components make buckets.  In each bucket the members meet one hub, pairs are verified by exact
-multiset overlap, and components are formed.  Buckets whose members are still in several components go on with four times
-as many hubs a round, each against members of other components only, until every such pair has been tested.  So a group of copies costs one
-pair a member, and no candidate is left out.  A pair at the limit shares no band with probability
+multiset overlap, and components are formed.  Buckets whose members are still in several components go on with eight times
+as many hubs a round, each against members of other components only, until every such pair has been tested once.  Before their multisets are
+fetched, pairs must pass a bound: counts summed into ``BINS`` bins can only overlap more than the multisets do.  So a group of copies costs one
+pair a member, and no candidate is left out.  Between rounds labels take two steps towards their components, which only
+saves pairs; whole components of all links are formed at the end.  A pair at the limit shares no band with probability
 ``(1 - similarity ** rows) ** bands`` (3e-5); nothing else is lost.
 
 Equal multisets are one node from the start.  Text is shuffled once, for the documents that are in a bucket with others.
@@ -33,7 +35,9 @@ from pipekit.llm.common import SHINGLE_WORDS, SIMILARITY, content_key, hash_word
 BANDS = 26
 ROWS = 5
 #: Each round takes this many times the hubs of the last.
-GROWTH = 4
+GROWTH = 8
+#: Bins of the overlap bound; multisets with over 255 shingles in one are tested without it.
+BINS = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,16 +144,37 @@ def _sign(bands: int, rows: int):
 def _bags(batches):
     for batch in batches:
         found = [shingles(t) for t in batch.column(1).to_pylist()]
+        binned = [np.bincount((e % np.uint64(BINS)).astype(np.int64), weights=c, minlength=BINS) for e, c in found]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array([e.view(np.int64) for e, _ in found], _LONGS),
                 pa.array([c.astype(np.int32) for _, c in found], _INTS),
+                pa.array([x.astype("u1").tobytes() if x.max() < 256 else None for x in binned], pa.binary()),
             ],
-            names=["node", "elements", "counts"],
+            names=["node", "elements", "counts", "bins"],
         )
 
 
+def _bound(similarity: float):
+    """The pairs whose multisets may be alike enough."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            both = np.flatnonzero(np.array(batch.column(2).is_valid()) & np.array(batch.column(3).is_valid()))
+            x, y = (
+                np.frombuffer(b"".join(batch.column(i).take(pa.array(both)).to_pylist()), dtype="u1").reshape(len(both), BINS)
+                for i in (2, 3)
+            )
+            common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            keep[both] = common >= similarity * (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - common) - 1e-9
+            kept = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def _verify(similarity: float):
     def run(batches):
         for batch in batches:
@@ -173,10 +198,12 @@ def _linked(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     return stage_table(both.mapInArrow(_verify(similarity), "a long, b long"), "links")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each component, by neighbours' minima and pointer jumping."""
+def components(nodes: DataFrame, edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """(node, label): the smallest node of each component, by neighbours' minima and pointer jumping.  With ``steps``, a
+    label may still be above the smallest; equal labels are in one component all the same."""
     both = stage_table(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = stage_table(nodes.select("node", F.col("node").alias("label")), "labels")
+    done = 0
     while True:
         offered = both.join(labels, F.col("a") == F.col("node")).groupBy("b").agg(F.min("label").alias("offer"))
         better = labels.join(offered, F.col("node") == F.col("b"), "left").select(
@@ -188,18 +215,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         staged = stage_table(jumped, "labels")
         labels = staged.select("node", "label")
-        if not staged.filter("moved").take(1):
+        done += 1
+        if done == steps or not staged.filter("moved").take(1):
             return labels
 
 
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame, links: DataFrame, steps: int | None = None) -> DataFrame:
     """The labels after more links: components of the components that they join."""
     ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
         labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b"
     )
     edges = stage_table(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b").distinct(), "links")
     touched = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    lower = components(touched, edges).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    lower = components(touched, edges, steps).select(F.col("node").alias("label"), F.col("label").alias("lower"))
     new = labels.join(lower, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
     return stage_table(new, "labels")
 
@@ -241,36 +269,49 @@ def near_duplicates(
     texts = keyed.join(nodes.join(involved, "node").select("k1", "k2", "node"), ["k1", "k2"])
     bags = stage_table(
         texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(
-            _bags, "node long, elements array<long>, counts array<int>"
+            _bags, "node long, elements array<long>, counts array<int>, bins binary"
         ),
         "bags",
     )
     edges = _linked(shared.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), bags, similarity)
     labels = components(involved, edges)
+    links = None
+    left = shared.select("bucket", "node", "members")
     share = 1.0
     while True:
-        marked = shared.join(labels, "node")
+        marked = left.select("bucket", "node", "members").join(labels, "node")
         mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         left = stage_table(marked.join(mixed.select("bucket"), "bucket"), "mixed")
         largest = left.agg(F.max("members")).first()[0]
         if largest is None or share / GROWTH >= largest:
             break
         # Members draw a place in (0, 1]; this round's hubs are those between last round's share of the bucket and this one's.
+        # Earlier hubs have met everyone; two hubs of a round meet once.
         place = (F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
         before = F.lit(share / GROWTH if share > 1 else 0.0) / F.col("members")
-        hubs = left.filter((place > before) & (place <= F.lit(share) / F.col("members"))).select(
-            "bucket", F.col("node").alias("hub_node"), F.col("label").alias("hub_label")
+        due = (
+            left.filter(place > before)
+            .withColumn("is_hub", place <= F.lit(share) / F.col("members"))
+            .join(bags.select("node", "bins"), "node")
+            .select("bucket", "node", "label", "is_hub", "bins")
+        )
+        hubs = due.filter("is_hub").select(
+            "bucket", F.col("node").alias("hub_node"), F.col("label").alias("hub_label"), F.col("bins").alias("hub_bins")
         )
         pairs = (
-            left.join(hubs, "bucket")
-            .filter("label <> hub_label")
-            .select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"))
+            due.join(hubs, "bucket")
+            .filter("label <> hub_label AND (NOT is_hub OR node < hub_node)")
+            .select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"), "bins", "hub_bins")
+            .mapInArrow(_bound(similarity), "a long, b long")
             .distinct()
         )
         found = _linked(pairs, bags, similarity)
         if found.take(1):
-            labels = _joined(labels, found)
+            labels = _joined(labels, found, steps=2)
+            links = found if links is None else links.union(found)
         share *= GROWTH
+    if links is not None:
+        labels = _joined(labels, links)
 
     # Classes: of multisets, then of rows.
     of_node = nodes.select("m1", "m2", "node").join(labels, "node", "left")
