@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 
@@ -174,6 +175,28 @@ def test_bag_minhash_is_unbiased():
     assert abs(np.mean(errors)) < 0.01
 
 
+def test_overlap_bound_loses_no_pair():
+    rng, texts = random.Random(5), [None, "", "same " * 3000]  # the last has over 255 shingles in one bin
+    for _ in range(40):
+        t = rng.choices(WORDS, k=rng.choice([3, 60, 400]))
+        other = [w if rng.random() < 0.97 else rng.choice(WORDS) for w in t]
+        texts += [" ".join(t), " ".join(other)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["node", "text"])
+    (bags,) = near_duplicates._bags([batch])
+    bins = bags.column(3).to_pylist()
+    assert bins[2] is None
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    columns = [pa.array(c) for c in zip(*pairs)] + [pa.array([bins[p[k]] for p in pairs], pa.binary()) for k in (0, 1)]
+    asked = pa.RecordBatch.from_arrays(columns, names=["a", "b", "x", "y"])
+    (kept,) = near_duplicates._bound(0.8)([asked])
+    kept = set(zip(*(c.to_pylist() for c in kept.columns)))
+    found = [near_duplicates.shingles(t) for t in texts]
+    alike = {(i, j) for i, j in pairs if len(found[i][0]) and len(found[j][0]) and near_duplicates.overlap(*found[i], *found[j]) >= 0.8}
+    assert alike and alike <= kept and len(kept) < len(pairs)
+    (none,) = near_duplicates._bound(0.8)([asked.slice(0, 0)])
+    assert none.num_rows == 0
+
+
 def brute_classes(rows):
     bags = [near_duplicates.shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
