@@ -11,12 +11,13 @@ documents agree in it with a probability equal to their weighted Jaccard likenes
 every component is expected to be hit, and further if one is not.
 
 Links: bands of ``rows`` components make buckets.  In each bucket the members meet one hub, pairs are verified by exact
-multiset overlap, and components are formed.  Buckets whose members are still in several components go on with eight times
-as many hubs a round, each against members of other components only, until every such pair has been tested once.  Before their multisets are
-fetched, pairs must pass a bound: counts summed into ``BINS`` bins can only overlap more than the multisets do.  So a group of copies costs one
-pair a member, and no candidate is left out.  Between rounds labels take two steps towards their components, which only
-saves pairs; whole components of all links are formed at the end.  A pair at the limit shares no band with probability
-``(1 - similarity ** rows) ** bands`` (3e-5); nothing else is lost.
+multiset overlap, and components are formed.  Buckets whose members are still in several components go on with ``GROWTH``
+times as many hubs a round, each against members of other components only, until every such pair has been tested once.
+A round cuts a bucket into tiles of about ``TILE`` members by ``TILE`` hubs; a task holds one tile and gives out only the
+pairs that pass a bound: counts summed into ``BINS`` bins can only overlap more than the multisets do.  So a group of
+copies costs one pair a member, no candidate is left out, and no pair is a row before it has passed.  Between rounds labels
+take two steps towards their components, which only saves pairs; whole components of all links are formed at the end.  A
+pair at the limit shares no band with probability ``(1 - similarity ** rows) ** bands`` (3e-5); nothing else is lost.
 
 Equal multisets are one node from the start.  Text is shuffled once, for the documents that are in a bucket with others.
 NULL texts and texts without words are classes of their own.  Repeated rows are in one class.  Extra columns are ignored.
@@ -35,7 +36,9 @@ from pipekit.llm.common import SHINGLE_WORDS, SIMILARITY, content_key, hash_word
 BANDS = 26
 ROWS = 5
 #: Each round takes this many times the hubs of the last.
-GROWTH = 8
+GROWTH = 64
+#: Members, and hubs, of a tile.
+TILE = 2048
 #: Bins of the overlap bound; multisets with over 255 shingles in one are tested without it.
 BINS = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -156,25 +159,97 @@ def _bags(batches):
         )
 
 
+_LANES = np.uint64(0x00FF00FF00FF00FF)
+
+
+def _common(bins: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Overlap of each row of bins with one other row; four 16-bit lanes of a word are added at once."""
+    least = np.minimum(bins, other).view(np.uint64)
+    with np.errstate(over="ignore"):
+        lanes = ((least & _LANES) + ((least >> np.uint64(8)) & _LANES)).sum(axis=1)
+        low, high = lanes & np.uint64(0x0000FFFF0000FFFF), (lanes >> np.uint64(16)) & np.uint64(0x0000FFFF0000FFFF)
+        both = low + high
+        return ((both & np.uint64(0xFFFFFFFF)) + (both >> np.uint64(32))).astype(np.int64)
+
+
+def _tile_pairs(node, label, is_hub, as_hub, valid, bins, totals, similarity: float):
+    """Pairs of a tile's members and hubs, of different labels, whose multisets may be alike enough."""
+    mine = np.flatnonzero(~as_hub)
+    order = mine[np.argsort(totals[mine], kind="stable")]  # alike multisets have alike sizes
+    sizes, loose = totals[order[valid[order]]], order[~valid[order]]
+    order = order[valid[order]]
+    for h in np.flatnonzero(as_hub):
+        if valid[h]:
+            lo = np.searchsorted(sizes, similarity * totals[h] - 1e-6)
+            hi = np.searchsorted(sizes, totals[h] / similarity + 1e-6, "right")
+            near = order[lo:hi]
+        else:
+            near = order
+        near = near[(label[near] != label[h]) & (~is_hub[near] | (node[near] < node[h]))]
+        if valid[h] and len(near):
+            common = _common(bins[near], bins[h])
+            near = near[common >= similarity * (totals[near] + totals[h] - common) - 1e-9]
+        more = loose[(label[loose] != label[h]) & (~is_hub[loose] | (node[loose] < node[h]))] if len(loose) else loose
+        near = np.concatenate((near, more))
+        if len(near):
+            yield np.minimum(node[near], node[h]), np.maximum(node[near], node[h])
+
+
 def _bound(similarity: float):
-    """The pairs whose multisets may be alike enough."""
+    """The pairs of tiles that may be alike enough.  Rows come sorted by tile; one tile is held at a time."""
+
+    def tile(rows: pa.Table):
+        node, label, is_hub, as_hub = (rows.column(i).to_numpy() for i in range(3, 7))
+        valid = rows.column(7).is_valid().to_numpy()
+        blank = bytes(BINS)
+        bins = np.frombuffer(b"".join(x or blank for x in rows.column(7).to_pylist()), dtype="u1").reshape(-1, BINS)
+        totals = bins.sum(axis=1, dtype=np.int64)
+        yield from _tile_pairs(node, label, is_hub, as_hub, valid, bins, totals, similarity)
+
+    def pairs(rows: pa.Table):
+        found = list(tile(rows.combine_chunks()))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
+        held, key = [], None
         for batch in batches:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            both = np.flatnonzero(np.array(batch.column(2).is_valid()) & np.array(batch.column(3).is_valid()))
-            x, y = (
-                np.frombuffer(b"".join(batch.column(i).take(pa.array(both)).to_pylist()), dtype="u1").reshape(len(both), BINS)
-                for i in (2, 3)
-            )
-            common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            keep[both] = common >= similarity * (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - common) - 1e-9
-            kept = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), batch.num_rows]
+            for at, until in zip(cuts, cuts[1:], strict=False):
+                own = tuple(keys[at].tolist())
+                if own != key and held:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                key = own
+                held.append(batch.slice(at, until - at))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
 
     return run
 
 
+def _tiled_pairs(due: DataFrame, bags: DataFrame, share: float, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of a round: ``due`` has bucket, node, label, members and is_hub."""
+    m_blocks = F.ceil(F.col("members") / F.lit(float(TILE))).cast("int")
+    h_blocks = F.ceil(F.least(F.col("members").cast("double"), F.lit(share)) / F.lit(float(TILE))).cast("int")
+    place = F.xxhash64("node")
+    member = due.select(
+        "bucket", F.pmod(place, m_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), h_blocks - 1)).alias("j"),
+        "node", "label", "is_hub", F.lit(False).alias("as_hub"),
+    )
+    hub = due.filter("is_hub").select(
+        "bucket", F.explode(F.sequence(F.lit(0), m_blocks - 1)).alias("i"), F.pmod(place, h_blocks).cast("int").alias("j"),
+        "node", "label", "is_hub", F.lit(True).alias("as_hub"),
+    )
+    rows = member.unionByName(hub).join(bags.select("node", "bins"), "node")
+    tiles = rows.select("bucket", "i", "j", "node", "label", "is_hub", "as_hub", "bins").repartition("bucket", "i", "j")
+    return tiles.sortWithinPartitions("bucket", "i", "j").mapInArrow(_bound(similarity), "a long, b long").distinct()
+
+
 def _verify(similarity: float):
     def run(batches):
         for batch in batches:
@@ -277,39 +352,24 @@ def near_duplicates(
     labels = components(involved, edges)
     links = None
     left = shared.select("bucket", "node", "members")
-    share = 1.0
+    share, before = float(GROWTH), 0.0
     while True:
         marked = left.select("bucket", "node", "members").join(labels, "node")
         mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         left = stage_table(marked.join(mixed.select("bucket"), "bucket"), "mixed")
         largest = left.agg(F.max("members")).first()[0]
-        if largest is None or share / GROWTH >= largest:
+        if largest is None or before >= largest:
             break
         # Members draw a place in (0, 1]; this round's hubs are those between last round's share of the bucket and this one's.
         # Earlier hubs have met everyone; two hubs of a round meet once.
         place = (F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
-        before = F.lit(share / GROWTH if share > 1 else 0.0) / F.col("members")
-        due = (
-            left.filter(place > before)
-            .withColumn("is_hub", place <= F.lit(share) / F.col("members"))
-            .join(bags.select("node", "bins"), "node")
-            .select("bucket", "node", "label", "is_hub", "bins")
-        )
-        hubs = due.filter("is_hub").select(
-            "bucket", F.col("node").alias("hub_node"), F.col("label").alias("hub_label"), F.col("bins").alias("hub_bins")
-        )
-        pairs = (
-            due.join(hubs, "bucket")
-            .filter("label <> hub_label AND (NOT is_hub OR node < hub_node)")
-            .select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"), "bins", "hub_bins")
-            .mapInArrow(_bound(similarity), "a long, b long")
-            .distinct()
-        )
+        due = left.filter(place > F.lit(before) / F.col("members")).withColumn("is_hub", place <= F.lit(share) / F.col("members"))
+        pairs = _tiled_pairs(due, bags, share, similarity)
         found = _linked(pairs, bags, similarity)
         if found.take(1):
             labels = _joined(labels, found, steps=2)
             links = found if links is None else links.union(found)
-        share *= GROWTH
+        share, before = share * GROWTH, share
     if links is not None:
         labels = _joined(labels, links)
 

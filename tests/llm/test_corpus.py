@@ -186,15 +186,24 @@ def test_overlap_bound_loses_no_pair():
     bins = bags.column(3).to_pylist()
     assert bins[2] is None
     pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
-    columns = [pa.array(c) for c in zip(*pairs)] + [pa.array([bins[p[k]] for p in pairs], pa.binary()) for k in (0, 1)]
-    asked = pa.RecordBatch.from_arrays(columns, names=["a", "b", "x", "y"])
-    (kept,) = near_duplicates._bound(0.8)([asked])
-    kept = set(zip(*(c.to_pylist() for c in kept.columns)))
+    n = len(texts)
+    hubs = [i % 3 > 0 for i in range(n)]  # in the second tile only some are hubs
+    rows = []
+    for tile, is_hub in ((1, [True] * n), (2, hubs)):
+        rows += [(tile, 0, 0, i, i, is_hub[i], False, bins[i]) for i in range(n)]
+        rows += [(tile, 0, 0, i, i, True, True, bins[i]) for i in range(n) if is_hub[i]]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+    asked = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list("abcdefgh"))
+    pieces = [asked.slice(at, 37) for at in range(0, len(rows), 37)]  # tiles go over batches
+    first, second = near_duplicates._bound(0.8)(iter(pieces))
+    kept, some = ({(b, a) for a, b in zip(*(c.to_pylist() for c in x.columns))} for x in (first, second))
+    assert len(kept) == first.num_rows and some == {(i, j) for i, j in kept if hubs[i] or hubs[j]}
     found = [near_duplicates.shingles(t) for t in texts]
     alike = {(i, j) for i, j in pairs if len(found[i][0]) and len(found[j][0]) and near_duplicates.overlap(*found[i], *found[j]) >= 0.8}
     assert alike and alike <= kept and len(kept) < len(pairs)
-    (none,) = near_duplicates._bound(0.8)([asked.slice(0, 0)])
-    assert none.num_rows == 0
+    assert not list(near_duplicates._bound(0.8)([asked.slice(0, 0)]))
+    same = pa.RecordBatch.from_arrays([*asked.columns[:4], pa.array([7] * len(rows)), *asked.columns[5:]], names=list("abcdefgh"))
+    assert not list(near_duplicates._bound(0.8)([same]))  # one component: nothing left to test
 
 
 def brute_classes(rows):
@@ -214,7 +223,10 @@ def brute_classes(rows):
     return [find(i) for i in range(len(rows))]
 
 
-def test_near_duplicates_equal_brute_force(spark, odd):
+@pytest.mark.parametrize("growth, tile", [(near_duplicates.GROWTH, near_duplicates.TILE), (3, 5)])
+def test_near_duplicates_equal_brute_force(spark, odd, monkeypatch, growth, tile):
+    monkeypatch.setattr(near_duplicates, "GROWTH", growth)
+    monkeypatch.setattr(near_duplicates, "TILE", tile)
     rng = random.Random(2)
     base = [rng.choices(WORDS, k=200) for _ in range(6)]
     rows = []
