@@ -59,9 +59,36 @@ def shingles(text: str | None, width: int = SHINGLE_WORDS) -> tuple[np.ndarray,
     return np.unique(s, return_counts=True)
 
 
-def signature(elements: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """BagMinHash values of a non-empty multiset."""
-    keys, limits, lows, lengths = [elements], [counts], [np.zeros(len(counts))], [np.ones(len(counts))]
+#: Elements and expected points that are worked on at once.
+CHUNK_POINTS = 200_000
+
+
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """BagMinHash values of non-empty multisets, a row each."""
+    out = np.empty((len(bags), size), np.uint64)
+    expected = size * (np.log(size) + 4.0)
+    due = np.arange(len(bags))
+    until = np.array([expected / counts.sum() for _, counts in bags])
+    while len(due):
+        load = np.cumsum([len(bags[i][0]) + expected for i in due])
+        missed = []
+        for part in np.split(due, np.flatnonzero(np.diff(load // CHUNK_POINTS)) + 1):
+            values, whole = _earliest([bags[i] for i in part], until[part], size)
+            out[part] = values
+            missed.append(part[~whole])
+        due = np.concatenate(missed)
+        until[due] *= 2
+        expected *= 2
+    return out
+
+
+def _earliest(bags, until: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Name of the earliest point of each component of each multiset; whether all of its components had one."""
+    elements = np.concatenate([e for e, _ in bags])
+    counts = np.concatenate([c for _, c in bags])
+    owners = np.repeat(np.arange(len(bags)), [len(e) for e, _ in bags])
+    keys, limits, lows, owned = [elements], [counts], [np.zeros(len(counts))], [owners]
+    lengths = [np.ones(len(counts))]
     level = 1
     while True:  # weight interval [level, 2 * level) of the elements that reach into it
         into = counts > level
@@ -70,23 +97,21 @@ def signature(elements: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray
         with np.errstate(over="ignore"):
             keys.append(mix64(elements[into] + np.uint64(level) * _GOLDEN))
         limits.append(counts[into])
+        owned.append(owners[into])
         lows.append(np.full(into.sum(), float(level)))
         lengths.append(np.full(into.sum(), float(level)))
         level *= 2
-    key, limit, low, length = map(np.concatenate, (keys, limits, lows, lengths))
-    until = size * (np.log(size) + 4.0) / counts.sum()
-    while True:
-        found = _points(key, limit, low, length, size, until)
-        order = np.lexsort((found[1], found[0]))
-        component = found[0][order]
-        first = np.append(True, component[1:] != component[:-1]) if len(component) else np.zeros(0, bool)
-        if first.sum() == size:
-            return found[2][order][first]
-        until *= 2
+    slots, times, names = _points(*map(np.concatenate, (keys, limits, lows, lengths, owned)), size, until)
+    late_first = np.argsort(times, kind="stable")[::-1]
+    out = np.zeros(len(bags) * size, np.uint64)
+    hit = np.zeros(len(bags) * size, bool)
+    out[slots[late_first]] = names[late_first]  # the earliest is written last
+    hit[slots] = True
+    return out.reshape(-1, size), hit.reshape(-1, size).all(axis=1)
 
 
-def _points(key, limit, low, length, size: int, until: float):
-    """Component, time and name of the accepted points up to a time."""
+def _points(key, limit, low, length, owner, size: int, until: np.ndarray):
+    """Component (of all multisets in a row), time and name of the accepted points up to each multiset's time."""
     components, times, names = [], [], []
     t = np.zeros(len(key))
     step = np.uint64(0)
@@ -95,22 +120,29 @@ def _points(key, limit, low, length, size: int, until: float):
             step += np.uint64(1)
             h = mix64(key + step * _GOLDEN)
             t = t - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / length
-            go = t < until
-            key, limit, low, length, t, h = key[go], limit[go], low[go], length[go], t[go], h[go]
+            go = t < until[owner]
+            key, limit, low, length, owner, t, h = key[go], limit[go], low[go], length[go], owner[go], t[go], h[go]
             name = mix64(h ^ _GOLDEN)
             inside = np.floor(low + length * ((name >> np.uint64(40)).astype(np.float64) * 2.0**-24)) < limit
-            components.append((((name & np.uint64(0xFFFFFFFF)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)[inside])
+            component = (((name & np.uint64(0xFFFFFFFF)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+            components.append((owner * size + component)[inside])
             times.append(t[inside])
             names.append(name[inside])
     return np.concatenate(components), np.concatenate(times), np.concatenate(names)
 
 
+def signature(elements: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """BagMinHash values of a non-empty multiset."""
+    return signatures([(elements, counts)], size)[0]
+
+
 def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
-    rows = values.reshape(bands, -1)
+    """Bucket keys of signatures, a row each."""
+    rows = values.reshape(len(values), bands, values.shape[1] // bands)
     with np.errstate(over="ignore"):
-        out = np.arange(1, bands + 1, dtype=np.uint64)
-        for i in range(rows.shape[1]):
-            out = mix64(out * _GOLDEN + rows[:, i])
+        out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(values), 1))
+        for i in range(rows.shape[2]):
+            out = mix64(out * _GOLDEN + rows[:, :, i])
     return out.view(np.int64)
 
 
@@ -127,15 +159,22 @@ _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 def _sign(bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            first, second, keys = [], [], []
-            for text in batch.column(3).to_pylist():
-                elements, counts = shingles(text)
-                if not len(elements):
-                    first.append(None), second.append(None), keys.append(None)
-                    continue
-                digest = xxhash.xxh3_128_digest(elements.tobytes() + counts.tobytes())
-                a, b = np.frombuffer(digest, dtype="<i8").tolist()
-                first.append(a), second.append(b), keys.append(band_keys(signature(elements, counts, bands * rows), bands))
+            digests, keys, texts, at = [], [], batch.column(3), 0
+            while at < batch.num_rows:
+                own, first, load = {}, at, 0  # equal multisets are signed once
+                while at < batch.num_rows and load < CHUNK_POINTS:
+                    elements, counts = shingles(texts[at].as_py())
+                    load += len(elements)
+                    digests.append(xxhash.xxh3_128_digest(elements.tobytes() + counts.tobytes()) if len(elements) else None)
+                    if len(elements):
+                        own[digests[-1]] = (elements, counts)
+                    at += 1
+                signed = band_keys(signatures(list(own.values()), bands * rows), bands)
+                of = dict(zip(own, signed, strict=True))
+                keys += [of.get(d) for d in digests[first:at]]
+            first, second = (
+                [None if d is None else int.from_bytes(d[k : k + 8], "little", signed=True) for d in digests] for k in (0, 8)
+            )
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, _LONGS)],
                 names=["doc_id", "k1", "k2", "m1", "m2", "bands"],
