@@ -363,16 +363,13 @@ def redress(page: list[Block], labels: list[int], rng: random.Random) -> tuple[l
 def fit(
     pages: DataFrame, *, page_html: str = "html", training_pages: int = TRAINING_PAGES, dresses: int = 4, seed: int = 7
 ) -> Chain:
-    """A chain trained on at most ``training_pages`` pages that state an article, and their other dresses."""
+    """A chain trained on at most ``training_pages`` different pages that state an article, and their other dresses."""
     stated = F.lower(F.col(page_html)).rlike("<(article|main)[ >]") & (F.length(page_html) < 30_000)
-    # The smallest content hashes: a bounded sample that does not depend on the order of the rows.
-    rows = (
-        pages.filter(stated)
-        .select(F.xxhash64(page_html).alias("h"), F.col(page_html).alias("page"))
-        .orderBy("h", "page")
-        .limit(training_pages)
-        .collect()
-    )
+    # The smallest content hashes: a bounded sample that does not depend on the order of the rows.  Copies of a page share
+    # one hash and are one page; narrow rows are ranked, and only the chosen pages leave their tasks, once each.
+    hashed = pages.filter(stated).select(F.xxhash64(page_html).alias("h"), F.col(page_html).alias("page"))
+    chosen = [row.h for row in hashed.select("h").distinct().orderBy("h").limit(training_pages).collect()]
+    rows = sorted(hashed.filter(F.col("h").isin(chosen)).dropDuplicates(["h"]).collect(), key=lambda r: r.h) if chosen else []
     rng = random.Random(seed)
     examples = []
     for row in rows:

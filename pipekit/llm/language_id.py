@@ -4,8 +4,9 @@ Each language has a raw-content zstandard dictionary, cut from a bounded sample
 text is compressed in segments with every dictionary; the language with the fewest bytes wins.  Segments keep a long text
 from becoming its own dictionary, so the whole text takes part with equal weight.
 
-``fit`` takes at most ``texts_per_language`` texts of a language, those with the smallest content hashes, and
-``dictionary_bytes`` of them in equal shares: these two parameters bound what reaches the driver.
+``fit`` takes at most ``texts_per_language`` different texts of a language, those with the smallest content hashes, and
+``dictionary_bytes`` of them: these two parameters bound what reaches the driver.  Copies of a text count once.  Shares
+are equal, but what a short text leaves of its share goes to longer ones, and a share is cut in pieces from all of its text.
 
 A NULL text, or one without a letter, is ``und`` with score 0.  With no learned language every text is ``und``.
 ``rejected`` marks ``und`` and texts whose two smallest sizes differ by less than ``min_margin`` of the second.
@@ -24,6 +25,8 @@ from pyspark.sql.window import Window
 
 TEXTS_PER_LANGUAGE = 400
 DICTIONARY_BYTES = 128 * 1024
+#: Least length of the pieces that a text's share is cut in.
+PIECE_BYTES = 100
 SEGMENT_BYTES = 4096
 MIN_MARGIN = 0.004
 LEVEL = 5
@@ -42,24 +45,63 @@ def fit(
     texts_per_language: int = TEXTS_PER_LANGUAGE,
     dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> dict[str, bytes]:
-    """Dictionaries by language, from a bounded sample of rows that have text and language."""
-    share = max(1, dictionary_bytes // texts_per_language)
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy("h", "piece")
-    sample = (
-        rows.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, 4 * share).alias("piece"))
-        .withColumn("n", F.row_number().over(first))
-        .filter(F.col("n") <= texts_per_language)
-        .orderBy("lang", "n")
+    """Dictionaries by language, from a bounded sample of the different texts that have a language."""
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.lower(text).alias("text")
     )
-    pieces: dict[str, list[bytes]] = {}
-    for row in sample.toLocalIterator():
-        pieces.setdefault(row.lang, []).append(row.piece.lower().encode())
-    out = {}
-    for language, texts in pieces.items():
-        each = max(share, dictionary_bytes // len(texts))
-        out[language] = b"\n".join(t[:each] for t in texts)[:dictionary_bytes]
-    return dict(sorted(out.items()))
+    # Narrow rows first: a text's copies share one hash and are one candidate.
+    texts = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("size"))
+    first = Window.partitionBy("lang").orderBy("h")
+    ranked = texts.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= texts_per_language).collect()
+    sizes: dict[str, dict[int, int]] = {}
+    for row in sorted(ranked, key=lambda r: (r.lang, r.n)):
+        sizes.setdefault(row.lang, {})[row.h] = row.size
+    shares = [(language, h, n) for language, own in sizes.items() for h, n in _shares(own, dictionary_bytes).items()]
+    if not shares:
+        return {}
+    wanted = labelled.sparkSession.createDataFrame(shares, "lang string, h long, share long")
+    pieces = rows.join(F.broadcast(wanted), ["lang", "h"]).select("lang", "h", "share", "text")
+    # A task sends a text's pieces once, and the tasks' copies meet as small rows.
+    cut = pieces.mapInArrow(_cut, "lang string, h long, data binary").dropDuplicates(["lang", "h"])
+    found = {(row.lang, row.h): bytes(row.data) for row in cut.collect()}
+    return {language: b"\n".join(found[language, h] for h in own)[:dictionary_bytes] for language, own in sorted(sizes.items())}
+
+
+def _shares(sizes: dict[int, int], total: int) -> dict[int, int]:
+    """Bytes of each text, with a line break after it: equal shares of ``total``, what short texts leave dealt to the others."""
+    out, left = {}, total
+    for i, h in enumerate(sorted(sizes, key=lambda h: (sizes[h], h))):
+        out[h] = min(sizes[h], max(1, left // (len(sizes) - i) - 1))
+        left -= out[h] + 1
+    return out
+
+
+def spread(data: bytes, share: int) -> bytes:
+    """``share`` bytes of a text, cut in pieces at equal distances from its start to its end."""
+    if len(data) <= share:
+        return data
+    n = max(1, (share + 1) // (PIECE_BYTES + 1))
+    ends = [(share - n + 1) * (i + 1) // n for i in range(n)]
+    lengths = [end - start for start, end in zip([0, *ends], ends)]
+    free = len(data) - sum(lengths)
+    starts = [end - length + free * i // max(n - 1, 1) for i, (end, length) in enumerate(zip(ends, lengths))]
+    return b"\n".join(data[start : start + length] for start, length in zip(starts, lengths))
+
+
+def _cut(batches):
+    seen: set[tuple[str, int]] = set()  # at most the sample's texts
+    for batch in batches:
+        languages, hashes, shares = (batch.column(k).to_pylist() for k in range(3))
+        found = []
+        for i, key in enumerate(zip(languages, hashes)):
+            if key not in seen:
+                seen.add(key)
+                found.append((*key, spread(batch.column(3)[i].as_py().encode(), shares[i])))
+        kinds = (pa.string(), pa.int64(), pa.binary())
+        columns = zip(*found) if found else [()] * 3
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=["lang", "h", "data"]
+        )
 
 
 @lru_cache(maxsize=2)

@@ -376,3 +376,39 @@ def test_pipeline(spark, documents):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_copies_do_not_fill_the_language_sample(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS, k=400)) for _ in range(40)]
+    # The text with the smallest hash has more copies than the sample has places.
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "xxhash64(text) h").collect()}
+    hot = min(texts, key=hashes.get)
+    df = spark.createDataFrame([(t, "xx") for t in [*texts, *[hot] * 60]], "text string, lang string")
+    found = language_id.fit(df, texts_per_language=20, dictionary_bytes=8_000)["xx"]
+    wanted = sorted(texts, key=hashes.get)[:20]
+    assert all(t[:90].encode() in found for t in wanted)
+    assert all(t[-90:].encode() in found for t in wanted)  # from all of a text
+    assert 7_900 <= len(found) <= 8_000
+    # A few texts fill the dictionary as well.
+    few = language_id.fit(df.filter(df.text.isin(wanted[:2])), dictionary_bytes=3_000)["xx"]
+    assert 2_900 <= len(few) <= 3_000
+
+
+def test_language_shares_and_pieces():
+    assert language_id._shares({1: 10, 2: 1_000, 3: 1_000}, 500) == {1: 10, 2: 243, 3: 244}
+    data = bytes(range(256)) * 10
+    for share in (1, 50, 101, 203, 1_000, 2_559):
+        assert len(language_id.spread(data, share)) == share
+    assert language_id.spread(data, 1_000).startswith(data[:50]) and language_id.spread(data, 1_000).endswith(data[-50:])
+    assert language_id.spread(data, 5_000) == data
+
+
+def test_copies_do_not_fill_the_page_sample(spark, monkeypatch):
+    pages = [f"<html><body><article><p>Text {i} stands here.</p></article></body></html>" for i in range(30)]
+    df = spark.createDataFrame([(p,) for p in [*pages, *pages[:10] * 50]], "html string")
+    seen = []
+    monkeypatch.setattr(html_text, "redress", lambda page, labels, rng: (seen.append(page[0].text), ([], []))[1])
+    monkeypatch.setattr(html_text, "train", lambda examples: examples)
+    html_text.fit(df, training_pages=20, dresses=1)
+    assert len(seen) == len(set(seen)) == 20
