@@ -19,6 +19,10 @@ is kept as counts of counts, so one pass is enough.  It leaves partitioned table
 weights follow), of documents' partial sums, and of the unseen pairs of held-out documents, which join their histories'
 weights.  Discounts come from a dozen totals.  With ``pairs=True`` the pair counts themselves are stored too.
 
+The end token, and words that a sample shows to hold more than a task's mean share of the tokens, are not dealt by word.
+Their tokens become rows of (document, pair), spread at random; Spark sums their pair counts and joins them back.  The
+sample only decides which way a word takes: counts are exact either way.
+
 NULL texts are empty: the end token alone.  Repeated rows are documents of their own.  A NULL doc_id is hashed as the
 empty text.  With no training documents nothing is known: N and V are 0 and every token has the unknown word's
 probability 1, while the base score is then log10 of 1.  Words are told apart by 64-bit hashes.  Extra columns are ignored.
@@ -49,7 +53,14 @@ _CLASSES = [f"seen{r}" for r in range(1, K + 1)]
 _UNSEEN = [f"word{r}" for r in range(1, K + 1)]
 _INTS = ["n_tokens", "n_known", "n_unknown_unseen", "n_tail", *_CLASSES, *_UNSEEN]
 _FLOATS = ["base_log", "history_log", "seen_log", "unseen_log", "sum_word"]
-#: kind: d document, h history, u unseen pair, s totals, m document's own columns, p pair.
+#: Keys whose sums a task holds before it sends them on; Spark adds the parts of a key.
+SUM_ROWS = 200_000
+#: Share of the documents that are searched for heavy words.
+SAMPLE = 1 / 16
+#: What a packed row holds.
+_PAIRS, _META, _HEAVY = 0, 1, 2
+#: kind: d document, h history, u unseen pair, s totals, m document's own columns, p pair, e heavy word in a document (key:
+#: history, other: document, n_known: word, n_tokens: times, n_tail: times in training).
 _SCHEMA = "kind string, key long, other long, " + ", ".join(f"{c} long" for c in _INTS) + ", " + ", ".join(f"{c} double" for c in _FLOATS)
 
 
@@ -119,7 +130,37 @@ def _packed(words, histories, docs, train, buckets: int):
         )
 
 
-def _pack(buckets: int):
+def _heavy_words(rows: DataFrame, buckets: int) -> np.ndarray:
+    """The end token and words that seem to hold over 1 / ``buckets`` of the tokens, at most 2 * ``buckets`` + 1."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            h = np.concatenate([hash_words(ascii_lower_words(t)) for t in texts] or [np.empty(0, np.uint64)]) | np.uint64(4)
+            words, counts = np.unique(h, return_counts=True)
+            often = counts * 2 * buckets > len(h)  # a batch names at most twice as many words as there are buckets
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(words[often].view("i8"), 0)), pa.array(np.append(counts[often], len(h) + len(texts)).astype("i8"))],
+                names=["word", "n"],
+            )
+
+    counts = rows.select("text").sample(SAMPLE, seed=1).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.col("word") == 0, F.desc("n"), "word").limit(2 * buckets).collect()
+    total = counts.filter("word = 0").agg(F.max("n")).first()[0] or 0
+    return np.array(sorted({int(END)} | {r.word % (1 << 64) for r in found if r.word and r.n * buckets > total}), dtype=np.uint64)
+
+
+def _entries(words, histories, docs, train) -> bytes:
+    """Tokens of heavy words as (word, history, document, times, times in training)."""
+    order = np.lexsort((docs, histories, words))
+    words, histories, docs = words[order], histories[order], docs[order]
+    entry = _starts(words, histories, docs)
+    times = np.diff(np.append(entry, len(words)))
+    d = docs[entry]
+    return _blob(words[entry], histories[entry], d.astype("<u4"), times.astype("<u4"), (times * train[d]).astype("<u4"))
+
+
+def _pack(buckets: int, heavy: np.ndarray):
     def run(batches):
         from pyspark import TaskContext
 
@@ -147,20 +188,23 @@ def _pack(buckets: int):
                 histories[ends - lengths + 1] = START
                 docs = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
                 train = np.array(train_flags[first:at], dtype=np.int64)
-                rows = list(_packed(words, histories, docs, train, buckets))
+                hot = np.isin(words, heavy)
+                cold = ~hot
+                rows = list(_packed(words[cold], histories[cold], docs[cold], train, buckets))
+                spread = _entries(words[hot], histories[hot], docs[hot], train)
                 own = np.array([-1 if i is None else i for i in ids[first:at]], dtype="<i8")
                 null = np.array([i is None for i in ids[first:at]], dtype="u1")
-                # The documents' own columns travel once, to any bucket.
+                # The documents' own columns and heavy words travel once, to any bucket.
                 meta = (base // (1 << 33) + first) % buckets
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([b for b, _ in rows] + [meta], pa.int32()),
-                        pa.array([base] * (len(rows) + 1), pa.int64()),
-                        pa.array([False] * len(rows) + [True], pa.bool_()),
-                        pa.array([b""] * len(rows) + [train.astype("u1").tobytes()], pa.binary()),
-                        pa.array([x for _, x in rows] + [own.tobytes() + null.tobytes()], pa.binary()),
+                        pa.array([b for b, _ in rows] + [meta, meta], pa.int32()),
+                        pa.array([base] * (len(rows) + 2), pa.int64()),
+                        pa.array([_PAIRS] * len(rows) + [_META, _HEAVY], pa.int32()),
+                        pa.array([b""] * len(rows) + [train.astype("u1").tobytes(), b""], pa.binary()),
+                        pa.array([x for _, x in rows] + [own.tobytes() + null.tobytes(), spread], pa.binary()),
                     ],
-                    names=["bucket", "base", "meta", "train", "data"],
+                    names=["bucket", "base", "holds", "train", "data"],
                 )
                 base += len(lengths)
 
@@ -198,11 +242,11 @@ def _rows(kind: str, key: np.ndarray, **columns):
 
 
 class _Sums:
-    """Sums by key, added slice by slice."""
+    """Sums by key, added slice by slice until they are sent on."""
 
     def __init__(self) -> None:
         self.keys = np.empty(0, np.int64)
-        self.ints = np.empty((0, len(_INTS)), np.int32)
+        self.ints = np.empty((0, len(_INTS)), np.int64)
         self.floats = np.empty((0, len(_FLOATS)))
 
     def add(self, keys: np.ndarray, columns: dict[str, np.ndarray]) -> None:
@@ -221,6 +265,7 @@ class _Sums:
     def rows(self, kind: str):
         columns = {c: self.ints[:, i] for i, c in enumerate(_INTS)} | {c: self.floats[:, i] for i, c in enumerate(_FLOATS)}
         yield from _rows(kind, self.keys, **{c: v for c, v in columns.items() if v.any()})
+        self.__init__()
 
 
 def _slice(data: bytes, base: int, lowest: int, highest: int) -> list[np.ndarray]:
@@ -234,33 +279,45 @@ def _slice(data: bytes, base: int, lowest: int, highest: int) -> list[np.ndarray
 
 
 def _count_buckets(pairs_too: bool):
-    """The buckets of a partition together: all pairs of their words are there.  They are counted in ranges of word
-    hashes, so that a task's memory does not grow with its share."""
+    """Bucket after bucket, as the rows are sorted: all pairs of a bucket's words are there.  They are counted in ranges of
+    word hashes, so that of a bucket only the packed rows are held as a whole.  Sums leave the task in parts."""
+
+    def count(blobs, documents, histories):
+        size = sum(sum(struct.unpack_from("<8Q", data)) for _, data in blobs)
+        slices = max(1, -(-size // SLICE_BYTES)) if blobs else 0
+        for k in range(slices):
+            lowest, highest = (k << 64) // slices, ((k + 1 << 64) // slices) - 1
+            found = [_slice(data, base, lowest, highest) for base, data in blobs]
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            del found
+            if len(columns[0]):
+                yield from _merge(*columns, pairs_too, documents, histories)
+            for kind, sums in (("d", documents), ("h", histories)):
+                if len(sums.keys) >= SUM_ROWS:
+                    yield from sums.rows(kind)
 
     def run(batches):
         blobs: list[tuple[int, bytes]] = []
-        size = 0
+        documents, histories, current = _Sums(), _Sums(), None
         for batch in batches:
             for i in range(batch.num_rows):
-                base, meta, data = (batch.column(k)[i].as_py() for k in (1, 2, 4))
-                if meta:
+                bucket, base, holds, data = (batch.column(k)[i].as_py() for k in (0, 1, 2, 4))
+                if bucket != current:
+                    yield from count(blobs, documents, histories)
+                    blobs, current = [], bucket
+                if holds == _META:
                     flags = np.frombuffer(batch.column(3)[i].as_py(), dtype="u1").astype(bool)
                     n = len(flags)
                     ids = np.frombuffer(data, dtype="<i8", count=n)
                     null = np.frombuffer(data, dtype="u1", offset=8 * n)
                     yield from _rows("m", base + np.arange(n), other=ids, n_known=null, n_tokens=~flags)
+                elif holds == _HEAVY:
+                    w, h, d, t, trained = _unblob(data, ["<u8", "<u8", "<u4", "<u4", "<u4"])
+                    rows = d.astype(np.int64) + base
+                    yield from _rows("e", h.view(np.int64), other=rows, n_known=w.view(np.int64), n_tokens=t, n_tail=trained)
                 else:
                     blobs.append((base, data))
-                    size += sum(struct.unpack_from("<8Q", data))
-        documents, histories = _Sums(), _Sums()
-        slices = max(1, -(-size // SLICE_BYTES)) if blobs else 0
-        for k in range(slices):
-            lowest, highest = (k << 64) // slices, ((k + 1 << 64) // slices) - 1
-            found = [_slice(data, base, lowest, highest) for base, data in blobs]
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-            del found
-            if len(columns[0]):
-                yield from _merge(*columns, pairs_too, documents, histories)
+        yield from count(blobs, documents, histories)
         yield from documents.rows("d")
         yield from histories.rows("h")
 
@@ -308,7 +365,7 @@ def _merge(words, histories, counts, holders, docs, times, pairs_too: bool, docu
     # Documents.
     own, at = np.unique(docs, return_inverse=True)
     n = len(own)
-    ec, ewc, end = pair_count[kind], wc[kind], pw[kind] == END
+    ec, ewc = pair_count[kind], wc[kind]  # the end token is not among them
     is_seen, is_known = ec > 0, ewc > 0
     columns = {"n_tokens": _sum(at, n, times), "n_known": _sum(at[is_known], n, times[is_known])}
     for r in range(1, K + 1):
@@ -319,8 +376,7 @@ def _merge(words, histories, counts, holders, docs, times, pairs_too: bool, docu
     columns["n_unknown_unseen"] = _sum(at[pick], n, times[pick])
     columns["n_tail"] = _sum(at[is_seen], n, times[is_seen])
     columns["base_log"] = _sum(at, n, times * np.log10(ewc + 1.0))
-    pick = is_known & ~end
-    columns["history_log"] = _sum(at[pick], n, times[pick] * np.log10(ewc[pick]))
+    columns["history_log"] = _sum(at[is_known], n, times[is_known] * np.log10(ewc[is_known]))
     columns["seen_log"] = _sum(at[is_seen], n, times[is_seen] * np.log10(ec[is_seen] - np.where(ec[is_seen] > K, TAIL, 0.0)))
     pick = ~is_seen & is_known
     columns["unseen_log"] = _sum(at[pick], n, times[pick] * np.log10(ewc[pick] - np.where(ewc[pick] > K, TAIL, 0.0)))
@@ -362,6 +418,74 @@ def _weighted(columns: list[str], values: list[float]) -> Column:
     return total
 
 
+def _of_class(columns: list[str], count: Column, value: Column) -> list[Column]:
+    return [F.sum(F.when(count == r, value).otherwise(0)).alias(c) for r, c in enumerate(columns, 1)]
+
+
+def _heavy(parts: DataFrame, buckets: int):
+    """What ``_merge`` finds, for the heavy words: totals, and frames of histories, documents, unseen pairs and pairs.
+
+    Pair counts are combined per task before they meet.  A pair with more than a task's mean share of the rows is joined
+    back by broadcast (there are fewer of them than buckets), the others by their key.
+    """
+    spark = parts.sparkSession
+    entries = parts.filter("kind = 'e'").select(
+        F.col("n_known").alias("word"), F.col("key").alias("history"), F.col("other").alias("row"), F.col("n_tokens").alias("times"), F.coalesce("n_tail", F.lit(0)).alias("trained")
+    )
+    counts = entries.groupBy("word", "history").agg(F.sum("trained").alias("c"), F.count(F.lit(1)).alias("n"))
+    counts = stage_table(counts, "katz_heavy")
+    words = counts.groupBy("word").agg(F.sum("c").alias("wc"), F.sum("n").alias("n")).collect()
+    n_entries, known = sum(r.n for r in words), [r.wc for r in words if r.wc]
+    seen_classes = [F.count_if(F.col("c") == r).alias(c) for r, c in enumerate([*_CLASSES, "n_tail"], 1)]
+    totals = counts.agg(*seen_classes).first().asDict()
+    totals |= {c: known.count(r) for r, c in enumerate([*_UNSEEN, "n_unknown_unseen"], 1)}
+    totals |= {"n_tokens": sum(known), "n_known": len(known), "sum_word": sum(c > K for c in known)}
+
+    word_counts = F.broadcast(spark.createDataFrame([(r.word, r.wc) for r in words], "word long, wc long"))
+    c, wc, times, one = F.col("c"), F.col("wc"), F.col("times"), F.lit(1)
+    histories = (
+        counts.filter("c > 0")
+        .join(word_counts, "word")
+        .groupBy(F.col("history").alias("key"))
+        .agg(
+            *_of_class(_CLASSES, c, one),
+            *_of_class(_UNSEEN, wc, one),
+            F.count_if(c > K).alias("n_tail"),
+            F.sum("c").alias("n_tokens"),
+            F.count_if(wc > K).alias("n_unknown_unseen"),
+            F.sum(F.when(wc > K, wc).otherwise(0)).cast("double").alias("sum_word"),
+        )
+    )
+
+    hot = counts.filter(F.col("n") * buckets > n_entries).select("word", "history", "c").collect()
+    hot = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], "word long, history long, c long"))
+    pair = ["word", "history"]
+    found = entries.join(hot, pair).unionByName(entries.join(hot, pair, "left_anti").join(counts.drop("n"), pair)).join(word_counts, "word")
+
+    def total(when: Column, value: Column, name: str) -> Column:
+        return F.sum(F.when(when, value).otherwise(0)).alias(name)
+
+    def discounted(x: Column) -> Column:
+        return times * F.log10(x - F.when(x > K, TAIL).otherwise(0.0))
+
+    seen, is_known = c > 0, wc > 0
+    documents = found.groupBy(F.col("row").alias("key")).agg(
+        F.sum("times").alias("n_tokens"),
+        total(is_known, times, "n_known"),
+        *_of_class(_CLASSES, c, times),
+        *_of_class(_UNSEEN, F.when(~seen, wc), times),
+        total(~seen & ~is_known, times, "n_unknown_unseen"),
+        total(seen, times, "n_tail"),
+        F.sum(times * F.log10(wc + 1.0)).alias("base_log"),
+        total(is_known & (F.col("word") != int(END)), times * F.log10("wc"), "history_log"),
+        total(seen, discounted(c), "seen_log"),
+        total(~seen & is_known, discounted(wc), "unseen_log"),
+    )
+    unseen = found.filter("c = 0").select(F.col("history").alias("key"), F.col("row").alias("other"), F.col("times").alias("n_tokens"))
+    stored = counts.filter("c > 0").select("history", "word", F.col("c").alias("count"))
+    return totals, histories, documents, unseen, stored
+
+
 def katz_scores(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, held_out: int = 2, pairs: bool = False
 ) -> KatzModel:
@@ -370,10 +494,13 @@ def katz_scores(
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     train = crc32_remainder(doc_id, modulus) != held_out
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), train.alias("train"), text_or_empty(text).alias("text"))
-    packed = rows.mapInArrow(_pack(buckets), "bucket int, base long, meta boolean, train binary, data binary")
-    parts = stage_table(packed.repartition(buckets, "bucket").mapInArrow(_count_buckets(pairs), _SCHEMA), "katz")
+    packed = rows.mapInArrow(_pack(buckets, _heavy_words(rows, buckets)), "bucket int, base long, holds int, train binary, data binary")
+    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    parts = stage_table(dealt.mapInArrow(_count_buckets(pairs), _SCHEMA), "katz")
+    heavy_totals, heavy_histories, heavy_documents, heavy_unseen, heavy_pairs = _heavy(parts, buckets)
 
-    s = parts.filter("kind = 's'").agg(*[F.sum(c).alias(c) for c in [*_INTS, "sum_word"]]).first()
+    s = parts.filter("kind = 's'").agg(*[F.sum(c).alias(c) for c in [*_INTS, "sum_word"]]).first().asDict()
+    s = {c: (n or 0) + heavy_totals.get(c, 0) for c, n in s.items()}
     n_pairs = [s[c] or 0 for c in _CLASSES] + [s["n_tail"] or 0]
     n_words = [s[c] or 0 for c in _UNSEEN] + [s["n_unknown_unseen"] or 0]
     tokens, types, tail_words = s["n_tokens"] or 0, s["n_known"] or 0, s["sum_word"] or 0
@@ -381,7 +508,7 @@ def katz_scores(
     total = max(tokens, 1)
     unknown = (sum((1 - d) * r * n_words[r - 1] for r, d in enumerate(word_d, 1)) + TAIL * tail_words) / total if tokens else 1.0
 
-    summed = parts.filter("kind = 'h'").groupBy("key").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_INTS, "sum_word"]])
+    summed = parts.filter("kind = 'h'").unionByName(heavy_histories, True).groupBy("key").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_INTS, "sum_word"]])
     left = _weighted(_CLASSES, [(1 - d) * r for r, d in enumerate(pair_d, 1)]) + TAIL * F.col("n_tail")
     lower = _weighted(_UNSEEN, [d * r for r, d in enumerate(word_d, 1)]) + F.col("sum_word") - TAIL * F.col("n_unknown_unseen")
     histories = summed.select(
@@ -391,6 +518,7 @@ def katz_scores(
     )
     unseen = (
         parts.filter("kind = 'u'")
+        .unionByName(heavy_unseen, True)
         .select(F.col("key").alias("history"), F.col("other").alias("row"), "n_tokens")
         .join(histories, "history")
         .select("row", (F.col("n_tokens") * (F.log10("count") + F.log10("backoff"))).alias("backed"))
@@ -398,7 +526,7 @@ def katz_scores(
     # The start counts as a history of every document.
     starts = histories.filter(F.col("history") == int(START)).agg(F.max("count")).first()[0] or 0
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_INTS, *_FLOATS]]
-    documents = parts.filter("kind = 'd'").groupBy(F.col("key").alias("row")).agg(*sums)
+    documents = parts.filter("kind = 'd'").unionByName(heavy_documents, True).groupBy(F.col("key").alias("row")).agg(*sums)
     backed = unseen.groupBy("row").agg(F.sum("backed").alias("backed"))
     own = parts.filter("kind = 'm'").select(
         F.col("key").alias("row"), F.when(F.col("n_known") == 0, F.col("other")).alias("doc_id"), (F.col("n_tokens") != 0).alias("held_out")
@@ -430,4 +558,5 @@ def katz_scores(
     stored = parts.filter("kind = 'p'").select(
         F.col("key").alias("history"), F.col("other").alias("word"), F.col("n_tokens").alias("count")
     )
+    stored = stored.unionByName(heavy_pairs) if pairs else stored
     return KatzModel(scores, histories, stored, pair_d, word_d, unknown, tokens, types)

@@ -412,3 +412,37 @@ def test_copies_do_not_fill_the_page_sample(spark, monkeypatch):
     monkeypatch.setattr(html_text, "train", lambda examples: examples)
     html_text.fit(df, training_pages=20, dresses=1)
     assert len(seen) == len(set(seen)) == 20
+
+
+def test_katz_splits_heavy_words(spark, monkeypatch):
+    """A word with a third of all tokens and the end token are spread; parts of sums are added by Spark."""
+    monkeypatch.setattr(katz, "SUM_ROWS", 50)
+    monkeypatch.setattr(katz, "SLICE_BYTES", 2_000)
+    monkeypatch.setattr(katz, "SAMPLE", 0.5)
+    staged, stage = {}, katz.stage_table
+    monkeypatch.setattr(katz, "stage_table", lambda df, tag: staged.setdefault(tag, stage(df, tag)))
+    rng = random.Random(9)
+    texts = [" ".join("hot" if rng.random() < 0.4 else rng.choice(WORDS[:60]) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    df = make(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(4)
+    model = katz.katz_scores(df, pairs=True)
+    got = Counter(
+        (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in model.scores.collect()
+    )
+    assert sum((got - brute_katz(list(enumerate(texts)))).values()) <= 2
+    heavy = {r.n_known for r in staged["katz"].filter("kind = 'e'").select("n_known").distinct().collect()}
+    hot = int(katz.hash_words([b"hot"])[0] | np.uint64(4))
+    assert heavy == {int(katz.END), hot - (1 << 64) * (hot >> 63)}
+    # No task holds the sums of all documents.
+    assert staged["katz"].filter("kind = 'd'").groupBy("key").count().agg({"count": "max"}).first()[0] > 4
+    want = Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            want.update(zip(["<s>", *t.split()], [*t.split(), None]))
+    assert sorted(want.values()) == sorted(r["count"] for r in model.pairs.collect())
+
+
+def test_katz_sums_are_64_bits_wide():
+    sums = katz._Sums()
+    for _ in range(3):
+        sums.add(np.array([7]), {"n_tokens": np.array([2**31 - 1])})
+    assert sums.ints[0, 0] == 3 * (2**31 - 1)
