@@ -39,13 +39,13 @@ def daily_revenue(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Orders, lines and net revenue per order date.  Lines are summed per order before the join."""
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     per_order = lineitem.groupBy("l_orderkey").agg(
-        F.sum(net.cast("decimal(18,4)")).alias("_net"), F.count(F.lit(1)).alias("_lines")
+        F.sum(net.cast("double")).alias("_net"), F.count(F.lit(1)).alias("_lines")
     )
     joined = orders.select("o_orderkey", "o_orderdate").join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.groupBy(F.to_date("o_orderdate").alias("order_date")).agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.sum("_lines").alias("n_lines"),
-        F.sum("_net").cast("double").alias("revenue"),
+        exact_sum(F.col("_net"), 4).alias("revenue"),
     )
 
 
