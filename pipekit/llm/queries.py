@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipekit.llm import html_text, katz, language_id, line_frequency, mixing, near_duplicates, packing, piecewise_hash, repeats, token_cache
+from pipekit.llm import bpe_tree, html_text, katz, language_id, line_frequency, mixing, near_duplicates, packing, piecewise_hash, repeats, token_cache
 from pipekit.llm.common import crc32_remainder
 from pipekit.sources.tables import read_table
 
@@ -76,3 +76,8 @@ def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.filter(remainder != 0))
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query
+def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.encode_documents(read_table(spark, sf_dir, "documents"), WORD_BPE)
