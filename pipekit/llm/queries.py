@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipekit.llm import bpe_tree, html_text, katz, language_id, line_frequency, mixing, near_duplicates, packing, piecewise_hash, repeats, token_cache
+from pipekit.llm import alignment, bpe_tree, html_text, katz, language_id, line_frequency, mixing, near_duplicates, packing, piecewise_hash, repeats, spelling, token_cache
 from pipekit.llm.common import crc32_remainder
 from pipekit.sources.tables import read_table
 
@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -78,6 +79,16 @@ def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+@query
+def op11_edit_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_documents(read_table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query
+def op13_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read_table(spark, sf_dir, "documents"), BYTE_RANKS, PIECE_MODEL)
