@@ -25,6 +25,17 @@ def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
     return F.when(value.isNull(), F.lit(0)).otherwise(pick(0, len(cuts)))
 
 
+def rank_bucket(value: Column, cuts: Column, bits: int) -> Column:
+    """Number of cut points at or below the value, 0 for NULL: a binary search in the ascending array ``cuts`` of at most
+    ``2**bits - 1`` points of the value's own type.  ``bits`` comparisons a row, for any number of cuts."""
+
+    def step(found: Column, weight: Column) -> Column:
+        # Past the end there is no point: the comparison is NULL, and the search goes on below.
+        return F.when(F.get(cuts, found + weight - 1) <= value, found + weight).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)]), F.lit(0), step)
+
+
 def interleave_bits(buckets: Sequence[Column], bits: int) -> Column:
     """Morton code: bit i of column c goes to position i * len(buckets) + c."""
     width = len(buckets)

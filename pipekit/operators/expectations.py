@@ -171,7 +171,7 @@ class ExpectationSuite:
         errors, warnings = [], []
         for expectation in self.expectations:
             if expectation.name in problems:
-                errors.append(f"Expectation {expectation.name} failed: {problems[expectation.name]}")
+                errors.append(f"{expectation.name} could not be measured: {problems[expectation.name]}")
                 continue
             metrics = measured[expectation.name]
             broken = [m for m, limit in expectation.limits().items() if metrics[m] is not None and metrics[m] > limit]

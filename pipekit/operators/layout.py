@@ -10,10 +10,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pipekit.functions import bucket_of, holds, interleave_bits
+from pipekit.functions import holds, interleave_bits, rank_bucket
 
 MIB = 1 << 20
+#: Rows whose values cut a column into ranks.
+SAMPLE_ROWS = 20_000
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
@@ -51,45 +54,59 @@ def compact(
     packing.read.option("mergeSchema", True).parquet(path).write.parquet(out)
 
 
-def quantile_cuts(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[Column]]:
-    """Cut points that split each column into buckets of about equal size, from one sketching pass.
-    Repeated points (a hot value) are merged."""
-    shares = [i / buckets for i in range(1, buckets)]
+def rank_cuts(df: DataFrame, columns: Sequence[str], buckets: int, sample_rows: int = SAMPLE_ROWS) -> dict[str, Column]:
+    """Array of cut points that split each column into buckets of about equal size, from the sorted values of a sample of
+    about ``sample_rows`` rows.  Any orderable type has cuts; NULL and NaN give none.  Repeated points (a hot value) are merged."""
+    total = df.count()
+    sampled = df.select(*columns).sample(min(1.0, sample_rows / max(total, 1)), seed=7)
+    ordered = sampled.agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in columns])  # a sample's values
+
+    def points(column: str) -> Column:
+        places = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: (i * F.size(column) / buckets).cast("int"))
+        distinct = F.array_compact(F.array_distinct(F.transform(places, lambda at: F.get(column, at))))
+        # Through text, so that a time without zone is not read in the zone of the driver's machine.
+        return F.transform(distinct, lambda point: point.cast("string")).alias(column)
+
+    row = ordered.select(*map(points, columns)).head()
     types = {f.name: f.dataType for f in df.schema.fields}
-    row = df.agg(*[F.percentile_approx(c, shares).alias(c) for c in columns]).head()
     cuts = {}
     for column in columns:
-        points = sorted(set(row[column] or []))
-        # Through text, so that a time without zone is not read in the zone of the driver's machine.
-        cuts[column] = [F.lit(str(point)).cast(types[column]) for point in points]
+        texts = [text for text in row[column] if text != "NaN"]
+        cuts[column] = F.array(*[F.lit(text) for text in texts]).cast(T.ArrayType(types[column]))
     return cuts
 
 
+def key_bits(columns: int, files: int) -> int:
+    """Bits per column: cells enough for sixteen times the files, so that a file's range can follow the curve."""
+    return max(4, min(62 // columns, -(-(max(files, 1) * 16 - 1).bit_length() // columns)))
+
+
 def with_zorder_key(df: DataFrame, columns: Sequence[str], bits: int = 4, name: str = "_z") -> DataFrame:
-    """Adds the interleaved bucket numbers of the columns.  Runs one job for the cut points.
+    """Adds the interleaved bucket numbers of the columns.  Runs a job for the cut points.
 
     The bucket numbers get a projection of their own, so each is worked out once per row and not once per
     bit.
     """
-    cuts = quantile_cuts(df, columns, 1 << bits)
-    numbers = {f"_b{i}": bucket_of(F.col(column), cuts[column]) for i, column in enumerate(columns)}
+    cuts = rank_cuts(df, columns, 1 << bits)
+    numbers = {f"_b{i}": rank_bucket(F.col(column), cuts[column], bits) for i, column in enumerate(columns)}
     code = interleave_bits([F.col(number) for number in numbers], bits)
     return df.withColumns(numbers).withColumn(name, code).drop(*numbers)
 
 
 def zorder_cluster(
-    df: DataFrame, columns: Sequence[str], files: int, bits: int = 4, tie_breakers: Sequence[str | Column] = ()
+    df: DataFrame, columns: Sequence[str], files: int, bits: int | None = None, tie_breakers: Sequence[str | Column] = ()
 ) -> DataFrame:
     """Rows ranged and sorted along the Z-order curve of the columns, for narrow min/max per file.
 
-    The curve buckets by rank, so a long tail does not flatten the rest.  Range partitioning cannot split
+    The curve buckets by rank, so a long tail does not flatten the rest; the columns may have any orderable type, and the
+    number of buckets follows the number of files.  Range partitioning cannot split
     equal keys: the columns themselves and the ``tie_breakers`` extend the key, so a cell that holds a
     third of the table still spreads over files.  Over a parquet scan, ``file_row()`` tells even exact
     copies apart.
     """
     ties = [F.col(t) if isinstance(t, str) else t for t in tie_breakers]
     tied = df.withColumns({f"_t{i}": t for i, t in enumerate(ties)}) if ties else df
-    keyed = with_zorder_key(tied, columns, bits)
+    keyed = with_zorder_key(tied, columns, bits or key_bits(len(columns), files))
     order = ["_z", *columns, *[f"_t{i}" for i in range(len(ties))]]
     ranged = keyed.repartitionByRange(files, *order).sortWithinPartitions("_z", *columns)
     return ranged.drop("_z", *[f"_t{i}" for i in range(len(ties))])

@@ -69,16 +69,25 @@ def one_change_per_key(keyed: DataFrame, rule: MergeRule) -> DataFrame:
     return unique_or_fail(keyed, rule.keys, f"several changes for one key {list(rule.keys)}; give order_by")
 
 
-def merge_plan(target: DataFrame, source: DataFrame, rule: MergeRule) -> DataFrame:
-    """Every row of the merged table, and every deleted one, with its ``_action``."""
+def reduced_changes(source: DataFrame, rule: MergeRule) -> DataFrame:
+    """The changes that count: one per key, and all with a NULL key.  A merge reads its changes several times, so
+    callers write this first."""
+    present = _all_keys_present(rule.keys)
+    single = one_change_per_key(source.filter(present), rule).select(*map(named, source.columns))
+    return single.unionByName(source.filter(~present))
+
+
+def merge_plan(target: DataFrame, source: DataFrame, rule: MergeRule, reduced: bool = False) -> DataFrame:
+    """Every row of the merged table, and every deleted one, with its ``_action``.  ``reduced`` changes have one row
+    per key already."""
     extra = _check_columns(target, source, rule)
     target_types = {f.name: f.dataType for f in target.schema.fields}
     source_types = {f.name: f.dataType for f in source.schema.fields}
     columns = [*target.columns, *extra]
     keys = list(rule.keys)
     keyed = source.filter(_all_keys_present(keys))
-
-    marked = one_change_per_key(keyed, rule).withColumn("_change", F.lit(True)).alias("source")
+    changes = keyed if reduced else one_change_per_key(keyed, rule)
+    marked = changes.withColumn("_change", F.lit(True)).alias("source")
     same_key = reduce(lambda left, right: left & right, [_of("target", k) == _of("source", k) for k in keys])
     paired = target.alias("target").join(marked, same_key, "left")
     matched = _of("source", "_change").isNotNull()
@@ -100,10 +109,11 @@ def merge_plan(target: DataFrame, source: DataFrame, rule: MergeRule) -> DataFra
 
     # Keys of the target that a change refers to.  Both key lists are made distinct with partial results per
     # task, so a hot key is one row each, and only keys are read.  Newest-per-key runs on what is left.
-    wanted = keyed.select(*keys).distinct()
+    wanted = keyed.select(*keys) if reduced else keyed.select(*keys).distinct()
     present = target.select(*keys).join(wanted, on=keys, how="left_semi").distinct()
     unmatched = keyed.join(present, on=keys, how="left_anti").select(*map(named, source.columns))
-    new_rows = one_change_per_key(unmatched, rule).unionByName(source.filter(~_all_keys_present(keys)))
+    single = unmatched if reduced else one_change_per_key(unmatched, rule)
+    new_rows = single.unionByName(source.filter(~_all_keys_present(keys)))
     if rule.insert_condition:
         new_rows = new_rows.filter(holds(rule.insert_condition))
 
@@ -123,9 +133,13 @@ def merged_rows(plan: DataFrame) -> DataFrame:
     return plan.filter(F.col("_action") != "deleted").drop("_action")
 
 
+def action_counts() -> list[Column]:
+    return [F.count_if(F.col("_action") == action).alias(f"rows_{action}") for action in ACTIONS]
+
+
 def merge_stats(plan: DataFrame) -> DataFrame:
     """One row: ``rows_updated, rows_inserted, rows_deleted, rows_unchanged``."""
-    return plan.agg(*[F.count_if(F.col("_action") == action).alias(f"rows_{action}") for action in ACTIONS])
+    return plan.agg(*action_counts())
 
 
 def upsert(target: DataFrame, source: DataFrame, rule: MergeRule) -> DataFrame:

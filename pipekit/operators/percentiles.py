@@ -1,4 +1,4 @@
-"""Exact percentiles per group without gathering a group in one task."""
+"""Exact percentiles per group by radix selection: no group, and no part of one, is ever ranked together."""
 
 from __future__ import annotations
 
@@ -6,78 +6,93 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
-MARGIN = 5 / ACCURACY
-# Up to this many values a rank is a large part of the margin, and the whole group is small enough to rank.
-RANK_WHOLE = 10_000
-WHOLE = -1
+from pipekit.functions import order_bits
+from pipekit.session import cut_lineage
+
+DIGIT_BITS = 16
+PASSES = 64 // DIGIT_BITS
+
+
+def _join(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+    """Joins on equal columns; NULL is a group of its own.  The right side's columns of that name are dropped."""
+    renamed = right.withColumnsRenamed({c: f"_r{i}" for i, c in enumerate(columns)})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(columns)])
+    joined = left.join(renamed, same, how)
+    return joined.drop(*[f"_r{i}" for i in range(len(columns))])
+
+
+def _histogram(rows: DataFrame, keys: Sequence[str], done: int) -> DataFrame:
+    """Per group and leading digits (``_prefix``) the next digit's counts, in order.
+
+    Equal digits are counted per task before the shuffle; a histogram has at most 65,536 entries."""
+    shift = 64 - DIGIT_BITS * (done + 1)
+    digit = F.shiftright("_bits", shift)
+    if done:
+        prefix = F.shiftright("_bits", shift + DIGIT_BITS)
+        digit = digit.bitwiseAND((1 << DIGIT_BITS) - 1)
+    else:
+        prefix = F.lit(0).cast("bigint")  # the first digit has the sign
+    counted = rows.groupBy(*keys, prefix.alias("_prefix"), digit.alias("_digit")).agg(
+        F.sum("_c").alias("_c"), F.max("_v").alias("_v")
+    )
+    entries = F.sort_array(F.collect_list(F.struct("_digit", "_c", "_v")))
+    return counted.groupBy(*keys, "_prefix").agg(entries.alias("_entries"))
+
+
+#: The entry that holds ``_rank``: struct of its digit, the rank within it and its largest value.
+_FOUND = """
+aggregate(_entries, named_struct('digit', CAST(NULL AS BIGINT), 'rest', _rank, 'value', CAST(NULL AS DOUBLE)), (done, entry) ->
+    CASE WHEN done.digit IS NOT NULL THEN done
+         WHEN done.rest < entry._c THEN named_struct('digit', entry._digit, 'rest', done.rest, 'value', entry._v)
+         ELSE named_struct('digit', done.digit, 'rest', done.rest - entry._c, 'value', done.value) END)
+"""
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percentiles: Mapping[str, float]) -> DataFrame:
     """Linearly interpolated percentiles of ``value`` per group, with the group's number of values.
 
-    First a mergeable sketch per group brackets every wanted percentile.  Then each task counts the values
-    below a bracket as one number and the values inside it one by one, both combined before the shuffle;
-    only the inside of a bracket, about a thousandth of the group, is ranked together.  If a bracket ever
-    missed its rank the job would stop rather than return a neighbour.  NaN counts as missing.
+    A value's bits order as it does.  Each of four passes counts the values by their next 16 bits, among those that share
+    the bits found so far with a wanted rank, and descends into the entry that holds the rank.  The first pass reads every
+    row; what shares its 16 bits with a rank (within one sixteenth of a power of two) is kept, equal values as one row with
+    their number, and read by the other three.  Groups of any size take the same way.  NaN counts as missing, and a
+    group without values has no row.
     """
     if not keys:
         raise ValueError("give at least one key; a constant column makes the whole frame one group")
-    names = list(percentiles)
-    marks = [min(max(percentiles[name] + side * MARGIN, 0.0), 1.0) for name in names for side in (-1, 1)]
-    numbers = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    sketch = numbers.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")
-    )
+    keys, names = list(keys), list(percentiles)
+    number = F.col(value).cast("double")
+    numbers = df.select(*keys, number.alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    numbers = numbers.select(*keys, "_v", order_bits("_v").alias("_bits"), F.lit(1).cast("bigint").alias("_c"))
 
-    no_low, no_high = F.lit(float("-inf")), F.lit(float("inf"))
-
-    def bracket(i: int, low: Column, high: Column) -> Column:
-        return F.struct(F.lit(i).alias("_i"), low.alias("_low"), high.alias("_high"), F.col("_n").alias("_n"))
-
-    # A large group is looked at once per percentile, a small one once and whole.
-    each = [
-        bracket(
-            i,
-            F.col("_marks")[2 * i] if marks[2 * i] > 0.0 else no_low,
-            F.col("_marks")[2 * i + 1] if marks[2 * i + 1] < 1.0 else no_high,
-        )
-        for i in range(len(names))
-    ]
-    whole = F.array(bracket(WHOLE, no_low, no_high))
-    brackets = F.when(F.col("_n") > RANK_WHOLE, F.array(*each)).otherwise(whole)
-    wanted = sketch.select(*[F.col(key).alias(f"_k_{key}") for key in keys], brackets.alias("_brackets"))
-    same_group = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys])
-    joined = numbers.join(wanted, same_group).select(*keys, "_v", F.inline("_brackets"))
-    folded = F.when(F.col("_v") >= F.col("_low"), F.col("_v"))  # NULL: somewhere below the bracket
-    counted = (
-        joined.filter(F.col("_v") <= F.col("_high"))
-        .groupBy(*keys, "_i", "_n", folded.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    up_to = W.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn("_end", F.sum("_c").over(up_to.rowsBetween(W.unboundedPreceding, 0)))
-    starts = F.col("_end") - F.col("_c")
-
-    aggregates = [F.max("_n").alias("n")]
-    for i, name in enumerate(names):
-        position = F.lit(percentiles[name]) * (F.col("_n") - 1)
-        mine = F.col("_i").isin(i, WHOLE)
-
-        def at(rank: Column) -> Column:
-            return F.max(F.when(mine & (starts <= rank) & (rank < F.col("_end")), F.col("_v")))
-
-        aggregates += [
-            at(F.floor(position)).alias(f"_lo_{i}"),
-            at(F.ceil(position)).alias(f"_hi_{i}"),
-            F.max(position - F.floor(position)).alias(f"_part_{i}"),
-        ]
-    missed = F.raise_error(F.lit("a percentile bracket missed its rank")).cast("double")
+    place = [*keys, "_prefix"]
+
+    def descend(looking: DataFrame, done: int) -> DataFrame:
+        found = looking.withColumn("_f", F.expr(_FOUND))
+        prefix = F.shiftleft("_prefix", DIGIT_BITS) + F.col("_f.digit") if done else F.col("_f.digit")
+        columns = [prefix.alias("_prefix"), F.col("_f.rest").alias("_rank"), F.col("_f.value").alias("_value")]
+        return found.select(*keys, "_n", "_i", *columns)
+
+    # Two ranks per percentile: those of the values beside its position.
+    size = F.expr("aggregate(_entries, 0L, (n, entry) -> n + entry._c)")
+    sized = _histogram(numbers, keys, 0).withColumn("_n", size)
+    positions = [F.lit(float(percentiles[name])) * (F.col("_n") - 1) for name in names]
+    ranks = [step(at).cast("bigint") for at in positions for step in (F.floor, F.ceil)]
+    targets = cut_lineage(descend(sized.select("*", F.posexplode(F.array(*ranks)).alias("_i", "_rank")), 0))
+
+    near = _join(numbers.withColumn("_prefix", F.shiftright("_bits", 64 - DIGIT_BITS)), targets, place, "left_semi")
+    near = cut_lineage(near.groupBy(*keys, "_bits").agg(F.sum("_c").alias("_c"), F.max("_v").alias("_v")))
+    for done in range(1, PASSES):
+        wanted = near.withColumn("_prefix", F.shiftright("_bits", 64 - DIGIT_BITS * done))
+        histogram = _histogram(_join(wanted, targets, place, "left_semi"), keys, done)
+        targets = cut_lineage(descend(_join(targets.drop("_value"), histogram, place, "inner"), done))
+
+    values = [F.max(F.when(F.col("_i") == i, F.col("_value"))).alias(f"_at_{i}") for i in range(2 * len(names))]
+    grouped = targets.groupBy(*keys).agg(F.max("_n").alias("n"), *values)
     results = []
-    for i, name in enumerate(names):
-        low, high = F.coalesce(F.col(f"_lo_{i}"), missed), F.coalesce(F.col(f"_hi_{i}"), missed)
-        results.append((low + (high - low) * F.col(f"_part_{i}")).alias(name))
-    return ranked.groupBy(*keys).agg(*aggregates).select(*keys, "n", *results)
+    for j, name in enumerate(names):
+        at = F.lit(float(percentiles[name])) * (F.col("n") - 1)
+        low, high = F.col(f"_at_{2 * j}"), F.col(f"_at_{2 * j + 1}")
+        results.append(F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(name))
+    return grouped.select(*keys, "n", *results)

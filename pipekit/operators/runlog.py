@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pipekit.functions import exact_sum, rate
+from pipekit.functions import added, exact_sums, rate
 from pipekit.operators.percentiles import exact_percentiles
 
 
@@ -74,8 +74,9 @@ def recovery_time(
 
 
 def cost_per_unit(runs: DataFrame, by: Sequence[str | Column], cost: str, units: Column) -> DataFrame:
-    """Cost, amount processed and cost per unit of it, per group (usually a period)."""
-    grouped = runs.groupBy(*by).agg(exact_sum(F.col(cost)).alias("total_cost"), F.sum(units).alias("total_units"))
+    """Cost, amount processed (an integer) and cost per unit of it, per group (usually a period).  The cost is summed
+    exactly and rounded once, so it does not depend on how runs were spread."""
+    grouped = exact_sums(runs, by, {"total_cost": F.col(cost)}, {"total_units": added(units)})
     return grouped.withColumn("cost_per_unit", F.try_divide(F.col("total_cost"), F.col("total_units").cast("double")))
 
 

@@ -114,7 +114,9 @@ class IncrementalFlow:
     """Rows past the mark, through the steps and the audit, merged into a table.
 
     The new mark is the largest value among the rows merged.  With ``inclusive`` reads, rows that share
-    the old mark are merged again, which the key makes harmless, and none is missed.
+    the old mark are merged again, which the key makes harmless, and none is missed.  With ``partition_by`` (columns
+    of the key) only the partitions that the rows fall into are rewritten; columns that the table lacks are added
+    if the rule evolves.
     """
 
     source: Source
@@ -124,6 +126,7 @@ class IncrementalFlow:
     rule: MergeRule
     watermark_column: str
     inclusive: bool = True
+    partition_by: Sequence[str] = ()
 
     def execute(self, source_table: str, destination: str, last_value: Any) -> FlowResult:
         spark: SparkSession = self.store.spark
@@ -139,8 +142,11 @@ class IncrementalFlow:
             mark = staged.agg(F.max(self.watermark_column)).head()[0]
             mark = last_value if mark is None else mark
             if not spark.catalog.tableExists(destination):
-                self.store.replace(staged.limit(0), destination)
-            stats = self.store.upsert(destination, staged, self.rule)
+                self.store.create_empty(destination, staged.schema, self.partition_by)
+            if self.partition_by:
+                stats = self.store.upsert_partitions(destination, staged, self.rule, self.partition_by)
+            else:
+                stats = self.store.upsert(destination, staged, self.rule)
             return FlowResult("published", validation, stats=stats, high_water_mark=mark)
         except Exception as error:  # noqa: BLE001 - a flow reports instead of raising
             return FlowResult("error", error=f"{type(error).__name__}: {error}", high_water_mark=last_value)

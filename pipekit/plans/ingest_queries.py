@@ -9,6 +9,7 @@ from pipekit.operators.enrich import Enricher, Lookup, lookup_join
 from pipekit.operators.gold import customer_360, daily_revenue, user_features
 from pipekit.plans.registry import Tables, register
 from pipekit.session import scratch_path
+from pipekit.sources.page_chain import page_chain
 from pipekit.sources import apply_types, first_row, parameterized, read_pages, since
 
 
@@ -21,7 +22,7 @@ from pipekit.sources import apply_types, first_row, parameterized, read_pages, s
     left join nation on c_nationkey = n_nationkey
     left join region on n_regionkey = r_regionkey
     left join (select o_custkey, count(*) as n_orders, max(o_orderdate) as last_order,
-                      sum(o_totalprice::decimal(18,2))::double as total_spent
+                      round(sum(o_totalprice), 2) as total_spent
                from orders group by o_custkey) on c_custkey = o_custkey
     """,
 )
@@ -33,7 +34,7 @@ def _customer_360(t: Tables):
     "gold_daily_revenue",
     """
     select o_orderdate::date::varchar as order_date, count(distinct o_orderkey) as n_orders, count(*) as n_lines,
-           sum((l_extendedprice * (1 - l_discount))::decimal(18,4))::double as revenue
+           round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue
     from orders join lineitem on o_orderkey = l_orderkey group by 1
     """,
 )
@@ -46,7 +47,7 @@ def _daily_revenue(t: Tables):
     """
     select user_id, count(*) as n_events, count(*) filter (where event_type = 'purchase') as n_purchases,
            count(*) filter (where event_type = 'error') as n_errors,
-           coalesce(sum(value::decimal(18,2)) filter (where event_type = 'purchase'), 0)::double as spend,
+           coalesce(round(sum(value) filter (where event_type = 'purchase'), 2), 0.0) as spend,
            min(ts) as first_seen, max(ts) as last_seen
     from events group by user_id
     """,
@@ -79,9 +80,10 @@ def _parameterized_query(t: Tables):
     )
 
 
-@register("first_row", "select * from orders where o_orderkey = 42")
+@register("first_row", "select * from orders order by o_totalprice desc, o_orderkey limit 1")
 def _first_row(t: Tables):
-    return first_row(t.orders.filter(F.col("o_orderkey") == 42))
+    """The dearest order."""
+    return first_row(t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey"))
 
 
 @register("paged_entities", "select c_custkey, c_name, c_nationkey, c_acctbal from customer")
@@ -95,6 +97,39 @@ def _paged_entities(t: Tables):
     return read_pages(t.spark, landed, schema, multi_line=False)
 
 
+@register(
+    "page_chain",
+    """
+    with recursive landed as (
+        select distinct c_custkey // 50 as page,
+               case c_custkey // 50 % 10 when 5 then null when 8 then c_custkey // 50 - 2 else c_custkey // 50 + 1 end as next
+        from customer where c_custkey // 50 % 10 <> 3),
+    before as (select next as page, min(page) as before from landed where next is not null group by 1),
+    walk(page, start, position) as (
+        select page, page, 0::bigint from landed where page not in (select page from before)
+        union all
+        select l.page, w.start, w.position + 1 from walk w join before b on b.before = w.page join landed l on l.page = b.page)
+    select l.page, coalesce(w.start, l.page // 10 * 10 + 6) as start, w.position, l.next,
+           case when w.page is null then 'cycle'
+                when l.next is not null and l.next not in (select page from landed) then 'gap'
+                when b.before <> l.page then 'fork'
+                when w.position = 0 and l.page <> (select min(page) from walk where position = 0) then 'second chain' end as fault
+    from landed l left join walk w on w.page = l.page left join before b on b.page = l.next
+    """,
+)
+def _page_chain(t: Tables):
+    """Customers in pages of fifty, each naming the next one.  Of every ten pages one was not landed, one ends the chain
+    and one leads back."""
+    page = F.expr("c_custkey div 50")
+    last = F.col("page") % 10
+    named = F.when(last == 8, F.col("page") - 2).when(last != 5, F.col("page") + 1)
+    entity = F.struct("c_custkey", "c_name")
+    pages = t.customer.groupBy(page.alias("page")).agg(F.collect_list(entity).alias("value")).withColumn("next", named)
+    landed = scratch_path(t.spark, "chain")
+    pages.filter(last != 3).write.json(landed)
+    return page_chain(t.spark.read.schema("page long, next long").json(landed))
+
+
 @register(
     "type_mapping",
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pipekit.operators.access import (
     RowPolicy,
@@ -13,7 +14,8 @@ from pipekit.operators.access import (
     route_rows,
     secure,
 )
-from pipekit.operators.expectations import ExpectationSuite, ExpectNonNull, ExpectUnique
+from pipekit.operators.expectations import ExpectationSuite, ExpectNonNull, ExpectUnique, SchemaExpectation
+from pipekit.operators.percentiles import exact_percentiles
 from pipekit.operators.rules import (
     QualityRule,
     expect_or_drop,
@@ -24,10 +26,15 @@ from pipekit.operators.rules import (
     quality_report,
     split_quarantine,
     tag_failures,
+    validate_table,
 )
+from pipekit.operators.sketches import daily_sketches, merged_stats
 from pipekit.operators.stats import column_stats, freshness
 from pipekit.plans.ingest_queries import DIRTY_CUSTOMERS, dirty_customers
-from pipekit.plans.registry import Tables, register
+from pipekit.operators.unique_index import UniqueKeyIndex
+from pipekit.plans.registry import Tables, fresh_name, register
+from pipekit.session import scratch_path
+from pipekit.sinks import TableStore
 
 CUSTOMER_RULES = [
     QualityRule("balance_not_negative", "c_acctbal >= 0", "no debts", 0.1, "warning"),
@@ -259,15 +266,17 @@ def _quarantine_summary(t: Tables):
     return tag_failures(_shipped(t), SHIP_RULES).groupBy(outcome).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@register(
-    "expect_or_fail",
-    "select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice > 1000 and o_orderkey >= 0",
-)
+@register("expect_or_fail", "select o_orderkey, o_custkey, o_totalprice, true as other_rule_stopped from orders")
 def _expect_or_fail(t: Tables):
-    """Every row passes; a single failing one would stop the job."""
-    rules = [QualityRule("price", "o_totalprice > 1000"), QualityRule("key", "o_orderkey >= 0")]
-    large = t.orders.filter("o_totalprice > 1000").select("o_orderkey", "o_custkey", "o_totalprice")
-    return expect_or_fail(large, rules)
+    """Every order passes the first rules; the last one fails for some, which stops its job."""
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    rules = [QualityRule("price", "o_totalprice > 0"), QualityRule("key", "o_orderkey >= 0")]
+    try:
+        expect_or_fail(orders, [*rules, QualityRule("cheap", "o_totalprice < 100000")]).agg(F.max("o_totalprice")).collect()
+        stopped = False
+    except Exception as error:  # noqa: BLE001 - the rule's name is in the message
+        stopped = "cheap" in str(error)
+    return expect_or_fail(orders, rules).withColumn("other_rule_stopped", F.lit(stopped))
 
 
 @register("failing_rows", "select * from customer where not (c_acctbal >= 0) or not (c_mktsegment <> 'BUILDING')")
@@ -307,6 +316,107 @@ def _column_stats(t: Tables):
     return column_stats(dirty_customers(t), ["c_mktsegment", "c_nationkey", "c_name"], exact_distinct=True)
 
 
+@register(
+    "freshness_now",
+    "select event_type, max(ts) as latest, 'STALE' as freshness_status from events group by event_type",
+)
+def _freshness_now(t: Tables):
+    """Against the clock: the events are years old."""
+    return freshness(t.events, "ts", 24, by=["event_type"]).drop("delay_hours")
+
+
+@register(
+    "validate_table",
+    """
+    with counted as (select count(*) as total, count(*) filter (where not (c_acctbal >= 0)) as debts,
+                            count(*) filter (where not (c_custkey is not null)) as unnamed from customer)
+    select 'id_known' as rule_name, total as total_records, unnamed as failed_records, unnamed = 0 as passed, 1::bigint as rules_passed
+    from counted union all
+    select 'no_debts', total, debts, debts = 0, 1 from counted
+    """,
+)
+def _validate_table(t: Tables):
+    """Rules on a table by its name: every id is known, some balances are negative."""
+    store, name = TableStore(t.spark, scratch_path(t.spark, "tables")), fresh_name("customers")
+    store.replace(t.customer, name)
+    report = validate_table(t.spark, name, [QualityRule("id_known", "c_custkey IS NOT NULL"), QualityRule("no_debts", "c_acctbal >= 0")])
+    results = report.to_dataframe(t.spark).select("rule_name", "total_records", "failed_records", "passed")
+    return results.withColumn("rules_passed", F.lit(report.rules_passed).cast("bigint"))
+
+
+@register(
+    "schema_expectation",
+    """
+    select 'same' as expected, true as is_valid, 0::bigint as errors, count(*) as row_count from orders
+    union all select 'reordered', false, 1, count(*) from orders union all select 'retyped', false, 1, count(*) from orders
+    """,
+)
+def _schema_expectation(t: Tables):
+    """A table against its own schema, one in another order and one with another type."""
+    fields = t.orders.schema.fields
+    retyped = [T.StructField(f.name, T.StringType()) if f.name == "o_custkey" else f for f in fields]
+    wanted = {"same": fields, "reordered": fields[::-1], "retyped": retyped}
+    verdicts = {name: SchemaExpectation(T.StructType(some)).validate(t.orders) for name, some in wanted.items()}
+    rows = [F.struct(F.lit(n).alias("expected"), F.lit(bool(v)).alias("is_valid"), F.lit(v.error_count).cast("bigint").alias("errors")) for n, v in verdicts.items()]
+    return t.orders.agg(F.count(F.lit(1)).alias("row_count")).select(F.inline(F.array(*rows)), "row_count")
+
+
+@register(
+    "expect_unique_increment",
+    """
+    with increment as (
+        select o_orderkey, false as old from orders where o_orderdate >= timestamp '2000-01-01 00:00:00'
+        union all select o_orderkey, false from orders where o_orderdate >= timestamp '2000-01-01 00:00:00' and o_orderkey % 50 = 0
+        union all select o_orderkey, true from orders where o_orderdate < timestamp '2000-01-01 00:00:00' and o_custkey % 40 = 0)
+    select o_orderkey, count(*) as in_increment, bool_or(old) as in_table from increment group by 1 having bool_or(old) or count(*) > 1
+    """,
+)
+def _expect_unique_increment(t: Tables):
+    """The index knows the orders before 2000.  The increment has the later ones, some of them twice, and some old ones."""
+    late = F.col("o_orderdate") >= F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    index = UniqueKeyIndex(t.spark, scratch_path(t.spark, "keys"), ["o_orderkey"], buckets=16)
+    index.add(t.orders.filter(~late), 0)
+    new = t.orders.filter(late)
+    increment = new.unionByName(new.filter("o_orderkey % 50 = 0")).unionByName(t.orders.filter(~late & (F.col("o_custkey") % 40 == 0)))
+    return index.duplicates(increment)
+
+
+@register(
+    "column_sketches",
+    """
+    with days as (select * from events where ts < timestamp '2024-01-16 00:00:00'),
+    long as (select 'user_id' as column_name, user_id::varchar as v, user_id::double as x from days
+             union all select 'value', value::varchar, value from days
+             union all select 'event_type', event_type, null from days)
+    select column_name, count(*) as row_count, count(*) - count(v) as null_count, count(distinct v) as distinct_values,
+           true as distinct_within, min(x) as least, max(x) as greatest, true as median_within from long group by 1
+    """,
+)
+def _column_sketches(t: Tables):
+    """Sketches stored per day, merged over the first half of the month: how near they come to the exact figures."""
+    columns, path = ["user_id", "value", "event_type"], scratch_path(t.spark, "sketches")
+    daily_sketches(t.events, F.to_date("ts"), columns).write.partitionBy("period").parquet(path)
+    stored = t.spark.read.parquet(path).filter(F.col("period") < F.lit("2024-01-16").cast("date"))
+    merged = merged_stats(stored, [0.45, 0.55])
+    exact = t.events.filter(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"), F.expr(f"try_cast({c} AS double)").alias("x")) for c in columns]
+    long = exact.select(F.inline(F.array(*pairs)))
+    medians = exact_percentiles(long, ["column_name"], "x", {"median": 0.5}).drop("n")
+    counts = long.groupBy("column_name").agg(F.countDistinct("v").alias("distinct_values")).join(medians, "column_name", "left")
+    off = F.abs(F.col("distinct_count") - F.col("distinct_values"))
+    between = F.col("median").between(F.col("quantiles")[0], F.col("quantiles")[1])
+    return merged.join(counts, "column_name").select(
+        "column_name",
+        "row_count",
+        "null_count",
+        "distinct_values",
+        (off <= 0.1 * F.col("distinct_values")).alias("distinct_within"),
+        "least",
+        "greatest",
+        F.coalesce(between, F.lit(True)).alias("median_within"),
+    )
+
+
 @register("column_stats_sketch")
 def _column_stats_sketch(t: Tables):
     """Distinct counts are estimates here, so there is no SQL to match."""

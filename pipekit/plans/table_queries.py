@@ -14,7 +14,7 @@ from pipekit.operators.merge import ALWAYS, MergeRule, append_evolving, merge_pl
 from pipekit.operators.runlog import cost_per_unit, recovery_time, run_durations, run_reliability
 from pipekit.plans.registry import Tables, fresh_name, register
 from pipekit.session import scratch_path
-from pipekit.sinks import PathWriter, TableStore, TableWriter, create_from_query, create_if_absent
+from pipekit.sinks import FileIndex, PathWriter, TableStore, TableWriter, create_from_query, create_if_absent
 
 # The target holds the orders placed before 2000; the feed has a revision of every order, dated a day later
 # for finished orders and a day earlier for others, and an older one before that.  Urgent orders have lost
@@ -290,20 +290,28 @@ def _table_evolve_append(t: Tables):
     return t.spark.table(name)
 
 
+def _without_late(t: Tables, *statuses: str):
+    """Orders without those of some status placed from 2000 on."""
+    late = F.col("o_orderdate") >= F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    return t.orders.filter(~(late & F.col("o_orderstatus").isin(*statuses)))
+
+
 @register(
     "upsert_partitions",
     """
     select o_orderstatus, o_orderkey, case when o_orderstatus = 'F' then 0.0::double else o_totalprice end as o_totalprice
-    from orders where o_orderdate < timestamp '2000-01-01 00:00:00' or o_orderstatus = 'F'
+    from orders
     """,
 )
 def _upsert_partitions(t: Tables):
-    """Changes to all orders of one status rewrite that partition only."""
+    """All finished orders change and the later open ones come in: two partitions are rewritten, pending orders are not."""
     store, name = TableStore(t.spark, scratch_path(t.spark, "tables")), fresh_name("by_status")
     columns = ["o_orderstatus", "o_orderkey", "o_totalprice"]
-    store.replace(_before_2000(t).select(*columns), name, ["o_orderstatus"])
-    finished = t.orders.filter(F.col("o_orderstatus") == "F")
-    changes = finished.withColumn("o_totalprice", F.lit(0.0)).select(*columns)
+    store.replace(_without_late(t, "F", "O").select(*columns), name, ["o_orderstatus"])
+    price = F.when(F.col("o_orderstatus") == "F", F.lit(0.0)).otherwise(F.col("o_totalprice"))
+    late = F.col("o_orderdate") >= F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    changed = t.orders.filter((F.col("o_orderstatus") == "F") | ((F.col("o_orderstatus") == "O") & late))
+    changes = changed.withColumn("o_totalprice", price).select(*columns)
     store.upsert_partitions(name, changes, MergeRule(["o_orderstatus", "o_orderkey"], ALWAYS), ["o_orderstatus"])
     return t.spark.table(name).select(*columns)
 
@@ -311,22 +319,132 @@ def _upsert_partitions(t: Tables):
 @register(
     "upsert_table_stats",
     """
-    select count(*) filter (where old) as rows_updated, count(*) filter (where not old) as rows_inserted,
-           0::bigint as rows_deleted,
-           (select count(*) from orders where o_orderdate < timestamp '2000-01-01 00:00:00' and o_orderstatus <> 'F')
-           as rows_unchanged
-    from (select o_orderdate < timestamp '2000-01-01 00:00:00' as old from orders where o_orderstatus = 'F')
+    select count(*) filter (where finished and old) as rows_updated, count(*) filter (where finished and not old) as rows_inserted,
+           0::bigint as rows_deleted, count(*) filter (where not finished) as rows_unchanged
+    from (select o_orderstatus = 'F' as finished, o_orderdate < timestamp '2000-01-01 00:00:00' as old from orders)
     """,
 )
 def _upsert_table_stats(t: Tables):
-    """Statistics of a published merge, as read from the files it wrote."""
+    """Statistics of a published merge, as counted by the tasks that wrote its files."""
     store, name = TableStore(t.spark, scratch_path(t.spark, "tables")), fresh_name("merged")
-    store.replace(_before_2000(t), name)
+    store.replace(_without_late(t, "F"), name)
     finished = t.orders.filter(F.col("o_orderstatus") == "F")
     stats = store.upsert(name, finished, MergeRule(["o_orderkey"], ALWAYS))
     return t.spark.createDataFrame([tuple(asdict(stats).values())], ", ".join(f"{c} bigint" for c in asdict(stats)))
 
 
+@register(
+    "widen_append",
+    """
+    select s_suppkey::bigint as id, s_acctbal::double as amount, timestamp '2024-01-01 00:00:00' as since, null::varchar as note
+    from supplier
+    union all select o_orderkey::bigint, o_totalprice, o_orderdate, o_orderpriority from orders
+    """,
+)
+def _widen_append(t: Tables):
+    """A table of int, float and date takes in rows of bigint, double and timestamp, and one more column."""
+    store, name = TableStore(t.spark, scratch_path(t.spark, "tables")), fresh_name("widened")
+    # Whole amounts are exact as floats; the supplier's own ones come back by a second append.
+    old = t.supplier.select(
+        F.col("s_suppkey").cast("int").alias("id"), F.lit(0.0).cast("float").alias("amount"), F.lit("2024-01-01").cast("date").alias("since")
+    )
+    store.replace(old.limit(0), name)
+    narrow = t.supplier.select(F.col("s_suppkey").cast("int").alias("id"), F.lit("2024-01-01").cast("date").alias("since"), "s_acctbal")
+    store.append_widening(narrow.withColumnRenamed("s_acctbal", "amount"), name)
+    wide = t.orders.select(
+        F.col("o_orderkey").cast("bigint").alias("id"), F.col("o_totalprice").alias("amount"),
+        F.col("o_orderdate").alias("since"), F.col("o_orderpriority").alias("note"),
+    )
+    store.append_widening(wide, name)
+    return t.spark.table(name)
+
+
+def _orders_index(t: Tables, name: str, spread) -> FileIndex:
+    index = FileIndex(t.spark, scratch_path(t.spark, name), t.orders.schema, ["o_orderpriority", "o_orderdate", "o_custkey"])
+    index.start_from(spread(t.orders))
+    return index
+
+
+@register(
+    "compact_files",
+    """
+    select 2 * count(*) as row_count, 2 * sum(o_orderkey)::bigint as key_sum, 13 as files_before, 12 as small_before, true as fewer_files,
+           true as fewer_small_files, true as large_file_kept, true as only_small_rewritten from orders
+    """,
+)
+def _compact_files(t: Tables):
+    """Orders once as twelve small files and once as a large one: the small ones are packed, the large one stays by reference."""
+    index = _orders_index(t, "compact", lambda orders: orders.coalesce(1))
+    (large,) = index.files().collect()
+    index.append(t.orders.repartition(12, "o_orderkey"))
+    done = index.compact(target_bytes=large.bytes)
+    facts = index.read().agg(F.count(F.lit(1)).alias("row_count"), F.sum("o_orderkey").cast("bigint").alias("key_sum"))
+    kept = index.files().filter(F.col("path") == large.path).count() == 1
+    return facts.select(
+        "*",
+        F.lit(done.files_before).alias("files_before"),
+        F.lit(done.small_before).alias("small_before"),
+        F.lit(done.files_after < done.files_before).alias("fewer_files"),
+        F.lit(done.small_after < done.small_before).alias("fewer_small_files"),
+        F.lit(kept).alias("large_file_kept"),
+        F.lit(0 < done.bytes_rewritten <= done.bytes_total - large.bytes).alias("only_small_rewritten"),
+    )
+
+
+@register(
+    "zorder_probe",
+    """
+    with probes as (
+        select 'priority' as probe, count(*) as matching from orders where o_orderpriority = '1-URGENT'
+        union all select 'date', count(*) from orders
+        where o_orderdate between timestamp '1998-01-01 00:00:00' and timestamp '1998-06-30 00:00:00'
+        union all select 'both', count(*) from orders where o_orderpriority = '1-URGENT'
+        and o_orderdate between timestamp '1998-01-01 00:00:00' and timestamp '1998-06-30 00:00:00')
+    select probe, matching, true as same_rows, true as all_read_before, true as few_read_after, 16 as files from probes
+    """,
+)
+def _zorder_probe(t: Tables):
+    """Sixteen files before and after clustering by a string and a time: what range probes read, and that they lose nothing."""
+    index = _orders_index(t, "zorder", lambda orders: orders.repartition(16, "o_orderkey"))
+
+    def at(text: str):
+        return F.lit(text).cast("timestamp_ntz")
+
+    urgent = {"o_orderpriority": (F.lit("1-URGENT"), F.lit("1-URGENT"))}
+    months = {"o_orderdate": (at("1998-01-01 00:00:00"), at("1998-06-30 00:00:00"))}
+    probes = {"priority": urgent, "date": months, "both": {**urgent, **months}}
+    before = {name: (index.probe(ranges).head(), index.between(ranges).count()) for name, ranges in probes.items()}
+    index.cluster(["o_orderpriority", "o_orderdate"], 16)
+    rows = []
+    for name, ranges in probes.items():
+        (old, found), new, matching = before[name], index.probe(ranges).head(), index.between(ranges).count()
+        rows.append((name, matching, matching == found, old.rows_read == old.rows, 2 * new.rows_read < old.rows_read, new.files))
+    schema = "probe string, matching long, same_rows boolean, all_read_before boolean, few_read_after boolean, files long"
+    return t.spark.createDataFrame(rows, schema)
+
+
+@register(
+    "write_layout_facts",
+    """
+    select o_orderpriority, count(*) as row_count, min(o_orderkey) as first_key, max(o_orderkey) as last_key, true as sorted from orders group by 1
+    """,
+)
+def _write_layout_facts(t: Tables):
+    """Rows per partition folder, and that each file is sorted."""
+    out = scratch_path(t.spark, "layout")
+    write_layout(t.orders, out, ["o_orderpriority"], sort_by=["o_orderkey"], bloom_columns=["o_custkey"])
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    rows = t.spark.read.parquet(out).select("o_orderpriority", "o_orderkey", *place)
+    ahead = rows.select("file", (F.col("at") - 1).alias("at"), F.col("o_orderkey").alias("next_key"))
+    pairs = rows.join(ahead, ["file", "at"], "left")
+    return pairs.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.min("o_orderkey").alias("first_key"),
+        F.max("o_orderkey").alias("last_key"),
+        F.coalesce(F.bool_and(F.col("o_orderkey") <= F.col("next_key")), F.lit(True)).alias("sorted"),
+    )
+
+
 @register(
     "lineage_edges",
     """
@@ -400,9 +518,9 @@ def _run_mttr(t: Tables):
 @register(
     "cost_per_unit",
     """
-    select ts::date::varchar as day, sum(value::decimal(18,4))::double as total_cost,
+    select ts::date::varchar as day, round(sum(value), 4) as total_cost,
            sum(regexp_extract(props, '[0-9]+')::bigint)::bigint as total_units,
-           round(sum(value::decimal(18,4))::double / nullif(sum(regexp_extract(props, '[0-9]+')::bigint), 0)::double, 6)
+           round(sum(value) / nullif(sum(regexp_extract(props, '[0-9]+')::bigint), 0)::double, 6)
            as cost_per_unit
     from events group by 1
     """,
@@ -410,7 +528,7 @@ def _run_mttr(t: Tables):
 def _cost_per_unit(t: Tables):
     units = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
     costs = cost_per_unit(t.events, [F.to_date("ts").cast("string").alias("day")], "value", units)
-    return costs.withColumn("cost_per_unit", F.round("cost_per_unit", 6))
+    return costs.withColumns({"total_cost": F.round("total_cost", 4), "cost_per_unit": F.round("cost_per_unit", 6)})
 
 
 @register(

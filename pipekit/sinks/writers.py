@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pipekit.sinks.store import TableStore
+
 MODES = ("overwrite", "append", "errorifexists", "ignore")
 
 
@@ -20,12 +22,17 @@ def _writer(df: DataFrame, mode: str, partition_by: Sequence[str], options: Mapp
 
 @dataclass(frozen=True)
 class TableWriter:
-    """Writes catalog tables."""
+    """Writes catalog tables.  With ``evolve`` an append may bring new columns, which are added to the table, and leave
+    out others, which are NULL in its rows; without it the columns must agree."""
 
     partition_by: Sequence[str] = ()
     options: Mapping[str, str] = field(default_factory=dict)
+    evolve: bool = False
 
     def write(self, df: DataFrame, destination: str, mode: str = "overwrite") -> None:
+        if self.evolve and mode == "append" and df.sparkSession.catalog.tableExists(destination):
+            TableStore(df.sparkSession).append_evolving(df, destination)
+            return
         _writer(df, mode, self.partition_by, self.options).saveAsTable(destination)
 
 

@@ -2,11 +2,12 @@
 
 from pipekit.streaming.changes import ChangeApplier
 from pipekit.streaming.ingest import drop_late_duplicates, file_stream, run_available, write_stream
-from pipekit.streaming.quality import METRICS_NAME, expect_stream, stream_metrics
+from pipekit.streaming.quality import METRICS_NAME, CountedBatches, expect_stream, stream_metrics
 
 __all__ = [
     "METRICS_NAME",
     "ChangeApplier",
+    "CountedBatches",
     "drop_late_duplicates",
     "expect_stream",
     "file_stream",

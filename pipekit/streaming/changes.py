@@ -19,8 +19,8 @@ class ChangeApplier:
 
     A version is a directory named after its batch.  If a batch is replayed after a crash it reads the same
     version n-1 and writes version n again, so the effect is exactly once.  Version -1 is the initial
-    target.  The cost of a batch is a rewrite of the target: size batches accordingly, or use
-    ``TableStore.upsert_partitions`` in ``foreachBatch`` for a partitioned target.
+    target.  A finished version is noted in the folder ``applied``, a replayed one in the same place.  The cost of a batch
+    is a rewrite of the target: for batches far smaller than it use :class:`pipekit.sinks.ChangeLogTable`.
     """
 
     root: str
@@ -32,6 +32,10 @@ class ChangeApplier:
 
     def start_from(self, target: DataFrame) -> None:
         target.write.mode("errorifexists").parquet(self.version(-1))
+        self._note(target.sparkSession, -1)
+
+    def _note(self, spark: SparkSession, batch_id: int) -> None:
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/applied/batch={batch_id}")
 
     def apply(self, changes: DataFrame, batch_id: int) -> None:
         before = changes.sparkSession.read.schema(self.schema).parquet(self.version(batch_id - 1))
@@ -40,14 +44,13 @@ class ChangeApplier:
             upsert(before, changes, self.rule).write.mode("overwrite").parquet(self.version(batch_id))
         finally:
             changes.unpersist()
+        self._note(changes.sparkSession, batch_id)
 
     def run(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
         return run_available(writer)
 
-    def current(self, spark: SparkSession, checkpoint: str) -> DataFrame:
-        """The version of the last committed batch, by the query's own commit log (the initial target if
-        nothing was committed yet)."""
-        commits = spark.read.text(f"{checkpoint}/commits").select(F.col("_metadata.file_name").cast("int").alias("id"))
-        last = commits.agg(F.max("id")).head()[0]
-        return spark.read.schema(self.schema).parquet(self.version(-1 if last is None else last))
+    def current(self, spark: SparkSession) -> DataFrame:
+        """The last finished version (the initial target before the first batch)."""
+        noted = spark.read.schema("id long, batch long").parquet(f"{self.root}/applied")
+        return spark.read.schema(self.schema).parquet(self.version(noted.agg(F.max("batch")).head()[0]))

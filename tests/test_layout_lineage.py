@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import DATA, plan_text, rows
 
@@ -17,6 +19,7 @@ from pipekit.operators.layout import (
     zorder_cluster,
 )
 from pipekit.operators.rules import QualityRule, mark_outcome
+from pipekit.operators import lineage
 from pipekit.operators.lineage import downstream, lineage_edges
 
 
@@ -128,12 +131,47 @@ def test_downstream_with_cycle(spark):
     assert rows(downstream(edges, "c")) == []
 
 
-def test_downstream_beyond_a_hundred_levels(spark):
-    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(110)], EDGES)
-    assert downstream(edges, "n0").count() == 110
-
-
-def test_downstream_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr("pipekit.operators.lineage.BROADCAST_ROWS", 1)
-    edges = spark.createDataFrame([("a", f"b{i}") for i in range(20)] + [(f"b{i}", "c") for i in range(20)], EDGES)
-    assert downstream(edges, "a").count() == 21
+def reached(edges, start):
+    """By a walk."""
+    found, todo = set(), [start]
+    while todo:
+        at = todo.pop()
+        for a, b in edges:
+            if a == at and b is not None and b not in found:
+                found.add(b)
+                todo.append(b)
+    return sorted(found)
+
+
+def rounds_of(spark, monkeypatch, edges, start):
+    """Rounds that a closure takes; each checkpoints its edges and its frontier."""
+    calls = []
+    cut = lineage.cut_lineage
+    monkeypatch.setattr(lineage, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    got = sorted(r[0] for r in downstream(spark.createDataFrame(edges, EDGES), start).collect())
+    assert got == reached(edges, start)
+    return (len(calls) - 1) // 2 - 1  # the last round finds nothing
+
+
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(150)]
+    assert rounds_of(spark, monkeypatch, chain, "n0") <= 8
+    branches = chain + [(f"n{i}", f"side{i}") for i in range(150)] + [(f"n{i}", "n0") for i in range(0, 150, 7)]
+    assert rounds_of(spark, monkeypatch, branches, "n0") <= 8
+    loop = chain + [("n150", "n3"), ("other", "n3"), ("far", "other")]
+    assert rounds_of(spark, monkeypatch, loop, "n0") <= 8 + 2
+
+
+def test_downstream_equals_a_walk(spark):
+    rng = random.Random(1)
+    for n, m in ((5, 6), (12, 20), (30, 45)):
+        edges = [(f"t{rng.randrange(n)}", f"t{rng.randrange(n)}") for _ in range(m)] + [(None, "t1"), ("t0", None)]
+        got = sorted(r[0] for r in downstream(spark.createDataFrame(edges, EDGES), "t0").collect())
+        assert got == reached([e for e in edges if e[0]], "t0"), edges
+
+
+def test_downstream_of_a_hub_adds_no_edges(spark):
+    edges = [("a", f"b{i}") for i in range(20)] + [(f"b{i}", "c") for i in range(20)] + [("c", f"d{i}") for i in range(20)]
+    frame = spark.createDataFrame(edges, EDGES)
+    assert downstream(frame, "a").count() == 41 and downstream(frame.limit(0), "a").count() == 0
+    assert downstream(frame, "nowhere").count() == 0

@@ -19,13 +19,29 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-WRITES = {"batch_publish", "incremental_publish", "cdc_apply", "lineage_downstream", "paged_entities"}
+WRITES = {
+    "batch_publish",
+    "cdc_apply",
+    "cdc_apply_folded",
+    "change_log_stats",
+    "column_sketches",
+    "expect_unique_increment",
+    "incremental_publish",
+    "incremental_publish_partitioned",
+    "lineage_downstream",
+    "page_chain",
+    "paged_entities",
+    "run_simple",
+    "upsert_partitions",
+    "upsert_table_stats",
+    "validate_table",
+    "widen_append",
+}
 LAZY = sorted(
     name
     for name in QUERIES
     if name not in WRITES
     and not name.startswith(("stream_", "compact", "zorder", "write_", "archive", "table_", "create_", "path_"))
-    and name not in {"upsert_partitions", "upsert_table_stats"}
 )
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -7,7 +8,6 @@ from conftest import plan_text
 
 from pyspark.sql import functions as F
 
-from pipekit.operators import percentiles
 from pipekit.operators.percentiles import exact_percentiles
 from pipekit.operators.runlog import cost_per_unit, recovery_time, run_durations, run_reliability
 
@@ -97,13 +97,36 @@ def test_exact_percentiles_large_group(spark):
         assert got[g].n == 45_000
 
 
-def test_exact_percentiles_distinct_values(spark, monkeypatch):
-    monkeypatch.setattr(percentiles, "RANK_WHOLE", 20_000)
+def test_exact_percentiles_distinct_values(spark):
     df = spark.range(40_001).selectExpr("1 AS g", "(id * 15485863) % 40001 AS v")
     row = exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p25": 0.25}).head()
     assert row.p50 == 20_000 and row.p25 == 10_000
 
 
+def test_percentiles_of_a_huge_group_of_one_value_and_a_tiny_one(spark):
+    df = spark.range(1_000_003).selectExpr("if(id < 3, 'tiny', 'huge') AS g", "if(id < 3, id * 1.5D, 7.25D) AS v")
+    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p90": 0.9}).collect()}
+    assert (got["huge"].n, got["huge"].p50, got["huge"].p90) == (1_000_000, 7.25, 7.25)
+    assert (got["tiny"].n, got["tiny"].p50) == (3, 1.5) and got["tiny"].p90 == pytest.approx(2.7)
+
+
+def test_percentiles_of_values_of_any_size_and_sign(spark):
+    rng = random.Random(5)
+    values = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(500)] + [0.0, -0.0, 5e-324, float("inf")] + [1.0 + i * 2.0**-52 for i in range(50)]
+    marks = {f"p{i}": i / 40 for i in range(41)}
+    row = exact_percentiles(spark.createDataFrame([(1, v) for v in values], "g int, v double"), ["g"], "v", marks).head()
+    ordered = sorted(values)
+    for name, q in marks.items():
+        at = q * (len(values) - 1)
+        low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+        assert row[name] == (low if low == high else low + (high - low) * (at - math.floor(at))), name
+
+
+def test_percentiles_rank_nothing_in_a_window(spark):
+    text = plan_text(exact_percentiles(spark.range(100).selectExpr("id % 2 AS g", "id AS v"), ["g"], "v", {"m": 0.5}))
+    assert "Window" not in text
+
+
 def test_percentiles_with_null_groups_and_values(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None)], "g string, v double")
     assert [(r.g, r.n, r.m) for r in exact_percentiles(df, ["g"], "v", {"m": 0.5}).collect()] == [(None, 2, 2.0)]

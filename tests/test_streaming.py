@@ -96,7 +96,7 @@ def test_changes_over_batches_and_restart(spark, tmp_path):
 
     def drain():
         applier.run(file_stream(spark, folder, feed_schema, max_files=1), progress)
-        return rows(applier.current(spark, progress))
+        return rows(applier.current(spark))
 
     feed((1, 11, "U", 1), (1, 12, "U", 2), (2, 0, "D", 1), (9, 0, "D", 1))
     assert drain() == [(1, 12), (3, 30)]
@@ -106,4 +106,4 @@ def test_changes_over_batches_and_restart(spark, tmp_path):
     assert drain() == [(2, 22), (3, 30), (4, 40)]
     replay = spark.createDataFrame([(1, 0, "D", 4), (4, 40, "U", 4)], feed_schema)
     applier.apply(replay, 2)  # a batch that is run again after a crash
-    assert rows(applier.current(spark, progress)) == [(2, 22), (3, 30), (4, 40)]
+    assert rows(applier.current(spark)) == [(2, 22), (3, 30), (4, 40)]
