@@ -56,16 +56,17 @@ def compact(
 
 def rank_cuts(df: DataFrame, columns: Sequence[str], buckets: int, sample_rows: int = SAMPLE_ROWS) -> dict[str, Column]:
     """Array of cut points that split each column into buckets of about equal size, from the sorted values of a sample of
-    about ``sample_rows`` rows.  Any orderable type has cuts; NULL and NaN give none.  Repeated points (a hot value) are merged."""
+    about ``sample_rows`` rows.  Any orderable type has cuts; NULL and NaN give none.  A frequent value is several of the points, so
+    that its neighbours lie as far apart as their ranks."""
     total = df.count()
     sampled = df.select(*columns).sample(min(1.0, sample_rows / max(total, 1)), seed=7)
     ordered = sampled.agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in columns])  # a sample's values
 
     def points(column: str) -> Column:
         places = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: (i * F.size(column) / buckets).cast("int"))
-        distinct = F.array_compact(F.array_distinct(F.transform(places, lambda at: F.get(column, at))))
+        found = F.array_compact(F.transform(places, lambda at: F.get(column, at)))
         # Through text, so that a time without zone is not read in the zone of the driver's machine.
-        return F.transform(distinct, lambda point: point.cast("string")).alias(column)
+        return F.transform(found, lambda point: point.cast("string")).alias(column)
 
     row = ordered.select(*map(points, columns)).head()
     types = {f.name: f.dataType for f in df.schema.fields}

@@ -400,7 +400,7 @@ def _compact_files(t: Tables):
         where o_orderdate between timestamp '1998-01-01 00:00:00' and timestamp '1998-06-30 00:00:00'
         union all select 'both', count(*) from orders where o_orderpriority = '1-URGENT'
         and o_orderdate between timestamp '1998-01-01 00:00:00' and timestamp '1998-06-30 00:00:00')
-    select probe, matching, true as same_rows, true as all_read_before, true as few_read_after, 16 as files from probes
+    select probe, matching, true as same_rows, true as all_read_before, true as few_read_after, 16::bigint as files from probes
     """,
 )
 def _zorder_probe(t: Tables):
