@@ -16,7 +16,7 @@ packed pairs of ids; counting shuffles one row per block and distinct pair, not
 frequent pair is one row of the many thousands that a block has.  Only the highest count per B id is broadcast, at most
 a row per vocabulary entry.  A block's counts come back to its links, one block at a time.
 
-Texts that are NULL, empty, or not reproduced byte for byte by either vocabulary have no tokens.  Repeated rows each
+Texts that are NULL, empty, or not reproduced byte for byte have no tokens (A's vocabulary is of bytes and reproduces any).  Repeated rows each
 count, a NULL ``doc_id`` stays NULL, other columns are ignored, an empty table gives an empty one.
 """
 
@@ -29,8 +29,10 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +43,11 @@ from pipekit.llm.token_cache import load_ranks
 LONG_BYTES = 64 * 1024
 RANGE_BYTES = 16 * 1024
 FAN_IN = 8
-BLOCK_BYTES = 8 * 1024 * 1024
+BLOCK_BYTES = 2 * 1024 * 1024
 #: Text whose tokens are aligned at once, and pieces kept by a Python worker: they bound memory, never the result.
 STEP_BYTES = 512 * 1024
 MEMO_PIECES = 300_000
+PIECES_AT_ONCE = 10_000
 #: Pieces up to this many characters are kept.
 MEMO_LENGTH = 64
 
@@ -52,7 +55,7 @@ MEMO_LENGTH = 64
 #: tokenizers end a token before it.
 CUT = re.compile(r" (?<=\S )(?=\S)")
 
-PAIR_BITS = 16  # of the B id in a packed pair
+PAIR_BITS = 15  # of the B id in a packed pair, which has 32 in all
 
 
 # ---------------------------------------------------------------- the monoid
@@ -119,104 +122,144 @@ def fragments_at(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.nd
 # ---------------------------------------------------------------- tokens
 
 
+class Aligned(NamedTuple):
+    """A closed fragment, rendered: numbers of tokens and groups, the groups as text, and their packed links."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    text: str
+    links: bytes
+
+
 class TwoTokenizers:
-    """Tokens of both vocabularies; pieces between cuts are encoded on their own, known ones once."""
+    """Tokens of both vocabularies.  Pieces between cuts are encoded on their own; both tokenizers end a token with each, so
+    a text's fragment is the sum of its pieces' closed ones, and known pieces are aligned once."""
 
     def __init__(self, ranks: str, pieces: str) -> None:
         import sentencepiece
 
         self.a, self.b = load_ranks(ranks), sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.a_bytes = [b""] * self.a.n_vocab
+        a_bytes = [b""] * self.a.n_vocab
         with open(ranks, "rb") as lines:
             for token, rank in map(bytes.split, lines):
-                self.a_bytes[int(rank)] = base64.b64decode(token)
+                a_bytes[int(rank)] = base64.b64decode(token)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.a_sizes = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
+        self.a_sizes = np.array([len(t) for t in a_bytes], dtype=np.int64)
         self.b_sizes = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
-        # Each id as text: A's within its list and as its last one, then B's.
-        lists = [(self.a_bytes, ","), (self.a_bytes, "|"), (self.b_bytes, ","), (self.b_bytes, ";")]
+        # Each id as text: A's within its list and as its last one, then B's, and B's as the last one of a text.
+        lists = [(a_bytes, ","), (a_bytes, "|"), (self.b_bytes, ","), (self.b_bytes, ";"), (self.b_bytes, "\n")]
         self.names = [f"{i}{end}" for ids, end in lists for i in range(len(ids))]
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: dict[str, Aligned | None] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _encode(self, pieces: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of each piece (32-bit, as bytes), None where a vocabulary does not give the piece's bytes back."""
-        out: list[tuple[bytes, bytes] | None] = []
-        for piece, b in zip(pieces, self.b.encode(pieces, num_threads=1), strict=True):
-            a = self.a.encode_ordinary(f" {piece}")
-            wanted = f" {piece}".encode()
-            right = b"".join([self.a_bytes[i] for i in a]) == wanted == b"".join([self.b_bytes[i] for i in b])
-            out.append((np.array(a, dtype=np.int32).tobytes(), np.array(b, dtype=np.int32).tobytes()) if right else None)
-        return out
-
-    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of each text by A and B, None where a text has no tokens.  A space is put before each text."""
-        split = [CUT.split(text) if text else [] for text in texts]
-        if len(self.known) > MEMO_PIECES:
-            self.known.clear()
-        fresh = set(chain.from_iterable(split)).difference(self.known)
-        new = sorted(fresh)
-        found = dict(zip(new, self._encode(new), strict=True))
-        self.known.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_LENGTH)
-        out = []
-        for pieces in split:
-            ids = [self.known[p] if p in self.known else found[p] for p in pieces]
-            if not ids or None in ids:
-                out.append(None)
-            else:
-                a, b = zip(*ids)
-                out.append((np.frombuffer(b"".join(a), dtype=np.int32), np.frombuffer(b"".join(b), dtype=np.int32)))
-        return out
-
-    def fragments(self, texts: list[str]) -> list[Fragment | None]:
-        """One fragment per text, None without tokens; the texts are aligned in one pass over their tokens."""
-        tokens = self.tokens(texts)
-        some = [t for t in tokens if t is not None]
-        if not some:
-            return [None] * len(texts)
-        a, b = np.concatenate([t[0] for t in some]), np.concatenate([t[1] for t in some])
-        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        sizes_a, sizes_b = groups(ends_a, ends_b, int(ends_a[-1]))
-        # Every text ends at a shared end: its groups are those between the ends of its tokens.
-        last = np.cumsum([len(t[0]) for t in some])
-        cuts = [0, *(np.searchsorted(np.cumsum(sizes_a), last, "left") + 1).tolist()]
-        at_a, at_b = [0, *last.tolist()], [0, *np.cumsum([len(t[1]) for t in some]).tolist()]
-        made = iter(
-            Fragment(
-                a[at_a[i] : at_a[i + 1]],
-                b[at_b[i] : at_b[i + 1]],
-                np.append(sizes_a[cuts[i] : cuts[i + 1]], 0),
-                np.append(sizes_b[cuts[i] : cuts[i + 1]], 0),
-            )
-            for i in range(len(some))
-        )
-        return [None if t is None else next(made) for t in tokens]
+    def _encode(self, pieces: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of each piece, None where B does not give its bytes back (A, of bytes, always does)."""
+        spaced, b_of = [f" {piece}" for piece in pieces], self.b_bytes.__getitem__
+        ids_a = list(map(self.a.encode_ordinary, spaced))
+        ids_b = self.b.encode(pieces, num_threads=1)
+        right = [b"".join(map(b_of, b)) == piece.encode() for piece, b in zip(spaced, ids_b, strict=True)]
+        return [(a, b) if ok else None for a, b, ok in zip(ids_a, ids_b, right, strict=True)]
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a text by A and B, None if it has no tokens.  A space is put before it."""
+        pieces = CUT.split(text) if text else []
+        each = dict(zip(names := sorted(set(pieces)), self._encode(names), strict=True))
+        ids = [each[piece] for piece in pieces]
+        if not ids or None in ids:
+            return None
+        a, b = zip(*ids)
+        return tuple(np.array(list(chain.from_iterable(x)), dtype=np.int32) for x in (a, b))
+
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+
+    def fragment(self, text: str) -> Fragment | None:
+        """A whole text's fragment, in one piece."""
+        found = self.tokens(text)
+        if found is None:
+            return None
+        ends = self.ends(*found)
+        return Fragment(*found, *groups(*ends, int(ends[0][-1])))
 
     def ranges(self, text: str, start: int) -> list[Fragment]:
         """Fragments of a chunk that starts at a byte of its document: a new one at every ``RANGE_BYTES``."""
-        found = self.tokens([text])[0]
+        found = self.tokens(text)
         if found is None:
             return [Fragment(EMPTY.a, EMPTY.b, EMPTY.sizes_a, EMPTY.sizes_b, valid=False)]
-        ends_a, ends_b = np.cumsum(self.a_sizes[found[0]]), np.cumsum(self.b_sizes[found[1]])
-        length = int(ends_a[-1])
+        ends = self.ends(*found)
+        length = int(ends[0][-1])
         first = RANGE_BYTES - start % RANGE_BYTES
-        return fragments_at(*found, ends_a, ends_b, [0, *range(first, length, RANGE_BYTES), length])
+        return fragments_at(*found, *ends, [0, *range(first, length, RANGE_BYTES), length])
 
-    def text_of(self, fragment: Fragment) -> str:
-        """The groups of a whole text as ``a1,a2|b1;a3|b2``."""
-        sizes_a, sizes_b = fragment.closed()
+    def rendered(self, fragments: list[Fragment]) -> list[Aligned]:
+        """Whole texts' fragments with their groups as ``a1,a2|b1;a3|b2`` and their links, in one pass over the tokens."""
+        closed = [f.closed() for f in fragments]
+        sizes_a, sizes_b = (np.concatenate([c[i] for c in closed]) for i in (0, 1))
+        a, b = (np.concatenate([getattr(f, x) for f in fragments]).astype(np.int64) for x in ("a", "b"))
         ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-        a, b = fragment.a.astype(np.int64), fragment.b.astype(np.int64)
-        a[ends_a - 1] += len(self.a_bytes)
-        b[ends_b - 1] += len(self.b_bytes)
-        place_a = np.arange(len(a)) + np.repeat(ends_b - sizes_b, sizes_a)
-        place_b = np.arange(len(b)) + np.repeat(ends_a, sizes_b)
+        packed = ((a[ends_a - 1] << PAIR_BITS) | b[ends_b - 1]).astype("<u4").tobytes()
+        n_groups = [len(c[0]) for c in closed]
+        last = np.cumsum(n_groups)
+        b += 2 * len(self.a_sizes)
+        a[ends_a - 1] += len(self.a_sizes)
+        b[ends_b - 1] += len(self.b_sizes)
+        b[ends_b[last - 1] - 1] += len(self.b_sizes)
         codes = np.empty(len(a) + len(b), dtype=np.int64)
-        codes[place_a], codes[place_b] = a, b + 2 * len(self.a_bytes)
-        return "".join(map(self.names.__getitem__, codes.tolist()))[:-1]
+        codes[np.arange(len(a)) + np.repeat(ends_b - sizes_b, sizes_a)] = a
+        codes[np.arange(len(b)) + np.repeat(ends_a, sizes_b)] = b
+        texts = "".join(map(self.names.__getitem__, codes.tolist())).split("\n")
+        cuts = [0, *(4 * last).tolist()]
+        return [
+            Aligned(len(f.a), len(f.b), n, text, packed[start:end])
+            for f, n, text, start, end in zip(fragments, n_groups, texts, cuts, cuts[1:])
+        ]
+
+    def _align_pieces(self, pieces: list[str]) -> list[Aligned | None]:
+        """Pieces, each aligned on its own; their tokens are worked on together."""
+        encoded = self._encode(pieces)
+        some = [ids for ids in encoded if ids is not None]
+        if not some:
+            return [None] * len(pieces)
+        a, b = (np.array(list(chain.from_iterable(ids[i] for ids in some)), dtype=np.int32) for i in (0, 1))
+        ends = self.ends(a, b)
+        sizes_a, sizes_b = groups(*ends, int(ends[0][-1]))
+        # Each piece ends at a shared end: its groups are those up to its last token.
+        at_a, at_b = (np.cumsum([0] + [len(ids[i]) for ids in some]) for i in (0, 1))
+        cuts = np.append(0, np.searchsorted(np.cumsum(sizes_a), at_a[1:], "left") + 1)
+        nothing = np.zeros(1, dtype=np.int64)
+        whole = []
+        for i in range(len(some)):
+            of = slice(cuts[i], cuts[i + 1])
+            sizes = np.concatenate([sizes_a[of], nothing]), np.concatenate([sizes_b[of], nothing])
+            whole.append(Fragment(a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]], *sizes))
+        found = iter(self.rendered(whole))
+        return [None if ids is None else next(found) for ids in encoded]
+
+    def align(self, texts: list[str]) -> list[Aligned | None]:
+        """Whole texts, None without tokens."""
+        split = [CUT.split(text) if text else [] for text in texts]
+        if len(self.known) > MEMO_PIECES:
+            self.known.clear()
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        for at in range(0, len(new), PIECES_AT_ONCE):
+            some = new[at : at + PIECES_AT_ONCE]
+            self.known.update(zip(some, self._align_pieces(some), strict=True))
+        out: list[Aligned | None] = []
+        for pieces in split:
+            rows = list(map(self.known.__getitem__, pieces))
+            if not rows or None in rows:
+                out.append(None)
+            else:
+                n_a, n_b, n_groups, text, links = zip(*rows)
+                out.append(Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(text), b"".join(links)))
+        for piece in new:
+            if len(piece) > MEMO_LENGTH:
+                del self.known[piece]
+        return out
 
 
 _PAIRS: dict[tuple[str, str], TwoTokenizers] = {}
@@ -228,13 +271,6 @@ def two_tokenizers(ranks: str, pieces: str) -> TwoTokenizers:
     return _PAIRS[ranks, pieces]
 
 
-def links(fragment: Fragment) -> np.ndarray:
-    """The last tokens of every group, packed."""
-    sizes_a, sizes_b = fragment.closed()
-    a, b = fragment.a[np.cumsum(sizes_a) - 1], fragment.b[np.cumsum(sizes_b) - 1]
-    return (a.astype(np.int64) << PAIR_BITS) | b
-
-
 # ---------------------------------------------------------------- blocks of documents
 
 _BLOCK = (
@@ -248,24 +284,27 @@ class _Block:
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
-        self.parts: list[np.ndarray] = []
+        self.parts: list[bytes] = []
         self.bytes = 0
 
-    def add(self, doc_id: int | None, fragment: Fragment | None, pair: TwoTokenizers, size: int) -> None:
+    def add(self, doc_id: int | None, found: Aligned | None, size: int) -> None:
         self.bytes += size
-        if fragment is None:
+        if found is None:
             self.rows.append((doc_id, 0, 0, 0, ""))
-            return
-        digest = hashlib.sha256(pair.text_of(fragment).encode()).hexdigest()
-        part = links(fragment)
-        self.rows.append((doc_id, len(fragment.a), len(fragment.b), len(part), digest))
-        self.parts.append(part)
+        else:
+            digest = hashlib.sha256(found.text.encode()).hexdigest()
+            self.rows.append((doc_id, found.n_a, found.n_b, found.n_groups, digest))
+            self.parts.append(found.links)
 
     def batch(self) -> pa.RecordBatch:
-        found = np.concatenate([*self.parts, np.zeros(0, dtype=np.int64)])
-        pairs, place, counts = np.unique(found, return_inverse=True, return_counts=True)
+        found = np.frombuffer(b"".join(self.parts), dtype="<u4")
+        code, pairs = pd.factorize(found)
+        order = np.argsort(pairs)
+        rank = np.empty(len(order), dtype="<u4")
+        rank[order] = np.arange(len(order))
+        counts = np.bincount(code, minlength=len(pairs))[order]
         columns = [list(c) for c in zip(*self.rows)]
-        values = [str(uuid.uuid4()), *columns, place.astype("<u4").tobytes(), pairs, counts]
+        values = [str(uuid.uuid4()), *columns, rank[code].tobytes(), pairs[order].astype(np.int64), counts]
         kinds = [pa.string(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string()), pa.binary(), *[pa.list_(pa.int64())] * 2]
         names = [c.split()[0] for c in _BLOCK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
@@ -281,8 +320,8 @@ def _blocks(ranks: str, pieces: str):
             while at < batch.num_rows:
                 n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 4096]), STEP_BYTES)))
                 texts = batch.column(1).slice(at, n).to_pylist()
-                for doc_id, fragment, size in zip(ids.slice(at, n).to_pylist(), pair.fragments(texts), sizes[at : at + n]):
-                    block.add(doc_id, fragment, pair, int(size))
+                for doc_id, found, size in zip(ids.slice(at, n).to_pylist(), pair.align(texts), sizes[at : at + n]):
+                    block.add(doc_id, found, int(size))
                 at += n
                 if block.bytes >= BLOCK_BYTES:
                     yield block.batch()
@@ -349,8 +388,8 @@ def _ranges(ranks: str, pieces: str):
         pair = two_tokenizers(ranks, pieces)
         for batch in batches:
             for doc, doc_id, seq, start, text in zip(*[batch.column(i) for i in range(5)]):
-                found = pair.ranges(text.as_py(), start.as_py())
-                yield _pack(doc.as_py(), doc_id.as_py(), seq.as_py(), compose(found))
+                found = compose(pair.ranges(text.as_py(), start.as_py()))
+                yield _pack(doc.as_py(), doc_id.as_py(), seq.as_py(), found)
 
     return run
 
@@ -368,7 +407,7 @@ def _long_blocks(ranks: str, pieces: str):
         for batch in batches:
             for row in batch.to_pylist():
                 block, fragment = _Block(), _unpack(row)
-                block.add(row["doc_id"], fragment if fragment.valid else None, pair, 0)
+                block.add(row["doc_id"], pair.rendered([fragment])[0] if fragment.valid else None, 0)
                 yield block.batch()
 
     return run

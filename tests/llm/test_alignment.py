@@ -80,7 +80,8 @@ def test_pieces_between_cuts_encode_as_the_whole(libraries):
     rng, pair = random.Random(1), alignment.TwoTokenizers(BYTE_RANKS, PIECE_MODEL)
     texts = [random_text(rng, rng.randrange(1, 40)) for _ in range(600)]
     texts += ["".join(rng.choices("ab \n\t\x1c\x85\xa0 　▁é日'.5", k=30)) for _ in range(1500)]
-    for text, tokens in zip(texts, pair.tokens(texts), strict=True):
+    for text in texts:
+        tokens = pair.tokens(text)
         if tokens is not None:
             assert tokens[0].tolist() == libraries[0].encode(f" {text}", add_special_tokens=False).ids, repr(text)
             assert tokens[1].tolist() == libraries[1].encode(text), repr(text)
@@ -144,8 +145,18 @@ def test_ranges_cut_groups(libraries):
     text = "incomprehensibility " * 6000
     parts = pair.ranges(text, 0)
     assert len(parts) > 5 and any(p.sizes_a[-1] or p.sizes_b[-1] for p in parts[:-1])
-    whole = pair.fragments([text])[0]
-    assert pair.text_of(alignment.compose(parts)) == pair.text_of(whole)
+    (composed,), (whole,) = pair.rendered([alignment.compose(parts)]), pair.rendered([pair.fragment(text)])
+    assert composed == whole == pair.align([text])[0]
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    rng, pair = random.Random(6), alignment.TwoTokenizers(BYTE_RANKS, PIECE_MODEL)
+    texts = [random_text(rng, 50) for _ in range(40)] + ["x" * 500, ""]
+    expected = pair.align(texts)
+    monkeypatch.setattr(alignment, "MEMO_PIECES", 1)
+    monkeypatch.setattr(alignment, "PIECES_AT_ONCE", 3)
+    assert [pair.align([t])[0] for t in texts] == expected
+    assert all(len(p) <= alignment.MEMO_LENGTH for p in pair.known)
 
 
 def test_query(spark, libraries):
