@@ -13,9 +13,10 @@ every component is expected to be hit, and further if one is not.
 Links: bands of ``rows`` components make buckets.  In each bucket the members meet one hub, pairs are verified by exact
 multiset overlap, and components are formed.  Buckets whose members are still in several components go on with ``GROWTH``
 times as many hubs a round, each against members of other components only, until every such pair has been tested once.
-A round cuts a bucket into tiles of about ``TILE`` members by ``TILE`` hubs; a task holds one tile and gives out only the
-pairs that pass a bound: counts summed into ``BINS`` bins can only overlap more than the multisets do.  So a group of
-copies costs one pair a member, no candidate is left out, and no pair is a row before it has passed.  Between rounds labels
+A round cuts a bucket into tiles of about ``TILE`` members by ``TILE`` hubs; a task holds one tile with its multisets.  A pair
+is verified if it passes a bound (counts summed into ``BINS`` bins can only overlap more than the multisets do) and its two
+are not yet in one component by the links that the tile has found: those could join nothing.  So a tile gives at most one
+link per member, a group of copies costs one pair a member, and no pair is ever a row.  Between rounds labels
 take two steps towards their components, which only saves pairs; whole components of all links are formed at the end.  A
 pair at the limit shares no band with probability ``(1 - similarity ** rows) ** bands`` (3e-5); nothing else is lost.
 
@@ -39,6 +40,8 @@ ROWS = 5
 GROWTH = 64
 #: Members, and hubs, of a tile.
 TILE = 2048
+#: Multisets that leave a task together.
+BAGS_AT_ONCE = 500
 #: Bins of the overlap bound; multisets with over 255 shingles in one are tested without it.
 BINS = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +63,7 @@ def shingles(text: str | None, width: int = SHINGLE_WORDS) -> tuple[np.ndarray,
 
 
 #: Elements and expected points that are worked on at once.
-CHUNK_POINTS = 200_000
+CHUNK_POINTS = 60_000
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
@@ -184,8 +187,8 @@ def _sign(bands: int, rows: int):
 
 
 def _bags(batches):
-    for batch in batches:
-        found = [shingles(t) for t in batch.column(1).to_pylist()]
+    for batch in (large.slice(at, BAGS_AT_ONCE) for large in batches for at in range(0, large.num_rows, BAGS_AT_ONCE)):
+        found = [shingles(t.as_py()) for t in batch.column(1)]
         binned = [np.bincount((e % np.uint64(BINS)).astype(np.int64), weights=c, minlength=BINS) for e, c in found]
         yield pa.RecordBatch.from_arrays(
             [
@@ -211,8 +214,12 @@ def _common(bins: np.ndarray, other: np.ndarray) -> np.ndarray:
         return ((both & np.uint64(0xFFFFFFFF)) + (both >> np.uint64(32))).astype(np.int64)
 
 
-def _tile_pairs(node, label, is_hub, as_hub, valid, bins, totals, similarity: float):
-    """Pairs of a tile's members and hubs, of different labels, whose multisets may be alike enough."""
+def _tile_links(node, label, is_hub, as_hub, valid, bins, totals, bag, similarity: float):
+    """Links between a tile's members and hubs that join different components.
+
+    Components known so far are ``label``; a link found joins two, and pairs within one are not looked at again.  So a
+    tile gives at most as many links as it has labels, however many of its pairs are alike."""
+    _, root = np.unique(label, return_inverse=True)
     mine = np.flatnonzero(~as_hub)
     order = mine[np.argsort(totals[mine], kind="stable")]  # alike multisets have alike sizes
     sizes, loose = totals[order[valid[order]]], order[~valid[order]]
@@ -224,18 +231,19 @@ def _tile_pairs(node, label, is_hub, as_hub, valid, bins, totals, similarity: fl
             near = order[lo:hi]
         else:
             near = order
-        near = near[(label[near] != label[h]) & (~is_hub[near] | (node[near] < node[h]))]
+        near = near[(root[near] != root[h]) & (~is_hub[near] | (node[near] < node[h]))]
         if valid[h] and len(near):
             common = _common(bins[near], bins[h])
             near = near[common >= similarity * (totals[near] + totals[h] - common) - 1e-9]
-        more = loose[(label[loose] != label[h]) & (~is_hub[loose] | (node[loose] < node[h]))] if len(loose) else loose
-        near = np.concatenate((near, more))
-        if len(near):
-            yield np.minimum(node[near], node[h]), np.maximum(node[near], node[h])
+        more = loose[(root[loose] != root[h]) & (~is_hub[loose] | (node[loose] < node[h]))] if len(loose) else loose
+        for i in np.concatenate((near, more)).tolist():
+            if root[i] != root[h] and overlap(*bag(i), *bag(h)) >= similarity:
+                yield min(node[i], node[h]), max(node[i], node[h])
+                root[root == root[i]] = root[h]
 
 
-def _bound(similarity: float):
-    """The pairs of tiles that may be alike enough.  Rows come sorted by tile; one tile is held at a time."""
+def _links_of_tiles(similarity: float):
+    """The links found in tiles.  Rows come sorted by tile; one tile is held at a time."""
 
     def tile(rows: pa.Table):
         node, label, is_hub, as_hub = (rows.column(i).to_numpy() for i in range(3, 7))
@@ -243,12 +251,17 @@ def _bound(similarity: float):
         blank = bytes(BINS)
         bins = np.frombuffer(b"".join(x or blank for x in rows.column(7).to_pylist()), dtype="u1").reshape(-1, BINS)
         totals = bins.sum(axis=1, dtype=np.int64)
-        yield from _tile_pairs(node, label, is_hub, as_hub, valid, bins, totals, similarity)
+        elements, counts = rows.column(8).chunk(0), rows.column(9).chunk(0)
+
+        def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+            return elements[i].values.to_numpy().view(np.uint64), counts[i].values.to_numpy()
+
+        yield from _tile_links(node, label, is_hub, as_hub, valid, bins, totals, bag, similarity)
 
-    def pairs(rows: pa.Table):
+    def links(rows: pa.Table):
         found = list(tile(rows.combine_chunks()))
         if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
@@ -261,18 +274,18 @@ def _bound(similarity: float):
             for at, until in zip(cuts, cuts[1:], strict=False):
                 own = tuple(keys[at].tolist())
                 if own != key and held:
-                    yield from pairs(pa.Table.from_batches(held))
+                    yield from links(pa.Table.from_batches(held))
                     held = []
                 key = own
                 held.append(batch.slice(at, until - at))
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from links(pa.Table.from_batches(held))
 
     return run
 
 
-def _tiled_pairs(due: DataFrame, bags: DataFrame, share: float, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of a round: ``due`` has bucket, node, label, members and is_hub."""
+def _tiled_links(due: DataFrame, bags: DataFrame, share: float, similarity: float) -> DataFrame:
+    """Links (a, b) of a round: ``due`` has bucket, node, label, members and is_hub."""
     m_blocks = F.ceil(F.col("members") / F.lit(float(TILE))).cast("int")
     h_blocks = F.ceil(F.least(F.col("members").cast("double"), F.lit(share)) / F.lit(float(TILE))).cast("int")
     place = F.xxhash64("node")
@@ -284,9 +297,10 @@ def _tiled_pairs(due: DataFrame, bags: DataFrame, share: float, similarity: floa
         "bucket", F.explode(F.sequence(F.lit(0), m_blocks - 1)).alias("i"), F.pmod(place, h_blocks).cast("int").alias("j"),
         "node", "label", "is_hub", F.lit(True).alias("as_hub"),
     )
-    rows = member.unionByName(hub).join(bags.select("node", "bins"), "node")
-    tiles = rows.select("bucket", "i", "j", "node", "label", "is_hub", "as_hub", "bins").repartition("bucket", "i", "j")
-    return tiles.sortWithinPartitions("bucket", "i", "j").mapInArrow(_bound(similarity), "a long, b long").distinct()
+    rows = member.unionByName(hub).join(bags, "node")
+    columns = ["bucket", "i", "j", "node", "label", "is_hub", "as_hub", "bins", "elements", "counts"]
+    tiles = rows.select(columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return stage_table(tiles.mapInArrow(_links_of_tiles(similarity), "a long, b long").distinct(), "links")
 
 
 def _verify(similarity: float):
@@ -403,8 +417,7 @@ def near_duplicates(
         # Earlier hubs have met everyone; two hubs of a round meet once.
         place = (F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
         due = left.filter(place > F.lit(before) / F.col("members")).withColumn("is_hub", place <= F.lit(share) / F.col("members"))
-        pairs = _tiled_pairs(due, bags, share, similarity)
-        found = _linked(pairs, bags, similarity)
+        found = _tiled_links(due, bags, share, similarity)
         if found.take(1):
             labels = _joined(labels, found, steps=2)
             links = found if links is None else links.union(found)

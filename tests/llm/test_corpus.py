@@ -183,27 +183,53 @@ def test_overlap_bound_loses_no_pair():
         texts += [" ".join(t), " ".join(other)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["node", "text"])
     (bags,) = near_duplicates._bags([batch])
-    bins = bags.column(3).to_pylist()
+    elements, counts, bins = (bags.column(i).to_pylist() for i in (1, 2, 3))
     assert bins[2] is None
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
     n = len(texts)
     hubs = [i % 3 > 0 for i in range(n)]  # in the second tile only some are hubs
     rows = []
     for tile, is_hub in ((1, [True] * n), (2, hubs)):
-        rows += [(tile, 0, 0, i, i, is_hub[i], False, bins[i]) for i in range(n)]
-        rows += [(tile, 0, 0, i, i, True, True, bins[i]) for i in range(n) if is_hub[i]]
+        rows += [(tile, 0, 0, i, i, is_hub[i], False, bins[i], elements[i], counts[i]) for i in range(n)]
+        rows += [(tile, 0, 0, i, i, True, True, bins[i], elements[i], counts[i]) for i in range(n) if is_hub[i]]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-    asked = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list("abcdefgh"))
+    kinds += [pa.list_(pa.int64()), pa.list_(pa.int32())]
+    asked = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list("abcdefghij"))
     pieces = [asked.slice(at, 37) for at in range(0, len(rows), 37)]  # tiles go over batches
-    first, second = near_duplicates._bound(0.8)(iter(pieces))
-    kept, some = ({(b, a) for a, b in zip(*(c.to_pylist() for c in x.columns))} for x in (first, second))
-    assert len(kept) == first.num_rows and some == {(i, j) for i, j in kept if hubs[i] or hubs[j]}
+    first, second = near_duplicates._links_of_tiles(0.8)(iter(pieces))
     found = [near_duplicates.shingles(t) for t in texts]
-    alike = {(i, j) for i, j in pairs if len(found[i][0]) and len(found[j][0]) and near_duplicates.overlap(*found[i], *found[j]) >= 0.8}
-    assert alike and alike <= kept and len(kept) < len(pairs)
-    assert not list(near_duplicates._bound(0.8)([asked.slice(0, 0)]))
-    same = pa.RecordBatch.from_arrays([*asked.columns[:4], pa.array([7] * len(rows)), *asked.columns[5:]], names=list("abcdefgh"))
-    assert not list(near_duplicates._bound(0.8)([same]))  # one component: nothing left to test
+    some = [i for i in range(n) if len(found[i][0])]
+    alike = {(i, j) for i in some for j in some if i > j and near_duplicates.overlap(*found[i], *found[j]) >= 0.8}
+    for links, wanted in ((first, alike), (second, {(i, j) for i, j in alike if hubs[i] or hubs[j]})):
+        kept = [(b, a) for a, b in zip(*(c.to_pylist() for c in links.columns))]
+        assert kept and set(kept) <= wanted and parts_of(n, kept) == parts_of(n, wanted)
+        assert len(kept) == n - len(set(parts_of(n, kept)))  # no link joins what is joined already
+    assert not list(near_duplicates._links_of_tiles(0.8)([asked.slice(0, 0)]))
+    same = pa.RecordBatch.from_arrays([*asked.columns[:4], pa.array([7] * len(rows)), *asked.columns[5:]], names=list("abcdefghij"))
+    assert not list(near_duplicates._links_of_tiles(0.8)([same]))  # one component: nothing left to test
+
+
+def parts_of(n, pairs):
+    """The smallest member of each one's component."""
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_links_of_copies_stay_linear():
+    """A tile of many near copies gives one link per member, although nearly every pair is alike."""
+    rng, n = random.Random(8), 300
+    base = rng.choices(WORDS, k=400)
+    texts = [" ".join(base[:i] + ["other"] + base[i + 1 :]) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["node", "text"])
+    (bags,) = near_duplicates._bags([batch])
+    own = [bags.column(3), bags.column(1), bags.column(2)]
+    one, names = pa.array([1] * n), list("abcdefghij")
+    yes, no = pa.array([True] * n), pa.array([False] * n)
+    sides = [pa.RecordBatch.from_arrays([one, one, one, bags.column(0), bags.column(0), yes, side, *own], names=names) for side in (no, yes)]
+    (links,) = near_duplicates._links_of_tiles(0.8)(iter(sides))
+    assert links.num_rows == n - 1
 
 
 def brute_classes(rows):
@@ -446,3 +472,42 @@ def test_katz_sums_are_64_bits_wide():
     for _ in range(3):
         sums.add(np.array([7]), {"n_tokens": np.array([2**31 - 1])})
     assert sums.ints[0, 0] == 3 * (2**31 - 1)
+
+
+def test_packing_ids_of_every_low_code_point():
+    """Alone and between letters, against the library; some capitals lower to letters beyond the plain characters."""
+    encoder = packing.WordEncoder(WORD_BPE)
+    texts = [f"{chr(c)} a{chr(c)}b" for c in range(0x250)] + ["ƏLAVƏ MƏLUMAT", "ƁANGARE", "ƐWE ƆKRA"]
+    for text, data in zip(texts, encoder.encode(texts), strict=True):
+        expected = token_cache.load_tokenizer(WORD_BPE).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(data, dtype="<u4").tolist() == expected, repr(text)
+
+
+def test_pages_with_unclosed_elements():
+    """The head may stay open, and lists of choices, buttons and drawings end with the next block."""
+
+    def texts(page):
+        return [b.text for b in html_text.blocks(page)]
+
+    assert texts("<html><head><title>t</title><body><article><p>One.<p>Two.") == ["One.", "Two."]
+    assert texts("<head><meta charset=x><script>x</script><div>One.</div>") == ["One."]
+    assert texts("<div><select><option>a<option>b<p>One.</p></div><p>Two.") == ["One.", "Two."]
+    assert texts("<div><button>press<p>One.</p></div><svg><path><p>Two.") == ["One.", "Two."]
+    assert texts("<p>One <button>x</button> two <textarea>y</textarea> three <select><option>z</select> four.</p>") == ["One two three four."]
+    assert texts('<p title="a>b">One.</p><p title="never closed>Two.</p>') == ["One.", "Two."]
+    assert texts("<p>1 < 2 <3 and <a href=x>link</a") == ["1 < 2 <3 and link"]
+    (block,) = html_text.blocks('<div class="outer"><article id="main"><p>x</p></article></div>')
+    assert (block.leaf, block.tags, block.names) == ("p", {"div", "article", "p"}, {"outer", "main"})
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 20_000 + "<p>x</p>" * 20_000, "<a " * 300_000, '<a b="' * 150_000, "<p>x" * 200_000, "<li><b>" * 100_000, "<!-- " * 200_000, "</div>" * 150_000 + "<i>" * 50_000],
+)
+def test_broken_and_deep_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    found = html_text.blocks(page)
+    half = html_text.blocks(page[: len(page) // 2])
+    assert time.process_time() - start < 20 and len(half) <= len(found)
