@@ -37,11 +37,10 @@ MEMO_WORDS = 400_000
 
 _LATIN = "".join(map(chr, range(0x250)))
 _PLAIN = re.compile("[\t-\r -ɏ]*")
-_IN = "".join
 
 
 def _class(kinds: str) -> str:
-    return _IN(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] in kinds)
+    return "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] in kinds)
 
 
 #: The .json form's own splitting rule, spelled out for the characters that ``_PLAIN`` admits.
@@ -86,9 +85,10 @@ class WordEncoder:
         found: list[bytes | None] = []
         split: list[tuple[int, list[str]]] = []
         for place, text in enumerate(texts):
-            text_plain = unicodedata.normalize("NFC", text)
-            if _PLAIN.fullmatch(text_plain) and not any(s in text for s in self.special):
-                split.append((place, _SPLIT.findall(text_plain.lower())))
+            plain = unicodedata.normalize("NFC", text)
+            lower = plain.lower()  # some capitals lower to letters beyond the plain characters
+            if _PLAIN.fullmatch(plain) and _PLAIN.fullmatch(lower) and not any(s in text for s in self.special):
+                split.append((place, _SPLIT.findall(lower)))
                 found.append(None)
             else:
                 found.append(self.whole(text))
