@@ -13,7 +13,9 @@ weights) bound the model.
 
 NULL and empty pages give the empty text.  Character references are decoded, white space inside a block becomes one
 space, blocks are joined by a line feed.  Scripts, styles, comments and the head never give blocks.  Unclosed tags
-end with their parents.  Extra columns are ignored; repeated rows get equal results.
+end with their parents; an unclosed head ends with the first tag that does not belong there, an unclosed list of
+choices, button or drawing with the first block.  Reading a page takes time in proportion to its length, however deep or
+broken it is.  Extra columns are ignored; repeated rows get equal results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,6 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAINING_PAGES = 60
+#: Longer pages train only if there are not enough shorter ones, and then by this many of their blocks.
+TRAINING_CHARS = 30_000
+TRAINING_BLOCKS = 400
 FEATURE_BITS = 14
 ROUNDS = 20
 
@@ -41,6 +47,16 @@ _INLINE = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 _HIDDEN = frozenset("script style noscript template svg math iframe object head title textarea select button".split())
+#: Hidden elements that stand within a line: they neither end a block nor a paragraph.
+_PHRASING = _INLINE | _HIDDEN - {"head", "title"}
+#: What a head may hold; any other tag ends it.
+_HEAD = frozenset("head title meta link base script style noscript template".split())
+#: Hidden elements that a block ends if they are open.
+_OPEN_ENDED = frozenset("select button svg math object".split())
+_BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
+    "h5 h6 header hr li main menu nav ol p pre section table ul".split()
+)
 _RAW = frozenset("script style textarea title iframe noscript".split())
 _CLOSES = {
     "li": frozenset(["li"]),
@@ -53,48 +69,72 @@ _CLOSES = {
 }
 _STOPS = frozenset("ul ol dl table tbody thead article section div main body form nav aside footer header select".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_TAG_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
 @dataclass(slots=True)
 class Block:
+    """``leaf`` is the innermost open element, ``tags`` are all of them, ``names`` their class, id and role words."""
+
     text: str
-    path: tuple[str, ...]
+    leaf: str
+    tags: frozenset[str]
     names: frozenset[str]
     linked: int
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where a tag ends, past quoted values; -1 if it does not.  A quote without its partner is an ordinary character, which
+    can happen once per kind of quote; so the search stays linear."""
+    while found := _TAG_STOP.search(page, at):
+        if found[0] == ">":
+            return found.end()
+        partner = page.find(found[0], found.end())
+        if partner < 0:
+            return page.find(">", found.end()) + 1 or -1
+        at = partner + 1
+    return -1
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in page order."""
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
-    hidden = links = 0
+    # Open elements: tag, innermost element that is not inline, and all tags and names so far; these are shared with the
+    # parent where the element adds nothing.
+    nothing = frozenset()
+    stack: list[tuple[str, str, frozenset[str], frozenset[str]]] = []
+    opened: Counter[str] = Counter()
+    hidden = linked = 0
     pieces: list[str] = []
-    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                path = tuple(t for t, _ in stack if t not in _INLINE)
-                names = frozenset().union(*(n for t, n in stack if t not in _INLINE))
-                out.append(Block(text, path, names, min(linked, len(text))))
+                _, leaf, tags, names = stack[-1] if stack else ("", "", nothing, nothing)
+                out.append(Block(text, leaf, tags, names, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal hidden, links
-        tag, _ = stack[-1]
-        if tag not in _INLINE:
+        nonlocal hidden
+        tag = stack[-1][0]
+        if tag not in _PHRASING and not hidden:  # what is hidden breaks no line
             flush()
         stack.pop()
+        opened[tag] -= 1
         hidden -= tag in _HIDDEN
-        links -= tag == "a"
+
+    def pop_through(tag: str) -> None:
+        while stack[-1][0] != tag:
+            pop()
+        pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -103,7 +143,7 @@ def blocks(page: str | None) -> list[Block]:
         if end > at and not hidden:
             piece = page[at:end]
             pieces.append(piece)
-            if links:
+            if opened["a"]:
                 linked += len(piece)
         if not match:
             break
@@ -111,26 +151,33 @@ def blocks(page: str | None) -> list[Block]:
         name = match[2]
         if name is None:
             continue
+        until = _tag_end(page, at)
+        if until < 0:  # the page ends within a tag
+            break
+        attributes, at = page[at : until - 1], until
         tag = name.lower()
         if match[1]:
-            if any(t == tag for t, _ in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
-            elif tag not in _INLINE:
+            if opened[tag]:
+                pop_through(tag)
+            elif tag not in _PHRASING and not hidden:
                 flush()
             continue
+        if opened["head"] and tag not in _HEAD:
+            pop_through("head")
+        if tag in _BLOCKS:
+            while ended := next((t for t in _OPEN_ENDED if opened[t]), None):
+                pop_through(ended)
         if tag in ("br", "wbr", "img"):
-            if tag == "br":
+            if tag == "br" and not hidden:
                 pieces.append(" ")
             continue
-        if tag not in _INLINE:
+        if tag not in _PHRASING and not hidden:
             flush()
             while stack and stack[-1][0] in _INLINE:  # unclosed inline elements end with their block
                 pop()
             if stack and stack[-1][0] == "p":
                 pop()
-            if tag in _CLOSES:
+            if any(opened[t] for t in _CLOSES.get(tag, ())):
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] in _CLOSES[tag]:
                         while len(stack) > depth:
@@ -138,17 +185,22 @@ def blocks(page: str | None) -> list[Block]:
                         break
                     if stack[depth][0] in _STOPS:
                         break
-        if tag in _VOID or match[3].endswith("/"):
+        if tag in _VOID or attributes.endswith("/"):
             continue
         if tag in _RAW:
             closing = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = closing.end() if closing else n
             continue
-        found = _NAMES.findall(match[3]) if match[3] else ()
-        names = frozenset(p for group in found for value in group for p in _PARTS.findall(value.lower()))
-        stack.append((tag, names))
+        _, leaf, tags, names = stack[-1] if stack else ("", "", nothing, nothing)
+        if tag not in _INLINE:
+            leaf = tag
+            tags = tags if tag in tags else tags | {tag}
+            found = _NAMES.findall(attributes) if attributes else ()
+            own = {p for group in found for value in group for p in _PARTS.findall(value.lower())}
+            names = names if own <= names else names | own
+        stack.append((tag, leaf, tags, names))
+        opened[tag] += 1
         hidden += tag in _HIDDEN
-        links += tag == "a"
     while stack:
         pop()
     flush()
@@ -175,10 +227,10 @@ def _slots(names: list[str]) -> list[int]:
 
 
 @lru_cache(maxsize=4096)
-def _place_slots(path: tuple[str, ...], names: frozenset[str]) -> list[int]:
+def _place_slots(leaf: str, tags: frozenset[str], names: frozenset[str]) -> list[int]:
     """Of the ancestors' tags and names, which many blocks share."""
-    found = ["bias", f"leaf:{path[-1] if path else ''}"]
-    found += [f"in:{t}" for t in sorted(set(path))]
+    found = ["bias", f"leaf:{leaf}"]
+    found += [f"in:{t}" for t in sorted(tags)]
     return _slots(found + [f"name:{n}" for n in sorted(names)])
 
 
@@ -194,7 +246,7 @@ def features(page: list[Block]) -> list[list[int]]:
         if "©" in b.text[:3]:
             names.append("copyright")
         names.append("first" if i == 0 else "last" if i == len(page) - 1 else "inner")
-        out.append(_place_slots(b.path, b.names) + _slots(names))
+        out.append(_place_slots(b.leaf, b.tags, b.names) + _slots(names))
     return out
 
 
@@ -285,7 +337,7 @@ _OTHER_NAMES = frozenset("ad ads advert comment comments sidebar menu nav footer
 
 def stated_labels(page: list[Block]) -> list[int]:
     """1 inside an article or main element and outside what is marked as something else."""
-    return [int(bool(_MAIN & {*b.path}) and not _OTHER & {*b.path} and not _OTHER_NAMES & b.names) for b in page]
+    return [int(bool(_MAIN & b.tags) and not _OTHER & b.tags and not _OTHER_NAMES & b.names) for b in page]
 
 
 # Usual element and class names of page templates.
@@ -322,7 +374,7 @@ def _element(kind: tuple[str, str], inside: str) -> str:
 
 def redress(page: list[Block], labels: list[int], rng: random.Random) -> tuple[list[list[int]], list[int]]:
     """The page's blocks in another template, with their labels."""
-    main = [b.text for b, y in zip(page, labels, strict=True) if y][:40]
+    main = [b.text for b, y in zip(page, labels, strict=True) if y][:40]  # a template's article is of usual length
     rest = [b.text for b, y in zip(page, labels, strict=True) if not y] or ["Home"]
 
     def prose() -> str:
@@ -356,29 +408,43 @@ def redress(page: list[Block], labels: list[int], rng: random.Random) -> tuple[l
     parts.append(_element(rng.choice(_FOOTERS), f"\x01&copy; {other()}"))
     found = blocks(f"<html><body>{''.join(parts)}</body></html>")
     marked = [int("\x01" not in b.text) for b in found]
-    clean = [Block(b.text.replace("\x01", "").strip() or "-", b.path, b.names, b.linked) for b in found]
+    clean = [Block(b.text.replace("\x01", "").strip() or "-", b.leaf, b.tags, b.names, b.linked) for b in found]
     return features(clean), marked
 
 
 def fit(
-    pages: DataFrame, *, page_html: str = "html", training_pages: int = TRAINING_PAGES, dresses: int = 4, seed: int = 7
+    pages: DataFrame,
+    *,
+    page_html: str = "html",
+    training_pages: int = TRAINING_PAGES,
+    training_chars: int = TRAINING_CHARS,
+    training_blocks: int = TRAINING_BLOCKS,
+    dresses: int = 4,
+    seed: int = 7,
 ) -> Chain:
-    """A chain trained on at most ``training_pages`` different pages that state an article, and their other dresses."""
-    stated = F.lower(F.col(page_html)).rlike("<(article|main)[ >]") & (F.length(page_html) < 30_000)
+    """A chain trained on at most ``training_pages`` different pages that state an article, and their other dresses.  Pages
+    of fewer than ``training_chars`` characters come first; of a page, a run of at most ``training_blocks`` blocks is learnt."""
+    stated = F.lower(F.col(page_html)).rlike("<(article|main)[ >]")
+    long = F.length(page_html) >= training_chars
     # The smallest content hashes: a bounded sample that does not depend on the order of the rows.  Copies of a page share
     # one hash and are one page; narrow rows are ranked, and only the chosen pages leave their tasks, once each.
-    hashed = pages.filter(stated).select(F.xxhash64(page_html).alias("h"), F.col(page_html).alias("page"))
-    chosen = [row.h for row in hashed.select("h").distinct().orderBy("h").limit(training_pages).collect()]
+    hashed = pages.filter(stated).select(F.xxhash64(page_html).alias("h"), long.alias("long"), F.col(page_html).alias("page"))
+    chosen = [row.h for row in hashed.select("h", "long").distinct().orderBy("long", "h").limit(training_pages).collect()]
     rows = sorted(hashed.filter(F.col("h").isin(chosen)).dropDuplicates(["h"]).collect(), key=lambda r: r.h) if chosen else []
     rng = random.Random(seed)
     examples = []
     for row in rows:
         found = blocks(row.page)
+        first = rng.randrange(len(found) - training_blocks) if len(found) > training_blocks else 0
+        found = found[first : first + training_blocks]
         labels = stated_labels(found)
         examples.append((features(found), labels))
         examples += [redress(found, labels, rng) for _ in range(dresses)]
     if not examples:  # nothing states its parts: the templates alone
-        plain = [Block("Some plain text stands here.", ("p",), frozenset(), 0), Block("Home", ("li",), frozenset(), 4)]
+        plain = [
+            Block("Some plain text stands here.", "p", frozenset(["p"]), frozenset(), 0),
+            Block("Home", "li", frozenset(["li"]), frozenset(), 4),
+        ]
         examples = [redress(plain, [1, 0], rng) for _ in range(200)]
     return train(examples)
 
