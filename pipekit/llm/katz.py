@@ -45,7 +45,7 @@ from pipekit.llm.common import crc32_remainder, hash_words, mix64, stage_table,
 K = 5
 TAIL = 0.01
 END, START = np.uint64(1), np.uint64(2)
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 200_000
 #: Unpacked bytes that a task works on at once.
 SLICE_BYTES = 12 << 20
 
