@@ -31,6 +31,8 @@ SEGMENT_BYTES = 4096
 MIN_MARGIN = 0.004
 LEVEL = 5
 UNKNOWN = "und"
+#: Texts that leave a task together; bounds its memory, never the result.
+TEXTS_AT_ONCE = 1000
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of a size difference that halve the score's odds.
@@ -158,8 +160,8 @@ def identify(
     position, names = docs.columns.index(text), [*docs.columns, *added]
 
     def run(batches):
-        for batch in batches:
-            found = [classify(t, frozen) for t in batch.column(position).to_pylist()]
+        for batch in (large.slice(at, TEXTS_AT_ONCE) for large in batches for at in range(0, large.num_rows, TEXTS_AT_ONCE)):
+            found = [classify(t.as_py(), frozen) for t in batch.column(position)]
             rejected = [language == UNKNOWN or margin < min_margin for language, _, margin in found]
             arrays = [
                 pa.array([f[0] for f in found], pa.string()),
