@@ -44,9 +44,10 @@ LONG_BYTES = 64 * 1024
 RANGE_BYTES = 16 * 1024
 FAN_IN = 8
 BLOCK_BYTES = 2 * 1024 * 1024
-#: Text whose tokens are aligned at once, and pieces kept by a Python worker: they bound memory, never the result.
+#: Text whose tokens are aligned at once, and pieces that a Python worker keeps (as many again of the generation before):
+#: they bound memory, never the result.
 STEP_BYTES = 512 * 1024
-MEMO_PIECES = 300_000
+MEMO_PIECES = 120_000
 PIECES_AT_ONCE = 10_000
 #: Pieces up to this many characters are kept.
 MEMO_LENGTH = 64
@@ -151,6 +152,7 @@ class TwoTokenizers:
         lists = [(a_bytes, ","), (a_bytes, "|"), (self.b_bytes, ","), (self.b_bytes, ";"), (self.b_bytes, "\n")]
         self.names = [f"{i}{end}" for ids, end in lists for i in range(len(ids))]
         self.known: dict[str, Aligned | None] = {}
+        self.before: dict[str, Aligned | None] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -196,13 +198,18 @@ class TwoTokenizers:
         return fragments_at(*found, *ends, [0, *range(first, length, RANGE_BYTES), length])
 
     def rendered(self, fragments: list[Fragment]) -> list[Aligned]:
-        """Whole texts' fragments with their groups as ``a1,a2|b1;a3|b2`` and their links, in one pass over the tokens."""
+        """Whole texts' fragments with their groups as ``a1,a2|b1;a3|b2`` and their links."""
         closed = [f.closed() for f in fragments]
-        sizes_a, sizes_b = (np.concatenate([c[i] for c in closed]) for i in (0, 1))
-        a, b = (np.concatenate([getattr(f, x) for f in fragments]).astype(np.int64) for x in ("a", "b"))
+        sizes = [np.concatenate([c[i] for c in closed]) for i in (0, 1)]
+        ids = [np.concatenate([getattr(f, x) for f in fragments]) for x in ("a", "b")]
+        counts = [[len(getattr(f, x)) for f in fragments] for x in ("a", "b")]
+        return self._render(*ids, *sizes, *counts, np.array([len(c[0]) for c in closed]))
+
+    def _render(self, a, b, sizes_a, sizes_b, counts_a, counts_b, n_groups: np.ndarray) -> list[Aligned]:
+        """The same of many texts at once: their ids and group sizes one after another, their numbers of tokens and groups."""
+        a, b = a.astype(np.int64), b.astype(np.int64)
         ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
         packed = ((a[ends_a - 1] << PAIR_BITS) | b[ends_b - 1]).astype("<u4").tobytes()
-        n_groups = [len(c[0]) for c in closed]
         last = np.cumsum(n_groups)
         b += 2 * len(self.a_sizes)
         a[ends_a - 1] += len(self.a_sizes)
@@ -213,10 +220,8 @@ class TwoTokenizers:
         codes[np.arange(len(b)) + np.repeat(ends_a, sizes_b)] = b
         texts = "".join(map(self.names.__getitem__, codes.tolist())).split("\n")
         cuts = [0, *(4 * last).tolist()]
-        return [
-            Aligned(len(f.a), len(f.b), n, text, packed[start:end])
-            for f, n, text, start, end in zip(fragments, n_groups, texts, cuts, cuts[1:])
-        ]
+        links = [packed[start:end] for start, end in zip(cuts, cuts[1:])]
+        return list(map(Aligned._make, zip(counts_a, counts_b, n_groups.tolist(), texts, links)))
 
     def _align_pieces(self, pieces: list[str]) -> list[Aligned | None]:
         """Pieces, each aligned on its own; their tokens are worked on together."""
@@ -224,27 +229,27 @@ class TwoTokenizers:
         some = [ids for ids in encoded if ids is not None]
         if not some:
             return [None] * len(pieces)
-        a, b = (np.array(list(chain.from_iterable(ids[i] for ids in some)), dtype=np.int32) for i in (0, 1))
+        of_a, of_b = zip(*some)
+        counts_a, counts_b = list(map(len, of_a)), list(map(len, of_b))
+        a, b = (np.fromiter(chain.from_iterable(x), dtype=np.int32) for x in (of_a, of_b))
         ends = self.ends(a, b)
         sizes_a, sizes_b = groups(*ends, int(ends[0][-1]))
-        # Each piece ends at a shared end: its groups are those up to its last token.
-        at_a, at_b = (np.cumsum([0] + [len(ids[i]) for ids in some]) for i in (0, 1))
-        cuts = np.append(0, np.searchsorted(np.cumsum(sizes_a), at_a[1:], "left") + 1)
-        nothing = np.zeros(1, dtype=np.int64)
-        whole = []
-        for i in range(len(some)):
-            of = slice(cuts[i], cuts[i + 1])
-            sizes = np.concatenate([sizes_a[of], nothing]), np.concatenate([sizes_b[of], nothing])
-            whole.append(Fragment(a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]], *sizes))
-        found = iter(self.rendered(whole))
+        # Each piece ends at a shared end: its groups are those up to its last token.  Nothing follows the last piece.
+        sizes_a, sizes_b = sizes_a[:-1], sizes_b[:-1]
+        last = np.searchsorted(np.cumsum(sizes_a), np.cumsum(counts_a), "left") + 1
+        found = iter(self._render(a, b, sizes_a, sizes_b, counts_a, counts_b, np.diff(last, prepend=0)))
         return [None if ids is None else next(found) for ids in encoded]
 
     def align(self, texts: list[str]) -> list[Aligned | None]:
         """Whole texts, None without tokens."""
         split = [CUT.split(text) if text else [] for text in texts]
         if len(self.known) > MEMO_PIECES:
-            self.known.clear()
-        new = list(set(chain.from_iterable(split)).difference(self.known))
+            self.before, self.known = self.known, {}
+        wanted = set(chain.from_iterable(split)).difference(self.known)
+        # Pieces of the generation before that are met again stay; the others go with it.
+        kept = wanted.intersection(self.before)
+        self.known.update((piece, self.before[piece]) for piece in kept)
+        new = list(wanted.difference(kept))
         for at in range(0, len(new), PIECES_AT_ONCE):
             some = new[at : at + PIECES_AT_ONCE]
             self.known.update(zip(some, self._align_pieces(some), strict=True))
