@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 
 from pipekit.operators.access import route_rows
 from pipekit.operators.latest import as_of, latest_per_key
-from pipekit.operators.layout import compact, file_count, file_row, write_branches, write_layout, write_tiers, zorder_cluster
+from pipekit.operators.layout import (
+    MIB,
+    compact,
+    file_count,
+    file_row,
+    write_branches,
+    write_layout,
+    write_tiers,
+    zorder_cluster,
+)
 from pipekit.operators.lineage import downstream, lineage_edges
 from pipekit.operators.merge import ALWAYS, MergeRule, append_evolving, merge_plan, merge_stats, upsert
 from pipekit.operators.runlog import cost_per_unit, recovery_time, run_durations, run_reliability
@@ -359,6 +368,10 @@ def _widen_append(t: Tables):
     return t.spark.table(name)
 
 
+#: Stored bytes of the orders that make one part of ``compact_files``.
+PART_BYTES = 64 * MIB
+
+
 def _orders_index(t: Tables, name: str, spread) -> FileIndex:
     index = FileIndex(t.spark, scratch_path(t.spark, name), t.orders.schema, ["o_orderpriority", "o_orderdate", "o_custkey"])
     index.start_from(spread(t.orders))
@@ -373,21 +386,25 @@ def _orders_index(t: Tables, name: str, spread) -> FileIndex:
     """,
 )
 def _compact_files(t: Tables):
-    """Orders once as twelve small files and once as a large one: the small ones are packed, the large one stays by reference."""
-    index = _orders_index(t, "compact", lambda orders: orders.coalesce(1))
-    (large,) = index.files().collect()
-    index.append(t.orders.repartition(12, "o_orderkey"))
-    done = index.compact(target_bytes=large.bytes)
+    """Each part of the orders once as twelve small files and once as a large one: the small ones are packed, the large one stays by
+    reference.  Parts follow the table's size, so that no file does; the file counts are those of a part."""
+    parts = file_count(t.spark, f"{t.directory}/orders.parquet", PART_BYTES)
+    part = F.pmod(F.xxhash64(F.lit("part"), "o_orderkey"), F.lit(parts)).cast("int")
+    piece = F.pmod(F.xxhash64(F.lit("piece"), "o_orderkey"), F.lit(12)).cast("int")
+    index = _orders_index(t, "compact", lambda orders: orders.repartitionById(parts, part))
+    large = index.files().collect()
+    index.append(t.orders.repartitionById(12 * parts, 12 * part + piece))
+    done = index.compact(target_bytes=max(f.bytes for f in large))
     facts = index.read().agg(F.count(F.lit(1)).alias("row_count"), F.sum("o_orderkey").cast("bigint").alias("key_sum"))
-    kept = index.files().filter(F.col("path") == large.path).count() == 1
+    kept = index.files().filter(F.col("path").isin([f.path for f in large])).count() == len(large)
     return facts.select(
         "*",
-        F.lit(done.files_before).alias("files_before"),
-        F.lit(done.small_before).alias("small_before"),
+        (F.lit(done.files_before) / parts).cast("int").alias("files_before"),
+        (F.lit(done.small_before) / parts).cast("int").alias("small_before"),
         F.lit(done.files_after < done.files_before).alias("fewer_files"),
         F.lit(done.small_after < done.small_before).alias("fewer_small_files"),
         F.lit(kept).alias("large_file_kept"),
-        F.lit(0 < done.bytes_rewritten <= done.bytes_total - large.bytes).alias("only_small_rewritten"),
+        F.lit(0 < done.bytes_rewritten <= done.bytes_total - sum(f.bytes for f in large)).alias("only_small_rewritten"),
     )
 
 

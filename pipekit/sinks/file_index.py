@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ from pipekit.session import cut_lineage
 
 #: Small files that are packed together by one task.
 FILES_PER_GROUP = 10_000
+#: Files up to which a rewrite's list is broadcast; their paths have passed the driver by then.
+BROADCAST_FILES = 100_000
 
 
 @dataclass(frozen=True)
@@ -60,10 +62,13 @@ def first_fit(sizes: Sequence[int], capacity: int) -> list[int]:
 
 
 def _pack(capacity: int):
+    """Files that share a bin, the group's bins numbered without gaps."""
+
     def run(key: tuple, files: pd.DataFrame) -> pd.DataFrame:
         files = files.sort_values("path", ignore_index=True)
-        bins = first_fit(files["bytes"].tolist(), capacity)
-        return files.assign(bin=[f"{key[0]}-{b}" for b in bins])[["path", "bytes", "bin"]]
+        files["bin"] = first_fit(files["bytes"].tolist(), capacity)
+        files = files[files.groupby("bin")["bin"].transform("size") > 1]
+        return files.assign(bin=pd.factorize(files["bin"])[0])[["path", "bytes", "grp", "bin"]]
 
     return run
 
@@ -101,8 +106,10 @@ class FileIndex:
         zones = []
         for i, column in enumerate(self.zones):
             zones += [F.min(named(column)).alias(f"low_{i}"), F.max(named(column)).alias(f"high_{i}")]
-        file = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")]
-        return read.groupBy(*file).agg(F.count(F.lit(1)).alias("rows"), *zones).select(self._list_schema().names)
+        # With a collected size Spark keeps the groups' buffers in a hash map; strings' ranges alone would make it sort all rows by file.
+        size = F.element_at(F.collect_set(F.col("_metadata.file_size")), 1).alias("bytes")
+        files = read.groupBy(F.col("_metadata.file_path").alias("path"))
+        return files.agg(size, F.count(F.lit(1)).alias("rows"), *zones).select(self._list_schema().names)
 
     def _publish(self, files: DataFrame, version: int) -> None:
         files.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/lists/v-{version}")
@@ -135,17 +142,24 @@ class FileIndex:
         small = files.filter(F.col("bytes") < F.lit(target_bytes * small_share))
         groups = max(1, -(-small.count() // FILES_PER_GROUP))
         dealt = small.select("path", "bytes", F.pmod(F.xxhash64("path"), F.lit(groups)).alias("grp"))
-        packed = dealt.groupBy("grp").applyInPandas(_pack(target_bytes), "path string, bytes long, bin string")
-        together = packed.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bin")
-        rewritten = cut_lineage(packed.join(together, "bin").select("path", "bin", "bytes"))
+        packed = cut_lineage(dealt.groupBy("grp").applyInPandas(_pack(target_bytes), "path string, bytes long, grp long, bin long"))
+        # One row per group of thousands of files: where its bins' numbers begin.
+        bins = packed.groupBy("grp").agg((F.max("bin") + 1).alias("bins"))
+        first = F.sum("bins").over(Window.orderBy("grp")) - F.col("bins")
+        numbered = packed.join(bins.select("grp", first.alias("first")), "grp")
+        rewritten = cut_lineage(numbered.select("path", "bytes", (F.col("first") + F.col("bin")).cast("int").alias("bin")))
         before = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).head()
-        moved = rewritten.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).head()
+        moved = rewritten.agg(
+            F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), (F.max("bin") + 1).alias("bins")
+        ).head()
         if moved.files:
             folder, version = self._folder(), self._version()
             rows = self.read(rewritten).withColumn("path", F.col("_metadata.file_path"))
-            binned = rows.join(rewritten.select("path", "bin"), "path").drop("path")
-            # A bin has about the target's bytes: one task writes it, as one file.
-            binned.repartition(max(1, moved.bytes // target_bytes + 1), "bin").write.partitionBy("bin").parquet(folder)
+            small_list = F.broadcast if moved.files <= BROADCAST_FILES else lambda df: df
+            binned = rows.join(small_list(rewritten.select("path", "bin")), "path")
+            # A bin has about the target's bytes: one task writes it as one file, row by row as they come.
+            names = [named(f.name) for f in self.schema.fields]
+            binned.repartitionById(moved.bins, F.col("bin")).select(*names).write.parquet(folder)
             kept = files.join(rewritten, "path", "left_anti").select(*files.columns)
             self._publish(kept.unionByName(self._listed(folder)), version + 1)
         after = self.files()

@@ -122,3 +122,17 @@ def test_bits_follow_the_files():
 def test_a_string_column_clusters(spark):
     frame = spark.range(1000).selectExpr("concat('n', id * 37 % 1000) AS s", "id AS k")
     assert rows(zorder_cluster(frame, ["s", "k"], 4)) == rows(frame)
+
+
+def test_listing_and_compaction_sort_no_rows(spark, tmp_path, monkeypatch):
+    index = index_of(spark, tmp_path, spark.range(300).selectExpr("id AS k", "string(id % 7) AS s").repartition(3, "k"), ["k", "s"])
+    index.append(spark.range(300, 400).selectExpr("id AS k", "string(id) AS s").repartition(12, "k"))
+    plan = index._listed(f"{index.root}/data")._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    monkeypatch.setattr("pipekit.sinks.file_index.FILES_PER_GROUP", 4)  # bins of several groups are numbered through
+    content, size = rows(index.read()), index.files().agg({"bytes": "max"}).head()[0]
+    before = {r.path for r in index.files().collect()}
+    done = index.compact(target_bytes=4 * size, small_share=1.0)
+    new = [r for r in index.files().collect() if r.path not in before]
+    assert rows(index.read()) == content and 0 < len(new) < 15 and not any("bin=" in r.path for r in new)
+    assert done.files_after == len(new) + done.files_before - sum(r not in {f.path for f in index.files().collect()} for r in before)
