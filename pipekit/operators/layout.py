@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from pipekit.functions import holds, interleave_bits, rank_bucket
 
 MIB = 1 << 20
+#: Stored bytes of a file whose rows one task gathers and sorts: as rows they take several times as much.
+SORTED_BYTES = 128 * MIB
 #: Rows whose values cut a column into ranks.
 SAMPLE_ROWS = 20_000
 

@@ -10,6 +10,7 @@ from pipekit.operators.access import route_rows
 from pipekit.operators.latest import as_of, latest_per_key
 from pipekit.operators.layout import (
     MIB,
+    SORTED_BYTES,
     compact,
     file_count,
     file_row,
@@ -208,7 +209,7 @@ def _compact_partitioned(t: Tables):
 @register("zorder_cluster", "select * from lineitem")
 def _zorder_cluster(t: Tables):
     out = scratch_path(t.spark, "zorder")
-    files = file_count(t.spark, f"{t.directory}/lineitem.parquet")
+    files = file_count(t.spark, f"{t.directory}/lineitem.parquet", SORTED_BYTES)
     clustered = zorder_cluster(t.lineitem, ["l_partkey", "l_shipdate"], files, tie_breakers=[file_row()])
     clustered.write.parquet(out)
     return t.spark.read.parquet(out)

@@ -175,3 +175,13 @@ def test_downstream_of_a_hub_adds_no_edges(spark):
     frame = spark.createDataFrame(edges, EDGES)
     assert downstream(frame, "a").count() == 41 and downstream(frame.limit(0), "a").count() == 0
     assert downstream(frame, "nowhere").count() == 0
+
+
+def test_clustered_files_fit_a_task(spark, monkeypatch):
+    from pipekit.plans import table_queries
+    from pipekit.plans.registry import QUERIES
+
+    asked = []
+    monkeypatch.setattr(table_queries, "file_count", lambda *args: asked.append(args[2:]) or 3)
+    clustered = QUERIES["zorder_cluster"](spark, DATA)
+    assert asked == [(table_queries.SORTED_BYTES,)] and len(clustered.inputFiles()) == 3
