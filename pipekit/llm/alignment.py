@@ -223,6 +223,10 @@ class TwoTokenizers:
         links = [packed[start:end] for start, end in zip(cuts, cuts[1:])]
         return list(map(Aligned._make, zip(counts_a, counts_b, n_groups.tolist(), texts, links)))
 
+    def forget(self) -> None:
+        """Drops the known pieces.  A worker outlives its task: what it keeps would lie beside the stages that follow."""
+        self.known, self.before = {}, {}
+
     def _align_pieces(self, pieces: list[str]) -> list[Aligned | None]:
         """Pieces, each aligned on its own; their tokens are worked on together."""
         encoded = self._encode(pieces)
@@ -331,6 +335,7 @@ def _blocks(ranks: str, pieces: str):
                 if block.bytes >= BLOCK_BYTES:
                     yield block.batch()
                     block = _Block()
+        pair.forget()
         if block.rows:
             yield block.batch()
 

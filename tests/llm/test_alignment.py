@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pipekit.llm import alignment
@@ -163,3 +164,10 @@ def test_query(spark, libraries):
     path = "/root/testdata/sf0.001"
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
     assert found(QUERIES["op13_fragment_alignment"](spark, path)) == brute(libraries, texts)
+
+
+def test_a_worker_keeps_no_pieces_after_its_task():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two three", "two three four"], "size": [13, 14]})
+    (block,) = alignment._blocks(BYTE_RANKS, PIECE_MODEL)([batch])
+    pair = alignment.two_tokenizers(BYTE_RANKS, PIECE_MODEL)
+    assert block.column(1).to_pylist() == [[1, 2]] and not pair.known and not pair.before
