@@ -40,9 +40,10 @@ def hash_words(words: list[bytes]) -> np.ndarray:
 
 
 def stage_table(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: later plans start from its files."""
+    """Writes a frame to the shared folder and reads it back: later plans start from its files.  Texts stay there until the job
+    ends, so they are stored by the codec that takes the least room."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,6 +14,7 @@ import pytest
 
 import corpus_pipeline
 from pipekit.llm import (
+    common,
     html_text,
     katz,
     language_id,
@@ -511,3 +512,8 @@ def test_broken_and_deep_pages_take_linear_time(page):
     found = html_text.blocks(page)
     half = html_text.blocks(page[: len(page) // 2])
     assert time.process_time() - start < 20 and len(half) <= len(found)
+
+
+def test_staged_tables_take_little_room(spark):
+    staged = common.stage_table(spark.createDataFrame([("some text",)], "text string"), "room")
+    assert staged.collect() == [("some text",)] and all(f.endswith(".zstd.parquet") for f in staged.inputFiles())
