@@ -47,7 +47,7 @@ TAIL = 0.01
 END, START = np.uint64(1), np.uint64(2)
 BATCH_TOKENS = 200_000
 #: Unpacked bytes that a task works on at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 _CLASSES = [f"seen{r}" for r in range(1, K + 1)]
 _UNSEEN = [f"word{r}" for r in range(1, K + 1)]
@@ -73,7 +73,7 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return head + zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
 
 
-def _unblob(data: bytes, kinds: list[str]) -> list[np.ndarray]:
+def _unblob(data: bytes | pa.Buffer, kinds: list[str]) -> list[np.ndarray]:
     sizes = struct.unpack(f"<{len(kinds)}Q", data[: 8 * len(kinds)])
     raw, at, out = zstandard.ZstdDecompressor().decompress(data[8 * len(kinds) :]), 0, []
     for size, kind in zip(sizes, kinds, strict=True):
@@ -244,7 +244,8 @@ def _rows(kind: str, key: np.ndarray, **columns):
 class _Sums:
     """Sums by key, added slice by slice until they are sent on."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = SUM_ROWS) -> None:
+        self.most = most
         self.keys = np.empty(0, np.int64)
         self.ints = np.empty((0, len(_INTS)), np.int64)
         self.floats = np.empty((0, len(_FLOATS)))
@@ -262,13 +263,18 @@ class _Sums:
                     after[where[old:], i] += columns[column].astype(before.dtype)
             setattr(self, name, after)
 
+    def room(self, kind: str, more: int):
+        """Sends the sums on unless ``more`` keys fit beside them."""
+        if len(self.keys) + more > self.most:
+            yield from self.rows(kind)
+
     def rows(self, kind: str):
         columns = {c: self.ints[:, i] for i, c in enumerate(_INTS)} | {c: self.floats[:, i] for i, c in enumerate(_FLOATS)}
         yield from _rows(kind, self.keys, **{c: v for c, v in columns.items() if v.any()})
-        self.__init__()
+        self.__init__(self.most)
 
 
-def _slice(data: bytes, base: int, lowest: int, highest: int) -> list[np.ndarray]:
+def _slice(data: pa.Buffer, base: int, lowest: int, highest: int) -> list[np.ndarray]:
     """The pairs of a blob whose words lie in a range of hashes (blobs are in the order of their words)."""
     w, per_word, names, where, count, holding, d, t = _unblob(data, _KINDS)
     i, j = np.searchsorted(w, np.uint64(lowest)), np.searchsorted(w, np.uint64(highest), "right")
@@ -292,16 +298,14 @@ def _count_buckets(pairs_too: bool):
             del found
             if len(columns[0]):
                 yield from _merge(*columns, pairs_too, documents, histories)
-            for kind, sums in (("d", documents), ("h", histories)):
-                if len(sums.keys) >= SUM_ROWS:
-                    yield from sums.rows(kind)
 
     def run(batches):
-        blobs: list[tuple[int, bytes]] = []
-        documents, histories, current = _Sums(), _Sums(), None
+        blobs: list[tuple[int, pa.Buffer]] = []
+        documents, histories, current = _Sums(SUM_ROWS), _Sums(SUM_ROWS), None
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket, base, holds, data = (batch.column(k)[i].as_py() for k in (0, 1, 2, 4))
+                bucket, base, holds = (batch.column(k)[i].as_py() for k in (0, 1, 2))
+                data = batch.column(4)[i].as_buffer()  # lies in the batch, not beside it
                 if bucket != current:
                     yield from count(blobs, documents, histories)
                     blobs, current = [], bucket
@@ -358,6 +362,7 @@ def _merge(words, histories, counts, holders, docs, times, pairs_too: bool, docu
     columns |= {f"word{r}": _sum(at[swc == r], n) for r in range(1, K + 1)}
     columns |= {"n_tail": _sum(at[sc > K], n), "n_tokens": _sum(at, n, sc), "n_unknown_unseen": _sum(at[swc > K], n)}
     columns |= {"sum_word": _sum(at[swc > K], n, swc[swc > K])}
+    yield from history_sums.room("h", n)
     history_sums.add(names.view(np.int64), columns)
     if pairs_too:
         yield from _rows("p", ph[seen].view(np.int64), other=pw[seen].view(np.int64), n_tokens=sc)
@@ -380,6 +385,7 @@ def _merge(words, histories, counts, holders, docs, times, pairs_too: bool, docu
     columns["seen_log"] = _sum(at[is_seen], n, times[is_seen] * np.log10(ec[is_seen] - np.where(ec[is_seen] > K, TAIL, 0.0)))
     pick = ~is_seen & is_known
     columns["unseen_log"] = _sum(at[pick], n, times[pick] * np.log10(ewc[pick] - np.where(ewc[pick] > K, TAIL, 0.0)))
+    yield from documents.room("d", n)
     documents.add(own, columns)
     pick = ~is_seen
     yield from _rows("u", ph[kind[pick]].view(np.int64), other=docs[pick], n_tokens=times[pick])

@@ -514,6 +514,17 @@ def test_broken_and_deep_pages_take_linear_time(page):
     assert time.process_time() - start < 20 and len(half) <= len(found)
 
 
+def test_katz_sends_sums_on_before_they_outgrow_their_bound():
+    documents, histories, sent = katz._Sums(50), katz._Sums(50), Counter()
+    for first in (0, 30, 60):
+        docs = np.arange(first, first + 30)
+        words, one = (docs + 4).astype(np.uint64), np.ones(30, dtype=np.uint32)
+        for batch in katz._merge(words, words, one, one, docs, one, False, documents, histories):
+            sent.update(batch.column(0).to_pylist())
+        assert len(documents.keys) <= 50 and len(histories.keys) <= 50
+    assert sent["d"] == sent["h"] == 60
+
+
 def test_staged_tables_take_little_room(spark):
     staged = common.stage_table(spark.createDataFrame([("some text",)], "text string"), "room")
     assert staged.collect() == [("some text",)] and all(f.endswith(".zstd.parquet") for f in staged.inputFiles())
