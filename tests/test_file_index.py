@@ -136,3 +136,13 @@ def test_listing_and_compaction_sort_no_rows(spark, tmp_path, monkeypatch):
     new = [r for r in index.files().collect() if r.path not in before]
     assert rows(index.read()) == content and 0 < len(new) < 15 and not any("bin=" in r.path for r in new)
     assert done.files_after == len(new) + done.files_before - sum(r not in {f.path for f in index.files().collect()} for r in before)
+
+
+def test_compact_files_in_several_parts(spark, monkeypatch):
+    from pipekit.plans import table_queries
+    from pipekit.plans.registry import QUERIES
+
+    monkeypatch.setattr(table_queries, "PART_BYTES", 100_000)  # three parts
+    found = QUERIES["compact_files"](spark, "/root/testdata/sf0.01").head().asDict()
+    assert found.pop("row_count") == 30_000 and found.pop("key_sum") > 0
+    assert (found.pop("files_before"), found.pop("small_before")) == (13, 12) and all(found.values())
