@@ -16,8 +16,9 @@ How it runs.  A log probability is a sum of terms that need a pair's count, a wo
 discounts.  Tasks turn each batch of documents into packed pairs, equal pairs counted once with the documents that hold
 them, and deal them by word.  Where the pairs of a word meet, both counts are known; what still depends on the discounts
 is kept as counts of counts, so one pass is enough.  It leaves partitioned tables: of histories (from which the backoff
-weights follow), of documents' partial sums, and of the unseen pairs of held-out documents, which join their histories'
-weights.  Discounts come from a dozen totals.  With ``pairs=True`` the pair counts themselves are stored too.
+weights follow), of documents' partial sums (packed, ``1 << GROUP_BITS`` documents a row), and of the unseen pairs of
+held-out documents, which join their histories' weights.  Words that the same sample shows to be common travel as their place
+in a list that every task has, all others as their hash.  Discounts come from a dozen totals.  With ``pairs=True`` the pair counts themselves are stored too.
 
 The end token, and words that a sample shows to hold more than a task's mean share of the tokens, are not dealt by word.
 Their tokens become rows of (document, pair), spread at random; Spark sums their pair counts and joins them back.  The
@@ -52,39 +53,80 @@ SLICE_BYTES = 6 << 20
 _CLASSES = [f"seen{r}" for r in range(1, K + 1)]
 _UNSEEN = [f"word{r}" for r in range(1, K + 1)]
 _INTS = ["n_tokens", "n_known", "n_unknown_unseen", "n_tail", *_CLASSES, *_UNSEEN]
-_FLOATS = ["base_log", "history_log", "seen_log", "unseen_log", "sum_word"]
+_FLOATS = ["base_log", "score_log", "sum_word"]
 #: Keys whose sums a task holds before it sends them on; Spark adds the parts of a key.
 SUM_ROWS = 200_000
+#: Words that packed rows name by their place in the list of common words.
+COMMON_WORDS = 100_000
+#: Documents whose sums and own columns travel together.
+GROUP_BITS = 6
 #: Share of the documents that are searched for heavy words.
 SAMPLE = 1 / 16
 #: What a packed row holds.
 _PAIRS, _META, _HEAVY = 0, 1, 2
-#: kind: d document, h history, u unseen pair, s totals, m document's own columns, p pair, e heavy word in a document (key:
-#: history, other: document, n_known: word, n_tokens: times, n_tail: times in training).
-_SCHEMA = "kind string, key long, other long, " + ", ".join(f"{c} long" for c in _INTS) + ", " + ", ".join(f"{c} double" for c in _FLOATS)
+#: kind: d documents' sums and m documents' own columns (key: group, data: packed), h history, u unseen pair, s totals, p pair,
+#: e heavy word in a document (key: history, other: document, n_known: word, n_tokens: times, n_tail: times in training).
+_SCHEMA = (
+    "kind string, key long, other long, "
+    + ", ".join(f"{c} long" for c in _INTS)
+    + ", "
+    + ", ".join(f"{c} double" for c in _FLOATS)
+    + ", data binary"
+)
 
 
 def ascii_lower_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as hold them."""
+    most = int(a.max()) if len(a) else 0
+    return a.astype(next(f"<u{size}" for size in (1, 2, 4, 8) if most < 1 << 8 * size))
+
+
 def _blob(*arrays: np.ndarray) -> bytes:
-    head = struct.pack(f"<{len(arrays)}Q", *(a.nbytes for a in arrays))
-    return head + zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    """Compressed arrays; bytes of equal weight lie together."""
+    head = struct.pack(f"<{len(arrays)}Q", *(len(a) << 4 | a.itemsize for a in arrays))
+    planes = (np.ascontiguousarray(a).view("u1").reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    return head + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unblob(data: bytes | pa.Buffer, n: int, kinds: str | None = None) -> list[np.ndarray]:
+    """The arrays of a blob, unsigned unless ``kinds`` has another letter for each."""
+    heads = struct.unpack(f"<{n}Q", data[: 8 * n])
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data[8 * n :]), 0, []
+    for head, kind in zip(heads, kinds or "u" * n, strict=True):
+        count, size = head >> 4, head & 15
+        planes = np.frombuffer(raw, dtype="u1", count=count * size, offset=at).reshape(size, count)
+        out.append(np.ascontiguousarray(planes.T).view(f"<{kind}{size}").reshape(-1))
+        at += count * size
+    return out
+
 
+def _coded(words: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """Ascending words: which of them are common, steps of their places, steps of the others."""
+    at = np.searchsorted(common, words).clip(max=len(common) - 1)
+    hit = common[at] == words
+    steps = [np.diff(x, prepend=x.dtype.type(0)) for x in (at[hit], words[~hit])]
+    return [np.packbits(hit), _narrow(steps[0]), steps[1]]
 
-def _unblob(data: bytes | pa.Buffer, kinds: list[str]) -> list[np.ndarray]:
-    sizes = struct.unpack(f"<{len(kinds)}Q", data[: 8 * len(kinds)])
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data[8 * len(kinds) :]), 0, []
-    for size, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(raw, dtype=kind, count=size // np.dtype(kind).itemsize, offset=at))
-        at += size
+
+def _decoded(bits: np.ndarray, places: np.ndarray, others: np.ndarray, common: np.ndarray) -> np.ndarray:
+    hit = np.unpackbits(bits, count=len(places) + len(others)).astype(bool)
+    out = np.empty(len(hit), np.uint64)
+    out[hit], out[~hit] = common[np.cumsum(places, dtype=np.int64)], np.cumsum(others, dtype=np.uint64)
     return out
 
 
-#: words, pairs per word, distinct histories, history of each pair, training count and holders of each pair, the holders'
-#: documents and their counts.
-_KINDS = ["<u8", "<u4", "<u8", "<u4", "<u4", "<u4", "<u4", "<u4"]
+#: words (coded), pairs per word, distinct histories (coded), history of each pair, training count and holders of each pair, the
+#: holders' documents and their counts.
+_PACKED = 12
+
+
+def _unpacked(data: bytes | pa.Buffer, common: np.ndarray) -> list[np.ndarray]:
+    a = _unblob(data, _PACKED)
+    return [_decoded(*a[:3], common), a[3], _decoded(*a[4:7], common), *a[7:]]
 
 
 def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -98,7 +140,7 @@ def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _packed(words, histories, docs, train, buckets: int):
+def _packed(words, histories, docs, train, buckets: int, common: np.ndarray):
     """(bucket, blob) of the tokens of a batch of documents."""
     bucket = (mix64(words) % np.uint64(buckets)).astype(np.uint32)
     order = np.lexsort((docs, histories, words, bucket))
@@ -119,35 +161,39 @@ def _packed(words, histories, docs, train, buckets: int):
         own = _starts(w)
         names, where = np.unique(h, return_inverse=True)
         yield b, _blob(
-            w[own],
-            np.diff(np.append(own, len(w))).astype("<u4"),
-            names,
-            where.astype("<u4"),
-            trained[plo:phi].astype("<u4"),
-            holders[plo:phi].astype("<u4"),
-            docs[lo:hi].astype("<u4"),
-            per_entry[lo:hi].astype("<u4"),
+            *_coded(w[own], common),
+            _narrow(np.diff(np.append(own, len(w)))),
+            *_coded(names, common),
+            _narrow(where),
+            _narrow(trained[plo:phi]),
+            _narrow(holders[plo:phi]),
+            _narrow(docs[lo:hi]),
+            _narrow(per_entry[lo:hi]),
         )
 
 
-def _heavy_words(rows: DataFrame, buckets: int) -> np.ndarray:
-    """The end token and words that seem to hold over 1 / ``buckets`` of the tokens, at most 2 * ``buckets`` + 1."""
+def _sampled_words(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Heavy words: the end token and words that seem to hold over 1 / ``buckets`` of the tokens, at most 2 * ``buckets`` + 1.
+    Common words: those found most often, at most ``COMMON_WORDS`` and the end and start.  Both ascend."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             h = np.concatenate([hash_words(ascii_lower_words(t)) for t in texts] or [np.empty(0, np.uint64)]) | np.uint64(4)
             words, counts = np.unique(h, return_counts=True)
-            often = counts * 2 * buckets > len(h)  # a batch names at most twice as many words as there are buckets
+            often = counts * 2 * buckets > len(h)
+            often |= counts >= max(2, np.sort(counts)[-COMMON_WORDS:].min(initial=2))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(words[often].view("i8"), 0)), pa.array(np.append(counts[often], len(h) + len(texts)).astype("i8"))],
                 names=["word", "n"],
             )
 
     counts = rows.select("text").sample(SAMPLE, seed=1).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.col("word") == 0, F.desc("n"), "word").limit(2 * buckets).collect()
+    found = counts.orderBy(F.col("word") == 0, F.desc("n"), "word").limit(max(2 * buckets, COMMON_WORDS)).collect()
     total = counts.filter("word = 0").agg(F.max("n")).first()[0] or 0
-    return np.array(sorted({int(END)} | {r.word % (1 << 64) for r in found if r.word and r.n * buckets > total}), dtype=np.uint64)
+    heavy = [r.word % (1 << 64) for r in found[: 2 * buckets] if r.word and r.n * buckets > total]
+    common = [r.word % (1 << 64) for r in found[:COMMON_WORDS] if r.word]
+    return np.unique(np.array([END, *heavy], dtype=np.uint64)), np.unique(np.array([END, START, *common], dtype=np.uint64))
 
 
 def _entries(words, histories, docs, train) -> bytes:
@@ -157,10 +203,10 @@ def _entries(words, histories, docs, train) -> bytes:
     entry = _starts(words, histories, docs)
     times = np.diff(np.append(entry, len(words)))
     d = docs[entry]
-    return _blob(words[entry], histories[entry], d.astype("<u4"), times.astype("<u4"), (times * train[d]).astype("<u4"))
+    return _blob(words[entry], histories[entry], _narrow(d), _narrow(times), _narrow(times * train[d]))
 
 
-def _pack(buckets: int, heavy: np.ndarray):
+def _pack(buckets: int, heavy: np.ndarray, common: np.ndarray):
     def run(batches):
         from pyspark import TaskContext
 
@@ -190,7 +236,7 @@ def _pack(buckets: int, heavy: np.ndarray):
                 train = np.array(train_flags[first:at], dtype=np.int64)
                 hot = np.isin(words, heavy)
                 cold = ~hot
-                rows = list(_packed(words[cold], histories[cold], docs[cold], train, buckets))
+                rows = list(_packed(words[cold], histories[cold], docs[cold], train, buckets, common))
                 spread = _entries(words[hot], histories[hot], docs[hot], train)
                 own = np.array([-1 if i is None else i for i in ids[first:at]], dtype="<i8")
                 null = np.array([i is None for i in ids[first:at]], dtype="u1")
@@ -219,6 +265,7 @@ _TYPES = pa.schema(
     [("kind", pa.string()), ("key", pa.int64()), ("other", pa.int64())]
     + [(c, pa.int64()) for c in _INTS]
     + [(c, pa.float64()) for c in _FLOATS]
+    + [("data", pa.binary())]
 )
 OUT_ROWS = 20_000
 
@@ -233,6 +280,8 @@ def _rows(kind: str, key: np.ndarray, **columns):
                 arrays.append(pa.array([kind] * n, pa.string()))
             elif field.name == "key":
                 arrays.append(pa.array(key[at : at + n].astype("i8")))
+            elif field.name == "data" and "data" in columns:
+                arrays.append(pa.array(columns["data"][at : at + n], pa.binary()))
             elif field.name in columns:
                 dtype = "f8" if field.type == pa.float64() else "i8"
                 arrays.append(pa.array(columns[field.name][at : at + n].astype(dtype)))
@@ -244,17 +293,19 @@ def _rows(kind: str, key: np.ndarray, **columns):
 class _Sums:
     """Sums by key, added slice by slice until they are sent on."""
 
+    whole, fractions, dtype = _INTS, _FLOATS, np.int64
+
     def __init__(self, most: int = SUM_ROWS) -> None:
         self.most = most
         self.keys = np.empty(0, np.int64)
-        self.ints = np.empty((0, len(_INTS)), np.int64)
-        self.floats = np.empty((0, len(_FLOATS)))
+        self.ints = np.empty((0, len(self.whole)), self.dtype)
+        self.floats = np.empty((0, len(self.fractions)))
 
     def add(self, keys: np.ndarray, columns: dict[str, np.ndarray]) -> None:
         """``keys`` are unique."""
         old = len(self.keys)
         self.keys, where = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
-        for names, name in ((_INTS, "ints"), (_FLOATS, "floats")):
+        for names, name in ((self.whole, "ints"), (self.fractions, "floats")):
             before = getattr(self, name)
             after = np.zeros((len(self.keys), len(names)), before.dtype)
             after[where[:old]] = before
@@ -269,14 +320,69 @@ class _Sums:
             yield from self.rows(kind)
 
     def rows(self, kind: str):
-        columns = {c: self.ints[:, i] for i, c in enumerate(_INTS)} | {c: self.floats[:, i] for i, c in enumerate(_FLOATS)}
+        columns = {c: self.ints[:, i] for i, c in enumerate(self.whole)} | {c: self.floats[:, i] for i, c in enumerate(self.fractions)}
         yield from _rows(kind, self.keys, **{c: v for c, v in columns.items() if v.any()})
         self.__init__(self.most)
 
 
-def _slice(data: pa.Buffer, base: int, lowest: int, highest: int) -> list[np.ndarray]:
-    """The pairs of a blob whose words lie in a range of hashes (blobs are in the order of their words)."""
-    w, per_word, names, where, count, holding, d, t = _unblob(data, _KINDS)
+class _DocumentSums(_Sums):
+    """Sums by document, sent on packed.  A text has less than 2**31 tokens."""
+
+    fractions, dtype = ["base_log", "score_log"], np.int32
+
+    def rows(self, kind: str):
+        yield from _group_rows(kind, self.keys, *self.ints.T, *self.floats.T)
+        self.__init__(self.most)
+
+
+def _group_rows(kind: str, rows: np.ndarray, *columns: np.ndarray):
+    """A row for each group of documents; ``rows`` ascend."""
+    groups = rows >> GROUP_BITS
+    starts = _starts(groups)
+    edges = np.append(starts, len(rows))
+    places = (rows & ((1 << GROUP_BITS) - 1)).astype("u1")
+    # Columns of one type travel as one array.
+    kinds = [np.stack([c for c in columns if c.dtype == k]) for k in dict.fromkeys(c.dtype for c in columns)]
+    data = [_blob(places[a:b], *(k[:, a:b].reshape(-1) for k in kinds)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    yield from _rows(kind, groups[starts], data=data)
+
+
+def _sum_groups(batches):
+    """Documents' own columns and whole sums, group after group as the rows are sorted."""
+
+    def whole(group: int, parts: list[tuple[str, pa.Buffer]]):
+        n = 1 << GROUP_BITS
+        ints, floats, present = np.zeros((len(_INTS), n), np.int64), np.zeros((2, n)), np.zeros(n, bool)
+        ids, null, out_of_training = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+        for kind, data in parts:
+            if kind == "d":
+                at, i, f = _unblob(data, 3, "uif")
+                ints[:, at] += i.reshape(len(_INTS), -1)
+                floats[:, at] += f.reshape(2, -1)
+            else:
+                at, own, flags = _unblob(data, 3, "uiu")
+                ids[at], (null[at], out_of_training[at]), present[at] = own, flags.reshape(2, -1).astype(bool), True
+        there = np.flatnonzero(present)
+        arrays = [pa.array((group << GROUP_BITS) + there), pa.array(ids[there], mask=null[there]), pa.array(out_of_training[there])]
+        arrays += [pa.array(x[there]) for x in (*ints, *floats)]
+        return pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", *_INTS, *_DocumentSums.fractions])
+
+    parts, current = [], None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            group = batch.column(1)[i].as_py()
+            if group != current and parts:
+                yield whole(current, parts)
+                parts = []
+            current = group
+            parts.append((batch.column(0)[i].as_py(), batch.column(2)[i].as_py()))
+    if parts:
+        yield whole(current, parts)
+
+
+def _slice(arrays: list[np.ndarray], base: int, lowest: int, highest: int) -> list[np.ndarray]:
+    """The pairs of a batch whose words lie in a range of hashes (they are in the order of their words)."""
+    w, per_word, names, where, count, holding, d, t = arrays
     i, j = np.searchsorted(w, np.uint64(lowest)), np.searchsorted(w, np.uint64(highest), "right")
     pair_ends, holder_ends = (np.append(0, np.cumsum(x.astype(np.int64))) for x in (per_word, holding))
     p, q = pair_ends[i], pair_ends[j]
@@ -284,24 +390,24 @@ def _slice(data: pa.Buffer, base: int, lowest: int, highest: int) -> list[np.nda
     return [np.repeat(w[i:j], per_word[i:j]), names[where[p:q]], count[p:q], holding[p:q], d[a:b].astype(np.int64) + base, t[a:b]]
 
 
-def _count_buckets(pairs_too: bool):
+def _count_buckets(pairs_too: bool, common: np.ndarray):
     """Bucket after bucket, as the rows are sorted: all pairs of a bucket's words are there.  They are counted in ranges of
-    word hashes, so that of a bucket only the packed rows are held as a whole.  Sums leave the task in parts."""
+    word hashes, so that of a bucket only the unpacked rows, in narrow types, are held as a whole.  Sums leave the task in parts."""
 
     def count(blobs, documents, histories):
-        size = sum(sum(struct.unpack_from("<8Q", data)) for _, data in blobs)
+        size = sum(24 * len(arrays[3]) + 8 * len(arrays[6]) for _, arrays in blobs)
         slices = max(1, -(-size // SLICE_BYTES)) if blobs else 0
         for k in range(slices):
             lowest, highest = (k << 64) // slices, ((k + 1 << 64) // slices) - 1
-            found = [_slice(data, base, lowest, highest) for base, data in blobs]
+            found = [_slice(arrays, base, lowest, highest) for base, arrays in blobs]
             columns = [np.concatenate(c) for c in zip(*found, strict=True)]
             del found
             if len(columns[0]):
                 yield from _merge(*columns, pairs_too, documents, histories)
 
     def run(batches):
-        blobs: list[tuple[int, pa.Buffer]] = []
-        documents, histories, current = _Sums(SUM_ROWS), _Sums(SUM_ROWS), None
+        blobs: list[tuple[int, list[np.ndarray]]] = []
+        documents, histories, current = _DocumentSums(2 * SUM_ROWS), _Sums(SUM_ROWS), None
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket, base, holds = (batch.column(k)[i].as_py() for k in (0, 1, 2))
@@ -314,13 +420,13 @@ def _count_buckets(pairs_too: bool):
                     n = len(flags)
                     ids = np.frombuffer(data, dtype="<i8", count=n)
                     null = np.frombuffer(data, dtype="u1", offset=8 * n)
-                    yield from _rows("m", base + np.arange(n), other=ids, n_known=null, n_tokens=~flags)
+                    yield from _group_rows("m", base + np.arange(n), ids, null, (~flags).view("u1"))
                 elif holds == _HEAVY:
-                    w, h, d, t, trained = _unblob(data, ["<u8", "<u8", "<u4", "<u4", "<u4"])
+                    w, h, d, t, trained = _unblob(data, 5)
                     rows = d.astype(np.int64) + base
                     yield from _rows("e", h.view(np.int64), other=rows, n_known=w.view(np.int64), n_tokens=t, n_tail=trained)
                 else:
-                    blobs.append((base, data))
+                    blobs.append((base, _unpacked(data, common)))
         yield from count(blobs, documents, histories)
         yield from documents.rows("d")
         yield from histories.rows("h")
@@ -381,10 +487,12 @@ def _merge(words, histories, counts, holders, docs, times, pairs_too: bool, docu
     columns["n_unknown_unseen"] = _sum(at[pick], n, times[pick])
     columns["n_tail"] = _sum(at[is_seen], n, times[is_seen])
     columns["base_log"] = _sum(at, n, times * np.log10(ewc + 1.0))
-    columns["history_log"] = _sum(at[is_known], n, times[is_known] * np.log10(ewc[is_known]))
-    columns["seen_log"] = _sum(at[is_seen], n, times[is_seen] * np.log10(ec[is_seen] - np.where(ec[is_seen] > K, TAIL, 0.0)))
     pick = ~is_seen & is_known
-    columns["unseen_log"] = _sum(at[pick], n, times[pick] * np.log10(ewc[pick] - np.where(ewc[pick] > K, TAIL, 0.0)))
+    logs = np.zeros(len(kind))
+    logs[is_seen] = np.log10(ec[is_seen] - np.where(ec[is_seen] > K, TAIL, 0.0))
+    logs[pick] = np.log10(ewc[pick] - np.where(ewc[pick] > K, TAIL, 0.0))
+    logs[is_known] -= np.log10(ewc[is_known])
+    columns["score_log"] = _sum(at, n, times * logs)
     yield from documents.room("d", n)
     documents.add(own, columns)
     pick = ~is_seen
@@ -468,14 +576,18 @@ def _heavy(parts: DataFrame, buckets: int):
     pair = ["word", "history"]
     found = entries.join(hot, pair).unionByName(entries.join(hot, pair, "left_anti").join(counts.drop("n"), pair)).join(word_counts, "word")
 
+    def part(when: Column, value: Column) -> Column:
+        return F.when(when, value).otherwise(0)
+
     def total(when: Column, value: Column, name: str) -> Column:
-        return F.sum(F.when(when, value).otherwise(0)).alias(name)
+        return F.sum(part(when, value)).alias(name)
 
     def discounted(x: Column) -> Column:
         return times * F.log10(x - F.when(x > K, TAIL).otherwise(0.0))
 
     seen, is_known = c > 0, wc > 0
-    documents = found.groupBy(F.col("row").alias("key")).agg(
+    history = part(is_known & (F.col("word") != int(END)), times * F.log10("wc"))
+    documents = found.groupBy("row").agg(
         F.sum("times").alias("n_tokens"),
         total(is_known, times, "n_known"),
         *_of_class(_CLASSES, c, times),
@@ -483,9 +595,7 @@ def _heavy(parts: DataFrame, buckets: int):
         total(~seen & ~is_known, times, "n_unknown_unseen"),
         total(seen, times, "n_tail"),
         F.sum(times * F.log10(wc + 1.0)).alias("base_log"),
-        total(is_known & (F.col("word") != int(END)), times * F.log10("wc"), "history_log"),
-        total(seen, discounted(c), "seen_log"),
-        total(~seen & is_known, discounted(wc), "unseen_log"),
+        F.sum(part(seen, discounted(c)) + part(~seen & is_known, discounted(wc)) - history).alias("score_log"),
     )
     unseen = found.filter("c = 0").select(F.col("history").alias("key"), F.col("row").alias("other"), F.col("times").alias("n_tokens"))
     stored = counts.filter("c > 0").select("history", "word", F.col("c").alias("count"))
@@ -500,9 +610,10 @@ def katz_scores(
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     train = crc32_remainder(doc_id, modulus) != held_out
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), train.alias("train"), text_or_empty(text).alias("text"))
-    packed = rows.mapInArrow(_pack(buckets, _heavy_words(rows, buckets)), "bucket int, base long, holds int, train binary, data binary")
+    heavy, common = _sampled_words(rows, buckets)
+    packed = rows.mapInArrow(_pack(buckets, heavy, common), "bucket int, base long, holds int, train binary, data binary")
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    parts = stage_table(dealt.mapInArrow(_count_buckets(pairs), _SCHEMA), "katz")
+    parts = stage_table(dealt.mapInArrow(_count_buckets(pairs, common), _SCHEMA), "katz")
     heavy_totals, heavy_histories, heavy_documents, heavy_unseen, heavy_pairs = _heavy(parts, buckets)
 
     s = parts.filter("kind = 's'").agg(*[F.sum(c).alias(c) for c in [*_INTS, "sum_word"]]).first().asDict()
@@ -514,13 +625,15 @@ def katz_scores(
     total = max(tokens, 1)
     unknown = (sum((1 - d) * r * n_words[r - 1] for r, d in enumerate(word_d, 1)) + TAIL * tail_words) / total if tokens else 1.0
 
-    summed = parts.filter("kind = 'h'").unionByName(heavy_histories, True).groupBy("key").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_INTS, "sum_word"]])
+    # The weights follow from three sums, so only these are dealt by history.
+    found = parts.filter("kind = 'h'").unionByName(heavy_histories, True).na.fill(0)
     left = _weighted(_CLASSES, [(1 - d) * r for r, d in enumerate(pair_d, 1)]) + TAIL * F.col("n_tail")
     lower = _weighted(_UNSEEN, [d * r for r, d in enumerate(word_d, 1)]) + F.col("sum_word") - TAIL * F.col("n_unknown_unseen")
-    histories = summed.select(
+    summed = found.select("key", "n_tokens", left.alias("left"), lower.alias("lower")).groupBy("key")
+    histories = summed.agg(*[F.sum(c).alias(c) for c in ("n_tokens", "left", "lower")]).select(
         F.col("key").alias("history"),
         F.col("n_tokens").alias("count"),
-        (left / F.col("n_tokens") / (1 - lower / F.lit(float(total)))).alias("backoff"),
+        (F.col("left") / F.col("n_tokens") / (1 - F.col("lower") / F.lit(float(total)))).alias("backoff"),
     )
     unseen = (
         parts.filter("kind = 'u'")
@@ -531,26 +644,24 @@ def katz_scores(
     )
     # The start counts as a history of every document.
     starts = histories.filter(F.col("history") == int(START)).agg(F.max("count")).first()[0] or 0
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_INTS, *_FLOATS]]
-    documents = parts.filter("kind = 'd'").unionByName(heavy_documents, True).groupBy(F.col("key").alias("row")).agg(*sums)
+    kinds = ", ".join([*(f"{c} long" for c in _INTS), *(f"{c} double" for c in _DocumentSums.fractions)])
+    groups = parts.filter("kind IN ('d', 'm')").select("kind", "key", "data").repartition("key").sortWithinPartitions("key")
+    own = groups.mapInArrow(_sum_groups, f"row long, doc_id long, held_out boolean, {kinds}")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_INTS, *_DocumentSums.fractions]]
+    documents = own.unionByName(heavy_documents, True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *sums)
     backed = unseen.groupBy("row").agg(F.sum("backed").alias("backed"))
-    own = parts.filter("kind = 'm'").select(
-        F.col("key").alias("row"), F.when(F.col("n_known") == 0, F.col("other")).alias("doc_id"), (F.col("n_tokens") != 0).alias("held_out")
-    )
-    n_seen = F.col("seen_log") + _weighted(_CLASSES, [math.log10(d) for d in pair_d])
+    seen = _weighted(_CLASSES, [math.log10(d) for d in pair_d])
     n_unseen_words = F.col("n_tokens") - F.col("n_seen_tokens") - F.col("n_unknown_unseen")
     below = (
-        F.col("unseen_log")
-        + _weighted(_UNSEEN, [math.log10(d) for d in word_d])
+        _weighted(_UNSEEN, [math.log10(d) for d in word_d])
         - n_unseen_words * F.lit(math.log10(total))
         + F.col("n_unknown_unseen") * F.lit(math.log10(unknown))
     )
-    history = F.col("history_log") + F.lit(math.log10(starts) if starts else 0.0)
+    first = F.lit(math.log10(starts) if starts else 0.0)
     base = F.col("base_log") - F.col("n_tokens") * F.lit(math.log10(tokens + types + 1))
     scores = (
         documents.withColumn("n_seen_tokens", F.col("n_tail"))
         .join(backed, "row", "left")
-        .join(own, "row")
         .select(
             "doc_id",
             "held_out",
@@ -558,7 +669,7 @@ def katz_scores(
             "n_known",
             F.lit(tokens).cast("long").alias("train_tokens"),
             base.alias("base_score"),
-            (n_seen + below - history + F.coalesce("backed", F.lit(0.0))).alias("score"),
+            (F.col("score_log") + seen + below - first + F.coalesce("backed", F.lit(0.0))).alias("score"),
         )
     )
     stored = parts.filter("kind = 'p'").select(

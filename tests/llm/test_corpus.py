@@ -528,3 +528,26 @@ def test_katz_sends_sums_on_before_they_outgrow_their_bound():
 def test_staged_tables_take_little_room(spark):
     staged = common.stage_table(spark.createDataFrame([("some text",)], "text string"), "room")
     assert staged.collect() == [("some text",)] and all(f.endswith(".zstd.parquet") for f in staged.inputFiles())
+
+
+def test_katz_packs_the_sums_of_documents(spark, monkeypatch):
+    """Sums of documents leave a task as a row for each group of them, not as a row for each document."""
+    staged, stage = {}, katz.stage_table
+    monkeypatch.setattr(katz, "stage_table", lambda df, tag: staged.setdefault(tag, stage(df, tag)))
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(640)]
+    model = katz.katz_scores(make(spark, [(i, t, "a") for i, t in enumerate(texts)]).coalesce(1))
+    assert staged["katz"].filter("kind IN ('d', 'm')").count() < 640 / 8
+    got = sorted(model.scores.select("doc_id", "n_tokens").collect())
+    assert got == [(i, 41) for i in range(640)]
+
+
+def test_katz_blobs_come_back():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 3000):
+        words = np.unique(rng.integers(4, 2**64, n, dtype=np.uint64))
+        common = np.unique(np.append(words[::3], [katz.END, katz.START]))
+        numbers, parts = rng.integers(0, 70_000, n), rng.normal(size=n)
+        blob = katz._blob(*katz._coded(words, common), katz._narrow(numbers), parts)
+        back = katz._unblob(blob, 5, "uuuuf")
+        assert (katz._decoded(*back[:3], common) == words).all() and (back[3] == numbers).all() and (back[4] == parts).all()
