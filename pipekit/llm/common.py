@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipekit.session import scratch_path
@@ -15,6 +15,8 @@ from pipekit.session import scratch_path
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
@@ -39,9 +41,17 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of at most ``BATCH_BYTES``, unless the session has a size of its own: Spark and
+    Python hold a batch several times, outside the heap, and a plan may run long after the operator has returned it."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def stage_table(df: DataFrame, tag: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: later plans start from its files.  Texts stay there until the job
     ends, so they are stored by the codec that takes the least room."""
+    bound_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

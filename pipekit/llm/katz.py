@@ -241,7 +241,7 @@ def _pack(buckets: int, heavy: np.ndarray, common: np.ndarray):
                 own = np.array([-1 if i is None else i for i in ids[first:at]], dtype="<i8")
                 null = np.array([i is None for i in ids[first:at]], dtype="u1")
                 # The documents' own columns and heavy words travel once, to any bucket.
-                meta = (base // (1 << 33) + first) % buckets
+                meta = ((base >> 33) + (base & ((1 << 33) - 1))) % buckets
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([b for b, _ in rows] + [meta, meta], pa.int32()),

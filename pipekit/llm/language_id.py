@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pipekit.llm.common import bound_batches
+
 TEXTS_PER_LANGUAGE = 400
 DICTIONARY_BYTES = 128 * 1024
 #: Least length of the pieces that a text's share is cut in.
@@ -51,6 +53,7 @@ def fit(
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.lower(text).alias("text")
     )
+    bound_batches(labelled.sparkSession)
     # Narrow rows first: a text's copies share one hash and are one candidate.
     texts = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("size"))
     first = Window.partitionBy("lang").orderBy("h")
@@ -171,6 +174,7 @@ def identify(
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
 
+    bound_batches(docs.sparkSession)
     schema = docs.schema
     for name, kind in zip(added, ("string", "double", "double", "boolean"), strict=True):
         schema = schema.__class__(schema.fields.copy()).add(name, kind)

@@ -551,3 +551,19 @@ def test_katz_blobs_come_back():
         blob = katz._blob(*katz._coded(words, common), katz._narrow(numbers), parts)
         back = katz._unblob(blob, 5, "uuuuf")
         assert (katz._decoded(*back[:3], common) == words).all() and (back[3] == numbers).all() and (back[4] == parts).all()
+
+
+def test_staged_rows_reach_python_in_small_batches(spark):
+    """Texts of 24 MB in one task; a session's own size holds."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('some text', 1000) AS text")
+    staged = common.stage_table(texts.mapInArrow(sizes, "bytes long"), "sizes").selectExpr("max(bytes)", "sum(bytes)").first()
+    assert staged[0] < 10 << 20 and staged[1] > 24 << 20
+    own = spark.newSession()
+    own.conf.set(common.BATCH_CONF, "32m")
+    common.bound_batches(own)
+    assert own.conf.get(common.BATCH_CONF) == "32m"
