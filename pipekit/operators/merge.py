@@ -137,9 +137,26 @@ def action_counts() -> list[Column]:
     return [F.count_if(F.col("_action") == action).alias(f"rows_{action}") for action in ACTIONS]
 
 
+#: While a merge is counted: shuffles start with this many partitions, however few the session has, which AQE joins again up to the size given, so that what a
+#: task of the joins sorts does not follow the table.  Settings that the session has itself hold.
+COUNTING = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "200",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+}
+
+
 def merge_stats(plan: DataFrame) -> DataFrame:
-    """One row: ``rows_updated, rows_inserted, rows_deleted, rows_unchanged``."""
-    return plan.agg(*action_counts())
+    """One row: ``rows_updated, rows_inserted, rows_deleted, rows_unchanged``, counted at once."""
+    spark, counts = plan.sparkSession, plan.agg(*action_counts())
+    ours = {key: value for key, value in COUNTING.items() if spark.conf.get(key, None) is None}
+    for key, value in ours.items():
+        spark.conf.set(key, value)
+    try:
+        row = counts.first()
+    finally:
+        for key in ours:
+            spark.conf.unset(key)
+    return spark.createDataFrame([tuple(row)], counts.schema)
 
 
 def upsert(target: DataFrame, source: DataFrame, rule: MergeRule) -> DataFrame:

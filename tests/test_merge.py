@@ -161,3 +161,16 @@ def test_hot_change_key(spark):
     assert merged.count() == 100 + 1 + 1000
     got = dict(merged.filter("k IN (5, 500)").collect())
     assert got == {5: 2998, 500: 2999}
+
+
+def test_merge_stats_cut_the_joins_by_size(spark, monkeypatch):
+    """The number of shuffle partitions does not bound a task's rows; the session's settings are as before."""
+    target = spark.range(100).selectExpr("id AS k", "id AS v")
+    seen = []
+    plan = merge_plan(target, target, MergeRule(["k"], ALWAYS, order_by=["v"]))
+    keys = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(key, None) for key in keys]
+    real = type(plan).first
+    monkeypatch.setattr(type(plan), "first", lambda df: (seen.extend(spark.conf.get(key, None) for key in keys), real(df))[1])
+    assert tuple(merge_stats(plan).head()) == (100, 0, 0, 0)
+    assert seen == [b or own for b, own in zip(before, ["200", "16m"])] and before == [spark.conf.get(key, None) for key in keys]
