@@ -20,20 +20,24 @@ weights follow), of documents' partial sums (packed, ``1 << GROUP_BITS`` documen
 held-out documents, which join their histories' weights.  Words that the same sample shows to be common travel as their place
 in a list that every task has, all others as their hash.  Discounts come from a dozen totals.  With ``pairs=True`` the pair counts themselves are stored too.
 
-The end token, and words that a sample shows to hold more than a task's mean share of the tokens, are not dealt by word.
-Their tokens become rows of (document, pair), spread at random; Spark sums their pair counts and joins them back.  The
-sample only decides which way a word takes: counts are exact either way.
+The end token, and words that a sample shows to hold more than a task's mean share of the tokens, are not dealt by word, but by
+pair; pairs that the sample shows to be hot go to any task.  Each task sends its own counts of these words and pairs to all
+others, so that wherever their tokens meet, their counts are known.  The sample only decides which way a token takes:
+counts are exact either way.
 
 NULL texts are empty: the end token alone.  Repeated rows are documents of their own.  A NULL doc_id is hashed as the
 empty text.  With no training documents nothing is known: N and V are 0 and every token has the unknown word's
-probability 1, while the base score is then log10 of 1.  Words are told apart by 64-bit hashes.  Extra columns are ignored.
+probability 1, while the base score is then log10 of 1.  Words and pairs are told apart by 64-bit hashes.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
 import struct
-from dataclasses import dataclass
+from collections import defaultdict
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +50,10 @@ from pipekit.llm.common import crc32_remainder, hash_words, mix64, stage_table,
 K = 5
 TAIL = 0.01
 END, START = np.uint64(1), np.uint64(2)
-BATCH_TOKENS = 200_000
+#: Most tokens of a batch, unless it is one text: half as many as its bytes.
+BATCH_TOKENS = 1_000_000
 #: Unpacked bytes that a task works on at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 12 << 20
 
 _CLASSES = [f"seen{r}" for r in range(1, K + 1)]
 _UNSEEN = [f"word{r}" for r in range(1, K + 1)]
@@ -63,9 +68,11 @@ GROUP_BITS = 6
 #: Share of the documents that are searched for heavy words.
 SAMPLE = 1 / 16
 #: What a packed row holds.
-_PAIRS, _META, _HEAVY = 0, 1, 2
+_PAIRS, _META, _HEAVY, _TOTALS = 0, 1, 2, 3
+#: A pair is hot above this part of a task's mean share of the tokens.
+HOT_PART = 4
 #: kind: d documents' sums and m documents' own columns (key: group, data: packed), h history, u unseen pair, s totals, p pair,
-#: e heavy word in a document (key: history, other: document, n_known: word, n_tokens: times, n_tail: times in training).
+#: e heavy word (n_known: word, n_tokens: times in training).
 _SCHEMA = (
     "kind string, key long, other long, "
     + ", ".join(f"{c} long" for c in _INTS)
@@ -81,21 +88,31 @@ def ascii_lower_words(text: str | None) -> list[bytes]:
 
 def _narrow(a: np.ndarray) -> np.ndarray:
     """Whole numbers from 0 in as few bytes as hold them."""
-    most = int(a.max()) if len(a) else 0
+    most = int(a.max()) if a.size else 0
     return a.astype(next(f"<u{size}" for size in (1, 2, 4, 8) if most < 1 << 8 * size))
 
 
+@cache
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def _blob(*arrays: np.ndarray) -> bytes:
     """Compressed arrays; bytes of equal weight lie together."""
     head = struct.pack(f"<{len(arrays)}Q", *(len(a) << 4 | a.itemsize for a in arrays))
     planes = (np.ascontiguousarray(a).view("u1").reshape(-1, a.itemsize).T.tobytes() for a in arrays)
-    return head + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return head + _compressor().compress(b"".join(planes))
 
 
 def _unblob(data: bytes | pa.Buffer, n: int, kinds: str | None = None) -> list[np.ndarray]:
     """The arrays of a blob, unsigned unless ``kinds`` has another letter for each."""
     heads = struct.unpack(f"<{n}Q", data[: 8 * n])
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data[8 * n :]), 0, []
+    raw, at, out = _decompressor().decompress(data[8 * n :]), 0, []
     for head, kind in zip(heads, kinds or "u" * n, strict=True):
         count, size = head >> 4, head & 15
         planes = np.frombuffer(raw, dtype="u1", count=count * size, offset=at).reshape(size, count)
@@ -120,7 +137,7 @@ def _decoded(bits: np.ndarray, places: np.ndarray, others: np.ndarray, common: n
 
 
 #: words (coded), pairs per word, distinct histories (coded), history of each pair, training count and holders of each pair, the
-#: holders' documents and their counts.
+#: holders' documents and their counts.  Heavy words and their histories change places.
 _PACKED = 12
 
 
@@ -140,119 +157,206 @@ def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _packed(words, histories, docs, train, buckets: int, common: np.ndarray):
-    """(bucket, blob) of the tokens of a batch of documents."""
-    bucket = (mix64(words) % np.uint64(buckets)).astype(np.uint32)
-    order = np.lexsort((docs, histories, words, bucket))
-    bucket, words, histories, docs = bucket[order], words[order], histories[order], docs[order]
-    entry = _starts(words, histories, docs)
-    per_entry = np.diff(np.append(entry, len(words)))
-    bucket, words, histories, docs = bucket[entry], words[entry], histories[entry], docs[entry]
-    pair = _starts(words, histories)
-    holders = np.diff(np.append(pair, len(words)))
-    trained = np.add.reduceat(per_entry * train[docs], pair)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    pair_edges = np.searchsorted(pair, edges)
-    for b in range(buckets):
+def _pair_keys(words: np.ndarray, histories: np.ndarray) -> np.ndarray:
+    return mix64(mix64(words) + histories)
+
+
+@dataclass(frozen=True)
+class _Frequent:
+    """What the sample shows.  Heavy words, common words and hot pairs' keys ascend; the words of hot pairs are heavy."""
+
+    heavy: np.ndarray
+    common: np.ndarray
+    hot: np.ndarray
+    hot_words: np.ndarray
+    hot_histories: np.ndarray
+
+
+def _places(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in a list, and where those are."""
+    if not len(sorted_values):
+        return np.zeros(len(values), bool), np.empty(0, np.int64)
+    at = np.searchsorted(sorted_values, values).clip(max=len(sorted_values) - 1)
+    hit = sorted_values[at] == values
+    return hit, at[hit]
+
+
+def _tokenized(texts: list[bytes | None]):
+    """The hashes of the distinct words, the end and the start; each token's word and history among them, the tokens' documents."""
+    ids: defaultdict[bytes, int] = defaultdict()
+    ids.default_factory = ids.__len__
+    parts = []
+    for text in texts:
+        found = text.split()
+        parts.append(np.fromiter(map(ids.__getitem__, found), dtype=np.int32, count=len(found)))
+    names = np.append(hash_words(list(ids)) | np.uint64(4), [END, START])  # 0 to 3 are not words
+    lengths = np.array([len(part) + 1 for part in parts])
+    ends = np.cumsum(lengths) - 1
+    words = np.empty(lengths.sum(), dtype=np.int32)
+    is_end = np.zeros(len(words), dtype=bool)
+    is_end[ends] = True
+    words[is_end] = len(ids)
+    words[~is_end] = np.concatenate(parts)
+    histories = np.empty(len(words), dtype=np.int32)
+    histories[1:] = words[:-1]
+    histories[ends - lengths + 1] = len(ids) + 1
+    return names, words, histories, np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _counted(first: np.ndarray, second: np.ndarray, docs: np.ndarray, train: np.ndarray):
+    """Tokens in the order of (first, second, document): each pair's two places, training count and holders, then the
+    holders' documents and counts."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (second, docs)]
+    key = first.astype(np.uint64) << np.uint64(sum(bits)) | second.astype(np.uint64) << np.uint64(bits[1]) | docs.astype(np.uint64)
+    key.sort()
+    entry = _starts(key)
+    times = np.diff(np.append(entry, len(key)))
+    key = key[entry]
+    docs = (key & np.uint64((1 << bits[1]) - 1)).astype(np.int64)
+    key >>= np.uint64(bits[1])
+    pair = _starts(key)
+    key = key[pair]
+    holders = np.diff(np.append(pair, len(docs)))
+    trained = np.add.reduceat(times * train[docs], pair) if len(pair) else np.empty(0, np.int64)
+    return (key >> np.uint64(bits[0])).astype(np.int64), (key & np.uint64((1 << bits[0]) - 1)).astype(np.int64), trained, holders, docs, times
+
+
+def _blobs(bucket, first, second, trained, holders, docs, times, buckets: int, common: np.ndarray):
+    """(bucket, blob) of pairs in the order of (bucket, first)."""
+    pair_edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    edges = np.append(0, np.cumsum(holders))[pair_edges]
+    for b in np.flatnonzero(np.diff(pair_edges)).tolist():
         lo, hi, plo, phi = edges[b], edges[b + 1], pair_edges[b], pair_edges[b + 1]
-        if lo == hi:
-            continue
-        w, h = words[pair[plo:phi]], histories[pair[plo:phi]]
-        own = _starts(w)
-        names, where = np.unique(h, return_inverse=True)
+        own = _starts(first[plo:phi])
+        names, where = np.unique(second[plo:phi], return_inverse=True)
         yield b, _blob(
-            *_coded(w[own], common),
-            _narrow(np.diff(np.append(own, len(w)))),
+            *_coded(first[plo:phi][own], common),
+            _narrow(np.diff(np.append(own, phi - plo))),
             *_coded(names, common),
             _narrow(where),
             _narrow(trained[plo:phi]),
             _narrow(holders[plo:phi]),
             _narrow(docs[lo:hi]),
-            _narrow(per_entry[lo:hi]),
+            _narrow(times[lo:hi]),
         )
 
 
-def _sampled_words(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Heavy words: the end token and words that seem to hold over 1 / ``buckets`` of the tokens, at most 2 * ``buckets`` + 1.
-    Common words: those found most often, at most ``COMMON_WORDS`` and the end and start.  Both ascend."""
+def _dealt(texts: list[bytes], train: np.ndarray, buckets: int, frequent: _Frequent, number: int):
+    """The tokens of a batch of documents: (bucket, what it holds, blob), and the training counts of heavy words and hot pairs."""
+    names, words, histories, docs = _tokenized(texts)
+    order = np.argsort(names)
+    place = np.empty(len(names), dtype=np.int32)
+    place[order] = np.arange(len(names))
+    names, words, histories = names[order], place[words], place[histories]
+    heavy, at = _places(frequent.heavy, names)
+    totals = np.zeros(len(frequent.heavy), np.int64), np.zeros(len(frequent.hot), np.int64)
+    np.add.at(totals[0], at, np.bincount(words[train[docs] > 0], minlength=len(names))[heavy])
+    is_heavy = heavy[words]
+    cold = ~is_heavy
+
+    # Words lie in the order of their buckets, then of their hashes.
+    bucket = (mix64(names) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place[order] = np.arange(len(names))
+    w, h, *rest = _counted(place[words[cold]], histories[cold], docs[cold], train)
+    rows = [(b, _PAIRS, x) for b, x in _blobs(bucket[order][w], names[order][w], names[h], *rest, buckets, frequent.common)]
+
+    h, w, trained, holders, docs, times = _counted(histories[is_heavy], words[is_heavy], docs[is_heavy], train)
+    keys = _pair_keys(names[w], names[h])
+    hot, at = _places(frequent.hot, keys)
+    np.add.at(totals[1], at, trained[hot])
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    bucket[hot] = (bucket[hot] + number) % buckets
+    order = np.argsort(bucket, kind="stable")
+    of_entry = np.argsort(np.repeat(bucket, holders), kind="stable")
+    pairs = [x[order] for x in (bucket, names[h], names[w], trained, holders)]
+    rows += [(b, _HEAVY, x) for b, x in _blobs(*pairs, docs[of_entry], times[of_entry], buckets, frequent.common)]
+    return rows, totals
+
+
+def _sampled(rows: DataFrame, buckets: int) -> _Frequent:
+    """Heavy words: the end token, words that seem to hold over 1 / ``buckets`` of the tokens, and words of hot pairs.  Hot pairs seem
+    to hold over 1 / (``HOT_PART`` * ``buckets``) of them.  Common words: those found most often, at most ``COMMON_WORDS`` and
+    the end and start."""
+    spark = rows.sparkSession
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            h = np.concatenate([hash_words(ascii_lower_words(t)) for t in texts] or [np.empty(0, np.uint64)]) | np.uint64(4)
-            words, counts = np.unique(h, return_counts=True)
-            often = counts * 2 * buckets > len(h)
+            names, words, histories, _ = _tokenized([(t or "").encode().lower() for t in batch.column(0).to_pylist()])
+            if not len(words):
+                continue
+            counts = np.bincount(words, minlength=len(names))
+            often = counts * 2 * buckets > len(words)
             often |= counts >= max(2, np.sort(counts)[-COMMON_WORDS:].min(initial=2))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(words[often].view("i8"), 0)), pa.array(np.append(counts[often], len(h) + len(texts)).astype("i8"))],
-                names=["word", "n"],
-            )
-
-    counts = rows.select("text").sample(SAMPLE, seed=1).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.col("word") == 0, F.desc("n"), "word").limit(max(2 * buckets, COMMON_WORDS)).collect()
+            pairs, times = np.unique(words.astype(np.int64) << 32 | histories, return_counts=True)
+            hot = times * 2 * HOT_PART * buckets > len(words)
+            pairs, times = pairs[hot], times[hot]
+            found = np.concatenate((names[often], names[pairs >> 32])).view("i8")
+            before = np.concatenate((np.zeros(often.sum(), np.uint64), names[pairs & 0xFFFFFFFF])).view("i8")
+            columns = np.append(found, 0), np.append(before, 0), np.concatenate((counts[often], times, [len(words)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "history", "n"])
+
+    counts = rows.select("text").sample(SAMPLE, seed=1).mapInArrow(run, "word long, history long, n long")
+    counts = stage_table(counts.groupBy("word", "history").agg(F.sum("n").alias("n")), "katz_sample")
     total = counts.filter("word = 0").agg(F.max("n")).first()[0] or 0
-    heavy = [r.word % (1 << 64) for r in found[: 2 * buckets] if r.word and r.n * buckets > total]
-    common = [r.word % (1 << 64) for r in found[:COMMON_WORDS] if r.word]
-    return np.unique(np.array([END, *heavy], dtype=np.uint64)), np.unique(np.array([END, START, *common], dtype=np.uint64))
+    words = counts.filter("word != 0 AND history = 0").orderBy(F.desc("n"), "word").limit(max(2 * buckets, COMMON_WORDS)).select("word", "n").collect()
+    pairs = counts.filter(F.col("history") != 0).filter(F.col("n") * (HOT_PART * buckets) > total).select("word", "history").collect()
 
+    def unsigned(values: list[int]) -> np.ndarray:
+        return np.array(values, dtype=np.int64).view(np.uint64)
 
-def _entries(words, histories, docs, train) -> bytes:
-    """Tokens of heavy words as (word, history, document, times, times in training)."""
-    order = np.lexsort((docs, histories, words))
-    words, histories, docs = words[order], histories[order], docs[order]
-    entry = _starts(words, histories, docs)
-    times = np.diff(np.append(entry, len(words)))
-    d = docs[entry]
-    return _blob(words[entry], histories[entry], _narrow(d), _narrow(times), _narrow(times * train[d]))
+    hot_words, hot_histories = unsigned([r.word for r in pairs]), unsigned([r.history for r in pairs])
+    hot = _pair_keys(hot_words, hot_histories)
+    order = np.argsort(hot)
+    heavy = unsigned([r.word for r in words[: 2 * buckets] if r.n * buckets > total])
+    heavy = np.unique(np.concatenate(([END], heavy, hot_words)))
+    common = np.unique(np.append(unsigned([r.word for r in words[:COMMON_WORDS]]), [END, START]))
+    return _Frequent(heavy, common, hot[order], hot_words[order], hot_histories[order])
 
 
-def _pack(buckets: int, heavy: np.ndarray, common: np.ndarray):
+def _pack(buckets: int, frequent: _Frequent):
     def run(batches):
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 33
+        first = base = TaskContext.get().partitionId() << 33
+        number = base >> 33
+        sums = np.zeros(len(frequent.heavy), np.int64), np.zeros(len(frequent.hot), np.int64)
+
+        def rows(found: list[tuple[int, int, bytes]], flags: bytes = b""):
+            holds = [h for _, h, _ in found]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b for b, _, _ in found], pa.int32()),
+                    pa.array([buckets if h == _TOTALS else base for h in holds], pa.int64()),
+                    pa.array(holds, pa.int32()),
+                    pa.array([flags if h == _META else b"" for h in holds], pa.binary()),
+                    pa.array([x for _, _, x in found], pa.binary()),
+                ],
+                names=["bucket", "base", "holds", "train", "data"],
+            )
+
         for batch in batches:
-            ids, train_flags, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            at = 0
-            while at < len(texts):
-                parts, lengths, size, first = [], [], 0, at
-                while at < len(texts) and size < BATCH_TOKENS:
-                    h = hash_words(ascii_lower_words(texts[at].as_py()))
-                    parts.append(h | np.uint64(4))  # 0 to 3 are not words
-                    lengths.append(len(h) + 1)
-                    size += len(h) + 1
-                    at += 1
-                flat = np.concatenate(parts)
-                lengths = np.array(lengths)
-                ends = np.cumsum(lengths) - 1
-                words = np.empty(size, dtype=np.uint64)
-                is_end = np.zeros(size, dtype=bool)
-                is_end[ends] = True
-                words[~is_end], words[is_end] = flat, END
-                histories = np.empty(size, dtype=np.uint64)
-                histories[1:] = words[:-1]
-                histories[ends - lengths + 1] = START
-                docs = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
-                train = np.array(train_flags[first:at], dtype=np.int64)
-                hot = np.isin(words, heavy)
-                cold = ~hot
-                rows = list(_packed(words[cold], histories[cold], docs[cold], train, buckets, common))
-                spread = _entries(words[hot], histories[hot], docs[hot], train)
-                own = np.array([-1 if i is None else i for i in ids[first:at]], dtype="<i8")
-                null = np.array([i is None for i in ids[first:at]], dtype="u1")
-                # The documents' own columns and heavy words travel once, to any bucket.
-                meta = ((base >> 33) + (base & ((1 << 33) - 1))) % buckets
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b for b, _ in rows] + [meta, meta], pa.int32()),
-                        pa.array([base] * (len(rows) + 2), pa.int64()),
-                        pa.array([_PAIRS] * len(rows) + [_META, _HEAVY], pa.int32()),
-                        pa.array([b""] * len(rows) + [train.astype("u1").tobytes(), b""], pa.binary()),
-                        pa.array([x for _, x in rows] + [own.tobytes() + null.tobytes(), spread], pa.binary()),
-                    ],
-                    names=["bucket", "base", "holds", "train", "data"],
-                )
-                base += len(lengths)
+            ids, train_flags = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.int64)
+            texts, start, size = [], 0, 0
+            for at in range(batch.num_rows + 1):
+                text = (batch.column(2)[at].as_py() or "").encode().lower() if at < batch.num_rows else None
+                if texts and (text is None or size + len(text) // 2 + 2 > BATCH_TOKENS):
+                    train = train_flags[start:at]
+                    found, totals = _dealt(texts, train, buckets, frequent, number)
+                    for s, t in zip(sums, totals, strict=True):
+                        s += t
+                    own = np.array([-1 if i is None else i for i in ids[start:at]], dtype="<i8")
+                    null = np.array([i is None for i in ids[start:at]], dtype="u1")
+                    # The documents' own columns travel once, to any bucket.
+                    found.append((number % buckets, _META, own.tobytes() + null.tobytes()))
+                    yield rows(found, train.astype("u1").tobytes())
+                    base, number, texts, start, size = base + len(texts), number + 1, [], at, 0
+                if text is not None:
+                    texts.append(text)
+                    size += len(text) // 2 + 2
+        if base > first:
+            data = _blob(*(s.view(np.uint64) for s in sums))
+            yield rows([(b, _TOTALS, data) for b in range(buckets)])
 
     return run
 
@@ -309,9 +413,11 @@ class _Sums:
             before = getattr(self, name)
             after = np.zeros((len(self.keys), len(names)), before.dtype)
             after[where[:old]] = before
+            more = np.zeros((len(keys), len(names)), before.dtype)
             for i, column in enumerate(names):
                 if column in columns:
-                    after[where[old:], i] += columns[column].astype(before.dtype)
+                    more[:, i] = columns[column]
+            after[where[old:]] += more
             setattr(self, name, after)
 
     def room(self, kind: str, more: int):
@@ -331,7 +437,7 @@ class _DocumentSums(_Sums):
     fractions, dtype = ["base_log", "score_log"], np.int32
 
     def rows(self, kind: str):
-        yield from _group_rows(kind, self.keys, *self.ints.T, *self.floats.T)
+        yield from _group_rows(kind, self.keys, *_narrow(self.ints).T, *self.floats.T)
         self.__init__(self.most)
 
 
@@ -356,7 +462,7 @@ def _sum_groups(batches):
         ids, null, out_of_training = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
         for kind, data in parts:
             if kind == "d":
-                at, i, f = _unblob(data, 3, "uif")
+                at, i, f = _unblob(data, 3, "uuf")
                 ints[:, at] += i.reshape(len(_INTS), -1)
                 floats[:, at] += f.reshape(2, -1)
             else:
@@ -380,123 +486,215 @@ def _sum_groups(batches):
         yield whole(current, parts)
 
 
-def _slice(arrays: list[np.ndarray], base: int, lowest: int, highest: int) -> list[np.ndarray]:
-    """The pairs of a batch whose words lie in a range of hashes (they are in the order of their words)."""
-    w, per_word, names, where, count, holding, d, t = arrays
-    i, j = np.searchsorted(w, np.uint64(lowest)), np.searchsorted(w, np.uint64(highest), "right")
-    pair_ends, holder_ends = (np.append(0, np.cumsum(x.astype(np.int64))) for x in (per_word, holding))
-    p, q = pair_ends[i], pair_ends[j]
-    a, b = holder_ends[p], holder_ends[q]
-    return [np.repeat(w[i:j], per_word[i:j]), names[where[p:q]], count[p:q], holding[p:q], d[a:b].astype(np.int64) + base, t[a:b]]
-
-
-def _count_buckets(pairs_too: bool, common: np.ndarray):
-    """Bucket after bucket, as the rows are sorted: all pairs of a bucket's words are there.  They are counted in ranges of
-    word hashes, so that of a bucket only the unpacked rows, in narrow types, are held as a whole.  Sums leave the task in parts."""
-
-    def count(blobs, documents, histories):
-        size = sum(24 * len(arrays[3]) + 8 * len(arrays[6]) for _, arrays in blobs)
-        slices = max(1, -(-size // SLICE_BYTES)) if blobs else 0
+@dataclass
+class _Blob:
+    """The pairs of a batch in one bucket, in the order of ``major``: the words, or the histories of heavy words."""
+
+    base: int
+    heavy: bool
+    major: np.ndarray
+    per_major: np.ndarray
+    minor: np.ndarray
+    where: np.ndarray
+    trained: np.ndarray
+    holders: np.ndarray
+    docs: np.ndarray
+    times: np.ndarray
+    word_count: np.ndarray | None = None
+    found: list[np.ndarray] = field(default_factory=list)
+
+    def pair_counts(self) -> np.ndarray:
+        return np.concatenate(self.found)
+
+    def pairs(self, lowest: int = 0, highest: int = (1 << 64) - 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, histories, training counts and words' counts of the pairs whose ``major`` lies in a range of hashes."""
+        i, j = np.searchsorted(self.major, np.uint64(lowest)), np.searchsorted(self.major, np.uint64(highest), "right")
+        each = self.per_major[i:j].astype(np.int64)
+        p = int(self.per_major[:i].sum(dtype=np.int64))
+        where = self.where[p : p + int(each.sum())]
+        sides = np.repeat(self.major[i:j], each), self.minor[where]
+        counts = self.word_count[where] if self.heavy else np.repeat(self.word_count[i:j], each)
+        w, h = reversed(sides) if self.heavy else sides
+        return w, h, self.trained[p : p + len(where)].astype(np.int64), counts
+
+
+def _runs(items: list, sizes: list[int], most: int):
+    """Consecutive items of at most ``most`` together, or one."""
+    run, total = [], 0
+    for item, size in zip(items, sizes, strict=True):
+        if run and total + size > most:
+            yield run
+            run, total = [], 0
+        run.append(item)
+        total += size
+    if run:
+        yield run
+
+
+def _count_buckets(pairs_too: bool, frequent: _Frequent):
+    """A task has one bucket: all pairs of its words, and the pairs of heavy words that are dealt to it.  Pairs are counted in ranges
+    of hashes, then documents are summed batch after batch, so that only the unpacked rows, in narrow types, are held as
+    a whole.  Sums leave the task in parts."""
+
+    def home(keys: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+        return np.flatnonzero(keys % np.uint64(buckets) == np.uint64(bucket))
+
+    def count(blobs: list[_Blob], heavy: np.ndarray, hot: np.ndarray, histories: _Sums):
+        cold = [blob for blob in blobs if not blob.heavy]
+        if cold:
+            sums = [np.add.reduceat(x.trained.astype(np.int64), np.cumsum(x.per_major, dtype=np.int64) - x.per_major) for x in cold]
+            names, at = np.unique(np.concatenate([x.major for x in cold]), return_inverse=True)
+            word_count = _sum(at, len(names), np.concatenate(sums)).astype(np.int64)
+            yield from _word_totals(word_count)
+            for x, own in zip(cold, np.split(at, np.cumsum([len(x.major) for x in cold])[:-1]), strict=True):
+                x.word_count = _narrow(word_count[own])
+        for x in blobs:
+            if x.heavy:
+                x.word_count = heavy[np.searchsorted(frequent.heavy, x.minor)]
+        slices = max(1, -(-24 * sum(len(x.where) for x in blobs) // SLICE_BYTES))
         for k in range(slices):
             lowest, highest = (k << 64) // slices, ((k + 1 << 64) // slices) - 1
-            found = [_slice(arrays, base, lowest, highest) for base, arrays in blobs]
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-            del found
-            if len(columns[0]):
-                yield from _merge(*columns, pairs_too, documents, histories)
+            parts = [x.pairs(lowest, highest) for x in blobs]
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            counts = yield from _count_pairs(*columns, pairs_too, histories, frequent.hot, hot)
+            for x, own in zip(blobs, np.split(counts, np.cumsum([len(part[0]) for part in parts])[:-1]), strict=True):
+                x.found.append(_narrow(own))
+
+    def sum_documents(blobs: list[_Blob], documents: _Sums):
+        blobs.sort(key=lambda x: x.base)
+        for run in _runs(blobs, [40 * (len(x.docs) + len(x.where)) for x in blobs], SLICE_BYTES):
+            w, h, _, wc = (np.concatenate(c) for c in zip(*(x.pairs() for x in run), strict=True))
+            # Documents of a run, one batch beside the other.
+            spans: dict[int, int] = {}
+            for x in run:
+                spans[x.base] = max(spans.get(x.base, 0), int(x.docs.max()) + 1)
+            firsts = dict(zip(spans, np.cumsum([0, *spans.values()])[:-1].tolist(), strict=True))
+            own = np.concatenate([np.arange(base, base + n) for base, n in spans.items()])
+            at = np.concatenate([x.docs.astype(np.int64) + firsts[x.base] for x in run])
+            holders, times = (np.concatenate(c) for c in zip(*((x.holders, x.times) for x in run), strict=True))
+            yield from _sum_documents(w, h, np.concatenate([x.pair_counts() for x in run]), wc, holders, own, at, times, documents)
 
     def run(batches):
-        blobs: list[tuple[int, list[np.ndarray]]] = []
-        documents, histories, current = _DocumentSums(2 * SUM_ROWS), _Sums(SUM_ROWS), None
+        blobs: list[_Blob] = []
+        heavy, hot = np.zeros(len(frequent.heavy), np.int64), np.zeros(len(frequent.hot), np.int64)
+        bucket, buckets = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket, base, holds = (batch.column(k)[i].as_py() for k in (0, 1, 2))
+                base, holds = (batch.column(k)[i].as_py() for k in (1, 2))
                 data = batch.column(4)[i].as_buffer()  # lies in the batch, not beside it
-                if bucket != current:
-                    yield from count(blobs, documents, histories)
-                    blobs, current = [], bucket
                 if holds == _META:
                     flags = np.frombuffer(batch.column(3)[i].as_py(), dtype="u1").astype(bool)
                     n = len(flags)
                     ids = np.frombuffer(data, dtype="<i8", count=n)
                     null = np.frombuffer(data, dtype="u1", offset=8 * n)
                     yield from _group_rows("m", base + np.arange(n), ids, null, (~flags).view("u1"))
-                elif holds == _HEAVY:
-                    w, h, d, t, trained = _unblob(data, 5)
-                    rows = d.astype(np.int64) + base
-                    yield from _rows("e", h.view(np.int64), other=rows, n_known=w.view(np.int64), n_tokens=t, n_tail=trained)
+                elif holds == _TOTALS:
+                    bucket, buckets = batch.column(0)[i].as_py(), base
+                    for total, more in zip((heavy, hot), _unblob(data, 2, "ii"), strict=True):
+                        total += more
                 else:
-                    blobs.append((base, _unpacked(data, common)))
-        yield from count(blobs, documents, histories)
-        yield from documents.rows("d")
-        yield from histories.rows("h")
+                    blobs.append(_Blob(base, holds == _HEAVY, *_unpacked(data, frequent.common)))
+        if bucket is None:
+            return
+        histories = _Sums(SUM_ROWS)
+        # A heavy word's totals and a hot pair's are told by one bucket.
+        own = home(mix64(frequent.heavy), bucket, buckets)
+        yield from _rows("e", own, n_known=frequent.heavy[own].view(np.int64), n_tokens=heavy[own])
+        own = home(frequent.hot, bucket, buckets)
+        words = frequent.hot_words[own]
+        word_count = heavy[np.searchsorted(frequent.heavy, words)]
+        yield from _pair_totals(words, frequent.hot_histories[own], hot[own], word_count, pairs_too, histories)
+        if blobs:
+            yield from count(blobs, heavy, hot, histories)
+            yield from histories.rows("h")
+            documents = _DocumentSums(SUM_ROWS // 4)
+            yield from sum_documents(blobs, documents)
+            yield from documents.rows("d")
+        else:
+            yield from histories.rows("h")
 
     return run
 
 
-def _merge(words, histories, counts, holders, docs, times, pairs_too: bool, documents: _Sums, history_sums: _Sums):
-    order = np.lexsort((histories, words))
-    w, h, c = words[order], histories[order], counts[order].astype(np.int64)
-    starts = _starts(w, h)
-    pair_count = np.add.reduceat(c, starts)
-    pw, ph = w[starts], h[starts]
-    word_starts = _starts(pw)
-    word_count = np.add.reduceat(pair_count, word_starts)
-    word_of_pair = np.repeat(np.arange(len(word_starts)), np.diff(np.append(word_starts, len(pw))))
-    wc = word_count[word_of_pair]
-
-    # Each packed pair's type, then each holder's.
-    type_of = np.empty(len(order), dtype=np.int64)
-    type_of[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(w))))
-    kind = np.repeat(type_of, holders)
-    times = times.astype(np.int64)
+def _word_totals(word_count: np.ndarray):
+    """Counts of counts of words."""
+    classes = np.bincount(np.minimum(word_count, K + 2), minlength=K + 3)
+    totals = {c: classes[r : r + 1] for r, c in enumerate([*_UNSEEN, "n_unknown_unseen"], 1)}
+    totals |= {"n_tokens": word_count.sum(keepdims=True), "n_known": (word_count > 0).sum(keepdims=True)}
+    yield from _rows("s", np.zeros(1), **totals, sum_word=(word_count > K).sum(keepdims=True))
 
+
+def _pair_totals(words, histories, pair_count, word_count, pairs_too: bool, history_sums: _Sums):
+    """Counts of counts of distinct pairs, and what their histories need: those of the pairs seen after them, and of those
+    pairs' words."""
     seen = pair_count > 0
-    known = word_count > 0
-    totals = {f"seen{r}": np.array([(pair_count == r).sum()]) for r in range(1, K + 1)}
-    totals |= {f"word{r}": np.array([(word_count == r).sum()]) for r in range(1, K + 1)}
-    totals |= {"n_tail": np.array([(pair_count == K + 1).sum()]), "n_unknown_unseen": np.array([(word_count == K + 1).sum()])}
-    totals |= {"n_tokens": np.array([word_count.sum()]), "n_known": np.array([known.sum()])}
-    totals |= {"sum_word": np.array([(word_count > K).sum()])}
-    yield from _rows("s", np.zeros(1), **totals)
-
-    # Histories: counts of counts of the pairs seen after them, and of those pairs' words.
-    names, at = np.unique(ph[seen], return_inverse=True)
+    words, histories, pair_count, word_count = words[seen], histories[seen], pair_count[seen], word_count[seen]
+    if not len(words):
+        return
+    classes = np.bincount(np.minimum(pair_count, K + 2), minlength=K + 3)
+    yield from _rows("s", np.zeros(1), **{c: classes[r : r + 1] for r, c in enumerate([*_CLASSES, "n_tail"], 1)})
+    names, at = np.unique(histories, return_inverse=True)
     n = len(names)
-    sc, swc = pair_count[seen], wc[seen]
-    columns = {f"seen{r}": _sum(at[sc == r], n) for r in range(1, K + 1)}
-    columns |= {f"word{r}": _sum(at[swc == r], n) for r in range(1, K + 1)}
-    columns |= {"n_tail": _sum(at[sc > K], n), "n_tokens": _sum(at, n, sc), "n_unknown_unseen": _sum(at[swc > K], n)}
-    columns |= {"sum_word": _sum(at[swc > K], n, swc[swc > K])}
+    columns = {"n_tokens": _sum(at, n, pair_count), "sum_word": _sum(at, n, np.where(word_count > K, word_count, 0))}
+    for kinds, counts in (([*_CLASSES, "n_tail"], pair_count), ([*_UNSEEN, "n_unknown_unseen"], word_count)):
+        table = np.bincount(at * (K + 1) + np.minimum(counts, K + 1) - 1, minlength=n * (K + 1)).reshape(n, K + 1)
+        columns |= dict(zip(kinds, table.T, strict=True))
     yield from history_sums.room("h", n)
     history_sums.add(names.view(np.int64), columns)
     if pairs_too:
-        yield from _rows("p", ph[seen].view(np.int64), other=pw[seen].view(np.int64), n_tokens=sc)
-
-    # Documents.
-    own, at = np.unique(docs, return_inverse=True)
-    n = len(own)
-    ec, ewc = pair_count[kind], wc[kind]  # the end token is not among them
-    is_seen, is_known = ec > 0, ewc > 0
-    columns = {"n_tokens": _sum(at, n, times), "n_known": _sum(at[is_known], n, times[is_known])}
-    for r in range(1, K + 1):
-        columns[f"seen{r}"] = _sum(at[ec == r], n, times[ec == r])
-        pick = ~is_seen & (ewc == r)
-        columns[f"word{r}"] = _sum(at[pick], n, times[pick])
-    pick = ~is_seen & ~is_known
-    columns["n_unknown_unseen"] = _sum(at[pick], n, times[pick])
-    columns["n_tail"] = _sum(at[is_seen], n, times[is_seen])
-    columns["base_log"] = _sum(at, n, times * np.log10(ewc + 1.0))
-    pick = ~is_seen & is_known
-    logs = np.zeros(len(kind))
-    logs[is_seen] = np.log10(ec[is_seen] - np.where(ec[is_seen] > K, TAIL, 0.0))
-    logs[pick] = np.log10(ewc[pick] - np.where(ewc[pick] > K, TAIL, 0.0))
-    logs[is_known] -= np.log10(ewc[is_known])
-    columns["score_log"] = _sum(at, n, times * logs)
-    yield from documents.room("d", n)
-    documents.add(own, columns)
-    pick = ~is_seen
-    yield from _rows("u", ph[kind[pick]].view(np.int64), other=docs[pick], n_tokens=times[pick])
+        yield from _rows("p", histories.view(np.int64), other=words.view(np.int64), n_tokens=pair_count)
+
+
+def _count_pairs(words, histories, counts, word_count, pairs_too: bool, history_sums: _Sums, hot: np.ndarray, hot_counts: np.ndarray):
+    """The whole count of each packed pair.  Those of hot pairs are known."""
+    keys = _pair_keys(words, histories)
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = _starts(keys)
+    pair_count = np.add.reduceat(counts[order], starts) if len(starts) else np.empty(0, np.int64)
+    known, at = _places(hot, keys[starts])
+    pair_count[known] = hot_counts[at]
+    first = order[starts[~known]]
+    yield from _pair_totals(words[first], histories[first], pair_count[~known], word_count[first].astype(np.int64), pairs_too, history_sums)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(pair_count, np.diff(np.append(starts, len(order))))
+    return out
+
+
+def _sum_documents(words, histories, pair_count, word_count, holders, own, at, times, documents: _Sums):
+    """Sums of documents and their unseen pairs.  Documents are places ``at`` among ``own``."""
+    pair_count, word_count = pair_count.astype(np.int64), word_count.astype(np.int64)
+    seen, known = pair_count > 0, word_count > 0
+    of_pair = np.minimum(pair_count, K + 1) - 1
+    of_word = K + 1 + np.minimum(word_count, K + 1) - 1
+    n_kinds = 2 * K + 3
+    kinds = np.where(seen, of_pair, np.where(known, of_word, n_kinds - 1))
+    taken = np.where(seen, pair_count, np.where(known, word_count, 1))
+    logs = np.log10(taken - np.where((taken > K) & known, TAIL, 0.0))
+    logs -= np.where(known & (words != END), np.log10(np.maximum(word_count, 1)), 0.0)  # the end is no history
+    pair, n, weights = np.repeat(np.arange(len(words)), holders), len(own), times.astype(float)
+    table = _sum(at * n_kinds + kinds[pair], n * n_kinds, weights).reshape(n, n_kinds)
+    there = np.flatnonzero(table.any(axis=1))
+    base_log, score_log = (_sum(at, n, weights * x[pair])[there] for x in (np.log10(word_count + 1.0), logs))
+    table = table[there].T
+    columns = {"n_tokens": table.sum(axis=0), "n_known": table[:-1].sum(axis=0), "n_tail": table[: K + 1].sum(axis=0)}
+    columns |= dict(zip(_CLASSES, table, strict=False)) | dict(zip(_UNSEEN, table[K + 1 :], strict=False))
+    columns |= {"n_unknown_unseen": table[-1], "base_log": base_log, "score_log": score_log}
+    yield from documents.room("d", len(there))
+    documents.add(own[there], columns)
+    pick = np.flatnonzero(~seen[pair])
+    yield from _rows("u", histories[pair[pick]].view(np.int64), other=own[at[pick]], n_tokens=times[pick])
+
+
+def _merge(words, histories, counts, holders, docs, times, pairs_too: bool, documents: _Sums, history_sums: _Sums):
+    """Words whose pairs are all there, in one slice and run."""
+    names, at = np.unique(words, return_inverse=True)
+    word_count = _sum(at, len(names), counts).astype(np.int64)
+    yield from _word_totals(word_count)
+    none = np.empty(0, np.uint64)
+    pair_count = yield from _count_pairs(words, histories, counts.astype(np.int64), word_count[at], pairs_too, history_sums, none, none)
+    own, place = np.unique(docs, return_inverse=True)
+    yield from _sum_documents(words, histories, pair_count, word_count[at], holders, own, place, times, documents)
 
 
 def discounts(counts_of_counts: list[int]) -> list[float]:
@@ -532,76 +730,6 @@ def _weighted(columns: list[str], values: list[float]) -> Column:
     return total
 
 
-def _of_class(columns: list[str], count: Column, value: Column) -> list[Column]:
-    return [F.sum(F.when(count == r, value).otherwise(0)).alias(c) for r, c in enumerate(columns, 1)]
-
-
-def _heavy(parts: DataFrame, buckets: int):
-    """What ``_merge`` finds, for the heavy words: totals, and frames of histories, documents, unseen pairs and pairs.
-
-    Pair counts are combined per task before they meet.  A pair with more than a task's mean share of the rows is joined
-    back by broadcast (there are fewer of them than buckets), the others by their key.
-    """
-    spark = parts.sparkSession
-    entries = parts.filter("kind = 'e'").select(
-        F.col("n_known").alias("word"), F.col("key").alias("history"), F.col("other").alias("row"), F.col("n_tokens").alias("times"), F.coalesce("n_tail", F.lit(0)).alias("trained")
-    )
-    counts = entries.groupBy("word", "history").agg(F.sum("trained").alias("c"), F.count(F.lit(1)).alias("n"))
-    counts = stage_table(counts, "katz_heavy")
-    words = counts.groupBy("word").agg(F.sum("c").alias("wc"), F.sum("n").alias("n")).collect()
-    n_entries, known = sum(r.n for r in words), [r.wc for r in words if r.wc]
-    seen_classes = [F.count_if(F.col("c") == r).alias(c) for r, c in enumerate([*_CLASSES, "n_tail"], 1)]
-    totals = counts.agg(*seen_classes).first().asDict()
-    totals |= {c: known.count(r) for r, c in enumerate([*_UNSEEN, "n_unknown_unseen"], 1)}
-    totals |= {"n_tokens": sum(known), "n_known": len(known), "sum_word": sum(c > K for c in known)}
-
-    word_counts = F.broadcast(spark.createDataFrame([(r.word, r.wc) for r in words], "word long, wc long"))
-    c, wc, times, one = F.col("c"), F.col("wc"), F.col("times"), F.lit(1)
-    histories = (
-        counts.filter("c > 0")
-        .join(word_counts, "word")
-        .groupBy(F.col("history").alias("key"))
-        .agg(
-            *_of_class(_CLASSES, c, one),
-            *_of_class(_UNSEEN, wc, one),
-            F.count_if(c > K).alias("n_tail"),
-            F.sum("c").alias("n_tokens"),
-            F.count_if(wc > K).alias("n_unknown_unseen"),
-            F.sum(F.when(wc > K, wc).otherwise(0)).cast("double").alias("sum_word"),
-        )
-    )
-
-    hot = counts.filter(F.col("n") * buckets > n_entries).select("word", "history", "c").collect()
-    hot = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], "word long, history long, c long"))
-    pair = ["word", "history"]
-    found = entries.join(hot, pair).unionByName(entries.join(hot, pair, "left_anti").join(counts.drop("n"), pair)).join(word_counts, "word")
-
-    def part(when: Column, value: Column) -> Column:
-        return F.when(when, value).otherwise(0)
-
-    def total(when: Column, value: Column, name: str) -> Column:
-        return F.sum(part(when, value)).alias(name)
-
-    def discounted(x: Column) -> Column:
-        return times * F.log10(x - F.when(x > K, TAIL).otherwise(0.0))
-
-    seen, is_known = c > 0, wc > 0
-    history = part(is_known & (F.col("word") != int(END)), times * F.log10("wc"))
-    documents = found.groupBy("row").agg(
-        F.sum("times").alias("n_tokens"),
-        total(is_known, times, "n_known"),
-        *_of_class(_CLASSES, c, times),
-        *_of_class(_UNSEEN, F.when(~seen, wc), times),
-        total(~seen & ~is_known, times, "n_unknown_unseen"),
-        total(seen, times, "n_tail"),
-        F.sum(times * F.log10(wc + 1.0)).alias("base_log"),
-        F.sum(part(seen, discounted(c)) + part(~seen & is_known, discounted(wc)) - history).alias("score_log"),
-    )
-    unseen = found.filter("c = 0").select(F.col("history").alias("key"), F.col("row").alias("other"), F.col("times").alias("n_tokens"))
-    stored = counts.filter("c > 0").select("history", "word", F.col("c").alias("count"))
-    return totals, histories, documents, unseen, stored
-
-
 def katz_scores(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, held_out: int = 2, pairs: bool = False
 ) -> KatzModel:
@@ -610,12 +738,14 @@ def katz_scores(
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     train = crc32_remainder(doc_id, modulus) != held_out
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), train.alias("train"), text_or_empty(text).alias("text"))
-    heavy, common = _sampled_words(rows, buckets)
-    packed = rows.mapInArrow(_pack(buckets, heavy, common), "bucket int, base long, holds int, train binary, data binary")
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    parts = stage_table(dealt.mapInArrow(_count_buckets(pairs, common), _SCHEMA), "katz")
-    heavy_totals, heavy_histories, heavy_documents, heavy_unseen, heavy_pairs = _heavy(parts, buckets)
-
+    frequent = _sampled(rows, buckets)
+    packed = rows.mapInArrow(_pack(buckets, frequent), "bucket int, base long, holds int, train binary, data binary")
+    dealt = packed.repartitionById(buckets, "bucket")
+    parts = stage_table(dealt.mapInArrow(_count_buckets(pairs, frequent), _SCHEMA), "katz")
+
+    known = [r.n_tokens for r in parts.filter("kind = 'e' AND n_tokens > 0").select("n_tokens").collect()]
+    heavy_totals = {c: known.count(r) for r, c in enumerate([*_UNSEEN, "n_unknown_unseen"], 1)}
+    heavy_totals |= {"n_tokens": sum(known), "n_known": len(known), "sum_word": sum(c > K for c in known)}
     s = parts.filter("kind = 's'").agg(*[F.sum(c).alias(c) for c in [*_INTS, "sum_word"]]).first().asDict()
     s = {c: (n or 0) + heavy_totals.get(c, 0) for c, n in s.items()}
     n_pairs = [s[c] or 0 for c in _CLASSES] + [s["n_tail"] or 0]
@@ -626,7 +756,7 @@ def katz_scores(
     unknown = (sum((1 - d) * r * n_words[r - 1] for r, d in enumerate(word_d, 1)) + TAIL * tail_words) / total if tokens else 1.0
 
     # The weights follow from three sums, so only these are dealt by history.
-    found = parts.filter("kind = 'h'").unionByName(heavy_histories, True).na.fill(0)
+    found = parts.filter("kind = 'h'").na.fill(0)
     left = _weighted(_CLASSES, [(1 - d) * r for r, d in enumerate(pair_d, 1)]) + TAIL * F.col("n_tail")
     lower = _weighted(_UNSEEN, [d * r for r, d in enumerate(word_d, 1)]) + F.col("sum_word") - TAIL * F.col("n_unknown_unseen")
     summed = found.select("key", "n_tokens", left.alias("left"), lower.alias("lower")).groupBy("key")
@@ -637,7 +767,6 @@ def katz_scores(
     )
     unseen = (
         parts.filter("kind = 'u'")
-        .unionByName(heavy_unseen, True)
         .select(F.col("key").alias("history"), F.col("other").alias("row"), "n_tokens")
         .join(histories, "history")
         .select("row", (F.col("n_tokens") * (F.log10("count") + F.log10("backoff"))).alias("backed"))
@@ -646,9 +775,7 @@ def katz_scores(
     starts = histories.filter(F.col("history") == int(START)).agg(F.max("count")).first()[0] or 0
     kinds = ", ".join([*(f"{c} long" for c in _INTS), *(f"{c} double" for c in _DocumentSums.fractions)])
     groups = parts.filter("kind IN ('d', 'm')").select("kind", "key", "data").repartition("key").sortWithinPartitions("key")
-    own = groups.mapInArrow(_sum_groups, f"row long, doc_id long, held_out boolean, {kinds}")
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_INTS, *_DocumentSums.fractions]]
-    documents = own.unionByName(heavy_documents, True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *sums)
+    documents = groups.mapInArrow(_sum_groups, f"row long, doc_id long, held_out boolean, {kinds}")
     backed = unseen.groupBy("row").agg(F.sum("backed").alias("backed"))
     seen = _weighted(_CLASSES, [math.log10(d) for d in pair_d])
     n_unseen_words = F.col("n_tokens") - F.col("n_seen_tokens") - F.col("n_unknown_unseen")
@@ -675,5 +802,4 @@ def katz_scores(
     stored = parts.filter("kind = 'p'").select(
         F.col("key").alias("history"), F.col("other").alias("word"), F.col("n_tokens").alias("count")
     )
-    stored = stored.unionByName(heavy_pairs) if pairs else stored
     return KatzModel(scores, histories, stored, pair_d, word_d, unknown, tokens, types)

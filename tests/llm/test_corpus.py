@@ -468,6 +468,64 @@ def test_katz_splits_heavy_words(spark, monkeypatch):
     assert sorted(want.values()) == sorted(r["count"] for r in model.pairs.collect())
 
 
+@pytest.fixture
+def partitions(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    yield lambda n: spark.conf.set(name, str(n))
+    spark.conf.set(name, before)
+
+
+def test_katz_tokens_of_heavy_words_are_not_joined(spark, monkeypatch, partitions):
+    """More partitions mean more heavy words.  Each leaves one row, whatever its tokens; each bucket has a task of its own."""
+    monkeypatch.setattr(katz, "SLICE_BYTES", 5_000)
+    monkeypatch.setattr(katz, "SAMPLE", 0.9)
+    monkeypatch.setattr(katz, "BATCH_TOKENS", 5_000)
+    staged, stage = {}, katz.stage_table
+    monkeypatch.setattr(katz, "stage_table", lambda df, tag: staged.setdefault(tag, stage(df, tag)))
+    rng = random.Random(4)
+    texts = []
+    for i in range(400):
+        words = [f"w{rng.randrange(3000)}" if rng.random() < 0.5 else f"often{rng.randrange(12)}" for _ in range(rng.randrange(60))]
+        # A pair of every document, and a heavy word that no training document has.
+        texts.append(" ".join([*words, "hot pair", *(["held out"] * 30 if zlib.crc32(str(i).encode()) % 7 == 2 else [])]))
+    df = make(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(3)
+    for n in (1, 7, 50):
+        staged.clear()
+        partitions(n)
+        model = katz.katz_scores(df, pairs=True)
+        got = Counter(
+            (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in model.scores.collect()
+        )
+        assert sum((got - brute_katz(list(enumerate(texts)))).values()) <= 2
+        heavy = [r.n_known for r in staged["katz"].filter("kind = 'e'").collect()]
+        assert len(heavy) == len(set(heavy)) and (n < 50 or len(heavy) > 12)
+        assert len(staged["katz"].inputFiles()) == n
+        want = Counter()
+        for i, t in enumerate(texts):
+            if zlib.crc32(str(i).encode()) % 7 != 2:
+                want.update(zip(["<s>", *t.split()], [*t.split(), None]))
+        assert sorted(want.values()) == sorted(r["count"] for r in model.pairs.collect())
+
+
+def test_katz_spreads_hot_pairs():
+    """A hot pair's documents lie in many buckets, batch by batch; another pair of heavy words in one."""
+    word = {w: int(katz.hash_words([w])[0] | np.uint64(4)) for w in (b"a", b"b", b"c")}
+    heavy = np.unique(np.array([katz.END, *word.values()], dtype=np.uint64))
+    words, histories = (np.array([word[w]], dtype=np.uint64) for w in (b"b", b"a"))
+    frequent = katz._Frequent(heavy, np.array([katz.END, katz.START]), katz._pair_keys(words, histories), words, histories)
+    at, times = {b"b": Counter(), b"c": Counter()}, 0
+    for number in range(8):
+        rows, (_, hot) = katz._dealt([b"a b c"] * 5, np.array([1, 1, 1, 0, 1]), 8, frequent, number)
+        times += int(hot[0])
+        for bucket, holds, data in rows:
+            assert holds == katz._HEAVY
+            blob = katz._Blob(0, True, *katz._unpacked(data, frequent.common))
+            for w in at:
+                at[w][bucket] += word[w] in blob.minor.tolist()
+    assert times == 32 and len(+at[b"b"]) == 8 and len(+at[b"c"]) == 1
+
+
 def test_katz_sums_are_64_bits_wide():
     sums = katz._Sums()
     for _ in range(3):
