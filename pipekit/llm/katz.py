@@ -36,6 +36,7 @@ from __future__ import annotations
 import math
 import struct
 from collections import defaultdict
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -125,7 +126,9 @@ def _coded(words: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
     """Ascending words: which of them are common, steps of their places, steps of the others."""
     at = np.searchsorted(common, words).clip(max=len(common) - 1)
     hit = common[at] == words
-    steps = [np.diff(x, prepend=x.dtype.type(0)) for x in (at[hit], words[~hit])]
+    steps = at[hit], words[~hit]
+    for x in steps:
+        x[1:] -= x[:-1].copy()
     return [np.packbits(hit), _narrow(steps[0]), steps[1]]
 
 
@@ -157,6 +160,12 @@ def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty(len(starts), np.int64)
+    out[:-1], out[-1:] = starts[1:], n
+    return out - starts
+
+
 def _pair_keys(words: np.ndarray, histories: np.ndarray) -> np.ndarray:
     return mix64(mix64(words) + histories)
 
@@ -200,23 +209,26 @@ def _tokenized(texts: list[bytes | None]):
     histories = np.empty(len(words), dtype=np.int32)
     histories[1:] = words[:-1]
     histories[ends - lengths + 1] = len(ids) + 1
-    return names, words, histories, np.repeat(np.arange(len(lengths)), lengths)
+    return names, words, histories, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
 
 
 def _counted(first: np.ndarray, second: np.ndarray, docs: np.ndarray, train: np.ndarray):
     """Tokens in the order of (first, second, document): each pair's two places, training count and holders, then the
     holders' documents and counts."""
     bits = [int(x.max(initial=0)).bit_length() for x in (second, docs)]
-    key = first.astype(np.uint64) << np.uint64(sum(bits)) | second.astype(np.uint64) << np.uint64(bits[1]) | docs.astype(np.uint64)
+    key = first.astype(np.uint64)
+    for more, n in zip((second, docs), bits, strict=True):
+        key <<= np.uint64(n)
+        key |= more.astype(np.uint64)
     key.sort()
     entry = _starts(key)
-    times = np.diff(np.append(entry, len(key)))
+    times = _lengths(entry, len(key))
     key = key[entry]
     docs = (key & np.uint64((1 << bits[1]) - 1)).astype(np.int64)
     key >>= np.uint64(bits[1])
     pair = _starts(key)
     key = key[pair]
-    holders = np.diff(np.append(pair, len(docs)))
+    holders = _lengths(pair, len(docs))
     trained = np.add.reduceat(times * train[docs], pair) if len(pair) else np.empty(0, np.int64)
     return (key >> np.uint64(bits[0])).astype(np.int64), (key & np.uint64((1 << bits[0]) - 1)).astype(np.int64), trained, holders, docs, times
 
@@ -231,7 +243,7 @@ def _blobs(bucket, first, second, trained, holders, docs, times, buckets: int, c
         names, where = np.unique(second[plo:phi], return_inverse=True)
         yield b, _blob(
             *_coded(first[plo:phi][own], common),
-            _narrow(np.diff(np.append(own, phi - plo))),
+            _narrow(_lengths(own, phi - plo)),
             *_coded(names, common),
             _narrow(where),
             _narrow(trained[plo:phi]),
@@ -274,17 +286,28 @@ def _dealt(texts: list[bytes], train: np.ndarray, buckets: int, frequent: _Frequ
     return rows, totals
 
 
+def _runs(items: Iterable, size: Callable, most: int):
+    """Consecutive items of at most ``most`` together, or one."""
+    run, total = [], 0
+    for item in items:
+        if run and total + size(item) > most:
+            yield run
+            run, total = [], 0
+        run.append(item)
+        total += size(item)
+    if run:
+        yield run
+
+
 def _sampled(rows: DataFrame, buckets: int) -> _Frequent:
     """Heavy words: the end token, words that seem to hold over 1 / ``buckets`` of the tokens, and words of hot pairs.  Hot pairs seem
     to hold over 1 / (``HOT_PART`` * ``buckets``) of them.  Common words: those found most often, at most ``COMMON_WORDS`` and
     the end and start."""
-    spark = rows.sparkSession
 
     def run(batches):
-        for batch in batches:
-            names, words, histories, _ = _tokenized([(t or "").encode().lower() for t in batch.column(0).to_pylist()])
-            if not len(words):
-                continue
+        texts = ((t or "").encode().lower() for batch in batches for t in batch.column(0).to_pylist())
+        for part in _runs(texts, lambda text: len(text) // 2 + 2, BATCH_TOKENS):
+            names, words, histories, _ = _tokenized(part)
             counts = np.bincount(words, minlength=len(names))
             often = counts * 2 * buckets > len(words)
             often |= counts >= max(2, np.sort(counts)[-COMMON_WORDS:].min(initial=2))
@@ -518,19 +541,6 @@ class _Blob:
         return w, h, self.trained[p : p + len(where)].astype(np.int64), counts
 
 
-def _runs(items: list, sizes: list[int], most: int):
-    """Consecutive items of at most ``most`` together, or one."""
-    run, total = [], 0
-    for item, size in zip(items, sizes, strict=True):
-        if run and total + size > most:
-            yield run
-            run, total = [], 0
-        run.append(item)
-        total += size
-    if run:
-        yield run
-
-
 def _count_buckets(pairs_too: bool, frequent: _Frequent):
     """A task has one bucket: all pairs of its words, and the pairs of heavy words that are dealt to it.  Pairs are counted in ranges
     of hashes, then documents are summed batch after batch, so that only the unpacked rows, in narrow types, are held as
@@ -562,7 +572,7 @@ def _count_buckets(pairs_too: bool, frequent: _Frequent):
 
     def sum_documents(blobs: list[_Blob], documents: _Sums):
         blobs.sort(key=lambda x: x.base)
-        for run in _runs(blobs, [40 * (len(x.docs) + len(x.where)) for x in blobs], SLICE_BYTES):
+        for run in _runs(blobs, lambda x: 40 * (len(x.docs) + len(x.where)), SLICE_BYTES):
             w, h, _, wc = (np.concatenate(c) for c in zip(*(x.pairs() for x in run), strict=True))
             # Documents of a run, one batch beside the other.
             spans: dict[int, int] = {}
@@ -657,7 +667,7 @@ def _count_pairs(words, histories, counts, word_count, pairs_too: bool, history_
     first = order[starts[~known]]
     yield from _pair_totals(words[first], histories[first], pair_count[~known], word_count[first].astype(np.int64), pairs_too, history_sums)
     out = np.empty(len(order), np.int64)
-    out[order] = np.repeat(pair_count, np.diff(np.append(starts, len(order))))
+    out[order] = np.repeat(pair_count, _lengths(starts, len(order)))
     return out
 
 
