@@ -9,7 +9,8 @@ the source's block numbers (swap-or-not rounds, exact for any number of blocks),
 ``max_repeats`` times.  Slots and documents' ranges join by source and block number.
 
 Streams are laid out by prefix sums over chunks, so a source may hold any share of the rows; slots are made in chunks
-too.  One row per source is ranked in one task; the sources join by broadcast while there are at most
+too, dealt over tasks.  Blocks' uses, which grow with the corpus, meet the documents' ranges by a sort-merge join: Spark's
+estimate of their size is that of the sources' few rows, which would broadcast them.  One row per source is ranked in one task; the sources join by broadcast while there are at most
 ``BROADCAST_SOURCES`` of them (a row of eight numbers each), and by a plain join beyond.
 
 NULL texts and texts without words have size 0 and are never taken.  A NULL source is a source, ranked last.  Repeated rows
@@ -115,16 +116,18 @@ def mix_sources(
         "n_slots", F.when(F.col("blocks") > 0, n_slots).otherwise(F.lit(0)).cast("long")
     )
     sources = stage_table(sources, "mix-sources")
-    totals = sources.agg(F.count(F.lit(1)), F.sum("n_slots")).first()
+    totals = sources.agg(F.count(F.lit(1)), F.sum("n_slots"), F.sum(F.ceil(F.col("n_slots") / CHUNK_SLOTS))).first()
     small = F.broadcast if totals[0] <= BROADCAST_SOURCES else lambda df: df
     shards = max(1, -(-(totals[1] or 0) // SHARD_SLOTS))
+    # A given number, since chunks are a few rows that would else be put into one task before they grow.
+    tasks = max(1, min(totals[2] or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {CHUNK_SLOTS}"))).alias("part")
     last = F.least(F.col("n_slots"), (F.col("part") + 1) * CHUNK_SLOTS) - 1
     slots = (
         sources.filter("n_slots > 0")
         .select("rank", "blocks", "n_slots", first)
-        .repartition("rank", "part")
+        .repartition(tasks, "rank", "part")
         .select("rank", "blocks", F.explode(F.sequence(F.col("part") * CHUNK_SLOTS, last)).alias("slot"))
         .select(
             "rank",
@@ -159,7 +162,7 @@ def mix_sources(
     )
     low = F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start")
     high = F.least(F.col("end"), (F.col("block") + 1) * block_words) - F.col("start")
-    ranges = in_blocks.join(uses, ["rank", "block"]).select(
+    ranges = in_blocks.join(uses.hint("merge"), ["rank", "block"]).select(
         "_row", low.cast("int").alias("low"), high.cast("int").alias("high"), "uses"
     )
     return Mix(sources, slots, ranges, staged)

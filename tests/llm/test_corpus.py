@@ -625,3 +625,23 @@ def test_staged_rows_reach_python_in_small_batches(spark):
     own.conf.set(common.BATCH_CONF, "32m")
     common.bound_batches(own)
     assert own.conf.get(common.BATCH_CONF) == "32m"
+
+
+def test_mix_sends_no_blocks_to_the_driver_and_deals_its_slots(spark, monkeypatch):
+    """Their plan starts from the sources' few rows, so that Spark takes them for small at any size."""
+    from conftest import plan_text
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "CHUNK_SLOTS", 16)
+    df = make(spark, [(i, " ".join(WORDS[: 20 + i]), "ab"[i % 2]) for i in range(100)])
+    mix = mixing.mix_sources(df, block_words=8)
+    joins = re.findall(r"^\(\d+\) (\w+Join).*\nLeft keys \[\d+\]: \[(.*)\]$", plan_text(mix.ranges), re.M)
+    assert [kind for kind, keys in joins if "block#" in keys] == ["SortMergeJoin"]
+    assert mix.slots.select(F.spark_partition_id()).distinct().count() > 1
+    # Every block is taken as often as its source's slots name it.
+    uses = Counter((r.rank, r.block) for r in mix.slots.collect())
+    assert sum(uses.values()) == mix.sources.agg(F.sum("n_slots")).first()[0] and max(uses.values()) <= 2
+    words = mix.ranges.selectExpr("sum((high - low) * uses)").first()[0]
+    blocks = {r["rank"]: (r.blocks, r.source_size) for r in mix.sources.collect()}
+    sizes = {(k, b): min(8, size - 8 * b) for k, (n, size) in blocks.items() for b in range(n)}
+    assert words == sum(n * sizes[x] for x, n in uses.items())
