@@ -323,7 +323,7 @@ def _blocks(ranks: str, pieces: str):
     """Whole documents to blocks."""
 
     def run(batches):
-        pair, block = two_tokenizers(ranks, pieces), _Block()
+        pair, block, unused = two_tokenizers(ranks, pieces), _Block(), pa.default_memory_pool().release_unused
         for batch in batches:
             ids, sizes, at = batch.column(0), batch.column(2).to_numpy(), 0
             while at < batch.num_rows:
@@ -335,9 +335,11 @@ def _blocks(ranks: str, pieces: str):
                 if block.bytes >= BLOCK_BYTES:
                     yield block.batch()
                     block = _Block()
+                    unused()  # Arrow keeps the room of the batches that went by
         pair.forget()
         if block.rows:
             yield block.batch()
+        unused()
 
     return run
 
@@ -411,30 +413,41 @@ def _compose_level(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_pack(first["doc"], first["doc_id"], first["seq"] // FAN_IN, whole)])
 
 
-def _long_blocks(ranks: str, pieces: str):
-    def run(batches):
-        pair = two_tokenizers(ranks, pieces)
-        for batch in batches:
-            for row in batch.to_pylist():
-                block, fragment = _Block(), _unpack(row)
-                block.add(row["doc_id"], pair.rendered([fragment])[0] if fragment.valid else None, 0)
-                yield block.batch()
+def _whole_block(ranks: str, pieces: str):
+    """The tree's last level: a document's fragments to its block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (row,) = _compose_level(table).to_pylist()
+        block, fragment = _Block(), _unpack(row)
+        block.add(row["doc_id"], two_tokenizers(ranks, pieces).rendered([fragment])[0] if fragment.valid else None, 0)
+        return pa.Table.from_batches([block.batch()])
 
     return run
 
 
-def long_fragments(docs: DataFrame, ranks: str, pieces: str, chunk: int = LONG_BYTES) -> DataFrame:
-    """One whole fragment per row of ``docs`` (``doc_id``, ``text``), composed over tasks by a tree."""
+def _tree(docs: DataFrame, ranks: str, pieces: str, chunk: int) -> DataFrame:
+    """Fragments of ``docs`` (``doc_id``, ``text``), composed over tasks until a document has ``FAN_IN`` at most."""
     # Written, so that a chunk and its document's name stay together when a task is run again.
     cut = stage_table(docs.select("doc_id", "text").mapInArrow(_chunks(chunk), _CHUNK), "chunks")
-    most = cut.agg(F.max("seq")).first()[0]
+    most = cut.agg(F.max("seq")).first()[0] or 0
     tree = cut.repartition("doc", "seq").mapInArrow(_ranges(ranks, pieces), _FRAGMENT)
-    while most:
+    while most >= FAN_IN:
         tree = tree.groupBy("doc", F.floor(F.col("seq") / FAN_IN)).applyInArrow(_compose_level, _FRAGMENT)
         most //= FAN_IN
     return tree
 
 
+def long_fragments(docs: DataFrame, ranks: str, pieces: str, chunk: int = LONG_BYTES) -> DataFrame:
+    """One whole fragment per row of ``docs``."""
+    return _tree(docs, ranks, pieces, chunk).groupBy("doc").applyInArrow(_compose_level, _FRAGMENT)
+
+
+def long_blocks(docs: DataFrame, ranks: str, pieces: str, chunk: int = LONG_BYTES) -> DataFrame:
+    """One block per row of ``docs``.  A task runs one Python function: each further one would be a worker more, that holds its
+    tokenizers and takes its turn with the short documents' pieces as long as the executor lives."""
+    return _tree(docs, ranks, pieces, chunk).groupBy("doc").applyInArrow(_whole_block(ranks, pieces), _BLOCK)
+
+
 # ---------------------------------------------------------------- counts
 
 _RESULT = (
@@ -482,7 +495,7 @@ def align_documents(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     size = F.octet_length("text")
     short = rows.filter(size <= long_bytes).select("doc_id", "text", size.alias("size")).mapInArrow(_blocks(ranks, pieces), _BLOCK)
-    whole = long_fragments(rows.filter(size > long_bytes), ranks, pieces, long_bytes).mapInArrow(_long_blocks(ranks, pieces), _BLOCK)
+    whole = long_blocks(rows.filter(size > long_bytes), ranks, pieces, long_bytes)
     blocks = stage_table(short.unionByName(whole), "blocks")
     counts = stage_table(pair_counts(blocks), "pairs")
     wanted = blocks.select("block", F.explode("pairs").alias("pair"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -171,3 +172,22 @@ def test_a_worker_keeps_no_pieces_after_its_task():
     (block,) = alignment._blocks(BYTE_RANKS, PIECE_MODEL)([batch])
     pair = alignment.two_tokenizers(BYTE_RANKS, PIECE_MODEL)
     assert block.column(1).to_pylist() == [[1, 2]] and not pair.known and not pair.before
+
+
+def test_a_task_runs_one_python_function(spark, monkeypatch):
+    """Functions of one task run in workers side by side; each keeps its tokenizers while the executor lives."""
+    from conftest import plan_text
+
+    plans, write = {}, alignment.stage_table
+    monkeypatch.setattr(alignment, "stage_table", lambda df, tag: (plans.setdefault(tag, plan_text(df)), write(df, tag))[1])
+    texts = [(1, "short one"), (2, "one two " * 300), (3, "x" * 3000)]
+    frame = spark.createDataFrame([(i, t, 1, "p", "b", b"", 0) for i, t in texts], SCHEMA)
+    assert alignment.align_documents(frame, BYTE_RANKS, PIECE_MODEL, long_bytes=200).count() == 3
+    above: list[tuple[int, str]] = []  # place and name of the nodes that a line of the tree stands under
+    chained = []
+    for place, node in re.findall(r"^([\s:+*|-]*)(\w+)", plans["blocks"].split("\n\n")[0], re.M):
+        above = [x for x in above if x[0] < len(place)] + [(len(place), node)]
+        task = [name for _, name in above]
+        task = task[max((i for i, name in enumerate(task) if "Exchange" in name), default=0) :]
+        chained.append(sum("Arrow" in name for name in task))
+    assert max(chained) == 1 and sum("Arrow" in line for line in plans["blocks"].split("\n\n")[0].split("\n")) >= 3
