@@ -11,10 +11,10 @@ where both tokenizers surely end a token: at a single space between two other ch
 tasks, each task cuts its tokens at every ``RANGE_BYTES`` of the document, whatever group that falls into, and the
 fragments are composed ``FAN_IN`` at a time, level by level.  A text without such a space is one chunk.
 
-The last tokens of a group are linked.  Links are kept per *block* of documents (at most ``BLOCK_BYTES`` of text) as
-packed pairs of ids; counting shuffles one row per block and distinct pair, not one per link, so that even the most
-frequent pair is one row of the many thousands that a block has.  Only the highest count per B id is broadcast, at most
-a row per vocabulary entry.  A block's counts come back to its links, one block at a time.
+The last tokens of a group are linked.  Links are kept per *block* of documents (at most ``BLOCK_BYTES`` of text) as ranks
+among the block's packed pairs of ids; counting shuffles one row per block and distinct pair, not one per link, so that
+even the most frequent pair is one row of the many thousands that a block has.  Only the highest count per B id is
+broadcast, at most a row per vocabulary entry.  A block's counts come back to its links, one block at a time.
 
 Texts that are NULL, empty, or not reproduced byte for byte have no tokens (A's vocabulary is of bytes and reproduces any).  Repeated rows each
 count, a NULL ``doc_id`` stays NULL, other columns are ignored, an empty table gives an empty one.
@@ -309,7 +309,8 @@ class _Block:
         found = np.frombuffer(b"".join(self.parts), dtype="<u4")
         code, pairs = pd.factorize(found)
         order = np.argsort(pairs)
-        rank = np.empty(len(order), dtype="<u4")
+        # A block's links are its largest part by far, in one row: two bytes each as long as the ranks fit.
+        rank = np.empty(len(order), dtype="<u2" if len(order) <= 1 << 16 else "<u4")
         rank[order] = np.arange(len(order))
         counts = np.bincount(code, minlength=len(pairs))[order]
         columns = [list(c) for c in zip(*self.rows)]
@@ -462,7 +463,7 @@ def _count_back(key, left: pa.Table, right: pa.Table) -> pa.Table:
     n, best = right["n"].to_numpy()[order], right["best"].to_numpy(zero_copy_only=False)[order].astype(np.int64)
     if len(n) != row["n_pairs"]:
         raise RuntimeError(f"a block has {row['n_pairs']} pairs and {len(n)} counts")
-    place = np.frombuffer(row["links"], dtype="<u4").astype(np.int64)
+    place = np.frombuffer(row["links"], dtype="<u2" if row["n_pairs"] <= 1 << 16 else "<u4").astype(np.int64)
     ends = np.cumsum(np.array(row["n_groups"], dtype=np.int64))
     starts = ends - np.array(row["n_groups"], dtype=np.int64)
 

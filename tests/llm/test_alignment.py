@@ -191,3 +191,23 @@ def test_a_task_runs_one_python_function(spark, monkeypatch):
         task = task[max((i for i, name in enumerate(task) if "Exchange" in name), default=0) :]
         chained.append(sum("Arrow" in name for name in task))
     assert max(chained) == 1 and sum("Arrow" in line for line in plans["blocks"].split("\n\n")[0].split("\n")) >= 3
+
+
+@pytest.mark.parametrize("n_pairs, width", [(1 << 16, 2), ((1 << 16) + 1, 4)])
+def test_links_take_as_many_bytes_as_their_ranks_need(n_pairs, width):
+    links = np.random.default_rng(7).permutation(np.arange(n_pairs, dtype="<u4") * 5)
+    block = alignment._Block()
+    block.add(1, alignment.Aligned(9, 9, n_pairs, "x", links.tobytes()), 1)
+    block.add(2, None, 1)
+    block.add(3, alignment.Aligned(9, 9, 3, "x", links[:3].tobytes()), 1)
+    row = block.batch()
+    assert len(row.column(6)[0].as_py()) == width * (n_pairs + 3)
+    left = pa.Table.from_batches([row]).append_column("n_pairs", pa.array([n_pairs]))
+    pairs = row.column(7)[0].values
+    n, best = np.arange(n_pairs), np.arange(n_pairs) % 2 == 0
+    right = pa.table({"pair": pairs, "n": n, "best": best})
+    got = alignment._count_back(None, left, right).to_pylist()
+    first = np.searchsorted(pairs.to_numpy(), links[:3])
+    assert [(r["n_links"], r["n_best"], r["count_sum"]) for r in got] == [
+        (n_pairs, best.sum(), n.sum()), (0, 0, 0), (3, best[first].sum(), n[first].sum())
+    ]
